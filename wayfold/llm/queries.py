@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, quality, secret_scan, simhash, token_counts, topk, toxicity
+from . import decontamination, packing, quality, secret_scan, simhash, suffix_array, suffix_tree, token_counts, topk, toxicity
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.removed_words(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -25,6 +29,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.removed_bytes(table(spark, sf_dir, "documents"))
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -47,7 +55,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_token_counts, op4_decontamination, op5_packing, op7_top_k, op8_simhash, op9_toxicity, op10_quality, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_token_counts, op4_decontamination, op5_packing, op6_suffix_array, op7_top_k, op8_simhash, op9_toxicity, op10_quality, pipeline)}
 
 #: DuckDB SQL for the queries that SQL can express; the others are tested against brute force in tests/llm.
 ORACLE_SQL = {
