@@ -3,7 +3,7 @@
 A window is `window` symbols in a row of one document. To find which windows also start earlier without moving every
 position, the job works from anchors, as both methods refine small groups of suffixes at a time:
 
-1. In each document the grams (`gram` symbols) that are least by a hash in some window are its anchors; equal windows
+1. Whole copies of a text are found by a digest and need no more. In each other document the grams (`gram` symbols) that are least by a hash in some window are its anchors; equal windows
    have equal anchors. Anchors are dealt by hash, packed by task, and those that occur once are forgotten.
 2. Each remaining anchor carries its context, all windows around it, to the group of its gram. A task sends a context
    once: later documents of the same task are settled there, so thousands of copies cost one row a task.
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_type, out, slabs, with_row_key
+from .common import arrow_type, checkpointed, out, slabs, with_row_key
 
 SLAB_BYTES = 24 << 20
 CHUNK_CONTEXTS = 20_000
@@ -319,19 +319,37 @@ def repeats(dealt: DataFrame, a: Alphabet) -> DataFrame:
     return dealt.repartition("key").mapInArrow(task, "_r long, start int, stop int")
 
 
+def whole_copies(rows: DataFrame) -> DataFrame:
+    """_r of rows whose whole text also is in a row of a smaller id: all their windows start earlier there."""
+    ids = rows.where("doc_id is not null").select("_r", "doc_id", F.unhex(F.sha2("text", 256)).alias("sha"))
+    first = ids.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    # A key of its own on this side gives both sides an exchange, so that adaptive execution can split a frequent text.
+    first = first.select(F.concat("sha", F.unhex(F.lit("00"))).alias("key"), "first")
+    return checkpointed(ids.withColumn("key", F.concat("sha", F.unhex(F.lit("00")))).join(first, "key").where("doc_id > first").select("_r").distinct())
+
+
 def covered(docs: DataFrame, a: Alphabet) -> DataFrame:
-    """doc_id, text and ranges (array of start, stop; null if none) for every row of docs, whose null texts are empty."""
+    """doc_id, text and ranges (array of start, stop; null if none) for every row of docs, whose null texts are empty.
+
+    Whole copies leave at the start with the range (-1, -1): their windows are never the earliest. The joins on _r share
+    one exchange of the other documents.
+    """
     rows = with_row_key(docs).select(F.col("doc_id").cast("long"), F.col("_k").alias("_r"), "text")
+    copies = whole_copies(rows)
+    live = rows.join(copies, "_r", "left_anti")
     hot = docs.sparkSession.sparkContext.broadcast(frequent_grams(rows, a))
-    joined = rows.join(repeated_anchors(rows, a, hot).withColumnRenamed("_r", "_s"), F.col("_r") == F.col("_s"), "left")
+    joined = live.join(repeated_anchors(live, a, hot), "_r", "left")
     found = repeats(contexts(joined, a, hot), a).groupBy("_r").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    return rows.join(found.withColumnRenamed("_r", "_s"), F.col("_r") == F.col("_s"), "left").select("doc_id", "text", "ranges")
+    whole = F.array(F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("stop"))).alias("ranges")
+    return live.join(found, "_r", "left").select("doc_id", "text", "ranges").unionAll(rows.join(copies, "_r", "left_semi").select("doc_id", "text", whole))
 
 
-def mask(n: int, ranges) -> np.ndarray:
+def mask(n: int, ranges, a: Alphabet) -> np.ndarray:
     """True for each of n symbols in a range."""
     edge = np.zeros(n + 1, np.int64)
     for x in ranges or ():
+        if x["start"] < 0:
+            return np.full(n, n >= a.window)
         edge[x["start"]] += 1
         edge[x["stop"]] -= 1
     return np.cumsum(edge[:n]) > 0

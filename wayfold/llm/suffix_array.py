@@ -76,7 +76,7 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
             rows = []
             for d, text, ranges in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 raw = text.encode("utf-8", "replace")
-                gone = mask(len(raw), ranges)
+                gone = mask(len(raw), ranges, BYTES)
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if ranges else raw
                 spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) > 0 and gone[0]))
                 rows.append((d, len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))

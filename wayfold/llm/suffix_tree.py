@@ -66,7 +66,7 @@ def removed_words(docs: DataFrame) -> DataFrame:
             rows = []
             for d, text, ranges in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = text.encode("utf-8", "replace").split()
-                gone = mask(len(words), ranges)
+                gone = mask(len(words), ranges, WORDS)
                 kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if ranges else words
                 rows.append((d, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield out(schema, *(list(zip(*rows, strict=True)) or [[]] * 4))
