@@ -24,12 +24,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_type, checkpointed, out, slabs, with_row_key
 
-SLAB_BYTES = 24 << 20
+SLAB_BYTES = 24 << 20  # of text; packed text counts double
 CHUNK_CONTEXTS = 20_000
 SAMPLE_ONE_IN = 64
 HOT_SHARE, HOT_LEAST = 0.005, 8
@@ -57,6 +58,35 @@ class Alphabet:
     within: bool
 
 
+def zipped(rows: DataFrame) -> DataFrame:
+    """doc_id, _r, z: the text as a Zstandard frame, which halves what is shuffled."""
+    schema = arrow_type("doc_id long, _r long, z binary")
+
+    def task(batches):
+        packer = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            yield out(schema, b.column(0), b.column(1), [packer.compress(t.encode("utf-8", "replace")) for t in b.column(2).to_pylist()])
+
+    return rows.select("doc_id", "_r", "text").mapInArrow(task, "doc_id long, _r long, z binary")
+
+
+def texts_of(column) -> list[str]:
+    reader = zstandard.ZstdDecompressor()
+    return [reader.decompress(z).decode("utf-8") for z in column.to_pylist()]
+
+
+def to_bytes(batch: pa.RecordBatch) -> bytes:
+    """An Arrow stream of one batch, compressed: many small rows travel as one."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def from_bytes(raw: bytes) -> pa.Table:
+    return pa.ipc.open_stream(raw).read_all()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _MIX
     return x ^ (x >> np.uint64(29))
@@ -131,19 +161,23 @@ def member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 def repeated_anchors(docs: DataFrame, a: Alphabet, hot) -> DataFrame:
     """_r and positions (array) of anchors, not frequent ones, that occur at least twice in the corpus."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = pa.schema([("part", pa.int32()), ("rows", pa.binary()), ("codes", pa.binary()), ("places", pa.binary()), ("n", pa.binary())])
+    packed = pa.schema([("part", pa.int32()), ("rows", pa.binary())])
 
     def pack(batches):
-        for t in slabs(batches, "text", SLAB_BYTES):
+        for t in slabs(batches, "z", SLAB_BYTES // 2):
             keys, hashes, places, counts = [], [], [], []
-            for r, x in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True):
+            for d, r, x in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), texts_of(t.column(2)), strict=True):
+                if d is None:
+                    continue
                 at, h = anchors(a.codes(a.split(x)), a)
                 cold = ~member(h, hot.value)
                 keys.append(r)
                 hashes.append(h[cold])
                 places.append(at[cold])
                 counts.append(int(cold.sum()))
-            h, at, row = np.concatenate(hashes), np.concatenate(places).astype("<u4"), np.repeat(np.arange(len(keys)), counts)
+            if not keys:
+                continue
+            h, at, row = np.concatenate(hashes), np.concatenate(places).astype(np.int64), np.repeat(np.arange(len(keys)), counts)
             part = (h % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")  # documents stay together within a part
             ends = np.searchsorted(part[order], np.arange(parts + 1))
@@ -151,28 +185,35 @@ def repeated_anchors(docs: DataFrame, a: Alphabet, hot) -> DataFrame:
             for p in range(parts):
                 o = order[ends[p] : ends[p + 1]]
                 if len(o):
-                    own, n = np.unique(row[o], return_counts=True)
-                    # 40 bits of the hash beside the part are enough to leave few chance candidates; refinement is exact.
-                    code = (h[o] // np.uint64(parts)) & np.uint64((1 << 40) - 1)
-                    code = code.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                    step = np.diff(at[o], prepend=np.uint32(0)).astype("<u4")
-                    yield out(packed, [p], [keys[own].tobytes()], [np.ascontiguousarray(code).tobytes()], [step.tobytes()], [n.astype("<u4").tobytes()])
+                    own, first = np.unique(row[o], return_index=True)
+                    step = np.diff(at[o], prepend=0)
+                    step[first] = at[o][first]
+                    # 32 bits of the hash beside the part leave few chance candidates in a part; refinement is exact.
+                    code = ((h[o] // np.uint64(parts)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                    start = np.zeros(len(o), bool)
+                    start[first] = True
+                    body = pa.record_batch({"code": code, "step": step.astype(np.int32), "start": start})
+                    yield out(packed, [p], [to_bytes(body) + keys[own].tobytes() + len(own).to_bytes(8, "little")])
 
     def unpack(batches):
         schema = pa.schema([("_r", pa.int64()), ("at", pa.list_(pa.int32()))])
         part, key, at, code = [], [], [], []
         for b in batches:
-            for p, rows, codes, places, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                key.append(np.repeat(np.frombuffer(rows, np.int64), np.frombuffer(n, "<u4")))
-                at.append(np.cumsum(np.frombuffer(places, "<u4"), dtype=np.uint32))
-                wide = np.zeros((len(key[-1]), 8), np.uint8)
-                wide[:, :5] = np.frombuffer(codes, np.uint8).reshape(-1, 5)
-                code.append(wide.view("<u8").ravel())
-                part.append(np.full(len(key[-1]), p))
+            for p, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                n = int.from_bytes(raw[-8:], "little")
+                body = from_bytes(raw[: -8 * (n + 1)])
+                which = np.cumsum(body.column("start").to_numpy()) - 1
+                key.append(np.frombuffer(raw[-8 * (n + 1) : -8], np.int64)[which])
+                step = body.column("step").to_numpy().astype(np.int64)
+                total = np.cumsum(step)
+                first = np.flatnonzero(body.column("start").to_numpy())
+                at.append(total - (total[first] - step[first])[which])
+                code.append(body.column("code").to_numpy().astype(np.uint64))
+                part.append(np.full(len(code[-1]), p))
         if not key:
             return
         key, at, code, part = map(np.concatenate, (key, at, code, part))
-        code = code | (part.astype(np.uint64) << np.uint64(40))  # parts beyond 2**24 wrap: chance candidates only
+        code = code | (part.astype(np.uint64) << np.uint64(32))
         order = np.argsort(code, kind="stable")
         same = code[order][1:] == code[order][:-1]
         kept = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
@@ -184,28 +225,42 @@ def repeated_anchors(docs: DataFrame, a: Alphabet, hot) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(o - o[0], pa.int32()), pa.array(at[kept[o[0] : o[-1]]].astype(np.int32)))
             yield out(schema, ids[i : i + 4096], lists)
 
-    dealt = docs.where("doc_id is not null").select("_r", "text").mapInArrow(pack, "part int, rows binary, codes binary, places binary, n binary").repartition(parts, "part")
+    dealt = docs.select("doc_id", "_r", "z").mapInArrow(pack, "part int, rows binary").repartitionById(parts, "part")
     return dealt.mapInArrow(unpack, "_r long, at array<int>").groupBy("_r").agg(F.flatten(F.collect_list("at")).alias("at"))
 
 
 CONTEXT = "key long, doc_id long, _r long, at long, symbols int, context binary"
+PACKED = "part int, rows binary"
 
 
 def contexts(joined: DataFrame, a: Alphabet, hot) -> DataFrame:
-    """Contexts of the repeated anchors of joined (doc_id, _r, text, at); settled ranges have a null context.
+    """Contexts of the repeated anchors of joined (doc_id, _r, z, at), in packed rows (part, rows of CONTEXT).
 
-    A settled range (at, symbols) is wholly repeated: an earlier document of the same task has the same context.
+    A row with a null context is settled: its range (at, symbols) is wholly repeated, because an earlier document of
+    the same task has the same context.
     """
-    schema = arrow_type(CONTEXT)
+    schema, packed = arrow_type(CONTEXT), arrow_type(PACKED)
     reach = a.window - a.gram
+    parts = int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(rows: list):
+        key, *rest = zip(*rows, strict=True)
+        key = np.array([k & (2**64 - 1) for k in key], np.uint64)
+        batch = out(schema, key.view(np.int64), *rest)
+        part = (mixed(key) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[order], np.arange(parts + 1))
+        for p in range(parts):
+            if ends[p] < ends[p + 1]:
+                yield out(packed, [p], [to_bytes(batch.take(pa.array(order[ends[p] : ends[p + 1]])))])
 
     def task(batches):
-        for t in slabs(batches, "text", SLAB_BYTES):
+        for t in slabs(batches, "z", SLAB_BYTES // 2):
             t = t.sort_by("doc_id")
             seen: dict = {}
             rows: list = []
-            for d, r, x, hits in zip(*(c.to_pylist() for c in t.columns), strict=True):
-                if d is None or not x:
+            for d, r, x, hits in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), texts_of(t.column(2)), t.column(3).to_pylist(), strict=True):
+                if d is None or not (hits or len(hot.value)):
                     continue
                 pieces = a.split(x)
                 codes = a.codes(pieces)
@@ -213,38 +268,23 @@ def contexts(joined: DataFrame, a: Alphabet, hot) -> DataFrame:
                 if n < a.window:
                     continue
                 at, h = anchors(codes, a)
-                cold = np.isin(at, np.asarray(hits, np.int64)) if hits else np.zeros(len(at), bool)
-                stretches = [(p, max(0, p - reach), min(n, p + a.window), False) for p in at[cold].tolist()]
-                if len(hot.value):
-                    whole = {s for p in at[member(h, hot.value)].tolist() for s in range(max(0, p - reach), min(p, n - a.window) + 1)}
-                    stretches += [(s, s, s + a.window, True) for s in sorted(whole)]
-                for _, low, high, _ in stretches:
+                chosen = np.isin(at, np.asarray(hits, np.int64)) if hits else np.zeros(len(at), bool)
+                # Keys: the anchor's hash, or a hash of the whole window for frequent grams (None until then).
+                stretches = [(max(0, p - reach), min(n, p + a.window), k) for p, k in zip(at[chosen].tolist(), h[chosen].tolist(), strict=True)]
+                frequent = at[member(h, hot.value)].tolist()
+                if frequent:
+                    stretches += [(s, s + a.window, None) for s in sorted({s for p in frequent for s in range(max(0, p - reach), min(p, n - a.window) + 1)})]
+                for low, high, key in stretches:
                     context = a.cut(pieces, low, high)
-                    first = seen.setdefault(context, (d, low, r))
+                    first = seen.setdefault(context, (d, low))
                     if first[0] < d or (a.within and first[0] == d and first[1] < low):
-                        rows.append((xxhash.xxh64_intdigest(context) ^ (low * 0x9E3779B1), d, r, low, high - low, None))
+                        rows.append((r ^ low, d, r, low, high - low, None))
                     else:
-                        rows.append((0, d, r, low, high - low, context))
-                # Keys: the anchor's hash, or the whole window for frequent grams.
-                by_place = dict(zip(at.tolist(), h.tolist(), strict=True))
-                k = len(rows) - len(stretches)
-                for p, _, _, is_hot in stretches:
-                    row = rows[k]
-                    if row[5] is not None:
-                        rows[k] = ((xxhash.xxh64_intdigest(row[5]) if is_hot else by_place[p]), *row[1:])
-                    k += 1
-                if len(rows) > 50_000:
-                    yield rows_out(schema, rows)
-                    rows = []
+                        rows.append((xxhash.xxh64_intdigest(context) if key is None else key, d, r, low, high - low, context))
             if rows:
-                yield rows_out(schema, rows)
-
-    return joined.select("doc_id", "_r", "text", "at").mapInArrow(task, CONTEXT)
+                yield from dealt(rows)
 
-
-def rows_out(schema: pa.Schema, rows: list) -> pa.RecordBatch:
-    key, *rest = zip(*rows, strict=True)
-    return out(schema, np.array([k & (2**64 - 1) for k in key], np.uint64).view(np.int64), *rest)
+    return joined.select("doc_id", "_r", "z", "at").mapInArrow(task, PACKED)
 
 
 def repeats(dealt: DataFrame, a: Alphabet) -> DataFrame:
@@ -295,17 +335,17 @@ def repeats(dealt: DataFrame, a: Alphabet) -> DataFrame:
 
     def task(batches):
         held = []
-        for b in batches:
-            done = b.filter(b.column(5).is_null())
-            if done.num_rows:
-                at = done.column(3).to_numpy()
-                yield out(schema, done.column(2), at.astype(np.int32), (at + done.column(4).to_numpy()).astype(np.int32))
-            rest = b.filter(b.column(5).is_valid())
-            if rest.num_rows:
-                held.append(rest)
+        for batch in batches:
+            for raw in batch.column(1).to_pylist():
+                b = from_bytes(raw)
+                done = b.filter(b.column("context").is_null())
+                if done.num_rows:
+                    at = done.column("at").to_numpy()
+                    yield out(schema, done.column("_r").combine_chunks(), at.astype(np.int32), (at + done.column("symbols").to_numpy()).astype(np.int32))
+                held.append(b.filter(b.column("context").is_valid()))
         if not held:
             return
-        rows = pa.Table.from_batches(held)
+        rows = pa.concat_tables(held)
         keys = rows.column("key").to_numpy()
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
@@ -316,7 +356,8 @@ def repeats(dealt: DataFrame, a: Alphabet) -> DataFrame:
             yield from settle(rows.take(pa.array(order[at:stop])))
             at = stop
 
-    return dealt.repartition("key").mapInArrow(task, "_r long, start int, stop int")
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartitionById(parts, "part").mapInArrow(task, "_r long, start int, stop int")
 
 
 def whole_copies(rows: DataFrame) -> DataFrame:
@@ -329,19 +370,20 @@ def whole_copies(rows: DataFrame) -> DataFrame:
 
 
 def covered(docs: DataFrame, a: Alphabet) -> DataFrame:
-    """doc_id, text and ranges (array of start, stop; null if none) for every row of docs, whose null texts are empty.
+    """doc_id, z (see texts_of) and ranges (array of start, stop; null if none) for every row of docs, whose null texts are empty.
 
     Whole copies leave at the start with the range (-1, -1): their windows are never the earliest. The joins on _r share
     one exchange of the other documents.
     """
     rows = with_row_key(docs).select(F.col("doc_id").cast("long"), F.col("_k").alias("_r"), "text")
     copies = whole_copies(rows)
-    live = rows.join(copies, "_r", "left_anti")
+    packed = zipped(rows)
+    live = packed.join(copies, "_r", "left_anti").select("doc_id", "_r", "z")
     hot = docs.sparkSession.sparkContext.broadcast(frequent_grams(rows, a))
     joined = live.join(repeated_anchors(live, a, hot), "_r", "left")
     found = repeats(contexts(joined, a, hot), a).groupBy("_r").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     whole = F.array(F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("stop"))).alias("ranges")
-    return live.join(found, "_r", "left").select("doc_id", "text", "ranges").unionAll(rows.join(copies, "_r", "left_semi").select("doc_id", "text", whole))
+    return live.join(found, "_r", "left").select("doc_id", "z", "ranges").unionAll(packed.join(copies, "_r", "left_semi").select("doc_id", "z", whole))
 
 
 def mask(n: int, ranges, a: Alphabet) -> np.ndarray:

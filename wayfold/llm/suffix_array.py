@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import arrow_type, out
-from .repeats import Alphabet, covered, mask
+from .repeats import Alphabet, covered, mask, texts_of
 
 WINDOW, GRAM, Q = 50, 20, 8
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -74,7 +74,7 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
     def task(batches):
         for b in batches:
             rows = []
-            for d, text, ranges in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for d, text, ranges in zip(b.column(0).to_pylist(), texts_of(b.column(1)), b.column(2).to_pylist(), strict=True):
                 raw = text.encode("utf-8", "replace")
                 gone = mask(len(raw), ranges, BYTES)
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if ranges else raw

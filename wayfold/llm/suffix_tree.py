@@ -19,7 +19,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 
 from .common import arrow_type, out, word_hashes
-from .repeats import Alphabet, covered, mask
+from .repeats import Alphabet, covered, mask, texts_of
 
 WINDOW, GRAM = 20, 8
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -64,7 +64,7 @@ def removed_words(docs: DataFrame) -> DataFrame:
     def task(batches):
         for b in batches:
             rows = []
-            for d, text, ranges in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for d, text, ranges in zip(b.column(0).to_pylist(), texts_of(b.column(1)), b.column(2).to_pylist(), strict=True):
                 words = text.encode("utf-8", "replace").split()
                 gone = mask(len(words), ranges, WORDS)
                 kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if ranges else words
