@@ -63,7 +63,7 @@ def zipped(rows: DataFrame) -> DataFrame:
     schema = arrow_type("doc_id long, _r long, z binary")
 
     def task(batches):
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=6)
         for b in batches:
             yield out(schema, b.column(0), b.column(1), [packer.compress(t.encode("utf-8", "replace")) for t in b.column(2).to_pylist()])
 
@@ -78,7 +78,7 @@ def texts_of(column) -> list[str]:
 def to_bytes(batch: pa.RecordBatch) -> bytes:
     """An Arrow stream of one batch, compressed: many small rows travel as one."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as writer:
         writer.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
