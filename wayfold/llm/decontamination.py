@@ -1,13 +1,13 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are compared in lower case without punctuation at their edges. Every run of SEED_WORDS words of a test item is a
-seed; a pass over all documents counts in how many each seed occurs, and an item keeps its rare seeds: those in few
-documents, or nearly as rare as its rarest one, so that an item with thousands of copies keeps its own. A second pass
-finds the seeds in each document; hits on nearby diagonals name one passage, which is aligned with the whole item by
+seed; one pass over all documents keeps those that hold a seed and counts in how many each occurs, and an item keeps its rare seeds: those in few
+documents, or nearly as rare as its rarest one, so that an item with thousands of copies keeps its own. A second pass,
+over the documents kept, finds the rare seeds; hits on nearby diagonals name one passage, which is aligned with the whole item by
 Smith-Waterman over words. The score is the alignment's value over the item's length: 1 for a copy.
 
 The test set is split into parts of at most PART_WORDS words, so what is broadcast is bounded; a larger test set takes
-more passes over the documents, not more memory. Both passes are maps; only counts of seeds are shuffled.
+more passes over the documents, not more memory. Both passes are maps; only counts are shuffled.
 
 Defined cases: null texts count as empty; items without an id or with fewer than SEED_WORDS words take no part; rows
 that repeat a document or an item are each compared; of equal passages of a document the first is reported.
@@ -15,13 +15,16 @@ that repeat a document or an item are each compared; of equal passages of a docu
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, arrow_type, out
+from .common import Cache, arrow_type, out, written
 
 SEED_WORDS = 5
 PART_WORDS = 1_000_000
@@ -41,8 +44,9 @@ def word_ids(cache: Cache, text: str | None) -> np.ndarray:
     return ids[ids != 0]
 
 
+@functools.lru_cache(1)
 def word_cache() -> Cache:
-    import xxhash
+    """One cache for each worker process."""
 
     def made(w: bytes) -> int:
         core = w.strip(EDGES)
@@ -177,43 +181,44 @@ def parts_of(benchmark: DataFrame) -> list[list[tuple[int, np.ndarray]]]:
     return parts
 
 
-def seed_counts(docs: DataFrame, shared) -> np.ndarray:
-    """In how many documents each distinct seed of a part occurs, by its number among the part's sorted distinct seeds."""
-    schema = arrow_type("seed long, n long")
+def with_seeds(docs: DataFrame, shared) -> DataFrame:
+    """doc_id, text and seeds of the documents that hold a seed; seeds are numbers in the part's table, once a document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("seeds", pa.list_(pa.int64()))])
 
     def task(batches):
         seeds, cache = shared.value, word_cache()
-        n = np.zeros(len(seeds.keys), np.int64)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                _, row = seeds.hits(shingles(word_ids(cache, t)))
-                n[np.unique(row)] += 1
-        at = np.flatnonzero(n)
-        yield out(schema, at, n[at])
-
-    total = docs.select("text").mapInArrow(task, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    counts = np.zeros(len(shared.value.keys), np.int64)
-    for r in total.collect():  # at most one row for each seed of a part
-        counts[r.seed] = r.n
-    return counts
+            found = [np.unique(seeds.hits(shingles(word_ids(cache, t)))[1]) for t in b.column(1).to_pylist()]
+            kept = [i for i, f in enumerate(found) if len(f)]
+            if kept:
+                chosen = b.take(pa.array(kept))
+                yield out(schema, chosen.column(0), chosen.column(1).cast(pa.string()), [found[i].tolist() for i in kept])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, "doc_id long, text string, seeds array<long>")
 
 
-def rare_seeds(docs: DataFrame, items: list[tuple[int, np.ndarray]], n_docs: int) -> Seeds:
-    sc = docs.sparkSession.sparkContext
-    every = Seeds.of(items)
-    counts = seed_counts(docs, sc.broadcast(every))
-    hashes = [shingles(ids) for _, ids in items]
+def rare_seeds(holders: DataFrame, items: list[tuple[int, np.ndarray]], every: Seeds, n_docs: int) -> Seeds:
+    """The rare seeds of each item, by counts over all documents (those without a seed count for none)."""
+    total = holders.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count("*").alias("n"))
+    counts = np.zeros(len(every.keys), np.int64)
+    for r in total.collect():  # at most one row for each seed of a part
+        counts[r.seed] = r.n
     kept = []
-    for h in hashes:
-        n = counts[np.searchsorted(every.keys, h)]
+    for _, ids in items:
+        n = counts[np.searchsorted(every.keys, shingles(ids))]
         kept.append(n <= max(RARE_DOCS, RARE_SHARE * n_docs, RARE_TIMES * n.min(initial=0)))
     return Seeds.of(items, np.concatenate(kept) if kept else None)
 
 
 def prepared(docs: DataFrame, benchmark: DataFrame) -> list:
-    """Broadcast rare seeds, one for each part of the test set."""
-    n_docs = docs.count()
-    return [docs.sparkSession.sparkContext.broadcast(rare_seeds(docs, items, n_docs)) for items in parts_of(benchmark) if items]
+    """For each part of the test set: the documents that hold a seed, as a written table, and the broadcast rare seeds."""
+    sc, n_docs, made = docs.sparkSession.sparkContext, docs.count(), []
+    for items in parts_of(benchmark):
+        if items:
+            every = Seeds.of(items)
+            holders = written(with_seeds(docs, sc.broadcast(every)), "seed-holders")
+            made.append((holders, sc.broadcast(rare_seeds(holders, items, every, n_docs))))
+    return made
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
@@ -234,8 +239,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
         return task
 
     found = None
-    for shared in prepared(docs, benchmark):
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(finder(shared), RESULT)
+    for holders, shared in prepared(docs, benchmark):
+        part = holders.select("doc_id", "text").mapInArrow(finder(shared), RESULT)
         found = part if found is None else found.unionAll(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], RESULT)
 
@@ -254,6 +259,6 @@ def best_score(shared, text: str) -> Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """docs without the rows that hold a copy of a test item; a map, columns as they were."""
-    for shared in prepared(docs, benchmark):
+    for _, shared in prepared(docs, benchmark):
         docs = docs.where(best_score(shared, "text") < least)
     return docs

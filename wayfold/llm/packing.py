@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -52,14 +53,18 @@ class WordTokenizer:
         self.letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
 
     def encode_run(self, run: str) -> bytes:
-        tokens = self.tokenizer.model.tokenize(run.encode().decode("latin-1").translate(self.letters))
-        return np.asarray([t.id for t in tokens], "<u4").tobytes()
+        shown = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
 
     def encode(self, word: bytes) -> bytes:
+        if word.isalpha():
+            return self.runs[word.decode()]
+        if word[-1:] in b".," and word[:-1].isalpha():
+            return self.runs[word[:-1].decode()] + self.runs[word[-1:].decode()]
         text = word.decode("utf-8", "replace")
         if self.PLAIN.fullmatch(text):
             return b"".join(map(self.runs.__getitem__, self.RUNS.findall(text.lower())))
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
