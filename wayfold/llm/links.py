@@ -14,16 +14,21 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 
+def _own_key(least: DataFrame) -> DataFrame:
+    """least under a computed key: both sides of the join are then exchanged, and a node with many edges can be split."""
+    return least.select((F.col("u") + 0).alias("k"), "m")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = _own_key(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    return both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    kept = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    kept = down.join(_own_key(least), F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return kept.unionAll(least.select("u", F.col("m").alias("v")))
 
 
