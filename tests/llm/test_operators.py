@@ -225,3 +225,10 @@ def test_pipeline_stages(spark):
     left = {r.doc_id for r in docs.collect()}
     packed = corpus_pipeline.run(spark, d).toPandas()
     assert isinstance(packed, pd.DataFrame) and set(packed.doc_id) == left
+
+
+def test_item_with_many_copies_keeps_its_seeds(spark, docs_of):
+    item = " ".join(f"leak{i}" for i in range(25))
+    rows = [(i, f"before{i} {item} after{i}") for i in range(3 * decontamination.RARE_DOCS)]
+    found = decontamination.contaminated(docs_of(rows), spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert sorted(r.doc_id for r in found.collect()) == [i for i, _ in rows]

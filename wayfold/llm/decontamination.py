@@ -206,7 +206,7 @@ def rare_seeds(holders: DataFrame, items: list[tuple[int, np.ndarray]], every: S
     kept = []
     for _, ids in items:
         n = counts[np.searchsorted(every.keys, shingles(ids))]
-        kept.append(n <= max(RARE_DOCS, RARE_SHARE * n_docs, RARE_TIMES * n.min(initial=0)))
+        kept.append(n <= max(RARE_DOCS, RARE_SHARE * n_docs, RARE_TIMES * n.min()))
     return Seeds.of(items, np.concatenate(kept) if kept else None)
 
 
