@@ -1,7 +1,9 @@
 import pytest
 
 from tests.oracle import DATA, rows_of, sql_rows
-from wayfold.plans.queries import ORACLE_SQL, QUERIES
+from wayfold.plans import properties, queries
+
+QUERIES, ORACLE_SQL = queries.QUERIES | properties.QUERIES, queries.ORACLE_SQL | properties.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
