@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lines, scopes
 from ..functions.geo import lat, lon
-from ..operators import features, spatial
+from ..operators import features, matcher, spatial
 from ..sources import adapters, readers
 from ..sources.adapters import table
 from .sql import METRES_RAW, SEGMENTS
@@ -132,7 +132,13 @@ def d11_building_parts(spark, d):
     return features.parts_of_buildings(buildings, parts, members, 1000)
 
 
-QUERIES = {f.__name__: f for f in (f02_line_length, f34_bbox, f35_point_at, d07_loops, s05_wkt_decode, s06_geojson_decode, a07_cell_index, f09_ring, v01_errors, u06_perspectives, f29_name_variant, f30_names, f31_units, r06_travel_modes, r10_open_at, r14_turns, d10_sources, d11_building_parts)}
+def w04_match(spark, d):
+    """No SQL: the best path depends on what it has passed; tests/test_matcher.py compares it with brute force."""
+    part = table(spark, d, "part")
+    return matcher.match(adapters.trace_points(table(spark, d, "events"), part), adapters.segments(part))
+
+
+QUERIES = {f.__name__: f for f in (w04_match, f02_line_length, f34_bbox, f35_point_at, d07_loops, s05_wkt_decode, s06_geojson_decode, a07_cell_index, f09_ring, v01_errors, u06_perspectives, f29_name_variant, f30_names, f31_units, r06_travel_modes, r10_open_at, r14_turns, d10_sources, d11_building_parts)}
 
 _L1, _L2 = METRES_RAW("x1", "y1", "x2", "y1"), METRES_RAW("x2", "y1", "x2", "y2 + 500")
 _L3 = METRES_RAW("x2", "y2 + 500", "x1", "y1")
