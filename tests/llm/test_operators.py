@@ -232,3 +232,22 @@ def test_item_with_many_copies_keeps_its_seeds(spark, docs_of):
     rows = [(i, f"before{i} {item} after{i}") for i in range(3 * decontamination.RARE_DOCS)]
     found = decontamination.contaminated(docs_of(rows), spark.createDataFrame([(0, item)], "item_id long, text string"))
     assert sorted(r.doc_id for r in found.collect()) == [i for i, _ in rows]
+
+
+@pytest.mark.parametrize("exact", [0, 1])
+def test_many_edited_copies_of_an_item_are_all_found(spark, docs_of, exact):
+    words = [f"word{i}" for i in range(38)]
+    edited = " ".join([*words[:30], "other", *words[31:]])
+    rows = [(i, f"before{i} {edited} after{i}") for i in range(1000)] + [(1000 + i, " ".join(words)) for i in range(exact)] + [(2000, "word1 word2 word3 word4 word5 and no more")]
+    benchmark = spark.createDataFrame([(0, " ".join(words))], "item_id long, text string")
+    found = {r.doc_id: r for r in decontamination.contaminated(docs_of(rows), benchmark).collect()}
+    assert set(found) == set(range(1000 + exact))
+    assert all((r.score, r.start_word, r.end_word, r.n_seeds) == ((1.0, 0, 38, 34) if r.doc_id >= 1000 else (36.5 / 38, 1, 39, 29)) for r in found.values())
+    assert [r.doc_id for r in decontamination.drop_contaminated(docs_of(rows), benchmark).collect()] == [2000]
+
+
+def test_alignment_window_holds_long_insertions(spark, docs_of):
+    words = [f"word{i}" for i in range(40)]
+    inside = " ".join([*words[:20], *(f"added{i}" for i in range(30)), *words[20:]])
+    found = decontamination.contaminated(docs_of([(0, inside)]), spark.createDataFrame([(0, " ".join(words))], "item_id long, text string")).collect()
+    assert [(r.score, r.start_word, r.end_word) for r in found] == [(25 / 40, 0, 70)]

@@ -1,21 +1,23 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are compared in lower case without punctuation at their edges. Every run of SEED_WORDS words of a test item is a
-seed; one pass over all documents keeps those that hold a seed and counts in how many each occurs, and an item keeps its rare seeds: those in few
-documents, or nearly as rare as its rarest one, so that an item with thousands of copies keeps its own. A second pass,
-over the documents kept, finds the rare seeds; hits on nearby diagonals name one passage, which is aligned with the whole item by
-Smith-Waterman over words. The score is the alignment's value over the item's length: 1 for a copy.
+seed, however many documents hold it: no count decides, so copies of any number, edited or whole, are all aligned. Hits
+on nearby diagonals name one passage, which is aligned with the whole item by Smith-Waterman over words, in a window that
+holds every alignment through these hits that can reach the least score. Windows with too few of the item's words for
+that score are left out first, which loses nothing. The score is the alignment's value over the item's length: 1 for a copy.
 
 The test set is split into parts of at most PART_WORDS words, so what is broadcast is bounded; a larger test set takes
-more passes over the documents, not more memory. Both passes are maps; only counts are shuffled.
+more passes over the documents, not more memory. A pass is a map; nothing is shuffled.
 
 Defined cases: null texts count as empty; items without an id or with fewer than SEED_WORDS words take no part; rows
-that repeat a document or an item are each compared; of equal passages of a document the first is reported.
+that repeat a document or an item are each compared; of equal passages of a document the first is reported; n_seeds
+counts the places of the reported passage that hold a seed of the item.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,12 +26,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, arrow_type, out, written
+from .common import Cache, arrow_type, out
 
 SEED_WORDS = 5
 PART_WORDS = 1_000_000
-#: A seed is rare in up to so many documents, up to this share of them, or up to so many times its item's rarest seed.
-RARE_DOCS, RARE_SHARE, RARE_TIMES = 20, 1e-4, 4
+#: A number of documents that tests exceed with copies; no limit of this module depends on it.
+RARE_DOCS = 20
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 LEAST_SCORE = 0.5
 EDGES = b".,;:!?\"'()[]{}|*#$%&<>-_=+/\\"
@@ -78,13 +80,11 @@ class Seeds:
     bitmap: np.ndarray
 
     @staticmethod
-    def of(items: list[tuple[int, np.ndarray]], rare: np.ndarray | None = None) -> Seeds:
+    def of(items: list[tuple[int, np.ndarray]]) -> Seeds:
         parts = [(shingles(ids), i) for i, (_, ids) in enumerate(items)]
         keys = np.concatenate([h for h, _ in parts] or [np.empty(0, np.uint64)])
         item = np.repeat(np.array([i for _, i in parts], np.int64), [len(h) for h, _ in parts])
         offset = np.concatenate([np.arange(len(h)) for h, _ in parts] or [np.empty(0, np.int64)])
-        if rare is not None:
-            keys, item, offset = keys[rare], item[rare], offset[rare]
         order = np.argsort(keys, kind="stable")
         bits = max(16, int(len(keys)).bit_length() + 5)
         bitmap = np.zeros(1 << bits, bool)
@@ -130,8 +130,11 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[float, int, int]:
     return top, *span
 
 
-def matches(ids: np.ndarray, seeds: Seeds) -> list[tuple[int, float, int, int, int]]:
-    """(item number, score, start, end, seeds hit) of the best passage for each item with a seed in the document."""
+def matches(ids: np.ndarray, seeds: Seeds, least: float) -> list[tuple[int, float, int, int, int]]:
+    """(item number, score, start, end, seeds in it) of the best passage for each item with a seed in the document.
+
+    Items whose passages all hold too few of its words for a score of `least` are left out.
+    """
     at, row = seeds.hits(shingles(ids))
     by_item: dict[int, list[tuple[int, int]]] = {}
     for p, r in zip(at.tolist(), row.tolist(), strict=True):
@@ -143,12 +146,14 @@ def matches(ids: np.ndarray, seeds: Seeds) -> list[tuple[int, float, int, int, i
     for i, hits in by_item.items():
         item = seeds.items[i][1]
         n = len(item)
-        pad = n // 2 + 2
+        near = n // 2 + 2
+        # The most words that an alignment with the least score can leave out or add.
+        pad = max(near, math.ceil((MATCH - least) * n / -GAP))
         best, reach = None, None
         hits.sort()
         groups: list[list[tuple[int, int]]] = []
         for d, p in hits:
-            if groups and d - groups[-1][0][0] <= pad:
+            if groups and d - groups[-1][0][0] <= near:
                 groups[-1].append((d, p))
             else:
                 groups.append([(d, p)])
@@ -158,11 +163,16 @@ def matches(ids: np.ndarray, seeds: Seeds) -> list[tuple[int, float, int, int, i
                 value, start, end = float(n), first, first + n
             else:
                 low = max(0, first - pad)
-                value, s, e = align(ids[low : g[-1][0] + n + pad], item)
+                window = ids[low : g[-1][0] + n + pad]
+                if np.isin(item, window).sum() < least * n:
+                    continue
+                value, s, e = align(window, item)
                 start, end = low + s, low + e
             if best is None or value > best:
-                best, reach = value, (start, end, len({p for _, p in g}))
-        found.append((i, best / (MATCH * n), *reach))
+                best, reach = value, (start, end)
+        if best is not None:
+            start, end = reach
+            found.append((i, best / (MATCH * n), start, end, len({p for _, p in hits if start <= p <= end - SEED_WORDS})))
     return found
 
 
@@ -181,44 +191,10 @@ def parts_of(benchmark: DataFrame) -> list[list[tuple[int, np.ndarray]]]:
     return parts
 
 
-def with_seeds(docs: DataFrame, shared) -> DataFrame:
-    """doc_id, text and seeds of the documents that hold a seed; seeds are numbers in the part's table, once a document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("seeds", pa.list_(pa.int64()))])
-
-    def task(batches):
-        seeds, cache = shared.value, word_cache()
-        for b in batches:
-            found = [np.unique(seeds.hits(shingles(word_ids(cache, t)))[1]) for t in b.column(1).to_pylist()]
-            kept = [i for i, f in enumerate(found) if len(f)]
-            if kept:
-                chosen = b.take(pa.array(kept))
-                yield out(schema, chosen.column(0), chosen.column(1).cast(pa.string()), [found[i].tolist() for i in kept])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, "doc_id long, text string, seeds array<long>")
-
-
-def rare_seeds(holders: DataFrame, items: list[tuple[int, np.ndarray]], every: Seeds, n_docs: int) -> Seeds:
-    """The rare seeds of each item, by counts over all documents (those without a seed count for none)."""
-    total = holders.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count("*").alias("n"))
-    counts = np.zeros(len(every.keys), np.int64)
-    for r in total.collect():  # at most one row for each seed of a part
-        counts[r.seed] = r.n
-    kept = []
-    for _, ids in items:
-        n = counts[np.searchsorted(every.keys, shingles(ids))]
-        kept.append(n <= max(RARE_DOCS, RARE_SHARE * n_docs, RARE_TIMES * n.min()))
-    return Seeds.of(items, np.concatenate(kept) if kept else None)
-
-
 def prepared(docs: DataFrame, benchmark: DataFrame) -> list:
-    """For each part of the test set: the documents that hold a seed, as a written table, and the broadcast rare seeds."""
-    sc, n_docs, made = docs.sparkSession.sparkContext, docs.count(), []
-    for items in parts_of(benchmark):
-        if items:
-            every = Seeds.of(items)
-            holders = written(with_seeds(docs, sc.broadcast(every)), "seed-holders")
-            made.append((holders, sc.broadcast(rare_seeds(holders, items, every, n_docs))))
-    return made
+    """The broadcast seeds of each part of the test set."""
+    sc = docs.sparkSession.sparkContext
+    return [sc.broadcast(Seeds.of(items)) for items in parts_of(benchmark) if items]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
@@ -231,7 +207,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
             for b in batches:
                 rows = []
                 for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    for i, score, start, end, n in matches(word_ids(cache, t), shared.value):
+                    for i, score, start, end, n in matches(word_ids(cache, t), shared.value, least):
                         if score >= least:
                             rows.append((d, shared.value.items[i][0], score, start, end, n))
                 yield out(schema, *(list(zip(*rows, strict=True)) or [[]] * 6))
@@ -239,26 +215,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
         return task
 
     found = None
-    for holders, shared in prepared(docs, benchmark):
-        part = holders.select("doc_id", "text").mapInArrow(finder(shared), RESULT)
+    for shared in prepared(docs, benchmark):
+        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(finder(shared), RESULT)
         found = part if found is None else found.unionAll(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], RESULT)
 
 
-def best_score(shared, text: str) -> Column:
+def best_score(shared, text: str, least: float) -> Column:
     cache = None
 
     @F.pandas_udf("double")
     def score(texts):
         nonlocal cache
         cache = cache or word_cache()
-        return texts.map(lambda t: max((s for _, s, *_ in matches(word_ids(cache, t), shared.value)), default=0.0))
+        return texts.map(lambda t: max((s for _, s, *_ in matches(word_ids(cache, t), shared.value, least)), default=0.0))
 
     return score(text)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """docs without the rows that hold a copy of a test item; a map, columns as they were."""
-    for _, shared in prepared(docs, benchmark):
-        docs = docs.where(best_score(shared, "text") < least)
+    for shared in prepared(docs, benchmark):
+        docs = docs.where(best_score(shared, "text", least) < least)
     return docs
