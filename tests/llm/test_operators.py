@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -251,3 +252,44 @@ def test_alignment_window_holds_long_insertions(spark, docs_of):
     inside = " ".join([*words[:20], *(f"added{i}" for i in range(30)), *words[20:]])
     found = decontamination.contaminated(docs_of([(0, inside)]), spark.createDataFrame([(0, " ".join(words))], "item_id long, text string")).collect()
     assert [(r.score, r.start_word, r.end_word) for r in found] == [(25 / 40, 0, 70)]
+
+
+VALUE = "qW8zR5tY7uI1o"
+FORMS = [
+    'signing_key: str = "@"', 'const signingKey: string = "@"', 'let api_key: &str = "@";', "static API_KEY: &'static str = \"@\";", 'val signingKey: String? = "@"', 'signing_key: Optional[str] = "@"', 'signing_key: str | None = "@"', 'signing_key: dict[str, list[int]] = "@"', 'signing_key:str="@"',
+    'let signing_key: std::string::String = "@"', 'var signingKey string = "@"', 'char signing_key[] = "@";', 'signing_key            = "@"', 'signing_key\t=\t"@"', "signing_key \t :\t  '@'", "x" * 70 + '.signing_key = "@"', "app." * 40 + 'signing.key: "@"', 'config["signing_key"] = "@"',
+    "os.environ['SIGNING_KEY'] = '@'", 'cfg["db"][ "signing_key" ] = "@"', 'signing_keys["db"] = "@"', 'signing_keys[0] = "@"', 'load()["signing_key"] = "@"', 'signing_key = """@"""', "signing_key: str = \'\'\'\n@\n\'\'\'", 'signing_key = b"@"', 'log: signing_key="@"', 'x = 1; signing_key: str = "a@" + "b"',
+]
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_secret_forms(form):
+    text = "first: line = of text\n" + form.replace("@", VALUE) + "\nother: line\n"
+    (start, end, _), = secret_scan.named_spans(text)
+    assert VALUE in text[start:end] and len(text[start:end].strip()) <= len(VALUE) + 7
+    # base spans stay as they are, whatever the lexer adds
+    spans = secret_scan.base_spans(text)
+    assert spans == [(m.start(), m.end(), "assign") for m in secret_scan.ASSIGN.finditer(text) if len(m[2]) >= 6] and set(secret_scan.spelled(spans).split(",")) - {""} <= set(secret_scan.scan(text)[4].split(","))
+    assert VALUE not in secret_scan.masked(text, "[SECRET]")
+
+
+def test_types_are_no_values():
+    pairs = lambda t: [(n, v) for n, v, *_ in secret_scan.assignments(t)]
+    assert pairs('password: str = "hunter2Secret99"')[0] == ("password", "hunter2Secret99")
+    assert pairs("note: the value = 12345678") == [("note", "the"), ("value", "12345678")]
+    assert pairs("token: abc=def\nkey: a, b = c") == [("token", "abc=def"), ("key", "a"), ("b", "c")]
+    assert pairs('a = """x"" \\""" y"""\nb = "z"') == [("a", 'x"" \\""" y'), ("b", "z")]
+    assert pairs("a = \'\'\'open\nb: c") == [("b", "c")]
+
+
+@pytest.mark.parametrize("piece", ["a: [", "a:b::", "a[\"", "a = '''", "a\t", "a=\"\\", "a: (", "var a ", "a.b-", "a: <a<", "a|b: c|", "a = b "])
+def test_secret_lexer_is_linear(piece):
+    def seconds(n):
+        best = 9.0
+        for _ in range(3):
+            t = time.perf_counter()
+            list(secret_scan.assignments(piece * n + "="))
+            best = min(best, time.perf_counter() - t)
+        return best
+
+    assert seconds(16000) < max(0.05, 16 * seconds(2000))

@@ -3,6 +3,8 @@
 Base detectors give three kinds of spans (assign, access, hex). The lexer then reads source and configuration
 syntax into name-literal pairs, carries constants from name to name, and scores each literal by how sensitive
 its target name is; literals that score high enough are added as spans of kind "named". Base spans always stay.
+A target may have a type (`name: Type = ...`, `var name Type = ...`) and quoted subscripts, which are parts of its name;
+names and runs of blanks have any length. Repeats are possessive, so lexing takes linear time.
 
 Defined cases: a null text counts as empty and has no spans; rows that repeat an id are scanned each on their own;
 columns other than doc_id and text are not read. Spans are (start, end) in code points, end exclusive.
@@ -30,14 +32,26 @@ ASSIGN_LEAST = 6
 KINDS = ("assign", "access", "hex", "named")
 ASSIGN_HINTS = ("passw", "secret", "token", "api")
 
-#: A name, an assignment sign and what follows: a quoted literal (escapes allowed), or a bare value.
+BLANK = r"[\x20\t]"
+#: A dotted or dashed name with quoted, numbered or empty subscripts.
+NAME = rf"""[A-Za-z_][A-Za-z0-9_.\-]*+(?:\[{BLANK}*+(?:"[^"'`\[\]\\\n]*+"|'[^"'`\[\]\\\n]*+'|`[^"'`\[\]\\\n]*+`|[0-9]*+){BLANK}*+\])*+"""
+#: A target with or without a type, an assignment sign and what follows: a quoted literal (escapes allowed), or a bare value.
 PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_.\-])(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,63})["']?\x20{0,8}(?P<sign>:=|=>|[:=])\x20{0,8}"""
-    r"""(?:(?P<q>["'`])(?P<str>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)|(?P<bare>[A-Za-z0-9+/_.$@!%&*#~^=\-]+))""",
+    rf"""(?<![A-Za-z0-9_.\-])(?:(?:var|const){BLANK}++(?P<go>[A-Za-z_][A-Za-z0-9_]*+){BLANK}++[*A-Za-z_\[][*A-Za-z0-9_.\[\]]*+{BLANK}*+=(?![=>])"""
+    rf"""|(?P<name>{NAME})(?:["'`](?:{BLANK}*+\])?+)?+{BLANK}*+(?::{BLANK}*+(?P<type>[A-Za-z_&*?(\[](?:[A-Za-z0-9_.,;&'*?!|<>()\[\]\x20\t]|::)*+)=(?![=>])|(?P<sign>:=|=>|[:=])))"""
+    rf"""{BLANK}*+(?:(?P<triple>\"{{3}}|'{{3}})|(?:[bBrRuUfF]{{1,2}}(?=["']))?+(?P<q>["'`])(?P<str>(?:\\.|(?!(?P=q))[^\\\n])*+)(?P=q)|(?P<bare>[A-Za-z0-9+/_.$@!%&*#~^=\-]++))""",
 )
+#: The same without types, for what follows a colon and is none.
+UNTYPED = re.compile(PAIR.pattern.replace("(?P<type>", "(?!)(?P<type>"))
+#: One type: words, marks of references and options, alternatives joined by |, arguments in brackets.
+TYPE_WORD = r"(?:[&*?]|'[a-z_]+\s+|(?:mut|dyn|const)\s+)*(?:[A-Za-z_][A-Za-z0-9_.]*(?:::[A-Za-z_][A-Za-z0-9_]*)*)?[?!]?"
+TYPE = re.compile(rf"(?=\S){TYPE_WORD}(?:\s*\|\s*{TYPE_WORD})*\s*\Z")
+BRACKETS = re.compile(r"([<>\[\]()])")
+#: The rest of a triple-quoted literal, over any number of lines.
+TRIPLE = {q * 3: re.compile(rf"((?:\\.|[^\\{q}]|{q}(?!{q}{q}))*+){q * 3}", re.S) for q in "\"'"}
 SIGN = re.compile(r"[:=]")
 #: Concatenated string pieces after a first literal: "ab" + "cd".
-MORE = re.compile(r"""\x20{0,8}\+\x20{0,8}(["'`])((?:\\.|(?!\1)[^\\\n])*)\1""")
+MORE = re.compile(rf"""{BLANK}*+\+{BLANK}*+(["'`])((?:\\.|(?!\1)[^\\\n])*+)\1""")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 
 #: How strongly a part of a name speaks for a secret value.
@@ -76,25 +90,56 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
+def is_type(words: str) -> bool:
+    """Whether words are one type: `Map<String, &str>`, `str | None`, `&'static str`, but not a phrase or a list."""
+    depth, flat = 0, []
+    for piece in filter(None, BRACKETS.split(words)):
+        if piece in "<[(":
+            flat += ["_"] * (not depth)
+            depth += 1
+        elif piece in ">])":
+            depth -= 1
+            if depth < 0:
+                return False
+        elif not depth:
+            flat.append(piece)
+    return not depth and bool(TYPE.match("".join(flat)))
+
+
 def assignments(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
     """(name, literal, start, end, quoted) for each name-literal pair; pieces joined by + count as one literal."""
-    at = 0
+    at, stop = 0, -1
     while sign := SIGN.search(text, at):
         # Only lines that hold an assignment sign are lexed.
-        line, stop = max(at, text.rfind("\n", 0, sign.start()) + 1), text.find("\n", sign.end())
-        stop = len(text) if stop < 0 else stop
+        line = max(at, text.rfind("\n", at, sign.start()) + 1)
+        if stop < sign.end():
+            stop = text.find("\n", sign.end())
+            stop = len(text) if stop < 0 else stop
         m = PAIR.search(text, line, stop)
+        if m and m["type"] and not (is_type(m["type"]) and (m["bare"] is None or m["type"][-1] in " \t")):
+            m = UNTYPED.search(text, m.start(), stop)
         if not m:
             at = stop
             continue
         at = m.end()
-        if m["q"]:
-            value, start, end = m["str"], m.start("str"), m.end("str")
-            while more := MORE.match(text, at):
-                value, end, at = value + more[2], more.end(2), more.end()
-            yield m["name"], value, start, end, True
+        names = [m["go"] or m["name"]]
+        if m["type"] and IDENTIFIER.match(m["type"].strip()):
+            names.append(m["type"].strip())  # `log: token="..."` reads like a type
+        if m["bare"]:
+            for name in names:
+                yield name, m["bare"], m.start("bare"), m.end("bare"), False
+            continue
+        if m["triple"]:
+            rest = TRIPLE[m["triple"]].match(text, at)
+            if not rest:
+                continue
+            value, start, end, at = rest[1], rest.start(1), rest.end(1), rest.end()
         else:
-            yield m["name"], m["bare"], m.start("bare"), m.end("bare"), False
+            value, start, end = m["str"], m.start("str"), m.end("str")
+        while more := MORE.match(text, at):
+            value, end, at = value + more[2], more.end(2), more.end()
+        for name in names:
+            yield name, value, start, end, True
 
 
 def named_spans(text: str) -> list[tuple[int, int, str]]:
