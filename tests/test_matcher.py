@@ -73,3 +73,29 @@ def test_match_gives_a_row_for_every_point(spark):
     rows = got.collect()
     assert len({(r["trace_id"], r["idx"]) for r in rows}) == len(rows) == points.count()
     assert all(r["distance"] <= 30 for r in rows if r["segment_id"] is not None) and any(r["segment_id"] is not None for r in rows)
+
+
+def test_stretches_change_no_result(spark):
+    d = f"{DATA}/sf0.001"
+    part, events = adapters.table(spark, d, "part"), adapters.table(spark, d, "events")
+    points, segments = adapters.trace_points(events, part), adapters.segments(part)
+    cut, whole = (sorted(map(tuple, matcher.match(points, segments, Options(stretch=n)).collect()), key=lambda r: r[:2]) for n in (50, 10**9))
+    assert cut == whole
+    # a sequence number names one run of points of its trace
+    runs = {}
+    for trace, idx, sequence, *_ in whole:
+        if sequence is not None:
+            runs.setdefault((trace, sequence), []).append(idx)
+    ends = sorted((trace, min(x), max(x)) for (trace, _), x in runs.items())
+    assert all(a[0] != b[0] or a[2] < b[1] for a, b in zip(ends, ends[1:]))
+
+
+def test_freed_sets_change_no_result(monkeypatch):
+    roads = grid(5)
+    places = [(300.0 + 7700 * abs(math.sin(i / 3)), 8000.0 * abs(math.cos(i / 5))) for i in range(60)]
+    points = [(p, None, [] if i % 7 in (3, 4) else [r for r in (road(roads, s, p) for s in roads) if r.distance < 150]) for i, p in enumerate(places)]
+    o = Options(most_deviation=1e4, sigma=30, beta=30)
+    monkeypatch.setattr(matcher, "SETS_KEPT", 10**9)
+    whole = follow(points, o)
+    monkeypatch.setattr(matcher, "SETS_KEPT", 1)
+    assert follow(points, o) == whole and any(x[4] for x in whole)

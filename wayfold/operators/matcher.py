@@ -1,8 +1,8 @@
 """GPS traces matched to road segments by a hidden Markov model whose transitions are routes over candidate segments.
 
-Spark finds each point's candidate segments by an equi-join on grid cells and deals out stretches of traces; within a
-stretch the best sequence is followed point by point, since revisit penalties depend on the whole path so far. A
-stretch has at most `stretch` points, so a trace of any length is shared out; each stretch starts a new sequence.
+Spark finds each point's candidate segments by an equi-join on grid cells and deals out traces; the best sequence of a
+trace is followed point by point from its first to its last, since revisit penalties depend on the whole path so far and
+a later point can revise any earlier one. So a whole trace is one task's work and memory.
 
 Defined cases: a point without a candidate, or that no route reaches, is ignored together with the retained point
 before it; the sequence goes on from the one before that, or breaks if the time or distance from it is too large. Ties
@@ -25,6 +25,8 @@ from .spatial import candidates
 RESULT = "trace_id long, idx long, sequence int, segment_id long, distance double, route_m double, revisits int"
 #: Connectors that a path remembers for counting revisits.
 VIA_MEMORY = 100
+#: Last layers whose states keep their sets; those of earlier ones are freed, and made again from the way back if needed.
+SETS_KEPT = 8
 
 
 @dataclass(frozen=True)
@@ -38,6 +40,7 @@ class Options:
     gap_seconds: float = 60.0
     gap_metres: float = 300.0
     allow_loops: bool = True
+    #: Without effect since traces are followed whole; kept for callers that set it.
     stretch: int = 5000
 
 
@@ -61,8 +64,9 @@ class State:
     before: State | None = None
     route_m: float = 0.0
     revisits: int = 0
-    segments: frozenset = frozenset()
-    vias: frozenset = frozenset()
+    segments: frozenset | None = frozenset()
+    vias: frozenset | None = frozenset()
+    via: tuple[int, ...] = ()
 
 
 @dataclass
@@ -131,10 +135,28 @@ def first_states(roads: list[Road], o: Options) -> list[State]:
     return [State(r, emission(r.distance, o), segments=frozenset([r.segment])) for r in roads]
 
 
+def grown(vias, via: tuple[int, ...]):
+    return vias if len(vias) >= VIA_MEMORY or not via else vias | set(via)
+
+
+def restored(state: State) -> State:
+    """state with its sets, which its way back gives."""
+    if state.segments is None:
+        way, s = [], state
+        while s is not None:
+            way.append(s)
+            s = s.before
+        vias = frozenset()
+        for s in reversed(way):
+            vias = grown(vias, s.via)
+        state.segments, state.vias = frozenset(s.road.segment for s in way), vias
+    return state
+
+
 def next_states(prev: Layer, roads: list[Road], trace_m: float, links: dict, o: Options) -> list[State]:
     """The best state of each candidate that some route from prev reaches."""
     found: dict[int, State] = {}
-    for s in prev.states:
+    for s in map(restored, prev.states):
         reached = reach(s.road, links, trace_m + o.most_deviation)
         for k, r in enumerate(roads):
             length, via = route(s.road, r, reached)
@@ -146,8 +168,7 @@ def next_states(prev: Layer, roads: list[Road], trace_m: float, links: dict, o:
             score = s.score + emission(r.distance, o) - math.log(o.beta) - gap / o.beta - seen * o.via_penalty - again * o.segment_penalty
             if k not in found or score > found[k].score:
                 segments = s.segments if r.segment in s.segments else s.segments | {r.segment}
-                vias = s.vias if len(s.vias) >= VIA_MEMORY or not via else s.vias | set(via)
-                found[k] = State(r, score, s, length, int(again) + seen, segments, vias)
+                found[k] = State(r, score, s, length, int(again) + seen, segments, grown(s.vias, via), via)
     return [found[k] for k in sorted(found)]
 
 
@@ -182,6 +203,9 @@ def follow(points: list[tuple[tuple, float | None, list[Road]]], o: Options) ->
                     continue
             if states:
                 layers.append(Layer(row, place, seconds, states))
+                if len(layers) > SETS_KEPT:
+                    for s in layers[-SETS_KEPT - 1].states:
+                        s.segments = s.vias = None
             elif layers:
                 layers.pop()
             break
@@ -208,11 +232,15 @@ def match(points: DataFrame, segs: DataFrame, options: Options | None = None) ->
         import pandas as pd
 
         rows = rows.sort_values("idx", kind="stable")
-        points_ = []
+        points_, known = [], {}
         for x, y, t, found in zip(rows["x"], rows["y"], rows["seconds"], rows["roads"], strict=True):
-            cands = [Road(r["segment_id"], (r["from_node"], r["to_node"]), ((r["x1"], r["y1"]), (r["x2"], r["y2"])), (r["sx"], r["sy"]), r["distance"]) for r in (found if found is not None else ())]
+            cands = []
+            for r in found if found is not None else ():
+                # One copy of a segment's connectors and ends for all its points.
+                shape = (r["from_node"], r["to_node"]), ((r["x1"], r["y1"]), (r["x2"], r["y2"]))
+                cands.append(Road(r["segment_id"], *known.setdefault((r["segment_id"], *shape), shape), (r["sx"], r["sy"]), r["distance"]))
             points_.append(((x, y), None if pd.isna(t) else float(t), cands))
         done = pd.DataFrame(follow(points_, o), columns=["sequence", "segment_id", "distance", "route_m", "revisits"], dtype=object)
         return pd.concat([rows[["trace_id", "idx"]].reset_index(drop=True), done], axis=1).astype({"sequence": "Int32", "segment_id": "Int64", "distance": "Float64", "route_m": "Float64", "revisits": "Int32"})
 
-    return every.withColumn("_stretch", F.floor(F.col("idx") / o.stretch)).groupBy("trace_id", "_stretch").applyInPandas(task, RESULT)
+    return every.groupBy("trace_id").applyInPandas(task, RESULT)
