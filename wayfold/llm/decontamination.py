@@ -1,15 +1,22 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are compared in lower case without punctuation at their edges. Every run of SEED_WORDS words of a test item is a
-seed, however many documents hold it: no count decides, so copies of any number, edited or whole, are all aligned. Hits
-on nearby diagonals name one passage, which is aligned with the whole item by Smith-Waterman over words, in a window that
-holds every alignment through these hits that can reach the least score. Windows with too few of the item's words for
-that score are left out first, which loses nothing. The score is the alignment's value over the item's length: 1 for a copy.
+Words are compared in lower case without punctuation at their edges. The seeds of a test item are its rarest pairs of
+neighbouring words, counted over all documents; a document holds a seed if the two words stand in it side by side or
+with one word between them. An alignment of n words that reaches the least score breaks at most 4/3 (1 - least) n of the
+item's pairs (a changed or missing word costs 1.5 and breaks two, a missing end costs 1 and breaks one, two words put
+in between cost 1 and break one), so one more pair than that is enough: every document whose alignment reaches the least
+score holds a seed, however often any pair occurs.
 
-The test set is split into parts of at most PART_WORDS words, so what is broadcast is bounded; a larger test set takes
-more passes over the documents, not more memory. A pass is a map; nothing is shuffled.
+Hits on nearby diagonals name one passage, which is aligned with the whole item by Smith-Waterman over words, in a window
+that holds every alignment through these hits that can reach the least score. Windows with too few of the item's words
+for that score are left out first, which loses nothing. The score is the alignment's value over the item's length: 1 for
+a copy. Items of 2 to SHORT_WORDS - 1 words are found as whole copies only, as a few common words would reach any lower score.
 
-Defined cases: null texts count as empty; items without an id or with fewer than SEED_WORDS words take no part; rows
+The test set is dealt by a hash into parts of about PART_WORDS words. One part at a time is on the driver and in a
+broadcast; with several parts, each one's rows are written before the next is read. A part takes two passes over the
+documents (the counts and the search), which are maps; only counts are shuffled.
+
+Defined cases: null texts count as empty; items without an id or with fewer than two words take no part; rows
 that repeat a document or an item are each compared; of equal passages of a document the first is reported; n_seeds
 counts the places of the reported passage that hold a seed of the item.
 """
@@ -18,18 +25,20 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, arrow_type, out
+from .common import Cache, arrow_type, out, written
 
-SEED_WORDS = 5
+SHORT_WORDS = 5
 PART_WORDS = 1_000_000
+CHUNK_CHARS = 2 << 20
 #: A number of documents that tests exceed with copies; no limit of this module depends on it.
 RARE_DOCS = 20
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
@@ -40,12 +49,6 @@ RESULT = "doc_id long, item_id long, score double, start_word long, end_word lon
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_ids(cache: Cache, text: str | None) -> np.ndarray:
-    words = (text or "").encode("utf-8", "replace").split()
-    ids = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-    return ids[ids != 0]
-
-
 @functools.lru_cache(1)
 def word_cache() -> Cache:
     """One cache for each worker process."""
@@ -58,43 +61,46 @@ def word_cache() -> Cache:
     return Cache(made, 500_000)
 
 
-def shingles(ids: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of SEED_WORDS words."""
-    n = len(ids) - SEED_WORDS + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for k in range(SEED_WORDS):
-        h = h * _BASE + ids[k : k + n]
+def word_ids(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words of all texts, one text after another, and the number of the text that each belongs to."""
+    words = [(t or "").encode("utf-8", "replace").split() for t in texts]
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    ids = np.fromiter(map(word_cache().__getitem__, chain.from_iterable(words)), np.uint64, int(n.sum()))
+    text = np.repeat(np.arange(len(words)), n)
+    return ids[ids != 0], text[ids != 0]
+
+
+def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
+    """Texts in runs of about CHUNK_CHARS characters, each with the number of its first."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= CHUNK_CHARS:
+            yield first, texts[first : i + 1]
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, texts[first:]
+
+
+def pairs(ids: np.ndarray, gap: int = 1) -> np.ndarray:
+    """A 64-bit hash of each word with the one `gap` places later."""
+    with np.errstate(over="ignore"):
+        h = (ids[:-gap] * _BASE + ids[gap:]) * _BASE
     return h ^ (h >> np.uint64(31))
 
 
-@dataclass
-class Seeds:
-    """Items and a sorted table from seed to (item, offset), with a bitmap that turns most lookups away."""
+class Lookup:
+    """Sorted distinct hashes with a bitmap that turns most lookups away."""
 
-    items: list[tuple[int, np.ndarray]]
-    keys: np.ndarray
-    item: np.ndarray
-    offset: np.ndarray
-    bitmap: np.ndarray
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.unique(keys)
+        self.shift = np.uint64(64 - max(16, len(self.keys).bit_length() + 5))
+        self.bitmap = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.bitmap[(self.keys >> self.shift).astype(np.int64)] = True
 
-    @staticmethod
-    def of(items: list[tuple[int, np.ndarray]]) -> Seeds:
-        parts = [(shingles(ids), i) for i, (_, ids) in enumerate(items)]
-        keys = np.concatenate([h for h, _ in parts] or [np.empty(0, np.uint64)])
-        item = np.repeat(np.array([i for _, i in parts], np.int64), [len(h) for h, _ in parts])
-        offset = np.concatenate([np.arange(len(h)) for h, _ in parts] or [np.empty(0, np.int64)])
-        order = np.argsort(keys, kind="stable")
-        bits = max(16, int(len(keys)).bit_length() + 5)
-        bitmap = np.zeros(1 << bits, bool)
-        bitmap[(keys >> np.uint64(64 - bits)).astype(np.int64)] = True
-        return Seeds(items, keys[order], item[order], offset[order], bitmap)
-
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in h that hold a seed, and each one's first row in the table."""
-        bits = np.uint64(64 - (len(self.bitmap).bit_length() - 1))
-        at = np.flatnonzero(self.bitmap[(h >> bits).astype(np.int64)])
+    def rows(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in h that hold a key, and each one's row."""
+        at = np.flatnonzero(self.bitmap[(h >> self.shift).astype(np.int64)])
         if not len(at) or not len(self.keys):
             return np.empty(0, np.int64), np.empty(0, np.int64)
         row = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
@@ -102,6 +108,34 @@ class Seeds:
         return at[good], row[good]
 
 
+@dataclass
+class Item:
+    name: int
+    ids: np.ndarray
+    least: float
+
+
+@dataclass
+class Seeds:
+    """Items, and for each seed (a row of the lookup) the (item, offset) pairs that have it."""
+
+    items: list[Item]
+    lookup: Lookup
+    holders: list[list[tuple[int, int]]]
+
+    @staticmethod
+    def of(items: list[Item], counts: dict[int, int]) -> Seeds:
+        """The rarest pairs of each item by counts (by hash), as many as the least score asks for; ties to the first."""
+        chosen: dict[int, list[tuple[int, int]]] = {}
+        for i, item in enumerate(items):
+            h = pairs(item.ids).tolist()
+            most_broken = math.floor(4 / 3 * (MATCH - item.least) * len(item.ids) + 1e-9)
+            for at in sorted(range(len(h)), key=lambda k: (counts.get(h[k], 0), k))[: most_broken + 1]:
+                chosen.setdefault(h[at], []).append((i, at))
+        lookup = Lookup(np.array(list(chosen), np.uint64))
+        return Seeds(items, lookup, [chosen[k] for k in lookup.keys.tolist()])
+
+
 def align(a: np.ndarray, b: np.ndarray) -> tuple[float, int, int]:
     """Best local alignment of b with a: its value and the part of a that it covers (start, end).
 
@@ -130,111 +164,152 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[float, int, int]:
     return top, *span
 
 
-def matches(ids: np.ndarray, seeds: Seeds, least: float) -> list[tuple[int, float, int, int, int]]:
-    """(item number, score, start, end, seeds in it) of the best passage for each item with a seed in the document.
+def best_passage(ids: np.ndarray, item: Item, hits: list[tuple[int, int]]) -> tuple[float, int, int, int] | None:
+    """(score, start, end, seeds in it) of the best passage of a document through hits (diagonal, place) of an item.
 
-    Items whose passages all hold too few of its words for a score of `least` are left out.
+    Passages that hold too few of the item's words for its least score are left out.
     """
-    at, row = seeds.hits(shingles(ids))
-    by_item: dict[int, list[tuple[int, int]]] = {}
-    for p, r in zip(at.tolist(), row.tolist(), strict=True):
-        key = seeds.keys[r]
-        while r < len(seeds.keys) and seeds.keys[r] == key:  # a seed may belong to several items
-            by_item.setdefault(int(seeds.item[r]), []).append((p - int(seeds.offset[r]), p))
-            r += 1
-    found = []
-    for i, hits in by_item.items():
-        item = seeds.items[i][1]
-        n = len(item)
-        near = n // 2 + 2
-        # The most words that an alignment with the least score can leave out or add.
-        pad = max(near, math.ceil((MATCH - least) * n / -GAP))
-        best, reach = None, None
-        hits.sort()
-        groups: list[list[tuple[int, int]]] = []
-        for d, p in hits:
-            if groups and d - groups[-1][0][0] <= near:
-                groups[-1].append((d, p))
-            else:
-                groups.append([(d, p)])
-        for g in groups:
-            first = g[0][0]
-            if first >= 0 and len(ids) >= first + n and (ids[first : first + n] == item).all():
-                value, start, end = float(n), first, first + n
-            else:
-                low = max(0, first - pad)
-                window = ids[low : g[-1][0] + n + pad]
-                if np.isin(item, window).sum() < least * n:
-                    continue
-                value, s, e = align(window, item)
-                start, end = low + s, low + e
-            if best is None or value > best:
-                best, reach = value, (start, end)
-        if best is not None:
-            start, end = reach
-            found.append((i, best / (MATCH * n), start, end, len({p for _, p in hits if start <= p <= end - SEED_WORDS})))
-    return found
-
-
-def parts_of(benchmark: DataFrame) -> list[list[tuple[int, np.ndarray]]]:
-    """Items as (id, word ids), streamed to the driver in parts of at most PART_WORDS words each."""
-    cache, parts, size = word_cache(), [[]], 0
-    for r in benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").toLocalIterator():
-        ids = word_ids(cache, r.text)
-        if len(ids) < SEED_WORDS:
-            continue
-        if size + len(ids) > PART_WORDS and parts[-1]:
-            parts.append([])
-            size = 0
-        parts[-1].append((r.item_id, ids))
-        size += len(ids)
-    return parts
-
-
-def prepared(docs: DataFrame, benchmark: DataFrame) -> list:
-    """The broadcast seeds of each part of the test set."""
-    sc = docs.sparkSession.sparkContext
-    return [sc.broadcast(Seeds.of(items)) for items in parts_of(benchmark) if items]
+    n = len(item.ids)
+    near = n // 2 + 2
+    # The most words that an alignment with the least score can leave out or add.
+    pad = max(near, math.ceil((MATCH - item.least) * n / -GAP))
+    best, reach = None, None
+    hits.sort()
+    groups: list[list[tuple[int, int]]] = []
+    for d, p in hits:
+        if groups and d - groups[-1][0][0] <= near:
+            groups[-1].append((d, p))
+        else:
+            groups.append([(d, p)])
+    for g in groups:
+        first = g[0][0]
+        if first >= 0 and len(ids) >= first + n and (ids[first : first + n] == item.ids).all():
+            value, start, end = float(n), first, first + n
+        else:
+            low = max(0, first - pad)
+            window = ids[low : g[-1][0] + n + pad]
+            if np.isin(item.ids, window).sum() < item.least * n:
+                continue
+            value, s, e = align(window, item.ids)
+            start, end = low + s, low + e
+        if best is None or value > best:
+            best, reach = value, (start, end)
+    if best is None or best < item.least * MATCH * n:
+        return None
+    return best / (MATCH * n), *reach, len({p for _, p in hits if reach[0] <= p < reach[1] - 1})
+
+
+def scan(texts: list[str | None], seeds: Seeds) -> Iterator[tuple[int, int, float, int, int, int]]:
+    """(text number, item number, score, start, end, seeds in it) of each text and item that reach the item's least score."""
+    for first, some in chunks(texts):
+        ids, text = word_ids(some)
+        place, row = [], []
+        for gap in (1, 2):
+            at, r = seeds.lookup.rows(pairs(ids, gap))
+            inside = text[at] == text[at + gap]
+            place.append(at[inside])
+            row.append(r[inside])
+        place, row = np.concatenate(place), np.concatenate(row)
+        order = np.argsort(place, kind="stable")
+        starts = np.searchsorted(text, np.arange(len(some) + 1))
+        found: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        for p, r in zip(place[order].tolist(), row[order].tolist(), strict=True):
+            t = int(text[p])
+            p -= int(starts[t])
+            for i, offset in seeds.holders[r]:
+                found.setdefault(t, {}).setdefault(i, []).append((p - offset, p))
+        for t, by_item in found.items():
+            for i, hits in by_item.items():
+                best = best_passage(ids[starts[t] : starts[t + 1]], seeds.items[i], hits)
+                if best:
+                    yield first + t, i, *best
+
+
+def document_counts(docs: DataFrame, keys: np.ndarray) -> dict[int, int]:
+    """How many rows of docs hold each of the word pairs with these hashes; pairs that none holds are left out."""
+    shared = docs.sparkSession.sparkContext.broadcast(Lookup(keys))
+    schema = arrow_type("key long, n long")
+
+    def task(batches):
+        lookup = shared.value
+        total = np.zeros(len(lookup.keys), np.int64)
+        for b in batches:
+            for _, some in chunks(b.column(0).to_pylist()):
+                ids, text = word_ids(some)
+                at, row = lookup.rows(pairs(ids))
+                inside = text[at] == text[at + 1]
+                total += np.bincount(np.unique(np.stack([text[at[inside]], row[inside]]), axis=1)[1], minlength=len(total))
+        some = np.flatnonzero(total)
+        yield out(schema, lookup.keys[some].view(np.int64), total[some])
+
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(task, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    shared.unpersist()
+    return dict(zip(rows.column(0).to_numpy().view(np.uint64).tolist(), rows.column(1).to_pylist(), strict=True))
+
+
+def parts_of(docs: DataFrame, benchmark: DataFrame, least: float) -> Iterator[Seeds]:
+    """The seeds of one part of the test set after another."""
+    usable = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    words = usable.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    n = max(1, -(-words // PART_WORDS))
+    for p in range(n):
+        items = []
+        for r in usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == p).orderBy("item_id", "text").toLocalIterator():
+            ids = word_ids([r.text])[0]
+            if len(ids) > 1:
+                items.append(Item(r.item_id, ids, least if len(ids) >= SHORT_WORDS else MATCH))
+        if items:
+            yield Seeds.of(items, document_counts(docs, np.concatenate([pairs(x.ids) for x in items])))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """One row for each document and item whose alignment scores `least` or more."""
     schema = arrow_type(RESULT)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def finder(shared):
         def task(batches):
-            cache = word_cache()
             for b in batches:
-                rows = []
-                for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    for i, score, start, end, n in matches(word_ids(cache, t), shared.value, least):
-                        if score >= least:
-                            rows.append((d, shared.value.items[i][0], score, start, end, n))
-                yield out(schema, *(list(zip(*rows, strict=True)) or [[]] * 6))
+                names = b.column(0).to_pylist()
+                found = [(names[t], shared.value.items[i].name, *rest) for t, i, *rest in scan(b.column(1).to_pylist(), shared.value)]
+                yield out(schema, *(list(zip(*found, strict=True)) or [[]] * 6))
 
         return task
 
-    found = None
-    for shared in prepared(docs, benchmark):
-        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(finder(shared), RESULT)
-        found = part if found is None else found.unionAll(part)
-    return found if found is not None else docs.sparkSession.createDataFrame([], RESULT)
+    found, shared = [], None
+    for seeds in parts_of(docs, benchmark, least):
+        if found:  # rows of an earlier part are written, so that its broadcast can go
+            found[-1] = written(found[-1], "leaks")
+            shared.unpersist()
+        shared = docs.sparkSession.sparkContext.broadcast(seeds)
+        found.append(rows.mapInArrow(finder(shared), RESULT))
+    return functools.reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], RESULT)
+
 
+def leaking(shared, text: str) -> Column:
+    """Whether a text holds an item of the broadcast seeds."""
 
-def best_score(shared, text: str, least: float) -> Column:
-    cache = None
+    @F.pandas_udf("boolean")
+    def holds(texts):
+        import pandas as pd
 
-    @F.pandas_udf("double")
-    def score(texts):
-        nonlocal cache
-        cache = cache or word_cache()
-        return texts.map(lambda t: max((s for _, s, *_ in matches(word_ids(cache, t), shared.value, least)), default=0.0))
+        found = np.zeros(len(texts), bool)
+        found[[t for t, *_ in scan(texts.tolist(), shared.value)]] = True
+        return pd.Series(found)
 
-    return score(text)
+    return holds(text)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """docs without the rows that hold a copy of a test item; a map, columns as they were."""
-    for shared in prepared(docs, benchmark):
-        docs = docs.where(best_score(shared, "text", least) < least)
+    """docs without the rows that hold a copy of a test item; a map, columns as they were.
+
+    Each part of the test set is searched in what the parts before it have left, written where there are several.
+    """
+    before = None
+    for seeds in parts_of(docs, benchmark, least):
+        if before is not None:
+            docs = written(docs, "unleaked")
+            before.unpersist()
+        before = docs.sparkSession.sparkContext.broadcast(seeds)
+        docs = docs.where(~leaking(before, "text"))
     return docs
