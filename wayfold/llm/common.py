@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,10 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where the setting is missing (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one only in a local session without that setting.
+
+    A cluster without the setting is an error: its executors would not see the driver's temporary folder.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-shared-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -42,6 +51,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def partitions_for(df: DataFrame, size: int, each: int) -> int:
+    """How many partitions hold `size` things at `each` a partition; no fewer than the session's shuffle partitions."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame, hot_one_in: int = 10_000) -> DataFrame:
+    """rows joined (left) with table, which has each key once; keys that many rows share are joined without a shuffle.
+
+    A key is frequent if over one in hot_one_in rows has it: there are fewer than hot_one_in such keys, whatever the
+    size of rows, so their part of the table is broadcast. All other keys meet in a shuffle, where none is large.
+    rows is read three times and should be checkpointed or cheap.
+    """
+    count = rows.groupBy(key).agg(F.count("*").alias("__wf_n"))
+    n = rows.count()
+    hot = checkpointed(count.where((F.col("__wf_n") * hot_one_in > n) & (F.col("__wf_n") > 1)).select(F.col(key).alias("__wf_hot")))
+    mark = rows.join(F.broadcast(hot), F.col(key) == F.col("__wf_hot"), "left")
+    few = F.broadcast(table.join(F.broadcast(hot), F.col(key) == F.col("__wf_hot"), "left_semi"))
+    often = mark.where("__wf_hot is not null").drop("__wf_hot").join(few, key, "left")
+    return mark.where("__wf_hot is null").drop("__wf_hot").join(table, key, "left").unionByName(often)
+
+
 def with_row_key(docs: DataFrame, *also: str) -> DataFrame:
     """doc_id and text (null: empty) with _k, equal only for rows of the same id and text.
 

@@ -2,8 +2,8 @@
 
 Each round points every node's larger neighbours at the node's least neighbour (large star), then every node's
 smaller neighbours at the least of them (small star). All steps are joins and partially aggregated group-bys, no
-neighbour list is ever gathered, and the rounds grow with the logarithm of a component's size. Each round is
-checkpointed in the shared folder.
+neighbour list is ever gathered, and the rounds grow with the logarithm of a component's size. Nodes with many edges
+are joined by a bounded broadcast (looked_up), so no task gathers them. Each round is checkpointed in the shared folder.
 """
 
 from __future__ import annotations
@@ -11,24 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
-
-
-def _own_key(least: DataFrame) -> DataFrame:
-    """least under a computed key: both sides of the join are then exchanged, and a node with many edges can be split."""
-    return least.select((F.col("u") + 0).alias("k"), "m")
+from .common import checkpointed, looked_up
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _own_key(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-    return both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return looked_up(both.where("v > u"), "u", least).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    kept = down.join(_own_key(least), F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    kept = looked_up(down, "u", least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return kept.unionAll(least.select("u", F.col("m").alias("v")))
 
 
@@ -37,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = checkpointed(edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
     sign = None
     while True:
-        now = checkpointed(_small_star(_large_star(now)).where("u <> v").distinct())
+        large = checkpointed(_large_star(now).where("u <> v").distinct())
+        now = checkpointed(_small_star(large).where("u <> v").distinct())
         # Done when a round changes nothing: the sum of row hashes and the count stay.
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == sign:

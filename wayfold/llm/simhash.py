@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_type, checkpointed, out
+from .common import arrow_type, checkpointed, looked_up, out, partitions_for
 from .links import components
 
 SHINGLE = 4
@@ -32,6 +32,8 @@ SEED = 42
 RADIUS = 4
 CHUNK = 1 << 15
 BALL = 1024
+#: Fingerprints a task emits balls of, and variants a task matches.
+SOURCE_PART, VARIANT_PART = 20_000, 2_000_000
 
 _ONE = np.uint64(1)
 #: Bits of the three blocks whose pairs the filter looks at.
@@ -119,7 +121,11 @@ def collisions(fps: DataFrame, families: list[tuple[int, np.ndarray, np.ndarray]
         pairs = np.unique(np.stack([owner[met], head[met]], 1), axis=0)
         yield out(found, pairs[:, 0].copy().view(np.int64), pairs[:, 1].copy().view(np.int64))
 
-    dealt = fps.select("fp").mapInArrow(variants, "key long, a long, b long").repartition("key")
+    # Both sides are cut by counts: few fingerprints a task before they multiply, few variants a task where they meet.
+    n = fps.count()
+    every = n * sum(len(masks) for _, _, masks in families)
+    spread = fps.select("fp").repartition(partitions_for(fps, n, SOURCE_PART), "fp")
+    dealt = spread.mapInArrow(variants, "key long, a long, b long").repartition(partitions_for(fps, every, VARIANT_PART), "key")
     return dealt.mapInArrow(match, "a long, b long").distinct()
 
 
@@ -129,21 +135,23 @@ def near_links(fps: DataFrame) -> DataFrame:
     met = checkpointed(collisions(fps, filters))
     near = checkpointed(met.select(F.col("a").alias("fp")).unionAll(met.select(F.col("b").alias("fp"))).distinct())
     full = [(9, np.uint64(2**64 - 1), ball_masks(range(64), RADIUS // 2))]
-    return collisions(near, full)
+    # Each colliding pair is verified; a common variant within half the radius implies it, a wrong key would not pass.
+    return collisions(near, full).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
-def rooted(docs: DataFrame) -> DataFrame:
-    """doc_id, _k, fp and root (the least fingerprint that fp reaches by links)."""
-    fps = checkpointed(fingerprints(docs))
-    roots = components(near_links(fps.select("fp").distinct()))
-    return fps.join(roots, fps.fp == roots.node, "left").select("doc_id", "_k", "fp", F.coalesce("root", "fp").alias("root"))
+def rooted(prints: DataFrame) -> DataFrame:
+    """prints (distinct fp, and other columns) with root, the least fingerprint that fp reaches by links."""
+    roots = components(near_links(prints.select("fp")))
+    return prints.join(roots, prints.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits) and component_id, one row per row of docs."""
-    rows = rooted(docs)
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    fps = checkpointed(fingerprints(docs))
+    prints = checkpointed(rooted(checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))))
+    least = prints.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = looked_up(prints.select("fp", "root"), "root", least).select("fp", "component_id")
+    return looked_up(fps.select("doc_id", "fp"), "fp", named).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -152,7 +160,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows with a null id stay only in groups without any other; of rows that repeat the id, one stays.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_k"))
-    chosen = rooted(docs).groupBy("root").agg(first.alias("x")).select(F.coalesce("x.doc_id", F.lit(-(2**62))).alias("__wf_id"), F.col("x._k").alias("__wf_k"))
+    prints = checkpointed(fingerprints(docs).groupBy("fp").agg(first.alias("x")))
+    chosen = rooted(prints).groupBy("root").agg(F.min("x").alias("x")).select(F.coalesce("x.doc_id", F.lit(-(2**62))).alias("__wf_id"), F.col("x._k").alias("__wf_k"))
     keyed = docs.withColumns({"__wf_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**62))), "__wf_k": F.xxhash64("text")})
     kept = keyed.join(chosen, ["__wf_id", "__wf_k"], "left_semi")
     same = Window.partitionBy("__wf_id", "__wf_k").orderBy("__wf_id")  # on the join's own partitioning: no further shuffle
