@@ -1,7 +1,9 @@
 """Packing documents into token sequences: first-fit decreasing with a tournament tree of bin capacities.
 
-Rows are dealt to randomised groups of about GROUP_DOCS documents by a hash, so that each group fits one task and
-holds a fair mix of lengths. Inside a group, documents longer than a sequence are cut into full sequences and a rest;
+Rows are dealt to randomised groups of about GROUP_DOCS documents by a hash of the row, of its input partition and of
+how many equal rows that partition has shown before: each group fits one task and holds a fair mix of lengths, and
+equal rows are spread like all others. Equal rows can stand for each other, so a partition that is read again in another
+order deals out the same groups. Inside a group, documents longer than a sequence are cut into full sequences and a rest;
 the pieces go, longest first, into the first bin with room, which a tournament tree over the bins' free places finds
 in logarithmic time. Then the emptiest bins are taken apart and their tokens, cut freely, fill the gaps of the others;
 what remains at the end of a group is laid out in sequences whose lengths are powers of two, which need no padding.
@@ -16,6 +18,7 @@ import functools
 import re
 import zlib
 from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Cache, arrow_type, out
+from .common import Cache, arrow_type, out, partitions_for
 
 LENGTH = 4096
 END_ID = 2
 GROUP_DOCS = 1024
+#: Groups that one task packs, one after another.
+TASK_GROUPS = 16
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -147,18 +152,23 @@ def pack_group(lengths: list[int], room: int = LENGTH) -> list[list[tuple[int, i
 
 
 def tokenized(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, _g (a hash of the row for dealing) and ids, as packed unsigned 16-bit where the vocabulary allows it."""
-    schema = pa.schema([("doc_id", pa.int64()), ("_h", pa.int64()), ("ids", pa.binary())])
+    """doc_id, _h (a hash for dealing), _nth (equal rows before it in its partition) and ids, as packed unsigned 16-bit where the vocabulary allows it."""
+    schema = pa.schema([("doc_id", pa.int64()), ("_h", pa.int64()), ("_nth", pa.int64()), ("ids", pa.binary())])
 
     def task(batches):
         encoder = tokenizer_for(tokenizer_file)
         end = np.asarray([end_id], "<u4").tobytes()
+        seen: Counter = Counter()
         for b in batches:
             ids = [encoder.ids(t) + end for t in b.column(2).to_pylist()]
-            yield out(schema, b.column(0), b.column(1), ids if encoder.wide else [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids])
+            nth = []
+            for h in b.column(1).to_pylist():
+                nth.append(seen[h])
+                seen[h] += 1
+            yield out(schema, b.column(0), b.column(1), nth, ids if encoder.wide else [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids])
 
-    h = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "text")
-    return docs.select(F.col("doc_id").cast("long"), h.alias("_h"), "text").mapInArrow(task, "doc_id long, _h long, ids binary")
+    h = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "text", F.spark_partition_id())
+    return docs.select(F.col("doc_id").cast("long"), h.alias("_h"), "text").mapInArrow(task, "doc_id long, _h long, _nth long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer_file: str, room: int = LENGTH, group_docs: int = GROUP_DOCS, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
@@ -168,13 +178,14 @@ def pack(docs: DataFrame, tokenizer_file: str, room: int = LENGTH, group_docs: i
     number times 2**32 plus the sequence's number in the group. One shuffle moves the ids to their groups; the
     number of groups follows the number of rows.
     """
-    groups = max(1, -(-docs.count() // group_docs))
+    n = docs.count()
+    groups = max(1, -(-n // group_docs))
     wide = Tokenizer.from_file(tokenizer_file).get_vocab_size() > 1 << 16
     result = RESULT + (", ids binary" if keep_ids else "")
     schema = arrow_type(result)
 
     def fill(key, t):
-        t = t.combine_chunks().sort_by([("doc_id", "ascending"), ("_h", "ascending")])
+        t = t.combine_chunks().sort_by([("doc_id", "ascending"), ("_h", "ascending"), ("_nth", "ascending")])
         g, names = key[0].as_py(), t.column("doc_id").to_pylist()
         ids = [np.frombuffer(x, "<u4" if wide else "<u2") for x in t.column("ids").to_pylist()]
         rows = []
@@ -186,5 +197,6 @@ def pack(docs: DataFrame, tokenizer_file: str, room: int = LENGTH, group_docs: i
                 offset += n
         return pa.Table.from_batches([out(schema, *(list(zip(*rows, strict=True)) or [[]] * len(schema)))])
 
-    dealt = tokenized(docs, tokenizer_file, end_id).withColumn("_g", F.pmod(F.xxhash64("_h", F.lit(17)), F.lit(groups)))
-    return dealt.groupBy("_g").applyInArrow(fill, result)
+    dealt = tokenized(docs, tokenizer_file, end_id).withColumn("_g", F.pmod(F.xxhash64("_h", "_nth"), F.lit(groups)))
+    # The number of partitions follows the rows, so that a task's share stays the same at any size.
+    return dealt.repartition(partitions_for(docs, groups, TASK_GROUPS), "_g").groupBy("_g").applyInArrow(fill, result)
