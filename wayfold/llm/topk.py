@@ -125,15 +125,15 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, block: int = BLOCK, q
     dim = max(dim, 1)
     schema = arrow_type(FOUND)
     turn = spark.sparkContext.broadcast(rotation(vecs, dim))  # dim x dim
-    blocks = max(1, -(-n // block))
-    dealt = blocked(vecs, "c_block", blocks)
+    dealt = blocked(vecs, "c_block", max(1, -(-n // block)))
     asked = vecs.where(F.pmod("vec_id", F.lit(every)) == 0)
     queries = blocked(asked, "q_block", max(1, -(-asked.count() // query_block))).select("q_block", F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("norm").alias("q_norm"))
     # The longest vector of each block: one number for `block` vectors, in one array for the driver and the tasks.
-    longest = dealt.groupBy("c_block").agg(F.max("norm").alias("norm"))
-    tops = [0.0] * blocks
-    for b, x in longest.toLocalIterator():
-        tops[b] = x
+    longest = dealt.groupBy("c_block").agg(F.max("norm").alias("norm")).toArrow()
+    blocks = max(longest.column(0).to_pylist(), default=0) + 1  # a session may deal more blocks than were asked for
+    tops = np.zeros(blocks)
+    tops[longest.column(0).to_numpy()] = longest.column(1).to_numpy()
+    tops = np.maximum.accumulate(tops[::-1])[::-1]  # a block without rows is no longer than the next
 
     def visit(key, left, right):
         names = left.column("query_id").to_pylist()
@@ -146,7 +146,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, block: int = BLOCK, q
         floors = found.groupBy("query_id").agg(F.min(F.when(F.col("beyond") == 0, F.col("score").cast("double")).otherwise(F.col("beyond"))).alias("least"), F.count("*").alias("n")).where(F.col("n") >= k)
         now = queries.join(floors, "query_id", "left").withColumn("floor", F.coalesce("least", F.lit(float("-inf"))))
         # Blocks of this round whose bound reaches the query's floor; lengths fall, so they are the first ones.
-        now = now.withColumn("left", reaching(spark.sparkContext.broadcast(np.array(tops[low:high])))("q_norm", "floor")).where(F.col("left") > 0)
+        now = now.withColumn("left", reaching(spark.sparkContext.broadcast(tops[low:high].copy()))("q_norm", "floor")).where(F.col("left") > 0)
         now = checkpointed(now.select("q_block", "query_id", "q", "floor", F.explode(F.sequence(F.lit(low), F.col("left") + F.lit(low - 1))).alias("c_block")))
         met = now.select((F.col("c_block") + 0).alias("c_block"), (F.col("q_block") + 0).alias("q_block")).distinct()  # one small row a pair of blocks
         copies = dealt.join(met, "c_block").select("c_block", "q_block", "vec_id", "v")
