@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -114,6 +115,9 @@ class Item:
     ids: np.ndarray
     least: float
 
+    def __post_init__(self):
+        self.words = Counter(self.ids.tolist())
+
 
 @dataclass
 class Seeds:
@@ -188,7 +192,8 @@ def best_passage(ids: np.ndarray, item: Item, hits: list[tuple[int, int]]) -> tu
         else:
             low = max(0, first - pad)
             window = ids[low : g[-1][0] + n + pad]
-            if np.isin(item.ids, window).sum() < item.least * n:
+            there = Counter(window.tolist())
+            if sum(min(k, there[w]) for w, k in item.words.items()) < item.least * n:
                 continue
             value, s, e = align(window, item.ids)
             start, end = low + s, low + e
@@ -238,7 +243,8 @@ def document_counts(docs: DataFrame, keys: np.ndarray) -> dict[int, int]:
                 ids, text = word_ids(some)
                 at, row = lookup.rows(pairs(ids))
                 inside = text[at] == text[at + 1]
-                total += np.bincount(np.unique(np.stack([text[at[inside]], row[inside]]), axis=1)[1], minlength=len(total))
+                held = np.unique(text[at[inside]] * len(total) + row[inside])
+                total += np.bincount(held % max(1, len(total)), minlength=len(total))
         some = np.flatnonzero(total)
         yield out(schema, lookup.keys[some].view(np.int64), total[some])
 
