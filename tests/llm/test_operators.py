@@ -88,6 +88,26 @@ def test_bucket_numbers_group_equal_windows():
     assert len(set(zip(names.tolist(), windows))) == len(set(windows)) == len(set(names.tolist()))
 
 
+def test_bucket_pointers_of_periodic_and_long_texts(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [b"a" * 300, b"ab" * 100, b"ab" * 60, b"abc" * 50, bytes(rng.integers(97, 99, 5000).tolist()), bytes(rng.integers(97, 123, 3000).tolist())]
+    texts += [texts[4][1000:2000], texts[5][5:900], bytes(60)]
+    for batch in (1, 64, 1 << 17):
+        monkeypatch.setattr(suffix_array, "BATCH", batch)
+        names, n = suffix_array.names(texts)
+        windows = [t[s : s + 50] for t, k in zip(texts, n) for s in range(k)]
+        assert len(set(zip(names.tolist(), windows))) == len(set(windows)) == len(set(names.tolist()))
+
+
+def test_nodes_are_as_deep_as_repeats():
+    words = [f"w{i}" for i in range(40)]
+    order, depth = suffix_tree.subtree(np.array([[*range(1, 33)], [*range(1, 31), 90, 91], [2, *range(2, 33)]], np.uint32))
+    assert order.tolist() == [0, 1, 2] and depth.tolist() == [30, 0]
+    names, n = suffix_tree.names([" ".join(words[:32]).encode(), " ".join(words[4:30]).encode(), " ".join(["x"] * 25).encode()])
+    windows = [c[s : s + 20] for c in (words[:32], words[4:30], ["x"] * 25) for s in range(len(c) - 19)]
+    assert n.tolist() == [13, 7, 6] and [[a == b for b in names] for a in names] == [[a == b for b in windows] for a in windows]
+
+
 def test_empty_tables(spark, docs_of):
     none = docs_of([])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -138,9 +158,9 @@ def test_secret_scan(docs_of):
 
 def test_token_counts(docs_of):
     vocab = token_counts.vocabulary(PIECE_BPE)
-    full = Tokenizer(models.Unigram(vocab, unk_id=0, byte_fallback=False))
+    full = Tokenizer(models.Unigram(vocab + [(f"<0x{b:02X}>", 0.0) for b in range(256)], unk_id=0, byte_fallback=True))
     full.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
-    rows = ROWS + [(30, " a  b"), (31, "<unk> x<unk>"), (32, "日本語 ☃☃ x☃"), (33, "▁a ▁"), (34, "\t\n a\n")]
+    rows = ROWS + [(30, " a  b"), (31, "<unk> x<unk>"), (32, "日本語 ☃☃ x☃"), (33, "▁a ▁"), (34, "\t\n a\n"), (35, "one\n\ntwo\n"), (36, "☃<unk> <unk>☃")]
     got = {(r.doc_id, r.n_chars): r.n_tokens for r in token_counts.count_tokens(docs_of(rows), PIECE_BPE).collect()}
     for d, t in rows:
         assert got[d, len(t or "")] == (len(full.encode(t).ids) if t else 0), (d, t)

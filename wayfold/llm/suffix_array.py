@@ -1,9 +1,10 @@
 """Suffix-array dedup of bytes by bucket-pointer refinement.
 
 Within a group of contexts (see repeats.py) the suffixes are put into buckets by their first Q bytes, in order. A
-bucket of several suffixes is refined by sorting on the bucket numbers of a later offset: numbers for depth d, read at
-the suffix and d places later, give numbers for depth 2d, and the refined numbers are used at once for the next, deeper
-round. At a depth of 50 bytes a bucket holds exactly the suffixes that share a 50-byte string.
+bucket of several suffixes is refined by sorting on the bucket pointers as many places later as the bucket is deep; its
+parts are then as deep as both together. Pointers are updated in place, so buckets that are refined later in the same
+round already use the finer ones. Buckets at least 50 bytes deep need no more; neighbours in the resulting order that
+agree on 50 bytes share a 50-byte string.
 
 Defined cases: a null text counts as empty; texts under 50 bytes lose nothing; matches never cross documents; rows
 with a null id take no part and keep all bytes; rows that share an id do not remove each other's bytes; overlapping
@@ -21,31 +22,36 @@ from .common import arrow_type, out
 from .repeats import Alphabet, covered, mask, texts_of
 
 WINDOW, GRAM, Q = 50, 20, 8
+#: Suffixes that are refined at once.
+BATCH = 1 << 17
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def refined(bucket: np.ndarray, later: np.ndarray) -> np.ndarray:
-    """New bucket numbers, in suffix order, from those at a suffix and at a later offset of it.
+def refine(bucket: np.ndarray, depth: np.ndarray, size: np.ndarray, part: np.ndarray) -> None:
+    """Splits the buckets of the suffixes in part by the bucket pointers at their depth; pointers change in place.
 
-    Buckets of one suffix cannot be split and are left out of the sort.
+    A bucket's pointer is its first place in the order of suffixes; depth and size are kept at that place. The parts of
+    a bucket are as deep as the bucket and the one that their suffixes point to together.
     """
-    n = np.bincount(bucket)
-    open_ = np.flatnonzero(n[bucket] > 1)
-    pair = bucket[open_] * np.int64(later.max(initial=0) + 1) + later[open_]
-    values, rank = np.unique(pair, return_inverse=True)
-    # Number of each new bucket: those before its old bucket, and its rank among the old bucket's parts.
-    old = values // np.int64(later.max(initial=0) + 1)
-    parts = np.where(n > 0, 1, 0)
-    parts[: len(n)][np.unique(old)] = np.bincount(old, minlength=len(n))[np.unique(old)]
-    before = np.cumsum(parts) - parts
-    first = np.searchsorted(old, old)
-    new = before[bucket]
-    new[open_] = before[bucket[open_]] + (np.arange(len(values)) - first)[rank]
-    return new
+    old = bucket[part]
+    d = depth[old]
+    at = part + d
+    inside = at < len(bucket)
+    later = np.where(inside, bucket[np.minimum(at, len(bucket) - 1)], -1)
+    deeper = np.where(inside, d + depth[np.maximum(later, 0)], WINDOW)
+    order = np.lexsort((later, old))
+    old, later, deeper, part = old[order], later[order], deeper[order], part[order]
+    new_old = np.concatenate([[True], old[1:] != old[:-1]])
+    head = np.flatnonzero(new_old | np.concatenate([[True], later[1:] != later[:-1]]))
+    first = np.flatnonzero(new_old)[np.cumsum(new_old) - 1]  # where each suffix's old bucket starts in this part
+    n = np.diff(np.append(head, len(old)))
+    pointer = old[head] + head - first[head]
+    depth[pointer], size[pointer] = deeper[head], n
+    bucket[part] = np.repeat(pointer, n)
 
 
 def names(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A bucket number at depth WINDOW for each window of each context, and the number of windows of each context."""
+    """A number for each window of each context, equal for equal windows, and the number of windows of each context."""
     sizes = np.array([len(c) for c in contexts], np.int64)
     text = np.frombuffer(b"".join(contexts) + bytes(WINDOW), np.uint8)
     total = int(sizes.sum())
@@ -53,15 +59,28 @@ def names(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for k in range(Q):
         gram = (gram << np.uint64(8)) | text[k : total + k].astype(np.uint64)
     # Suffixes near a context's end read into the next one; only windows that end inside are asked for below.
-    bucket, depth = np.unique(gram, return_inverse=True)[1].astype(np.int64), Q
-    while depth < WINDOW:
-        step = min(depth, WINDOW - depth)
-        later = np.concatenate([bucket[step:] + 1, np.zeros(step, np.int64)])
-        bucket, depth = refined(bucket, later), depth + step
+    _, which, n = np.unique(gram, return_inverse=True, return_counts=True)
+    start = np.cumsum(n) - n
+    bucket = start[which]
+    depth, size = np.full(total, Q), np.ones(total, np.int64)
+    size[start] = n
+    while len(open_ := np.flatnonzero((size[bucket] > 1) & (depth[bucket] < WINDOW))):
+        open_ = open_[np.argsort(bucket[open_], kind="stable")]
+        # Whole buckets at a time; those that come later in the round already read the new pointers.
+        ends = [0, *(int(np.searchsorted(bucket[open_], bucket[open_[k]])) for k in range(BATCH, len(open_), BATCH)), len(open_)]
+        for low, high in zip(ends, ends[1:], strict=False):
+            if low < high:
+                refine(bucket, depth, size, open_[low:high])
     windows = sizes - WINDOW + 1
     starts = np.cumsum(sizes) - sizes
     at = np.repeat(starts, windows) + (np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows))
-    return np.unique(bucket[at], return_inverse=True)[1], windows
+    # Some buckets are deeper than a window by now: neighbours in the order that agree on a whole window are one name.
+    _, head, rank = np.unique(bucket[at], return_index=True, return_inverse=True)
+    place = at[head]
+    same = np.ones(max(0, len(place) - 1), bool)
+    for k in (*range(0, WINDOW - Q, Q), WINDOW - Q):
+        same &= gram[place[1:] + k] == gram[place[:-1] + k]
+    return np.concatenate([[0], np.cumsum(~same)])[rank] if len(place) else rank, windows
 
 
 BYTES = Alphabet(WINDOW, GRAM, lambda text: text.encode("utf-8", "replace"), lambda raw: np.frombuffer(raw, np.uint8).astype(np.uint64), lambda raw, s, e: raw[s:e], names, False)
