@@ -28,23 +28,30 @@ _HASHES = word_hashes(23)
 
 
 def subtree(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes (rows of symbols) as leaves of their tree, and the depth of the node above neighbours."""
-    order = np.lexsort(suffixes.T[::-1])
+    """Order of the suffixes (rows of positive symbols) as leaves of their tree, and the depth of the node above neighbours."""
+    rows = np.ascontiguousarray(suffixes.astype(">u4"))
+    order = np.argsort(rows.view(f"S{4 * rows.shape[1]}").ravel(), kind="stable")
     near = suffixes[order]
-    depth = np.cumprod(near[1:] == near[:-1], axis=1, dtype=np.int64).sum(axis=1) if len(near) > 1 else np.empty(0, np.int64)
+    differ = near[1:] != near[:-1]
+    depth = np.where(differ.any(axis=1), differ.argmax(axis=1), suffixes.shape[1]) if len(near) > 1 else np.empty(0, np.int64)
     return order, depth
 
 
 def names(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The number of the deep node (or lone leaf) above each window of each context, and each context's windows."""
+    """The number of the deep node (or lone leaf) above each window of each context, and each context's windows.
+
+    Suffixes run to the ends of their contexts, so inner nodes are as deep as the repeats in the group are long.
+    """
     symbols: dict[bytes, int] = {}
+    split = [c.split(b" ") for c in contexts]
+    longest = max(map(len, split))
+    end = 1 << 31  # symbols from here on close a context and are equal to no other
     rows, windows = [], []
-    for c in contexts:
-        ids = np.array([symbols.setdefault(w, len(symbols)) for w in c.split(b" ")], np.int32)
-        rows.append(sliding_window_view(ids, WINDOW))
+    for k, words in enumerate(split):
+        ids = np.fromiter((symbols.setdefault(w, len(symbols) + 1) for w in words), np.uint32, len(words))
         windows.append(len(ids) - WINDOW + 1)
-    suffixes = np.concatenate(rows)
-    order, depth = subtree(suffixes)
+        rows.append(sliding_window_view(np.append(ids, np.full(longest - WINDOW, end + k, np.uint32)), longest)[: windows[-1]])
+    order, depth = subtree(np.concatenate(rows))
     node = np.zeros(len(order), np.int64)
     node[order] = np.concatenate([[0], np.cumsum(depth < WINDOW)])
     return node, np.array(windows, np.int64)
