@@ -3,8 +3,9 @@
 An Aho-Corasick automaton lists every vocabulary piece that ends at each position of a word; dynamic programming
 keeps the best score, the number of pieces on that path and whether it ends in an unknown piece. No piece is ever
 built. Tie rules are those of the unigram tokenizer: of equal scores the path whose last piece starts first wins,
-an unknown character costs the smallest score less 10 and is tried only where no piece of one character matches,
-and neighbouring unknown characters count as one piece.
+an unknown character costs the smallest score less 10 and is tried only where no piece of one character matches.
+Unknown characters fall back to byte pieces, one for each byte of their UTF-8 form. Byte pieces stand for such bytes only; their
+spelling in a text (`<0x0A>`) is text like any other.
 
 Spaces become the word mark, which also begins the text; words are counted on their own, so counts of words are cached.
 
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import Cache, arrow_type, out
 
 MARK = "▁"
+UNKNOWN = "<unk>"
 UNKNOWN_PENALTY = 10.0
 RESULT = "doc_id long, n_tokens long, n_words long, n_chars long"
 
@@ -30,7 +32,7 @@ RESULT = "doc_id long, n_tokens long, n_words long, n_chars long"
 def vocabulary(model_file: str) -> list[tuple[str, float]]:
     """(piece, score) of the model's ordinary pieces; the first entry stands for unknown text."""
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
-    return [("<unk>", 0.0)] + [(sp.id_to_piece(i), sp.get_score(i)) for i in range(sp.get_piece_size()) if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i))]
+    return [(UNKNOWN, 0.0)] + [(sp.id_to_piece(i), sp.get_score(i)) for i in range(sp.get_piece_size()) if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i))]
 
 
 class UnigramCounter:
@@ -46,12 +48,12 @@ class UnigramCounter:
 
     def count(self, word: str) -> int:
         n = len(word)
-        best, pieces, unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        best, pieces, unknown = [0.0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         at, top, start, is_unknown, single = 1, None, 0, False, False
         # Matches come by their end, the longest (which starts first) before the shorter ones.
         for last, (length, score, unk) in self.automaton.iter(word):
             while at <= last:
-                self.close(at, top, start, is_unknown, single, best, pieces, unknown)
+                self.close(word, at, top, start, is_unknown, single, best, pieces, unknown)
                 at, top, start, is_unknown, single = at + 1, None, 0, False, False
             value = best[at - length] + score
             if length == 1:
@@ -59,18 +61,19 @@ class UnigramCounter:
             if top is None or value > top:
                 top, start, is_unknown = value, at - length, unk
         while at <= n:
-            self.close(at, top, start, is_unknown, single, best, pieces, unknown)
+            self.close(word, at, top, start, is_unknown, single, best, pieces, unknown)
             at, top, start, is_unknown, single = at + 1, None, 0, False, False
         return pieces[n]
 
-    def close(self, at, top, start, is_unknown, single, best, pieces, unknown) -> None:
-        """Settles a position: its best score, pieces, and whether the last piece is unknown."""
+    def close(self, word, at, top, start, is_unknown, single, best, pieces, unknown) -> None:
+        """Settles a position: its best score, its pieces, and where the run of unknown text that ends there starts (-1: none does)."""
         if not single and (top is None or best[at - 1] + self.unknown > top):
             top, start, is_unknown = best[at - 1] + self.unknown, at - 1, True
         best[at] = top
         if is_unknown:
-            unknown[at] = True
-            pieces[at] = pieces[start] + (not unknown[start])
+            unknown[at] = start = unknown[start] if unknown[start] >= 0 else start
+            run = word[start:at]
+            pieces[at] = pieces[start] + (1 if run == UNKNOWN else len(run.encode("utf-8", "replace")))
         else:
             pieces[at] = pieces[start] + 1
 
