@@ -13,14 +13,15 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from functools import reduce
 from itertools import chain
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache
+from .common import Cache, checkpointed
 
 #: Features are hashed to so many bits; models keep only the slots that have a weight, so collisions cost nothing.
 BITS = 44
@@ -171,27 +172,25 @@ def predicted(model: OrdinalModel, text: str, shared) -> Column:
     return rate(text)
 
 
-def sample_rows(docs, graded, most: int) -> list[tuple[np.ndarray, int]]:
-    """Features and grades of at most `most` labelled documents of each grade, the first by a hash of the id.
+def sample_rows(docs: DataFrame, graded: DataFrame, grades: int, most: int) -> tuple[DataFrame, list[tuple[np.ndarray, int]]]:
+    """The chosen labels (doc_id, grade), and features and grades of their documents.
 
-    graded: doc_id, grade. The sample is at most `most` times the number of grades, so it may be broadcast and collected.
+    graded: doc_id, grade from 0 to grades - 1. At most `most` labelled documents of each grade are taken, the first by
+    a hash of the id, so that the sample may be broadcast and collected. Of rows that repeat an id one is taken, that
+    of the text with the least hash.
     """
-    grades = [r[0] for r in graded.where("grade is not null").select("grade").distinct().orderBy("grade").limit(16).collect()]
-    chosen = None
-    for g in grades:
-        part = graded.where(F.col("grade") == g).where("doc_id is not null").groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        chosen = part if chosen is None else chosen.unionAll(part)
-    if chosen is None:
-        return []
+    once = graded.where("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    parts = [once.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for g in range(grades)]
+    chosen = checkpointed(reduce(DataFrame.unionAll, parts).select("doc_id", F.col("grade").cast("int").alias("grade")))
 
     @F.pandas_udf("array<long>")
     def slots(texts):
         return texts.map(features)
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", slots("text").alias("slots")).orderBy("doc_id", F.xxhash64("text")).limit(most * 16)
-    found = rows.select("grade", "slots").toArrow().combine_chunks()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", F.xxhash64("text").alias("h"), slots("text").alias("slots"))
+    found = rows.groupBy("doc_id", "grade").agg(F.min_by("slots", "h").alias("slots")).orderBy("doc_id").select("grade", "slots").toArrow().combine_chunks()
     if not found.num_rows:
-        return []
+        return chosen, []
     lists = found.column("slots").chunk(0)
     flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-    return [(flat[ends[i] : ends[i + 1]], int(g)) for i, g in enumerate(found.column("grade").to_pylist())]
+    return chosen, [(flat[ends[i] : ends[i + 1]], int(g)) for i, g in enumerate(found.column("grade").to_pylist())]

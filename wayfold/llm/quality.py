@@ -5,7 +5,8 @@ The expected grade (0 to 2) and the tail probability P(grade >= 1) come from has
 thresholds; keep selects by the tail. The fit takes at most MOST_LABELLED documents of each rating.
 
 Defined cases: a null text counts as empty; label rows with a null id or quality are not used (a null toxic flag
-counts as 0); of labels that repeat an id the smallest rating counts; without labels the weights are zero.
+counts as 0); of labels that repeat an id the smallest rating counts, of documents that repeat it the text with the least
+hash is learned from; without labels, or with one rating only, the weights are zero and the tail follows the ratings' smoothed shares.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ GRADES = 3
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> ordinal.OrdinalModel:
     rating = F.when(F.col("quality") <= 0, 0).when(F.coalesce("toxic", F.lit(0)) > 0, 1).otherwise(2)
     graded = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(rating).alias("grade"))
-    rows = ordinal.sample_rows(docs, graded, most)
+    _, rows = ordinal.sample_rows(docs, graded, GRADES, most)
     return ordinal.fit(rows, GRADES)
 
 
