@@ -387,6 +387,41 @@ def test_secret_forms(form):
     assert VALUE not in secret_scan.masked(text, "[SECRET]")
 
 
+def spans_of(code):
+    return [code[s:e] for s, e, _ in secret_scan.named_spans(code)]
+
+
+def test_constants_concatenations_and_markup():
+    assert spans_of(f'signing_key = LATE\nLATE = "{VALUE}"') == [VALUE]
+    assert spans_of('a = "qW8zR5"\nauth_key = a + b\nb = "tY7uI1o"') == ["qW8zR5", "tY7uI1o"]
+    assert spans_of(f'signing_key = "{VALUE[:6]}" + rest\nrest = \'{VALUE[6:]}\'') == [VALUE[:6], VALUE[6:]]
+    assert spans_of(f"<config><signing-key id='1'>{VALUE}</signing-key><note>{VALUE}</note></config>") == [VALUE]
+    assert spans_of(f'signing_key = f"{VALUE}"') == [VALUE]
+    assert spans_of('signing_key = other\nother = third\nthird = signing_key') == []
+    assert spans_of(f'K = "{VALUE}"\nx = K\nK = "plain words"\nsigning_key = x\n') == [VALUE]
+    text = " ".join(f'signing_key="{VALUE}{i}" token="{VALUE}{i}"' for i in range(20_000))
+    began = time.perf_counter()
+    found = secret_scan.scan(text)
+    assert found[0] == 20_000 and found[5] == 20_000 and time.perf_counter() - began < 10
+    chain = "\n".join(f"a{i} = a{i + 1}" for i in range(5000)) + f'\na5000 = "{VALUE}"\nsigning_key = a0'
+    assert spans_of(chain) == [VALUE]
+
+
+def test_secret_scan_equals_plain(docs_of):
+    text = ["api_key: 'Zz9_abc.def'", "AKIA" + "7" * 18, "deadbeef" * 4, 'signing_key = "qW8zR5tY7uI1o"', "é ☃ plain words", "PASSWORD=short", "token=abcdefgh;"]
+    rng = np.random.default_rng(8)
+    rows = [(i, " \n".join(rng.choice(text, int(rng.integers(0, 9))))) for i in range(60)] + [(None, text[0]), (3, None), (4, "")]
+    kinds = [("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}"""), ("access", "AKIA[A-Z0-9]{16,}"), ("hex", "[0-9a-f]{24,}")]
+    want = []
+    for d, t in rows:
+        base = sorted((m.start(), k, name, m.end()) for k, (name, p) in enumerate(kinds) for m in re.finditer(p, t or ""))
+        spelled = [f"{name}:{s}:{e}" for s, _, name, e in base]
+        named = [(m.start(1), 3, "named", m.end(1)) for m in re.finditer('signing_key = "(qW8zR5tY7uI1o)"', t or "")]
+        every = ",".join(f"{name}:{s}:{e}" for s, _, name, e in sorted(base + named))
+        want.append((d, *(sum(x[2] == k for x in base) for k, _ in kinds), hashlib.sha256(",".join(spelled).encode()).hexdigest(), every, len(named)))
+    assert sorted(map(tuple, secret_scan.find_secrets(docs_of(rows)).collect()), key=repr) == sorted(want, key=repr) and any(w[3] for w in want)
+
+
 def test_types_are_no_values():
     pairs = lambda t: [(n, v) for n, v, *_ in secret_scan.assignments(t)]
     assert pairs('password: str = "hunter2Secret99"')[0] == ("password", "hunter2Secret99")
@@ -396,7 +431,7 @@ def test_types_are_no_values():
     assert pairs("a = \'\'\'open\nb: c") == [("b", "c")]
 
 
-@pytest.mark.parametrize("piece", ["a: [", "a:b::", "a[\"", "a = '''", "a\t", "a=\"\\", "a: (", "var a ", "a.b-", "a: <a<", "a|b: c|", "a = b "])
+@pytest.mark.parametrize("piece", ["a: [", "a:b::", "a[\"", "a = '''", "a\t", "a=\"\\", "a: (", "var a ", "a.b-", "a: <a<", "a|b: c|", "a = b ", "a=b+", "<a>b", "<a>b</", "a = b + ", "b = a\n"])
 def test_secret_lexer_is_linear(piece):
     def seconds(n):
         best = 9.0

@@ -1,8 +1,8 @@
 """Secret scans by assignment-aware lexing.
 
 Base detectors give three kinds of spans (assign, access, hex). The lexer then reads source and configuration
-syntax into name-literal pairs, carries constants from name to name, and scores each literal by how sensitive
-its target name is; literals that score high enough are added as spans of kind "named". Base spans always stay.
+syntax into name-literal pairs, carries constants from name to name (whichever comes first, also inside concatenations), and scores each literal by how sensitive
+its target name is; elements of markup that hold text are pairs as well; literals that score high enough are added as spans of kind "named". Base spans always stay.
 A target may have a type (`name: Type = ...`, `var name Type = ...`) and quoted subscripts, which are parts of its name;
 names and runs of blanks have any length. Repeats are possessive, so lexing takes linear time.
 
@@ -12,11 +12,13 @@ columns other than doc_id and text are not read. Spans are (start, end) in code
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,8 +52,10 @@ BRACKETS = re.compile(r"([<>\[\]()])")
 #: The rest of a triple-quoted literal, over any number of lines.
 TRIPLE = {q * 3: re.compile(rf"((?:\\.|[^\\{q}]|{q}(?!{q}{q}))*+){q * 3}", re.S) for q in "\"'"}
 SIGN = re.compile(r"[:=]")
-#: Concatenated string pieces after a first literal: "ab" + "cd".
-MORE = re.compile(rf"""{BLANK}*+\+{BLANK}*+(["'`])((?:\\.|(?!\1)[^\\\n])*+)\1""")
+#: A further piece of a concatenation: a quoted literal or a name.
+MORE = re.compile(rf"""{BLANK}*+\+{BLANK}*+(?:[bBrRuUfF]{{1,2}}(?=["']))?+(?:(?P<q>["'`])(?P<str>(?:\\.|(?!(?P=q))[^\\\n])*+)(?P=q)|(?P<bare>[A-Za-z_][A-Za-z0-9_.]*+))""")
+#: An element of markup with text only.
+ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:\-]*+)(?:[\x20\t][^<>\n]*+)?+>([^<>\n]++)</([A-Za-z_][A-Za-z0-9_.:\-]*+)")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 
 #: How strongly a part of a name speaks for a secret value.
@@ -106,8 +110,11 @@ def is_type(words: str) -> bool:
     return not depth and bool(TYPE.match("".join(flat)))
 
 
-def assignments(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
-    """(name, literal, start, end, quoted) for each name-literal pair; pieces joined by + count as one literal."""
+Piece = tuple[str, int, int, bool]  # value, start, end, quoted
+
+
+def expressions(text: str) -> Iterator[tuple[str, list[Piece]]]:
+    """(name, pieces joined by +) for each target; neighbouring literals of a concatenation are one piece."""
     at, stop = 0, -1
     while sign := SIGN.search(text, at):
         # Only lines that hold an assignment sign are lexed.
@@ -126,41 +133,109 @@ def assignments(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
         if m["type"] and IDENTIFIER.match(m["type"].strip()):
             names.append(m["type"].strip())  # `log: token="..."` reads like a type
         if m["bare"]:
-            for name in names:
-                yield name, m["bare"], m.start("bare"), m.end("bare"), False
-            continue
-        if m["triple"]:
+            pieces: list[Piece] = [(m["bare"], m.start("bare"), m.end("bare"), False)]
+        elif m["triple"]:
             rest = TRIPLE[m["triple"]].match(text, at)
             if not rest:
                 continue
-            value, start, end, at = rest[1], rest.start(1), rest.end(1), rest.end()
+            pieces = [(rest[1], rest.start(1), rest.end(1), True)]
+            at = rest.end()
         else:
-            value, start, end = m["str"], m.start("str"), m.end("str")
-        while more := MORE.match(text, at):
-            value, end, at = value + more[2], more.end(2), more.end()
+            pieces = [(m["str"], m.start("str"), m.end("str"), True)]
+        while (pieces[0][3] or IDENTIFIER.match(pieces[0][0])) and (more := MORE.match(text, at)):
+            at = more.end()
+            value, start, end, quoted = pieces[-1]
+            if more["q"] and quoted:
+                pieces[-1] = value + more["str"], start, more.end("str"), True
+            else:
+                kind = "str" if more["q"] else "bare"
+                pieces.append((more[kind], more.start(kind), more.end(kind), bool(more["q"])))
         for name in names:
-            yield name, value, start, end, True
+            yield name, pieces
+
+
+def elements(text: str) -> Iterator[tuple[str, list[Piece]]]:
+    """(name, text) of each element of markup that holds text only."""
+    if "</" in text:
+        for m in ELEMENT.finditer(text):
+            if m[1] == m[3]:
+                yield m[1], [(m[2], m.start(2), m.end(2), True)]
+
+
+def assignments(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
+    """(name, literal, start, end, quoted) for each piece of each target."""
+    for name, pieces in expressions(text):
+        for piece in pieces:
+            yield name, *piece
+
+
+class Constants:
+    """What names stand for: the last definition before a use, or the first after it; chains of names are followed."""
+
+    def __init__(self, pairs: list[tuple[str, list[Piece]]]):
+        self.pairs = pairs
+        self.defined: dict[str, list[int]] = {}
+        for k, (name, _) in enumerate(pairs):
+            self.defined.setdefault(name, []).append(k)
+        self.known: dict[int, list[Piece]] = {}
+
+    def definition(self, piece: Piece, use: int) -> int | None:
+        value, _, _, quoted = piece
+        at = None if quoted or not IDENTIFIER.match(value) else self.defined.get(value)
+        if at is None:
+            return None
+        k = bisect.bisect_left(at, use)
+        return at[k - 1] if k else next((x for x in at if x > use), None)
+
+    def literals(self, use: int) -> list[Piece]:
+        """The literals that a target gets; a name without a definition stands for itself."""
+        if len(self.pairs[use][1]) == 1:  # chains of plain names are followed in a loop, each link once
+            way, k = [], use
+            while k not in self.known and len(self.pairs[k][1]) == 1:
+                self.known[k] = self.pairs[k][1]
+                way.append(k)
+                following = self.definition(self.pairs[k][1][0], k)
+                if following is None:
+                    break
+                k = following
+            end = self.known.get(k) or self.joined(k)
+            for k in way:
+                self.known[k] = end
+            return end
+        return self.joined(use)
+
+    def joined(self, use: int) -> list[Piece]:
+        """The pieces of a concatenation, each name replaced by its literal if that is a plain one."""
+        if use not in self.known:
+            self.known[use] = [p for piece in self.pairs[use][1] for k in [self.definition(piece, use)] for p in ([piece] if k is None or len(self.pairs[k][1]) > 1 else self.literals(k))]
+        return self.known[use]
 
 
 def named_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans of literals that reach a sensitive name, directly or through constants assigned from name to name."""
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "</" not in text:
         return []
-    constants: dict[str, tuple[str, int, int]] = {}
-    found: dict[tuple[int, int], float] = {}
-    for name, value, start, end, quoted in assignments(text):
-        origin = (value, start, end)
-        if not quoted and IDENTIFIER.match(value) and value in constants:
-            origin = constants[value]
-        constants[name] = origin
-        literal, start, end = origin
-        if (sensitive := name_score(name)) > 0 and (strength := value_score(literal)) > 0:
-            score = sensitive + strength
-            if score >= NAMED_LEAST_SCORE and (quoted or strength >= 2.5 or origin[0] is not value):
-                found[start, end] = max(score, found.get((start, end), 0.0))
+    pairs = [*expressions(text), *elements(text)]
+    constants = Constants(pairs)
+    found: dict[tuple[int, int], None] = {}
+    for use, (name, pieces) in enumerate(pairs):
+        if (sensitive := name_score(name)) <= 0:
+            continue
+        literals = constants.literals(use)
+        strength = value_score("".join(v for v, *_ in literals))
+        quoted = all(q for *_, q in literals)
+        if strength > 0 and sensitive + strength >= NAMED_LEAST_SCORE and (quoted or strength >= 2.5 or literals != pieces):
+            found |= dict.fromkeys((s, e) for v, s, e, q in literals if q or literals == pieces or not IDENTIFIER.match(v))
     return [(s, e, "named") for s, e in found]
 
 
+def outside(named: list[tuple[int, int, str]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Named spans that lie in no base span; both lists are gone through once, after sorting."""
+    base = sorted(base)
+    starts, reach = [s for s, *_ in base], list(accumulate((e for _, e, _ in base), max))
+    return [x for x in named if not ((k := bisect.bisect_right(starts, x[0])) and reach[k - 1] >= x[1])]
+
+
 def spelled(spans: list[tuple[int, int, str]]) -> str:
     order = {k: i for i, k in enumerate(KINDS)}
     return ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], order[x[2]], x[1])))
@@ -170,8 +245,7 @@ def scan(text: str | None) -> tuple[int, int, int, str, str, int]:
     """Counts of base kinds, digest of the base spans, all spans, and the number of added ones."""
     text = text or ""
     base = base_spans(text)
-    # A literal inside a base span is already reported.
-    named = [x for x in named_spans(text) if not any(s <= x[0] and x[1] <= e for s, e, _ in base)]
+    named = outside(named_spans(text), base)  # a literal inside a base span is already reported
     kinds = Counter(k for _, _, k in base)
     return kinds["assign"], kinds["access"], kinds["hex"], hashlib.sha256(spelled(base).encode()).hexdigest(), spelled(base + named), len(named)
 
