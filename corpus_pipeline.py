@@ -36,7 +36,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("simhash_near_dedup", drop_near_copies), ("benchmark_decontamination", drop_leaks), ("secret_scans", mask_secrets), ("packing", pack)]
 
-#: SQL can express none of the learned, aligned and packed stages; tests/llm holds run() against a plain version.
+#: SQL can express none of the learned, aligned and packed stages; tests/llm/test_pipeline.py holds run() against a plain version.
 ORACLE_SQL = None
 
 
