@@ -24,7 +24,7 @@ def road(roads, segment, place):
 
 def test_follow_equals_brute_force():
     roads = grid()
-    o = Options(segment_penalty=0, via_penalty=0, most_deviation=1e9, sigma=30, beta=30)
+    o = Options(allow_loops=True, segment_penalty=0, via_penalty=0, most_deviation=1e9, sigma=30, beta=30)
     places = [(300.0, 150.0), (1700.0, 200.0), (2150.0, 900.0), (2300.0, 1900.0), (3500.0, 2150.0)]
     points = [(p, None, [road(roads, s, p) for s in roads]) for p in places]
     dist = {(a, b): 0.0 if a == b else math.inf for a in range(9) for b in range(9)}
@@ -62,6 +62,11 @@ def test_gaps_and_ignored_points():
     points = [near((100.0, 0.0), 0.0, 0), near((400.0, 0.0), 10.0, 0), ((500.0, 900.0), 15.0, []), near((700.0, 0.0), 20.0, 0), near((900.0, 0.0), 500.0, 0)]
     got = follow(points, o)
     assert [g[1] for g in got] == [0, None, None, 0, 0]
+    # a break ignores the unmatched point and the one before it; the next sequence starts at the next point
+    late = [near((100.0, 0.0), 0.0, 0), near((400.0, 0.0), 10.0, 0), ((500.0, 0.0), 95.0, []), near((700.0, 0.0), 96.0, 0)]
+    assert [g[:2] for g in follow(late, o)] == [(0, 0), (None, None), (None, None), (1, 0)]
+    far = [near((100.0, 0.0), 0.0, 0), near((400.0, 0.0), 10.0, 0), near((400.0, 9000.0), 15.0, 11), near((400.0, 9000.0), 16.0, 11)]
+    assert [g[:2] for g in follow(far, o)] == [(0, 0), (None, None), (None, None), (1, 11)]
     assert follow([], o) == [] and follow([((0.0, 0.0), None, [])], o) == [(None,) * 5]
 
 
@@ -69,32 +74,17 @@ def test_match_gives_a_row_for_every_point(spark):
     d = f"{DATA}/sf0.001"
     part, events = adapters.table(spark, d, "part"), adapters.table(spark, d, "events")
     points = adapters.trace_points(events, part)
-    got = matcher.match(points, adapters.segments(part), Options(stretch=50))
+    got = matcher.match(points, adapters.segments(part), Options(most_metres=30.0, allow_loops=True))
     rows = got.collect()
     assert len({(r["trace_id"], r["idx"]) for r in rows}) == len(rows) == points.count()
     assert all(r["distance"] <= 30 for r in rows if r["segment_id"] is not None) and any(r["segment_id"] is not None for r in rows)
 
 
-def test_stretches_change_no_result(spark):
-    d = f"{DATA}/sf0.001"
-    part, events = adapters.table(spark, d, "part"), adapters.table(spark, d, "events")
-    points, segments = adapters.trace_points(events, part), adapters.segments(part)
-    cut, whole = (sorted(map(tuple, matcher.match(points, segments, Options(stretch=n)).collect()), key=lambda r: r[:2]) for n in (50, 10**9))
-    assert cut == whole
-    # a sequence number names one run of points of its trace
-    runs = {}
-    for trace, idx, sequence, *_ in whole:
-        if sequence is not None:
-            runs.setdefault((trace, sequence), []).append(idx)
-    ends = sorted((trace, min(x), max(x)) for (trace, _), x in runs.items())
-    assert all(a[0] != b[0] or a[2] < b[1] for a, b in zip(ends, ends[1:]))
-
-
 def test_freed_sets_change_no_result(monkeypatch):
     roads = grid(5)
     places = [(300.0 + 7700 * abs(math.sin(i / 3)), 8000.0 * abs(math.cos(i / 5))) for i in range(60)]
     points = [(p, None, [] if i % 7 in (3, 4) else [r for r in (road(roads, s, p) for s in roads) if r.distance < 150]) for i, p in enumerate(places)]
-    o = Options(most_deviation=1e4, sigma=30, beta=30)
+    o = Options(allow_loops=True, most_deviation=1e4, sigma=30, beta=30)
     monkeypatch.setattr(matcher, "SETS_KEPT", 10**9)
     whole = follow(points, o)
     monkeypatch.setattr(matcher, "SETS_KEPT", 1)

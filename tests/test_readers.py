@@ -34,7 +34,7 @@ def test_csv_and_labels(spark, tmp_path):
     (tmp_path / "y.csv").write_text("id,lon,lat\na,1.5,2.5\nd,x,1\n")
     assert shapes(readers.features(spark, str(tmp_path / "x.csv"))) == WANT
     assert shapes(readers.features(spark, str(tmp_path / "y.csv"))) == {"a": WANT["a"]}
-    (tmp_path / "l.tsv").write_text("trace_id\tpoint_index\twkt\tgers\nt\t0\tPOINT (1 2)\tg\n")
+    (tmp_path / "l.tsv").write_text("trace_id\tpoint_index\twkt\tlabel\nt\t0\tPOINT (1 2)\tg\n")
     assert [tuple(r) for r in readers.labels(spark, str(tmp_path / "l.tsv")).collect()] == [("t", 0, "POINT (1 2)", "g")]
     with pytest.raises(ValueError):
         readers.features(spark, "x.shp")
@@ -46,3 +46,45 @@ def test_nulls_and_empty_lines(spark):
     ring = F.from_json(F.lit('[{"x":0,"y":0},{"x":4,"y":0},{"x":4,"y":4},{"x":0,"y":4},{"x":0,"y":0}]'), lines.COORDINATES)
     inside = spark.range(1).select(lines.in_ring(F.lit(1.0), F.lit(1.0), ring), lines.in_ring(F.lit(5.0), F.lit(1.0), ring)).first()
     assert tuple(inside) == (True, False)
+
+
+def test_printed_height_examples(spark):
+    from wayfold.functions import tags
+
+    want = {"10": 10, "   10  ": 10, "10.0": 10, "10.": 10, "10.6543": 10.6543, "10m": 10, " 10 meters": 10, "10.0 metre ": 10, "10. meter": 10, "10.6543meter": 10.6543, "10'": 3.05, "10.65 ft": 3.25, "10.65 feet ": 3.25, "10. '": 3.05, " 10.65feet ": 3.25, "10' 13\"": 3.38, "10'  13\" ": 3.38, "10'13\"": 3.38, "7\"": 0.18, "10 in": None, "tall": None, "-3": None, None: None}
+    rows = spark.createDataFrame([(t,) for t in want], "t string")
+    assert {r[0]: r[1] for r in rows.select("t", tags.height_metres(F.col("t"))).collect()} == want
+
+
+def test_languages_and_categories(spark):
+    from wayfold.functions import tags
+
+    want = {"en": "en", "ja_kana": "ja-Kana", "zh_pinyin": "zh-Latn-pinyin", "nan-POJ": "nan-Latn", "be-tarask": "be-Latn-tarask", "sr-Latn-RS": "sr-Latn-RS", "e": None, "en_x": None, "de-1996": "de-1996", "": None, None: None}
+    rows = spark.createDataFrame([(t,) for t in want], "t string")
+    assert {r[0]: r[1] for r in rows.select("t", tags.language(F.col("t"))).collect()} == want
+    line = spark.createDataFrame([("cafe; [eat_and_drink,cafe]",), ("none",), (None,)], "t string").select(tags.category_path(F.col("t")).alias("c")).collect()
+    assert (line[0].c.category, line[0].c.path) == ("cafe", ["eat_and_drink", "cafe"]) and line[1].c is None and line[2].c is None
+
+
+def test_long_chains_and_cycles_of_divisions(spark):
+    from wayfold.operators import divisions
+
+    chain = spark.createDataFrame([(f"d{i}", f"d{i - 1}" if i else None) for i in range(20)], "division_id string, parent_id string")
+    assert divisions.ancestors(chain).where("division_id = 'd19'").count() == 20 and divisions.ancestors(chain).count() == 210
+    with pytest.raises(ValueError):
+        divisions.ancestors(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "division_id string, parent_id string"))
+    assert divisions.ancestors(chain.limit(0)).count() == 0
+
+
+def test_reach_follows_metres_and_latitude(spark):
+    from wayfold.operators import spatial
+
+    def found(lat, east, most):
+        y = round((lat - 32.80) * 1e6)
+        points = spark.createDataFrame([(1, 0, float(east), float(y + 10))], "trace_id long, idx long, x double, y double")
+        segs = spark.createDataFrame([(7, 0, y, 0, y + 2000)], "segment_id long, x1 long, y1 long, x2 long, y2 long")
+        return [r.segment_id for r in spatial.nearest_segment(points, segs, most).collect()]
+
+    assert found(32.8, 1120, 200.0) == [7] and found(32.8, 1120, 100.0) == []  # about 105 m
+    assert found(60.0, -530, 30.0) == [7] and found(60.0, -560, 30.0) == []  # about 29.5 and 31.1 m
+    assert found(-85.0, 2900, 30.0) == [7] and found(32.8, 4000, 500.0) == [7]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,11 +21,30 @@ def lat(y: Column) -> Column:
     return F.lit(ORIGIN_LAT) + y / F.lit(1e6)
 
 
-def haversine(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """Metres between two points in micro-degrees, rounded to 2 places."""
+def metres(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Metres between two points in micro-degrees, not rounded."""
     a, b = F.radians(lat(y1)), F.radians(lat(y2))
     half = F.sin((b - a) / 2) * F.sin((b - a) / 2) + F.cos(a) * F.cos(b) * F.sin((F.radians(lon(x2)) - F.radians(lon(x1))) / 2) * F.sin((F.radians(lon(x2)) - F.radians(lon(x1))) / 2)
-    return F.round(F.lit(2 * EARTH_RADIUS) * F.asin(F.sqrt(half)), 2)
+    return F.lit(2 * EARTH_RADIUS) * F.asin(F.sqrt(half))
+
+
+def haversine(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Metres between two points in micro-degrees, rounded to 2 places."""
+    return F.round(metres(x1, y1, x2, y2), 2)
+
+
+def reach(most: float, y1: Column, y2: Column) -> tuple[Column, Column]:
+    """Micro-degrees east and north that `most` metres from a place between the latitudes y1 and y2 can span, rounded up."""
+    north = most / (EARTH_RADIUS * math.pi / 180) * 1.001
+    widest = F.least(F.lit(89.9), F.greatest(F.abs(lat(y1)), F.abs(lat(y2))) + F.lit(north))
+    return F.ceil(F.lit(north * 1e6) / F.cos(F.radians(widest))), F.ceil(F.lit(north * 1e6))
+
+
+def planar_square(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """The square of the metres between two near points in micro-degrees, on a plane: cheap, for filters with some slack."""
+    scale = EARTH_RADIUS * math.pi / 180 / 1e6
+    east, north = (x2 - x1) * F.lit(scale) * F.cos(F.radians(lat(y1))), (y2 - y1) * F.lit(scale)
+    return east * east + north * north
 
 
 def fraction_along(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

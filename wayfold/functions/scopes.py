@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .tags import METRES
 
-# Each travel mode's more general modes.
-WIDER = {"car": ["motor_vehicle", "vehicle"], "truck": ["motor_vehicle", "vehicle"], "motorcycle": ["motor_vehicle", "vehicle"], "bus": ["motor_vehicle", "vehicle"], "hgv": ["motor_vehicle", "vehicle"], "motor_vehicle": ["vehicle"], "bicycle": ["vehicle"], "hov": ["vehicle"], "emergency": ["vehicle"]}
+# Each travel mode's more general modes. Bus, hgv, hov and emergency have none that is documented.
+WIDER = {"car": ["motor_vehicle", "vehicle"], "truck": ["motor_vehicle", "vehicle"], "motorcycle": ["motor_vehicle", "vehicle"], "motor_vehicle": ["vehicle"], "bicycle": ["vehicle"]}
 DAYS = ["Mo", "Tu", "We", "Th", "Fr", "Sa", "Su"]
 # Kilograms in each unit of weight, km/h in each unit of speed.
 KILOGRAMS = {"oz": 0.028349523125, "lb": 0.45359237, "st": 6.35029318, "lt": 1016.0469088, "g": 0.001, "kg": 1.0, "t": 1000.0}

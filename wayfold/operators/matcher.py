@@ -5,8 +5,8 @@ trace is followed point by point from its first to its last, since revisit penal
 a later point can revise any earlier one. So a whole trace is one task's work and memory.
 
 Defined cases: a point without a candidate, or that no route reaches, is ignored together with the retained point
-before it; the sequence goes on from the one before that, or breaks if the time or distance from it is too large. Ties
-go to the smaller segment id. Points without coordinates take part as points without candidates.
+before it; the sequence goes on from the one before that, or ends there if the time or distance from the ignored one is
+too large, and the next sequence starts at the next point. Ties go to the smaller segment id. Points without coordinates take part as points without candidates.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_RADIUS, fraction_along, haversine
+from ..functions.geo import EARTH_RADIUS, haversine
 from ..sources.adapters import ORIGIN_LAT, ORIGIN_LON
-from .spatial import candidates
+from .spatial import snapped
 
 RESULT = "trace_id long, idx long, sequence int, segment_id long, distance double, route_m double, revisits int"
 #: Connectors that a path remembers for counting revisits.
@@ -33,15 +33,13 @@ SETS_KEPT = 8
 class Options:
     sigma: float = 4.1
     beta: float = 0.9
-    most_metres: float = 30.0
+    most_metres: float = 10.0
     most_deviation: float = 300.0
     segment_penalty: float = 100.0
     via_penalty: float = 100.0
     gap_seconds: float = 60.0
     gap_metres: float = 300.0
-    allow_loops: bool = True
-    #: Without effect since traces are followed whole; kept for callers that set it.
-    stretch: int = 5000
+    allow_loops: bool = False
 
 
 @dataclass
@@ -190,25 +188,17 @@ def follow(points: list[tuple[tuple, float | None, list[Road]]], o: Options) ->
 
     for row, (place, seconds, roads) in enumerate(points):
         roads = sorted(roads, key=lambda r: r.segment)
-        while True:
-            if not layers:
-                states = first_states(roads, o)
-            else:
-                prev = layers[-1]
-                trace_m = metres(prev.place, place)
-                states = next_states(prev, roads, trace_m, links, o)
-                late = seconds is not None and prev.seconds is not None and seconds - prev.seconds > o.gap_seconds
-                if not states and (late or trace_m > o.gap_metres):
-                    close()
-                    continue
-            if states:
-                layers.append(Layer(row, place, seconds, states))
-                if len(layers) > SETS_KEPT:
-                    for s in layers[-SETS_KEPT - 1].states:
-                        s.segments = s.vias = None
-            elif layers:
-                layers.pop()
-            break
+        states = next_states(layers[-1], roads, metres(layers[-1].place, place), links, o) if layers else first_states(roads, o)
+        if states:
+            layers.append(Layer(row, place, seconds, states))
+            if len(layers) > SETS_KEPT:
+                for s in layers[-SETS_KEPT - 1].states:
+                    s.segments = s.vias = None
+        elif layers:
+            prev = layers.pop()
+            late = seconds is not None and prev.seconds is not None and seconds - prev.seconds > o.gap_seconds
+            if late or metres(prev.place, place) > o.gap_metres:
+                close()
     close()
     return [x or (None,) * 5 for x in out]
 
@@ -219,10 +209,7 @@ def match(points: DataFrame, segs: DataFrame, options: Options | None = None) ->
     points: trace_id, idx, ts, x, y; segs: segment_id, x1, y1, x2, y2, from_node, to_node.
     """
     o = options or Options()
-    at = fraction_along(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    snapped = candidates(points.select("trace_id", "idx", "x", "y"), segs).withColumn("at", at)
-    snapped = snapped.withColumns({"sx": F.col("x1") + F.col("at") * (F.col("x2") - F.col("x1")), "sy": F.col("y1") + F.col("at") * (F.col("y2") - F.col("y1"))})
-    near = snapped.withColumn("distance", haversine(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"))).where(F.col("distance") <= o.most_metres)
+    near = snapped(points.select("trace_id", "idx", "x", "y"), segs, o.most_metres).withColumn("distance", haversine(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"))).where(F.col("distance") <= o.most_metres)
     road = F.struct("segment_id", "from_node", "to_node", "x1", "y1", "x2", "y2", "sx", "sy", "distance")
     roads = near.groupBy("trace_id", "idx").agg(F.collect_list(road).alias("roads"))
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6

@@ -5,31 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import fraction_along, haversine
+from ..functions.geo import fraction_along, haversine, metres, planar_square, reach
 
-#: Edge of a grid cell and reach of a segment beyond its box, in micro-degrees; the reach covers 30 m in the grid's latitude.
-CELL, REACH = 2000, 400
+#: Edge of a grid cell in micro-degrees.
+CELL = 2000
+MOST_METRES = 30.0
 
 
-def cells_of_segments(segs: DataFrame, cell: int = CELL, reach: int = REACH) -> DataFrame:
-    """segs with cx, cy: every cell that its box, widened by reach, touches. Points then need their own cell only."""
-    span = lambda a, b: F.sequence(F.floor((F.least(a, b) - reach) / cell), F.floor((F.greatest(a, b) + reach) / cell))
-    return segs.withColumn("cx", F.explode(span(F.col("x1"), F.col("x2")))).withColumn("cy", F.explode(span(F.col("y1"), F.col("y2"))))
+def cells_of_segments(segs: DataFrame, most_metres: float = MOST_METRES, cell: int = CELL) -> DataFrame:
+    """segs with cx, cy: every cell that its box, widened by most_metres, touches. Points then need their own cell only."""
+    east, north = reach(most_metres, F.col("y1"), F.col("y2"))
+    span = lambda a, b, by: F.sequence(F.floor((F.least(a, b) - by) / cell), F.floor((F.greatest(a, b) + by) / cell))
+    return segs.withColumn("cx", F.explode(span(F.col("x1"), F.col("x2"), east))).withColumn("cy", F.explode(span(F.col("y1"), F.col("y2"), north)))
 
 
-def candidates(points: DataFrame, segs: DataFrame) -> DataFrame:
-    """Pairs of a point and the segments that reach into its cell: an equi-join on the cell, never a cross join."""
+def candidates(points: DataFrame, segs: DataFrame, most_metres: float = MOST_METRES) -> DataFrame:
+    """Pairs of a point and the segments within most_metres of its cell: an equi-join on the cell, never a cross join."""
     located = points.withColumns({"cx": F.floor(F.col("x") / CELL), "cy": F.floor(F.col("y") / CELL)})
-    return located.join(cells_of_segments(segs), ["cx", "cy"])
+    return located.join(cells_of_segments(segs, most_metres), ["cx", "cy"])
 
 
-def nearest_segment(points: DataFrame, segs: DataFrame, most_metres: float = 30.0) -> DataFrame:
-    """trace_id, idx, segment_id, at, distance: the nearest segment within most_metres; ties to the smaller id."""
+def snapped(points: DataFrame, segs: DataFrame, most_metres: float = MOST_METRES) -> DataFrame:
+    """candidates() with at, sx, sy: where on the segment its nearest place to the point lies; far ones are mostly left out."""
     t = fraction_along(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    snapped = candidates(points, segs).withColumn("at", t).withColumns({"sx": F.col("x1") + F.col("at") * (F.col("x2") - F.col("x1")), "sy": F.col("y1") + F.col("at") * (F.col("y2") - F.col("y1"))})
-    near = snapped.withColumn("distance", haversine(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"))).where(F.col("distance") <= most_metres)
-    # min_by with partial aggregation: no sort, and one row a point and task in the shuffle.
-    best = near.groupBy("trace_id", "idx").agg(F.min(F.struct("distance", "segment_id", "at")).alias("b"))
+    placed = candidates(points, segs, most_metres).withColumn("at", t).withColumns({"sx": F.col("x1") + F.col("at") * (F.col("x2") - F.col("x1")), "sy": F.col("y1") + F.col("at") * (F.col("y2") - F.col("y1"))})
+    return placed.where(planar_square(F.col("x"), F.col("y"), F.col("sx"), F.col("sy")) <= (1.01 * most_metres + 0.1) ** 2)
+
+
+def nearest_segment(points: DataFrame, segs: DataFrame, most_metres: float = MOST_METRES) -> DataFrame:
+    """trace_id, idx, segment_id, at, distance: the nearest segment within most_metres; ties to the smaller id.
+
+    The exact distance is taken once, of the candidates that a planar filter leaves, and tested after the aggregation.
+    """
+    near = snapped(points, segs, most_metres).select("trace_id", "idx", haversine(F.col("x"), F.col("y"), F.col("sx"), F.col("sy")).alias("distance"), "segment_id", "at")
+    best = near.groupBy("trace_id", "idx").agg(F.min(F.struct("distance", "segment_id", "at")).alias("b")).where(F.col("b.distance") <= most_metres)
     return best.select("trace_id", "idx", "b.segment_id", F.round("b.at", 6).alias("at"), "b.distance")
 
 
@@ -52,8 +61,7 @@ def connector_check(connectors: DataFrame) -> DataFrame:
 
 def length_share(segs: DataFrame) -> DataFrame:
     """subtype, length in km and its share of all length."""
-    metres = haversine(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    by = segs.groupBy("subtype").agg(F.sum(metres).alias("metres"))
+    by = segs.groupBy("subtype").agg(F.sum(metres(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))).alias("metres"))
     total = by.agg(F.sum("metres").alias("total"))  # one row
     return by.crossJoin(F.broadcast(total)).select("subtype", F.round(F.col("metres") / 1000, 2).alias("km"), F.round(F.col("metres") / F.col("total"), 4).alias("share"))
 

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine
+from ..functions.geo import metres
 
 
 def steps(points: DataFrame) -> DataFrame:
-    """points with step_m (metres from the point before) and step_s (seconds from it); null at the first point."""
+    """points with step_m (metres from the point before), raw_m (not rounded) and step_s (seconds); null at the first point."""
     w = Window.partitionBy("trace_id").orderBy("idx")
     before = {f"_{c}": F.lag(c).over(w) for c in ("x", "y", "ts")}
     met = points.withColumns(before)
     seconds = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_ts").cast("timestamp"))) / 1e6
-    return met.withColumns({"step_m": haversine(F.col("_x"), F.col("_y"), F.col("x"), F.col("y")), "step_s": F.round(seconds, 3)}).drop("_x", "_y", "_ts")
+    raw = metres(F.col("_x"), F.col("_y"), F.col("x"), F.col("y"))
+    return met.withColumns({"raw_m": raw, "step_m": F.round(raw, 2), "step_s": F.round(seconds, 3)}).drop("_x", "_y", "_ts")
 
 
 def parts(points: DataFrame, gap_m: float = 100.0, gap_s: float | None = None) -> DataFrame:
@@ -27,7 +28,7 @@ def parts(points: DataFrame, gap_m: float = 100.0, gap_s: float | None = None) -
 
 def metrics(points: DataFrame, matched: DataFrame) -> DataFrame:
     """Per trace: points, length in metres, matched points, mean distance to the road (null without a match), share matched."""
-    lengths = steps(points).groupBy("trace_id").agg(F.count("*").alias("n_points"), F.round(F.sum("step_m"), 2).alias("length_m"))
+    lengths = steps(points).groupBy("trace_id").agg(F.count("*").alias("n_points"), F.round(F.sum("raw_m"), 2).alias("length_m"))
     roads = matched.groupBy("trace_id").agg(F.count("*").alias("n_matched"), F.round(F.avg("distance"), 2).alias("mean_distance_m"))
     both = lengths.join(roads, "trace_id", "left").withColumn("n_matched", F.coalesce("n_matched", F.lit(0).cast("long")))
     return both.withColumn("percent_matched", F.round(100.0 * F.col("n_matched") / F.col("n_points"), 2))
@@ -45,9 +46,9 @@ def error_rate(matched: DataFrame, labels: DataFrame, lengths: DataFrame) -> Dat
     labels: trace_id, idx, label_id; lengths: steps(). A labelled point without a match counts as wrong.
     """
     met = labels.join(matched, ["trace_id", "idx"], "left").join(lengths.select("trace_id", "idx", "step_m"), ["trace_id", "idx"], "left")
-    metres = F.coalesce("step_m", F.lit(0.0))
-    wrong = F.when(F.col("segment_id").eqNullSafe(F.col("label_id")), 0.0).otherwise(metres)
-    by = met.groupBy("trace_id").agg(F.round(F.sum(metres), 2).alias("total_distance"), F.round(F.sum(wrong), 2).alias("wrong_distance"))
+    step = F.coalesce("step_m", F.lit(0.0))
+    wrong = F.when(F.col("segment_id").eqNullSafe(F.col("label_id")), 0.0).otherwise(step)
+    by = met.groupBy("trace_id").agg(F.round(F.sum(step), 2).alias("total_distance"), F.round(F.sum(wrong), 2).alias("wrong_distance"))
     return by.withColumn("error_rate", F.when(F.col("total_distance") == 0, -1.0).otherwise(F.round(F.col("wrong_distance") / F.col("total_distance"), 4)))
 
 

@@ -32,7 +32,7 @@ def f34_bbox(spark, d):
 
 
 def f35_point_at(spark, d):
-    at = _bent(spark, d).where("segment_id % 3 <> 0").select("segment_id", lines.point_at(F.col("line"), (F.col("segment_id") % 5) / 4.0).alias("p"))
+    at = _bent(spark, d).select("segment_id", lines.point_at(F.col("line"), (F.col("segment_id") % 5) / 4.0).alias("p"))
     return at.select("segment_id", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
 
 
@@ -149,9 +149,9 @@ named AS (SELECT *, CASE tag WHEN 'name' THEN 'common' WHEN 'name:en' THEN 'comm
 ORACLE_SQL = {
     "f02_line_length": f"WITH {SEGMENTS} SELECT segment_id, round({_L1} + {_L2} + CASE WHEN segment_id % 3 = 0 THEN {_L3} ELSE 0 END, 2) AS metres FROM seg",
     "f34_bbox": f"WITH {SEGMENTS} SELECT segment_id, round({_LON.format('x1')}, 6) AS xmin, round({_LAT.format('y1')}, 6) AS ymin, round({_LON.format('x2')}, 6) AS xmax, round({_LAT.format('(y2 + 500)')}, 6) AS ymax FROM seg",
-    "f35_point_at": f"""WITH {SEGMENTS}, l AS (SELECT *, {_L1} AS l1, {_L2} AS l2, (segment_id % 5) / 4.0::DOUBLE AS s FROM seg WHERE segment_id % 3 <> 0), q AS (SELECT *, s * (l1 + l2) AS t FROM l)
-        SELECT segment_id, round(CASE WHEN t <= l1 THEN {_LON.format('x1')} + coalesce(t / nullif(l1, 0), 0) * ({_LON.format('x2')} - {_LON.format('x1')}) ELSE {_LON.format('x2')} END, 6) AS x,
-        round(CASE WHEN t <= l1 THEN {_LAT.format('y1')} ELSE {_LAT.format('y1')} + least(1.0::DOUBLE, (t - l1) / l2) * ({_LAT.format('(y2 + 500)')} - {_LAT.format('y1')}) END, 6) AS y FROM q""",
+    "f35_point_at": f"""WITH {SEGMENTS}, l AS (SELECT *, {_L1} AS l1, {_L2} AS l2, CASE WHEN segment_id % 3 = 0 THEN {_L3} ELSE 0 END AS l3, (segment_id % 5) / 4.0::DOUBLE AS s FROM seg), q AS (SELECT *, s * (l1 + l2 + l3) AS t, greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce((s * (l1 + l2 + l3) - l1 - l2) / nullif(l3, 0), 0))) AS back FROM l)
+        SELECT segment_id, round(CASE WHEN t <= l1 THEN {_LON.format('x1')} + coalesce(t / nullif(l1, 0), 0) * ({_LON.format('x2')} - {_LON.format('x1')}) ELSE {_LON.format('x2')} + back * ({_LON.format('x1')} - {_LON.format('x2')}) END, 6) AS x,
+        round(CASE WHEN t <= l1 THEN {_LAT.format('y1')} ELSE {_LAT.format('y1')} + (least(1.0::DOUBLE, (t - l1) / l2) - back) * ({_LAT.format('(y2 + 500)')} - {_LAT.format('y1')}) END, 6) AS y FROM q""",
     "d07_loops": f"WITH {SEGMENTS} SELECT segment_id, segment_id % 3 = 0 AS is_loop, x1 = x2 AS repeats_a_point FROM seg",
     "s05_wkt_decode": f"WITH {SEGMENTS} SELECT segment_id, CASE WHEN segment_id % 3 = 0 THEN 4 ELSE 3 END::BIGINT AS n_points, round({_LON.format('x2')}, 6) AS x2 FROM seg",
     "s06_geojson_decode": f"WITH {SEGMENTS} SELECT segment_id, round({_L1} + {_L2} + CASE WHEN segment_id % 3 = 0 THEN {_L3} ELSE 0 END, 2) AS metres FROM seg WHERE segment_id % 11 <> 0 AND segment_id % 4 = 2",

@@ -18,15 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def grid_side(part: DataFrame) -> DataFrame:
-    """One row: n, the nodes along a side of the road grid."""
-    return part.agg(F.floor(F.sqrt(F.count("*") / 2)).cast("long").alias("n"))
+    """One row: n, the nodes along a side of a road grid that has an edge for every key up to the largest."""
+    return part.agg((F.floor(F.sqrt(F.coalesce(F.max("p_partkey"), F.lit(0)) / 2)) + 2).cast("long").alias("n"))
 
 
 def segments(part: DataFrame) -> DataFrame:
     """Road segments of a square grid: segment_id, x1, y1, x2, y2, from_node, to_node, subtype, width."""
     k, n = F.col("p_partkey"), F.col("n")
     flat = F.col("flat")
-    numbered = part.select(k.cast("long"), "p_type", "p_size").crossJoin(F.broadcast(grid_side(part))).withColumn("m", n * (n - 1)).where((k >= 0) & (k < 2 * F.col("m")))
+    numbered = part.select(k.cast("long"), "p_type", "p_size").crossJoin(F.broadcast(grid_side(part))).withColumn("m", n * (n - 1))
     along = numbered.withColumn("flat", k < F.col("m")).withColumn("r", F.pmod(k, F.col("m")))
     a, b = F.expr("r div (n - 1)"), F.expr("r % (n - 1)")
     placed = along.withColumns({"row": F.when(flat, a).otherwise(b), "col": F.when(flat, b).otherwise(a)})
@@ -45,7 +45,12 @@ def connectors(segs: DataFrame) -> DataFrame:
 
 
 def trace_points(events: DataFrame, part: DataFrame) -> DataFrame:
-    """GPS points: trace_id, idx (from 0), ts, x, y; traces are users, ordered by time and event."""
+    """GPS points: trace_id, idx (from 0), ts, x, y; traces are users, ordered by time and event.
+
+    Traces are dealt once by user, in the session's number of partitions: the window and what follows a broadcast join
+    keep that many tasks.
+    """
+    events = events.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), "user_id")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     idx = F.row_number().over(order) - 1
     numbered = events.select("user_id", "event_id", "ts", idx.cast("long").alias("idx")).crossJoin(F.broadcast(grid_side(part)))
@@ -65,19 +70,20 @@ def rules(lineitem: DataFrame) -> DataFrame:
 
 
 def divisions(region: DataFrame, nation: DataFrame, customer: DataFrame) -> DataFrame:
-    """A division tree country - region - locality: division_id, parent_id, subtype, country, driving_side, population."""
-    country = region.select(F.concat(F.lit("c"), F.col("r_regionkey").cast("string")).alias("division_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("country").alias("subtype"), F.concat(F.lit("X"), F.substring("r_name", 1, 1)).alias("country"), F.when(F.col("r_regionkey") % 2 == 0, "right").otherwise("left").alias("driving_side"), F.lit(0).cast("long").alias("population"))
+    """A division tree country - region - locality: division_id, name, parent_id, subtype, country, region, driving_side, population."""
+    country = region.select(F.concat(F.lit("c"), F.col("r_regionkey").cast("string")).alias("division_id"), F.col("r_name").alias("name"), F.lit(None).cast("string").alias("parent_id"), F.lit("country").alias("subtype"), F.concat(F.lit("X"), F.substring("r_name", 1, 1)).alias("country"), F.lit(None).cast("string").alias("region"), F.when(F.col("r_regionkey") % 2 == 0, "right").otherwise("left").alias("driving_side"), F.lit(0).cast("long").alias("population"))
     nk = F.col("n_nationkey")
-    middle = nation.select(F.concat(F.lit("r"), nk.cast("string")).alias("division_id"), F.concat(F.lit("c"), F.col("n_regionkey").cast("string")).alias("parent_id"), F.lit("region").alias("subtype"), F.lit(None).cast("string").alias("country"), F.when(nk % 5 == 0, "left").alias("driving_side"), F.lit(0).cast("long").alias("population"))
-    leaf = customer.select(F.concat(F.lit("l"), F.col("c_custkey").cast("string")).alias("division_id"), F.concat(F.lit("r"), F.col("c_nationkey").cast("string")).alias("parent_id"), F.lit("locality").alias("subtype"), F.lit(None).cast("string").alias("country"), F.when(F.col("c_custkey") % 97 == 0, "left").alias("driving_side"), F.floor(F.abs("c_acctbal")).cast("long").alias("population"))
+    middle = nation.select(F.concat(F.lit("r"), nk.cast("string")).alias("division_id"), F.col("n_name").alias("name"), F.concat(F.lit("c"), F.col("n_regionkey").cast("string")).alias("parent_id"), F.lit("region").alias("subtype"), F.lit(None).cast("string").alias("country"), F.concat(F.lit("X-"), nk.cast("string")).alias("region"), F.when(nk % 5 == 0, "left").alias("driving_side"), F.lit(0).cast("long").alias("population"))
+    leaf = customer.select(F.concat(F.lit("l"), F.col("c_custkey").cast("string")).alias("division_id"), F.col("c_name").alias("name"), F.concat(F.lit("r"), F.col("c_nationkey").cast("string")).alias("parent_id"), F.lit("locality").alias("subtype"), F.lit(None).cast("string").alias("country"), F.lit(None).cast("string").alias("region"), F.when(F.col("c_custkey") % 97 == 0, "left").alias("driving_side"), F.floor(F.abs("c_acctbal")).cast("long").alias("population"))
     return country.unionAll(middle).unionAll(leaf)
 
 
 def heights(part: DataFrame) -> DataFrame:
-    """feature_id and a height tag in one of the documented spellings."""
+    """feature_id and a height tag in one of the documented spellings, or in none."""
     k, size = F.col("p_partkey"), F.col("p_size").cast("string")
-    forms = [size, F.concat(size, F.lit(" m")), F.concat(size, F.lit(".5m")), F.concat(size, F.lit(" ft")), F.concat(size, F.lit("'")), F.concat(size, F.lit("'6\"")), F.concat(size, F.lit("\"")), F.lit("tall"), F.concat(F.lit(" "), size, F.lit(".25 meters "))]
+    with_ = lambda before, after: F.concat(F.lit(before), size, F.lit(after))
+    forms = [size, with_("", " m"), with_("", ".5m"), with_("", " ft"), with_("", ". '"), with_(" ", "'  6.5\" "), with_("", "\""), F.lit("tall"), with_(" ", ".25 meters "), with_("", "."), with_("", ". metre"), with_("", ".65feet "), with_("", " in")]
     chosen = F.lit(None).cast("string")
     for i, f in enumerate(forms):
-        chosen = F.when(F.pmod(k, F.lit(9)) == i, f).otherwise(chosen)
+        chosen = F.when(F.pmod(k, F.lit(len(forms))) == i, f).otherwise(chosen)
     return part.select(k.cast("long").alias("feature_id"), chosen.alias("height"))
