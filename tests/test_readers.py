@@ -88,3 +88,28 @@ def test_reach_follows_metres_and_latitude(spark):
     assert found(32.8, 1120, 200.0) == [7] and found(32.8, 1120, 100.0) == []  # about 105 m
     assert found(60.0, -530, 30.0) == [7] and found(60.0, -560, 30.0) == []  # about 29.5 and 31.1 m
     assert found(-85.0, 2900, 30.0) == [7] and found(32.8, 4000, 500.0) == [7]
+
+
+def test_all_geometry_types_and_cells(spark):
+    text = {"Point": "[1,2]", "MultiPoint": "[[1,2],[3,4]]", "LineString": "[[0,0],[2,0]]", "MultiLineString": "[[[0,0],[2,0]],[[5,5],[5,6]]]", "Polygon": "[[[0,0],[4,0],[4,4],[0,4],[0,0]]]", "MultiPolygon": "[[[[0,0],[4,0],[4,4],[0,4],[0,0]]],[[[9,9],[10,9],[10,10],[9,9]]]]", "Circle": "[1]"}
+    rows = spark.createDataFrame([(k, f'{{"type":"{k}","coordinates":{v}}}') for k, v in text.items()], "k string, g string").withColumn("p", lines.parts_from_geojson(F.col("g")))
+    assert {r.k: r.n for r in rows.select("k", F.size("p").alias("n")).collect()} == {"Point": 1, "MultiPoint": 2, "LineString": 1, "MultiLineString": 2, "Polygon": 1, "MultiPolygon": 2, "Circle": None}
+    cells = rows.where("k = 'MultiPolygon'").select(F.size(lines.multi_cells(F.col("p"), lambda part: lines.polygon_cells(part, F.lit(1.0)))).alias("n")).first()
+    assert cells.n == 25 + 4  # the square reaches into a fifth row and column; the triangle's corners touch four cells
+    hole = spark.range(1).select(F.size(lines.polygon_cells(F.from_json(F.lit('[[{"x":0,"y":0},{"x":9,"y":0},{"x":9,"y":9},{"x":0,"y":9},{"x":0,"y":0}],[{"x":3,"y":3},{"x":6,"y":3},{"x":6,"y":6},{"x":3,"y":6},{"x":3,"y":3}]]'), f"array<{lines.COORDINATES}>"), F.lit(1.0))).alias("n")).first()
+    assert hole.n == 100 - 9
+    steep = spark.range(1).select(lines.line_cells(F.from_json(F.lit('[{"x":0.5,"y":0.5},{"x":1.5,"y":3.5}]'), lines.COORDINATES), F.lit(1.0)).alias("c")).first().c
+    assert sorted(map(tuple, steep)) == [(0, 0), (0, 1), (0, 2), (1, 2), (1, 3)] or sorted(map(tuple, steep)) == [(0, 0), (0, 1), (1, 2), (1, 3), (0, 2)]
+
+
+def test_vehicle_and_sequences(spark):
+    from wayfold.operators import rules
+
+    entry = "array<struct<dimension:string,comparison:string,value:double,unit:string>>"
+    rows = spark.createDataFrame([(1, [("weight", "greater_than", 3.5, "t")]), (2, [("height", "less_than_equal", 10.0, "ft"), ("axle_count", "equal", 2.0, None)]), (3, None), (4, [("length", "less_than", 1.0, "m")]), (5, [])], f"k int, v {entry}")
+    facts = F.create_map(F.lit("weight"), F.lit(4000.0), F.lit("height"), F.lit(3.0), F.lit("axle_count"), F.lit(2.0))
+    assert [r[0] for r in rows.orderBy("k").select(rules.vehicle_holds(F.col("v"), facts)).collect()] == [True, True, True, False, True]
+    steps = [(1, 0, None, 10, "forward"), (1, 1, 100, 11, "forward"), (1, 2, 101, 12, "backward"), (2, 0, None, 9, "forward"), (2, 1, 99, 10, "forward"), (2, 2, 100, 11, "forward"), (2, 3, 101, 12, "forward"), (3, 0, None, 10, "forward"), (3, 1, 100, 11, "forward")]
+    routes = spark.createDataFrame(steps, "route_id int, step int, connector_id int, segment_id int, heading string")
+    bans = spark.createDataFrame([(1, 10, [(100, 11), (101, 12)], "backward"), (2, 9, [(99, 10), (100, 11)], "backward")], "restriction_id int, segment_id int, sequence array<struct<connector_id:int,segment_id:int>>, final_heading string")
+    assert [r.route_id for r in rules.prohibited(routes, bans).collect()] == [1]

@@ -56,3 +56,32 @@ def fraction_along(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y
 
 def wkt_point(x: Column, y: Column) -> Column:
     return F.concat(F.lit("POINT ("), F.format_string("%.6f", lon(x)), F.lit(" "), F.format_string("%.6f", lat(y)), F.lit(")"))
+
+
+def local(x: Column, y: Column, base: Column) -> tuple[Column, Column]:
+    """Metres east and north on the plane that touches the earth at the latitude of base (all in micro-degrees)."""
+    scale = EARTH_RADIUS * math.pi / 180 / 1e6
+    return x * F.lit(scale) * F.cos(F.radians(lat(base))), y * F.lit(scale)
+
+
+def projected(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """struct(d2, x, y): the nearest place of an edge to a point, and the square of the distance, on a plane."""
+    t = fraction_along(px, py, x1, y1, x2, y2)
+    x, y = x1 + t * (x2 - x1), y1 + t * (y2 - y1)
+    return F.struct(((px - x) * (px - x) + (py - y) * (py - y)).alias("d2"), x.alias("x"), y.alias("y"))
+
+
+def edge_gap(a: tuple, b: tuple) -> Column:
+    """The square of the distance between two edges (x1, y1, x2, y2) on a plane; 0 where they cross."""
+    ends = [projected(*a[:2], *b)["d2"], projected(*a[2:], *b)["d2"], projected(*b[:2], *a)["d2"], projected(*b[2:], *a)["d2"]]
+    side = lambda p, q, e: (e[2] - e[0]) * (q - e[1]) - (e[3] - e[1]) * (p - e[0])
+    cross = (side(*a[:2], b) * side(*a[2:], b) < 0) & (side(*b[:2], a) * side(*b[2:], a) < 0)
+    return F.when(cross, 0.0).otherwise(F.least(*ends))
+
+
+def nearest_between(a: tuple, b: tuple) -> Column:
+    """struct(x, y) on edge a that is nearest to edge b, in the edges' own units: a shared end if there is one, else the best of four projections."""
+    from_b = [projected(*b[:2], *a), projected(*b[2:], *a)]  # places on a
+    own = [F.struct(projected(*a[i : i + 2], *b)["d2"].alias("d2"), (a[i] * 1.0).alias("x"), (a[i + 1] * 1.0).alias("y")) for i in (0, 2)]
+    ranked = F.array(*(F.struct(c["d2"].alias("d2"), F.lit(k).alias("k"), c["x"].alias("x"), c["y"].alias("y")) for k, c in enumerate([*own, *from_b])))
+    return F.array_min(ranked)

@@ -69,16 +69,43 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
 
 
 def line_cells(line: Column, cell: Column) -> Column:
-    """struct(cx, cy) of all square cells in the boxes of a line's edges: a superset of those that it crosses."""
+    """struct(cx, cy) of the square cells that a line's edges cross, corner touches included."""
     n = F.size(line)
     at = lambda v: F.floor(v / cell)
 
-    def box(a, b):
-        xs = F.sequence(F.least(at(a["x"]), at(b["x"])), F.greatest(at(a["x"]), at(b["x"])))
-        ys = F.sequence(F.least(at(a["y"]), at(b["y"])), F.greatest(at(a["y"]), at(b["y"])))
-        return F.flatten(F.transform(xs, lambda cx: F.transform(ys, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
+    def crossed(a, b):
+        low, high = F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])
+        slope = (b["y"] - a["y"]) / F.nullif(b["x"] - a["x"], F.lit(0.0))
 
-    return F.array_distinct(F.flatten(F.zip_with(F.slice(line, 1, n - 1), F.slice(line, 2, n - 1), box)))
+        def column(cx):
+            # The part of the edge inside the column of cells; a vertical edge lies in it whole.
+            left, right = F.greatest(low, cx * cell), F.least(high, (cx + 1) * cell)
+            p = F.coalesce(a["y"] + slope * (left - a["x"]), a["y"])
+            q = F.coalesce(a["y"] + slope * (right - a["x"]), b["y"])
+            return F.transform(F.sequence(at(F.least(p, q)), at(F.greatest(p, q))), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
+
+        return F.flatten(F.transform(F.sequence(at(low), at(high)), column))
+
+    return F.array_distinct(F.flatten(F.zip_with(F.slice(line, 1, n - 1), F.slice(line, 2, n - 1), crossed)))
+
+
+def polygon_cells(rings: Column, cell: Column) -> Column:
+    """struct(cx, cy) of the cells whose centre lies inside a polygon (an array of closed rings, the first one outside) and of those that its outer ring crosses."""
+    outer = F.get(rings, F.lit(0))
+    box = bbox(outer)
+    span = lambda low, high: F.sequence(F.floor(box[low] / cell), F.floor(box[high] / cell))
+
+    def inside(c):
+        x, y = (c["cx"] + 0.5) * cell, (c["cy"] + 0.5) * cell
+        return in_ring(x, y, outer) & ~F.exists(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), lambda hole: in_ring(x, y, hole))
+
+    every = F.flatten(F.transform(span("xmin", "xmax"), lambda cx: F.transform(span("ymin", "ymax"), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
+    return F.array_union(F.filter(every, inside), line_cells(outer, cell))
+
+
+def multi_cells(parts: Column, cells_of) -> Column:
+    """The cells of all parts of a multi-geometry, each once."""
+    return F.array_distinct(F.flatten(F.transform(parts, cells_of)))
 
 
 def ring_of_cells(cells: Column, k: int = 1) -> Column:
@@ -101,6 +128,26 @@ def from_wkt(text: Column) -> Column:
     return F.when(text.rlike(r"(?i)^\s*(POINT|LINESTRING)\b[^()]*\([^()]+\)\s*\z"), points)
 
 
+POLYGONS = f"array<array<{COORDINATES}>>"
+
+
+def parts_from_geojson(geometry: Column) -> Column:
+    """Any GeoJSON geometry text as polygons or lines: an array of parts, each an array of rings or of one line or point."""
+    kind = F.get_json_object(geometry, "$.type")
+    raw = F.get_json_object(geometry, "$.coordinates")
+    pair = lambda c: F.struct(F.get(c, F.lit(0)).alias("x"), F.get(c, F.lit(1)).alias("y"))
+    read = lambda depth: F.from_json(raw, "array<" * depth + "double" + ">" * depth)
+    line = lambda c: F.transform(c, pair)
+    return (
+        F.when(kind == "Point", F.array(F.array(F.array(pair(read(1))))))
+        .when(kind == "MultiPoint", F.transform(read(2), lambda c: F.array(F.array(pair(c)))))
+        .when(kind == "LineString", F.array(F.array(line(read(2)))))
+        .when(kind == "MultiLineString", F.transform(read(3), lambda c: F.array(line(c))))
+        .when(kind == "Polygon", F.array(F.transform(read(3), line)))
+        .when(kind == "MultiPolygon", F.transform(read(4), lambda c: F.transform(c, line)))
+    )
+
+
 def from_geojson(geometry: Column) -> Column:
     """Coordinates of a GeoJSON Point or LineString text; null for other types and for text that is not JSON."""
     kind = F.get_json_object(geometry, "$.type")

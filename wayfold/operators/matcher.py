@@ -23,8 +23,6 @@ from ..sources.adapters import ORIGIN_LAT, ORIGIN_LON
 from .spatial import snapped
 
 RESULT = "trace_id long, idx long, sequence int, segment_id long, distance double, route_m double, revisits int"
-#: Connectors that a path remembers for counting revisits.
-VIA_MEMORY = 100
 #: Last layers whose states keep their sets; those of earlier ones are freed, and made again from the way back if needed.
 SETS_KEPT = 8
 
@@ -133,10 +131,6 @@ def first_states(roads: list[Road], o: Options) -> list[State]:
     return [State(r, emission(r.distance, o), segments=frozenset([r.segment])) for r in roads]
 
 
-def grown(vias, via: tuple[int, ...]):
-    return vias if len(vias) >= VIA_MEMORY or not via else vias | set(via)
-
-
 def restored(state: State) -> State:
     """state with its sets, which its way back gives."""
     if state.segments is None:
@@ -144,10 +138,7 @@ def restored(state: State) -> State:
         while s is not None:
             way.append(s)
             s = s.before
-        vias = frozenset()
-        for s in reversed(way):
-            vias = grown(vias, s.via)
-        state.segments, state.vias = frozenset(s.road.segment for s in way), vias
+        state.segments, state.vias = frozenset(s.road.segment for s in way), frozenset(v for s in way for v in s.via)
     return state
 
 
@@ -166,7 +157,7 @@ def next_states(prev: Layer, roads: list[Road], trace_m: float, links: dict, o:
             score = s.score + emission(r.distance, o) - math.log(o.beta) - gap / o.beta - seen * o.via_penalty - again * o.segment_penalty
             if k not in found or score > found[k].score:
                 segments = s.segments if r.segment in s.segments else s.segments | {r.segment}
-                found[k] = State(r, score, s, length, int(again) + seen, segments, grown(s.vias, via), via)
+                found[k] = State(r, score, s, length, int(again) + seen, segments, s.vias.union(via) if via else s.vias, via)
     return [found[k] for k in sorted(found)]
 
 
@@ -203,6 +194,16 @@ def follow(points: list[tuple[tuple, float | None, list[Road]]], o: Options) ->
     return [x or (None,) * 5 for x in out]
 
 
+def metrics(points: DataFrame, matched: DataFrame) -> DataFrame:
+    """Per trace of match(): points, points with a match, route length, mean distance to the road (null without a match), revisits, distinct segments, sequences."""
+    counts = points.groupBy("trace_id").agg(F.count("*").alias("n_points"))
+    hit = matched.where("segment_id is not null").groupBy("trace_id").agg(
+        F.count("*").alias("n_matched"), F.round(F.sum("route_m"), 2).alias("route_m"), F.round(F.avg("distance"), 2).alias("mean_distance_m"), F.sum("revisits").alias("n_revisits"),
+        F.countDistinct("segment_id").alias("n_segments"), F.countDistinct("sequence").alias("n_sequences"),
+    )
+    return counts.join(hit, "trace_id", "left").fillna(0, ["n_matched", "route_m", "n_revisits", "n_segments", "n_sequences"])
+
+
 def match(points: DataFrame, segs: DataFrame, options: Options | None = None) -> DataFrame:
     """One row a point: the sequence it belongs to, its segment, the metres to it, those of the route from the point before, and revisits.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import fraction_along, haversine, metres, planar_square, reach
+from ..functions.geo import edge_gap, fraction_along, haversine, local, metres, planar_square, projected, reach
 
 #: Edge of a grid cell in micro-degrees.
 CELL = 2000
@@ -32,6 +32,27 @@ def snapped(points: DataFrame, segs: DataFrame, most_metres: float = MOST_METRES
     return placed.where(planar_square(F.col("x"), F.col("y"), F.col("sx"), F.col("sy")) <= (1.01 * most_metres + 0.1) ** 2)
 
 
+def near(points: DataFrame, segs: DataFrame, most_metres: float = MOST_METRES) -> DataFrame:
+    """snapped() with distance (metres, rounded to 2 places), only segments within most_metres."""
+    return snapped(points, segs, most_metres).withColumn("distance", haversine(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"))).where(F.col("distance") <= most_metres)
+
+
+def within_buffer(points: DataFrame, segs: DataFrame, metres_: float = 20.0) -> DataFrame:
+    """trace_id, segment_id: the segments that come within metres_ of a trace's line, each once; a trace without any has one row with null.
+
+    Edges and segments meet by grid cell. The buffer has round ends: a flat cap differs only beyond a trace's two ends.
+    """
+    w = Window.partitionBy("trace_id").orderBy("idx")
+    steps = points.select("trace_id", F.lag("x").over(w).alias("ax"), F.lag("y").over(w).alias("ay"), F.col("x").alias("bx"), F.col("y").alias("by")).where("ax is not null")
+    east, north = reach(metres_, F.col("ay"), F.col("by"))
+    span = lambda a, b, by: F.sequence(F.floor((F.least(a, b) - by) / CELL), F.floor((F.greatest(a, b) + by) / CELL))
+    spread = steps.withColumn("cx", F.explode(span(F.col("ax"), F.col("bx"), east))).withColumn("cy", F.explode(span(F.col("ay"), F.col("by"), north)))
+    met = spread.join(cells_of_segments(segs, 0.0), ["cx", "cy"])
+    edge = lambda *c: tuple(v for i in (0, 2) for v in local(F.col(c[i]), F.col(c[i + 1]), F.col("y1")))
+    close = met.where(edge_gap(edge("ax", "ay", "bx", "by"), edge("x1", "y1", "x2", "y2")) <= metres_ * metres_)
+    return points.select("trace_id").distinct().join(close.select("trace_id", "segment_id").distinct(), "trace_id", "left")
+
+
 def nearest_segment(points: DataFrame, segs: DataFrame, most_metres: float = MOST_METRES) -> DataFrame:
     """trace_id, idx, segment_id, at, distance: the nearest segment within most_metres; ties to the smaller id.
 
@@ -59,6 +80,19 @@ def connector_check(connectors: DataFrame) -> DataFrame:
     return c.select("segment_id", "n_connectors", ((F.col("first") == 0) & (F.col("last") == 1) & (F.col("n_connectors") >= 2)).alias("ends_connected"))
 
 
+def placed_connectors(connectors: DataFrame, lines: DataFrame) -> DataFrame:
+    """connectors (segment_id, connector_id, x, y) with on_line, and px, py: the connection point on the segment's edge.
+
+    A connector whose coordinates are an end of the segment (segment_id, x1, y1, x2, y2) is on it; otherwise the
+    connection point is the nearest place of the segment.
+    """
+    met = connectors.join(lines.select("segment_id", "x1", "y1", "x2", "y2"), "segment_id")
+    x, y, edge = F.col("x"), F.col("y"), [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    on = ((x == edge[0]) & (y == edge[1])) | ((x == edge[2]) & (y == edge[3]))
+    place = projected(x, y, *edge)
+    return met.select("segment_id", "connector_id", on.alias("on_line"), F.when(on, x * 1.0).otherwise(place["x"]).alias("px"), F.when(on, y * 1.0).otherwise(place["y"]).alias("py"))
+
+
 def length_share(segs: DataFrame) -> DataFrame:
     """subtype, length in km and its share of all length."""
     by = segs.groupBy("subtype").agg(F.sum(metres(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))).alias("metres"))

@@ -95,11 +95,13 @@ def d14_segment_speed(spark, d):
 
 
 def r12_speed_limit(spark, d):
-    return rules.deciding(_rules(spark, d), _facts(spark, d), "max_speed", 50)
+    """The determining rule's maximum, minimum and whether the maximum is variable; 50, none and false without a rule."""
+    limits = _rules(spark, d).withColumns({"min_speed": F.when(F.col("position") % 3 == 0, F.col("max_speed") - 10), "is_variable": F.col("position") % 4 == 1})
+    return rules.deciding(limits, _facts(spark, d), {"max_speed": 50, "min_speed": None, "is_variable": False}).withColumn("min_speed", F.col("min_speed").cast("long"))
 
 
 def r13_access(spark, d):
-    return rules.deciding(_rules(spark, d), _facts(spark, d), "access_type", "allowed")
+    return rules.deciding(_rules(spark, d), _facts(spark, d), {"access_type": "allowed"})
 
 
 def r16_intervals(spark, d):
@@ -247,7 +249,9 @@ ORACLE_SQL = {
     "a03_error_rate": f"""{_ALL}, l AS (SELECT m.trace_id, coalesce(step_m, 0) AS metres, CASE WHEN m.idx % 7 = 3 THEN coalesce(step_m, 0) ELSE 0 END AS wrong FROM matched m JOIN steps s ON m.trace_id = s.trace_id AND m.idx = s.idx),
         t AS (SELECT trace_id, round(sum(metres), 2) AS total_distance, round(sum(wrong), 2) AS wrong_distance FROM l GROUP BY 1) SELECT *, CASE WHEN total_distance = 0 THEN -1.0::DOUBLE ELSE round(wrong_distance / total_distance, 4) END AS error_rate FROM t""",
     "d14_segment_speed": f"{_ALL} SELECT segment_id, count(*) AS n, round(3.6::DOUBLE * sum(step_m) / sum(step_s), 4) AS kmh FROM steps JOIN matched USING (trace_id, idx) WHERE step_s > 0 GROUP BY 1",
-    "r12_speed_limit": _deciding("max_speed", "50"),
+    "r12_speed_limit": f"""WITH {_RULES}, hit AS (SELECT segment_id, fact_position, fact_heading, max_speed, CASE WHEN position % 3 = 0 THEN max_speed - 10 END AS min_speed, position % 4 = 1 AS is_variable FROM facts f JOIN rules r USING (segment_id)
+        WHERE low <= fact_position AND fact_position <= high AND (heading IS NULL OR heading = fact_heading) QUALIFY row_number() OVER (PARTITION BY segment_id, fact_position, fact_heading ORDER BY position DESC, max_speed DESC) = 1)
+        SELECT f.segment_id, f.fact_position, f.fact_heading, coalesce(max_speed, 50) AS max_speed, min_speed, coalesce(is_variable, FALSE) AS is_variable FROM facts f LEFT JOIN hit h ON f.segment_id = h.segment_id AND f.fact_position = h.fact_position AND f.fact_heading = h.fact_heading""",
     "r13_access": _deciding("access_type", "'allowed'"),
     "r16_intervals": f"""WITH {_RULES}, ends AS (SELECT segment_id, low AS e FROM rules UNION SELECT segment_id, high FROM rules), parts AS (SELECT segment_id, e AS f, lead(e) OVER (PARTITION BY segment_id ORDER BY e) AS t FROM ends)
         SELECT segment_id, round(f, 6) AS low, round(t, 6) AS high, access_type FROM parts JOIN rules USING (segment_id) WHERE t IS NOT NULL AND low <= f AND t <= high QUALIFY row_number() OVER (PARTITION BY segment_id, f, t ORDER BY position DESC, access_type DESC) = 1""",
