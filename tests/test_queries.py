@@ -1,9 +1,9 @@
 import pytest
 
 from tests.oracle import DATA, rows_of, sql_rows
-from wayfold.plans import properties, queries
+from wayfold.plans import properties, queries, results
 
-QUERIES, ORACLE_SQL = queries.QUERIES | properties.QUERIES, queries.ORACLE_SQL | properties.ORACLE_SQL
+QUERIES, ORACLE_SQL = queries.QUERIES | properties.QUERIES | results.QUERIES, queries.ORACLE_SQL | properties.ORACLE_SQL | results.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import metres
+from ..functions.geo import EARTH_RADIUS, metres
+from ..sources.adapters import ORIGIN_LAT
 
 
 def steps(points: DataFrame) -> DataFrame:
@@ -18,6 +21,38 @@ def steps(points: DataFrame) -> DataFrame:
     return met.withColumns({"raw_m": raw, "step_m": F.round(raw, 2), "step_s": F.round(seconds, 3)}).drop("_x", "_y", "_ts")
 
 
+def thinned(points: DataFrame, least_m: float = 50.0, least_s: float = 1.0) -> DataFrame:
+    """points without those that lie less than least_m metres or least_s seconds after the last one kept; a trace's first point stays.
+
+    Whether a point stays depends on the decision before it, so a trace's points are gone through in order, in one task
+    and one pass; a point without coordinates is dropped, one without a time is judged by metres only.
+    """
+    schema = points.schema
+
+    def task(rows):
+        rows = rows.sort_values("idx", kind="stable")
+        kept, last = [], None
+        for i, (x, y, t) in enumerate(zip(rows["x"], rows["y"], rows["ts"], strict=True)):
+            if x != x or y != y:
+                continue
+            if last is not None:
+                late = t is None or last[2] is None or t != t or last[2] != last[2] or (t - last[2]).total_seconds() >= least_s
+                if not late or flat_metres(last[0], last[1], x, y) < least_m:
+                    continue
+            kept.append(i)
+            last = (x, y, t)
+        return rows.iloc[kept]
+
+    return points.groupBy("trace_id").applyInPandas(task, schema)
+
+
+def flat_metres(x1: float, y1: float, x2: float, y2: float) -> float:
+    """Great-circle metres between two places in micro-degrees."""
+    a, b = math.radians(ORIGIN_LAT + y1 / 1e6), math.radians(ORIGIN_LAT + y2 / 1e6)
+    h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians((x2 - x1) / 1e6) / 2) ** 2
+    return 2 * EARTH_RADIUS * math.asin(math.sqrt(h))
+
+
 def parts(points: DataFrame, gap_m: float = 100.0, gap_s: float | None = None) -> DataFrame:
     """steps() with part: how many gaps longer than gap_m metres (or gap_s seconds) lie before the point in its trace."""
     gap = F.col("step_m") > gap_m

@@ -57,26 +57,59 @@ def csv(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
     return rows.select(ident.alias("id"), geometry.alias("geometry"), properties.alias("properties")).where("geometry is not null")
 
 
-def features(spark: SparkSession, path: str, lines: bool = False, delimiter: str = ",") -> DataFrame:
-    """By the file's ending: geojson and json, or csv, tsv and txt."""
+def features(spark: SparkSession, path: str, lines: bool = False, delimiter: str = ",", wanted: dict[str, str] | None = None, most: int = 0) -> DataFrame:
+    """By the file's ending: geojson and json, or csv, tsv and txt; only features with the wanted properties, `most` at most (0: all)."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind in ("geojson", "json"):
-        return geojson_lines(spark, path) if lines else geojson_document(spark, path)
-    if kind in ("csv", "tsv", "txt"):
-        return csv(spark, path, "\t" if kind == "tsv" else delimiter)
-    raise ValueError(f"no reader for .{kind}")
+        found = geojson_lines(spark, path) if lines else geojson_document(spark, path)
+    elif kind in ("csv", "tsv", "txt"):
+        found = csv(spark, path, "\t" if kind == "tsv" else delimiter)
+    else:
+        raise ValueError(f"no reader for .{kind}")
+    found = having(found, wanted)
+    return found.limit(most) if most > 0 else found
+
+
+def last_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row for each key: the last by the order columns. A maximum of structs, so that the group-by combines before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys and c not in order]
+    return rows.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("r")).select(*keys, "r.*")
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
-    """trace_id, point_index, wkt, label_id of a tab-separated file; rows whose index is no number are left out."""
+    """trace_id, point_index, wkt, label_id of a tab-separated file; rows whose index is no number are left out.
+
+    Of several labels of a point the last one in the file counts (by file name, then by place in the file).
+    """
     rows = spark.read.csv(path, sep="\t", header=False, schema="trace_id string, point_index string, wkt string, label_id string")
-    return rows.withColumn("point_index", F.col("point_index").try_cast("int")).where("point_index is not null")
+    numbered = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    known = numbered.withColumn("point_index", F.col("point_index").try_cast("int")).where("point_index is not null")
+    return last_wins(known, ["trace_id", "point_index"], ["file", "block", "line"]).select("trace_id", "point_index", "wkt", "label_id")
+
+
+def as_features(rows: DataFrame, key: str, geometry: str) -> DataFrame:
+    """id (string), geometry, properties (map of strings: all other columns with a value) and connector_ids.
+
+    Connector ids are those of the column connector_ids, else those in connectors (structs with connector_id), else none.
+    """
+    rest = [c for c in rows.columns if c not in (key, geometry)]
+    value = lambda c: F.col(f"`{c}`").cast("string") if dict(rows.dtypes)[c].split("<")[0] not in ("array", "struct", "map") else F.to_json(f"`{c}`")
+    pairs = F.filter(F.array(*(F.struct(F.lit(c).alias("key"), value(c).alias("value")) for c in rest)), lambda p: p["value"].isNotNull()) if rest else None
+    properties = F.map_from_entries(pairs) if rest else F.create_map().cast("map<string,string>")
+    ids = [F.col("connector_ids")] if "connector_ids" in rows.columns else []
+    ids += [F.transform("connectors", lambda c: c["connector_id"])] if "connectors" in rows.columns else []
+    return rows.select(F.col(f"`{key}`").cast("string").alias("id"), F.col(f"`{geometry}`").alias("geometry"), properties.alias("properties"), F.coalesce(*ids, F.array().cast("array<string>")).alias("connector_ids"))
 
 
 def having(feats: DataFrame, wanted: dict[str, str] | None) -> DataFrame:
-    """Features whose properties have all the wanted values; "*" asks for presence only, "id" means the feature's id."""
+    """Features whose properties have all the wanted values, in order; "*" asks for presence only.
+
+    "id" means the feature's id and ends the list: conditions after it are not looked at.
+    """
     for name, value in (wanted or {}).items():
-        at = F.col("id") if name == "id" else F.try_element_at("properties", F.lit(name))
+        if name == "id":
+            return feats.where(F.col("id") == value)
+        at = F.try_element_at("properties", F.lit(name))
         feats = feats.where(at.isNotNull() if value == "*" else at == value)
     return feats
 
