@@ -4,8 +4,9 @@ Words are compared in lower case without punctuation at their edges. The seeds o
 neighbouring words, counted over all documents; a document holds a seed if the two words stand in it side by side or
 with one word between them. An alignment of n words that reaches the least score breaks at most 4/3 (1 - least) n of the
 item's pairs (a changed or missing word costs 1.5 and breaks two, a missing end costs 1 and breaks one, two words put
-in between cost 1 and break one), so one more pair than that is enough: every document whose alignment reaches the least
-score holds a seed, however often any pair occurs.
+in between cost 1 and break one). An item has SEED_HITS seeds more than that where it has so many pairs: every document
+whose alignment reaches the least score holds at least so many of them, however often any pair occurs, and documents
+that hold fewer are left out at once.
 
 Hits on nearby diagonals name one passage, which is aligned with the whole item by Smith-Waterman over words, in a window
 that holds every alignment through these hits that can reach the least score. Windows with too few of the item's words
@@ -38,6 +39,7 @@ from pyspark.sql import functions as F
 from .common import Cache, arrow_type, out, written
 
 SHORT_WORDS = 5
+SEED_HITS = 3
 PART_WORDS = 1_000_000
 CHUNK_CHARS = 2 << 20
 #: A number of documents that tests exceed with copies; no limit of this module depends on it.
@@ -116,6 +118,9 @@ class Item:
     least: float
 
     def __post_init__(self):
+        self.most_broken = math.floor(4 / 3 * (MATCH - self.least) * len(self.ids) + 1e-9)
+        #: Seeds of the item that every passage with the least score holds.
+        self.sure = max(1, min(SEED_HITS, len(self.ids) - 1 - self.most_broken))
         self.words = Counter(self.ids.tolist())
 
 
@@ -133,8 +138,7 @@ class Seeds:
         chosen: dict[int, list[tuple[int, int]]] = {}
         for i, item in enumerate(items):
             h = pairs(item.ids).tolist()
-            most_broken = math.floor(4 / 3 * (MATCH - item.least) * len(item.ids) + 1e-9)
-            for at in sorted(range(len(h)), key=lambda k: (counts.get(h[k], 0), k))[: most_broken + 1]:
+            for at in sorted(range(len(h)), key=lambda k: (counts.get(h[k], 0), k))[: item.most_broken + item.sure]:
                 chosen.setdefault(h[at], []).append((i, at))
         lookup = Lookup(np.array(list(chosen), np.uint64))
         return Seeds(items, lookup, [chosen[k] for k in lookup.keys.tolist()])
@@ -225,6 +229,8 @@ def scan(texts: list[str | None], seeds: Seeds) -> Iterator[tuple[int, int, floa
                 found.setdefault(t, {}).setdefault(i, []).append((p - offset, p))
         for t, by_item in found.items():
             for i, hits in by_item.items():
+                if len({p - d for d, p in hits}) < seeds.items[i].sure:
+                    continue
                 best = best_passage(ids[starts[t] : starts[t + 1]], seeds.items[i], hits)
                 if best:
                     yield first + t, i, *best
