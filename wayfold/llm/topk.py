@@ -1,6 +1,6 @@
 """Exact top-k by inner product over norm-sorted vectors.
 
-Vectors are range-partitioned by descending length into blocks, and so are the queries. All vectors are rotated by the
+Vectors are range-partitioned by descending length into blocks; queries are dealt to blocks by a hash. All vectors are rotated by the
 right singular vectors of a bounded sample, so that the first coordinates carry most of an inner product. Blocks are
 visited in rounds from the longest vectors on, each round four times as many blocks as all before it. After a round every query knows its k-th
 best score so far; by Cauchy-Schwarz only blocks whose longest vector times the query's length reaches it are left, and
@@ -112,9 +112,9 @@ def reaching(shared):
     return count
 
 
-def blocked(vecs: DataFrame, name: str, n: int) -> DataFrame:
-    """vecs with a column `name`: the number of a block, by descending length; ties are broken by a hash, so that one frequent length cannot fill a block."""
-    return checkpointed(vecs.repartitionByRange(n, F.col("norm").desc(), F.xxhash64("vec_id")).withColumn(name, F.spark_partition_id()))
+def blocked(vecs: DataFrame, n: int) -> DataFrame:
+    """vecs with c_block: the number of a block, by descending length; ties are broken by a hash, so that one frequent length cannot fill a block."""
+    return checkpointed(vecs.repartitionByRange(n, F.col("norm").desc(), F.xxhash64("vec_id")).withColumn("c_block", F.spark_partition_id()))
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -125,9 +125,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, block: int = BLOCK, q
     dim = max(dim, 1)
     schema = arrow_type(FOUND)
     turn = spark.sparkContext.broadcast(rotation(vecs, dim))  # dim x dim
-    dealt = blocked(vecs, "c_block", max(1, -(-n // block)))
+    dealt = blocked(vecs, max(1, -(-n // block)))
     asked = vecs.where(F.pmod("vec_id", F.lit(every)) == 0)
-    queries = blocked(asked, "q_block", max(1, -(-asked.count() // query_block))).select("q_block", F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("norm").alias("q_norm"))
+    q_blocks = max(1, -(-asked.count() // query_block))
+    queries = asked.select(F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int").alias("q_block"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("norm").alias("q_norm"))
     # The longest vector of each block: one number for `block` vectors, in one array for the driver and the tasks.
     longest = dealt.groupBy("c_block").agg(F.max("norm").alias("norm")).toArrow()
     blocks = max(longest.column(0).to_pylist(), default=0) + 1  # a session may deal more blocks than were asked for
