@@ -65,7 +65,7 @@ def f09_ring(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.size(lines.ring_of_cells(cell, 1)).cast("long").alias("n_cells"))
 
 
-def v01_errors(spark, d):
+def v10_column_errors(spark, d):
     """Customers as places with a whole-number balance."""
     places = table(spark, d, "customer").select("c_custkey", F.floor("c_acctbal").alias("balance"), F.when(F.col("c_custkey") % 13 != 0, F.col("c_mktsegment")).alias("category"), F.concat(F.when(F.col("c_custkey") % 7 == 0, " ").otherwise(""), "c_name").alias("name"))
     rules = [features.failing("category", "required", None), features.failing("category", "enum", ["FURNITURE", "BUILDING"]), features.failing("balance", "minimum", 0), features.failing("balance", "maximum", 9000), features.failing("name", "pattern", r"^(\S.*)?\S$"), features.failing("name", "maxLength", 18)]
@@ -138,7 +138,7 @@ def w04_match(spark, d):
     return matcher.match(adapters.trace_points(table(spark, d, "events"), part), adapters.segments(part))
 
 
-QUERIES = {f.__name__: f for f in (w04_match, f02_line_length, f34_bbox, f35_point_at, d07_loops, s05_wkt_decode, s06_geojson_decode, a07_cell_index, f09_ring, v01_errors, u06_perspectives, f29_name_variant, f30_names, f31_units, r06_travel_modes, r10_open_at, r14_turns, d10_sources, d11_building_parts)}
+QUERIES = {f.__name__: f for f in (w04_match, f02_line_length, f34_bbox, f35_point_at, d07_loops, s05_wkt_decode, s06_geojson_decode, a07_cell_index, f09_ring, v10_column_errors, u06_perspectives, f29_name_variant, f30_names, f31_units, r06_travel_modes, r10_open_at, r14_turns, d10_sources, d11_building_parts)}
 
 _L1, _L2 = METRES_RAW("x1", "y1", "x2", "y1"), METRES_RAW("x2", "y1", "x2", "y2 + 500")
 _L3 = METRES_RAW("x2", "y2 + 500", "x1", "y1")
@@ -158,7 +158,7 @@ ORACLE_SQL = {
     "a07_cell_index": f"""WITH {SEGMENTS}, c AS (SELECT segment_id, unnest(generate_series(CAST(x1 // 2000 AS BIGINT), CAST(x2 // 2000 AS BIGINT))) AS cx, y1, y2 FROM seg),
         e AS (SELECT cx, unnest(generate_series(CAST(y1 // 2000 AS BIGINT), CAST(y2 // 2000 AS BIGINT))) AS cy FROM c) SELECT cx, cy, count(*) AS n FROM e GROUP BY 1, 2""",
     "f09_ring": "SELECT c_custkey, 9::BIGINT AS n_cells FROM customer",
-    "v01_errors": r"""WITH p AS (SELECT c_custkey, CAST(floor(c_acctbal) AS BIGINT) AS balance, CASE WHEN c_custkey % 13 <> 0 THEN c_mktsegment END AS category, CASE WHEN c_custkey % 7 = 0 THEN ' ' ELSE '' END || c_name AS name FROM customer)
+    "v10_column_errors": r"""WITH p AS (SELECT c_custkey, CAST(floor(c_acctbal) AS BIGINT) AS balance, CASE WHEN c_custkey % 13 <> 0 THEN c_mktsegment END AS category, CASE WHEN c_custkey % 7 = 0 THEN ' ' ELSE '' END || c_name AS name FROM customer)
         SELECT c_custkey, '/properties/category' AS path, 'required' AS keyword, 'missing property ''category''' AS message FROM p WHERE category IS NULL
         UNION ALL SELECT c_custkey, '/properties/category', 'enum', 'value must be one of ''FURNITURE'', ''BUILDING''' FROM p WHERE category NOT IN ('FURNITURE', 'BUILDING')
         UNION ALL SELECT c_custkey, '/properties/balance', 'minimum', 'minimum: got ' || balance || ', want 0' FROM p WHERE balance < 0
