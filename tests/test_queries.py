@@ -1,9 +1,9 @@
 import pytest
 
 from tests.oracle import DATA, rows_of, sql_rows
-from wayfold.plans import checks, properties, queries, results
+from wayfold.plans import checks, properties, queries, results, themes
 
-QUERIES, ORACLE_SQL = queries.QUERIES | properties.QUERIES | results.QUERIES | checks.QUERIES, queries.ORACLE_SQL | properties.ORACLE_SQL | results.ORACLE_SQL | checks.ORACLE_SQL
+QUERIES, ORACLE_SQL = queries.QUERIES | properties.QUERIES | results.QUERIES | checks.QUERIES | themes.QUERIES, queries.ORACLE_SQL | properties.ORACLE_SQL | results.ORACLE_SQL | checks.ORACLE_SQL | themes.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
