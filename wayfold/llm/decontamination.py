@@ -1,6 +1,6 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are compared in lower case without punctuation at their edges. The seeds of a test item are its rarest pairs of
+Words are runs of characters other than white space and punctuation, in lower case; those that no item holds are all one. The seeds of a test item are its rarest pairs of
 neighbouring words, counted over all documents; a document holds a seed if the two words stand in it side by side or
 with one word between them. An alignment of n words that reaches the least score breaks at most 4/3 (1 - least) n of the
 item's pairs (a changed or missing word costs 1.5 and breaks two, a missing end costs 1 and breaks one, two words put
@@ -29,14 +29,14 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, arrow_type, out, written
+from .common import arrow_type, out, written
 
 SHORT_WORDS = 5
 SEED_HITS = 3
@@ -46,31 +46,33 @@ CHUNK_CHARS = 2 << 20
 RARE_DOCS = 20
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 LEAST_SCORE = 0.5
-EDGES = b".,;:!?\"'()[]{}|*#$%&<>-_=+/\\"
+PUNCTUATION = b".,;:!?\"'()[]{}|*#$%&<>-_=+/\\"
 RESULT = "doc_id long, item_id long, score double, start_word long, end_word long, n_seeds long"
 
+_SPACED = bytes.maketrans(PUNCTUATION, b" " * len(PUNCTUATION))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-@functools.lru_cache(1)
-def word_cache() -> Cache:
-    """One cache for each worker process."""
+#: What stands for a word that no item holds; ids of items' words are odd.
+OTHER = 2
 
-    def made(w: bytes) -> int:
-        core = w.strip(EDGES)
-        core = core.lower() if core.isascii() else core.decode("utf-8", "replace").lower().encode()
-        return (xxhash.xxh64_intdigest(core, 5) | 1) if core else 0
 
-    return Cache(made, 500_000)
+def word_id(core: bytes) -> int:
+    return xxhash.xxh64_intdigest(core, 5) | 1
 
 
-def word_ids(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the words of all texts, one text after another, and the number of the text that each belongs to."""
-    words = [(t or "").encode("utf-8", "replace").split() for t in texts]
-    n = np.fromiter(map(len, words), np.int64, len(words))
-    ids = np.fromiter(map(word_cache().__getitem__, chain.from_iterable(words)), np.uint64, int(n.sum()))
-    text = np.repeat(np.arange(len(words)), n)
-    return ids[ids != 0], text[ids != 0]
+def split(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode("utf-8", "replace").translate(_SPACED).split()
+
+
+def word_ids(texts: list[str | None], known: dict[bytes, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words of all texts, one text after another, and the number of the text that each belongs to; words that are not known are OTHER (without `known`, all are)."""
+    pieces = [split(t) for t in texts]
+    if known is None:
+        known = {w: word_id(w) for p in pieces for w in p}
+    n = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    ids = np.fromiter(map(known.get, chain.from_iterable(pieces), repeat(OTHER)), np.uint64, int(n.sum()))
+    return ids, np.repeat(np.arange(len(pieces)), n)
 
 
 def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
@@ -129,11 +131,12 @@ class Seeds:
     """Items, and for each seed (a row of the lookup) the (item, offset) pairs that have it."""
 
     items: list[Item]
+    words: dict[bytes, int]
     lookup: Lookup
     holders: list[list[tuple[int, int]]]
 
     @staticmethod
-    def of(items: list[Item], counts: dict[int, int]) -> Seeds:
+    def of(items: list[Item], words: dict[bytes, int], counts: dict[int, int]) -> Seeds:
         """The rarest pairs of each item by counts (by hash), as many as the least score asks for; ties to the first."""
         chosen: dict[int, list[tuple[int, int]]] = {}
         for i, item in enumerate(items):
@@ -141,7 +144,7 @@ class Seeds:
             for at in sorted(range(len(h)), key=lambda k: (counts.get(h[k], 0), k))[: item.most_broken + item.sure]:
                 chosen.setdefault(h[at], []).append((i, at))
         lookup = Lookup(np.array(list(chosen), np.uint64))
-        return Seeds(items, lookup, [chosen[k] for k in lookup.keys.tolist()])
+        return Seeds(items, words, lookup, [chosen[k] for k in lookup.keys.tolist()])
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[float, int, int]:
@@ -211,7 +214,7 @@ def best_passage(ids: np.ndarray, item: Item, hits: list[tuple[int, int]]) -> tu
 def scan(texts: list[str | None], seeds: Seeds) -> Iterator[tuple[int, int, float, int, int, int]]:
     """(text number, item number, score, start, end, seeds in it) of each text and item that reach the item's least score."""
     for first, some in chunks(texts):
-        ids, text = word_ids(some)
+        ids, text = word_ids(some, seeds.words)
         place, row = [], []
         for gap in (1, 2):
             at, r = seeds.lookup.rows(pairs(ids, gap))
@@ -236,17 +239,17 @@ def scan(texts: list[str | None], seeds: Seeds) -> Iterator[tuple[int, int, floa
                     yield first + t, i, *best
 
 
-def document_counts(docs: DataFrame, keys: np.ndarray) -> dict[int, int]:
+def document_counts(docs: DataFrame, words: dict[bytes, int], keys: np.ndarray) -> dict[int, int]:
     """How many rows of docs hold each of the word pairs with these hashes; pairs that none holds are left out."""
-    shared = docs.sparkSession.sparkContext.broadcast(Lookup(keys))
+    shared = docs.sparkSession.sparkContext.broadcast((words, Lookup(keys)))
     schema = arrow_type("key long, n long")
 
     def task(batches):
-        lookup = shared.value
+        known, lookup = shared.value
         total = np.zeros(len(lookup.keys), np.int64)
         for b in batches:
             for _, some in chunks(b.column(0).to_pylist()):
-                ids, text = word_ids(some)
+                ids, text = word_ids(some, known)
                 at, row = lookup.rows(pairs(ids))
                 inside = text[at] == text[at + 1]
                 held = np.unique(text[at[inside]] * len(total) + row[inside])
@@ -265,13 +268,14 @@ def parts_of(docs: DataFrame, benchmark: DataFrame, least: float) -> Iterator[Se
     words = usable.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     n = max(1, -(-words // PART_WORDS))
     for p in range(n):
-        items = []
+        items, known = [], {}
         for r in usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == p).orderBy("item_id", "text").toLocalIterator():
             ids = word_ids([r.text])[0]
             if len(ids) > 1:
+                known |= {w: word_id(w) for w in split(r.text)}
                 items.append(Item(r.item_id, ids, least if len(ids) >= SHORT_WORDS else MATCH))
         if items:
-            yield Seeds.of(items, document_counts(docs, np.concatenate([pairs(x.ids) for x in items])))
+            yield Seeds.of(items, known, document_counts(docs, known, np.concatenate([pairs(x.ids) for x in items])))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
