@@ -42,6 +42,11 @@ BOUNDARY = {
 }
 
 
+def _spread(spark: SparkSession, d: str) -> DataFrame:
+    """Customers over the session's number of partitions: checking a document costs far more than moving its number."""
+    return table(spark, d, "customer").select("c_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+
+
 def _chosen(k, *texts: str):
     """The text that k (from 0) names."""
     return F.get(F.array(*map(F.lit, texts)), k.cast("int"))
@@ -58,7 +63,7 @@ def _places(spark: SparkSession, d: str) -> DataFrame:
     version = F.when(k % 5 == 4, F.lit("-1")).when(k % 5 == 3, F.lit("1.5")).otherwise(F.lit("2.0"))
     shape = F.when(k % 7 == 6, F.lit('{"type":"LineString","coordinates":[[0,0],[1,1]]}')).when(k % 7 == 5, F.lit('{"type":"Point","coordinates":[1]}')).otherwise(F.lit('{"type":"Point","coordinates":[1,2.5]}'))
     doc = F.concat(F.lit('{"type":"Feature","id":"'), k.cast("string"), F.lit('","geometry":'), shape, F.lit(',"properties":{"theme":"places","type":"place","version":'), version, F.lit(","), _chosen(k % len(faults), *faults), F.lit("}}"))
-    return table(spark, d, "customer").select("c_custkey", doc.alias("doc"))
+    return _spread(spark, d).select("c_custkey", doc.alias("doc"))
 
 
 def v01_place_errors(spark, d):
@@ -67,7 +72,7 @@ def v01_place_errors(spark, d):
 
 
 def _boundaries(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey")
+    k = F.col("c_custkey")
     sides = _chosen(k % 4, '"is_land":true,"is_territorial":false', '"is_land":true,"is_territorial":true', '"is_land":false,"is_territorial":false', '"is_land":false,"is_territorial":true')
     subtype = _chosen(k % 3, '"subtype":"country"', '"subtype":"region","country":"XA"', '"subtype":"region"')
     ids = _chosen(k % 5, '["a","b"]', '["a"]', '["a","a"]', '["a","b","c"]', '["a"," b"]')
@@ -75,27 +80,27 @@ def _boundaries(spark: SparkSession, d: str) -> DataFrame:
     wanted = F.when(k % 11 == 0, F.lit(',"ext_expected_errors":["missing property \'country\'","not failed"]')).otherwise(F.lit(""))
     cls = F.when(k % 13 == 0, F.lit("river")).otherwise(F.lit("land"))
     doc = F.concat(F.lit('{"type":"Feature","id":"b","geometry":{"type":"LineString","coordinates":[[0,0],[1,1]]},"properties":{"theme":"divisions","type":"division_boundary","version":0,"class":"'), cls, F.lit('",'), sides, F.lit(","), subtype, F.lit(',"division_ids":'), ids, F.when(k % 3 == 1, F.lit("")).otherwise(more), wanted, F.lit("}}"))
-    return table(spark, d, "orders").select("o_orderkey", doc.alias("doc"))
+    return _spread(spark, d).select("c_custkey", doc.alias("doc"))
 
 
 def v20_boundary_errors(spark, d):
-    found = validation.checked(_boundaries(spark, d), "o_orderkey", "doc", BOUNDARY)
-    return found.select("o_orderkey", F.explode("errors").alias("e")).select("o_orderkey", "e.path", "e.message")
+    found = validation.checked(_boundaries(spark, d), "c_custkey", "doc", BOUNDARY)
+    return found.select("c_custkey", F.explode("errors").alias("e")).select("c_custkey", "e.path", "e.message")
 
 
 def v29_expected_errors(spark, d):
     """Of documents that say which errors they must have: whether they fail, and how many of those errors are missing."""
     docs = _boundaries(spark, d)
     v = F.try_parse_json("doc")
-    found = validation.checked(docs.where(F.size(validation.expected(F.col("doc"))) > 0).select("o_orderkey", "doc", v.isNotNull().alias("ok")), "o_orderkey", "doc", BOUNDARY)
-    both = found.join(docs, "o_orderkey")
-    return both.select("o_orderkey", (F.size("errors") > 0).alias("fails"), F.size(validation.missed(F.col("errors"), validation.expected(F.col("doc")))).cast("long").alias("n_missed"))
+    found = validation.checked(docs.where(F.size(validation.expected(F.col("doc"))) > 0).select("c_custkey", "doc", v.isNotNull().alias("ok")), "c_custkey", "doc", BOUNDARY)
+    both = found.join(docs, "c_custkey")
+    return both.select("c_custkey", (F.size("errors") > 0).alias("fails"), F.size(validation.missed(F.col("errors"), validation.expected(F.col("doc")))).cast("long").alias("n_missed"))
 
 
 def j14_dispatch(spark, d):
     """Documents of two feature types, and some whose theme and type do not belong together."""
     places = _places(spark, d).select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("k"), F.when(F.col("c_custkey") % 9 == 8, F.replace("doc", F.lit('"theme":"places"'), F.lit('"theme":"divisions"'))).otherwise(F.col("doc")).alias("doc"))
-    every = places.unionAll(_boundaries(spark, d).select(F.concat(F.lit("b"), F.col("o_orderkey").cast("string")).alias("k"), "doc"))
+    every = places.unionAll(_boundaries(spark, d).select(F.concat(F.lit("b"), F.col("c_custkey").cast("string")).alias("k"), "doc"))
     found = validation.dispatched(every, "k", "doc", {("places", "place"): PLACE, ("divisions", "division_boundary"): BOUNDARY})
     return found.select("k", F.size("errors").cast("long").alias("n_errors"), F.exists("errors", lambda e: e["message"] == "oneOf failed, none matched").alias("none_matched"))
 
@@ -124,24 +129,24 @@ place_errors AS (SELECT c_custkey, '/properties/confidence' AS path, '{_P}/prope
   UNION ALL SELECT c_custkey, '/geometry/coordinates/' || i, 'S#/properties/geometry/oneOf/0/properties/coordinates/items/type', 'got array, want number' FROM p, (SELECT unnest([0, 1]) AS i) WHERE g = 6)
 """
 _BOUNDARY_ERRORS = """
-o AS (SELECT o_orderkey, o_orderkey % 4 AS s, o_orderkey % 3 AS t, o_orderkey % 5 AS i, o_orderkey % 7 = 6 AND o_orderkey % 3 <> 1 AS more, o_orderkey % 13 = 0 AS river, o_orderkey % 11 = 0 AS says FROM orders),
-boundary_errors AS (SELECT o_orderkey, '/properties' AS path, 'oneOf failed, subschemas 0, 1 matched' AS message FROM o WHERE s = 1
-  UNION ALL SELECT o_orderkey, '/properties', 'oneOf failed, none matched' FROM o WHERE s = 2
-  UNION ALL SELECT o_orderkey, '/properties/' || c, 'value must be true' FROM o, (SELECT unnest(['is_land', 'is_territorial']) AS c) WHERE s = 2
-  UNION ALL SELECT o_orderkey, '/properties', 'not failed' FROM o WHERE t = 0 AND more
-  UNION ALL SELECT o_orderkey, '/properties', 'missing property ''country''' FROM o WHERE t = 2 AND NOT more
-  UNION ALL SELECT o_orderkey, '/properties/country', unnest(['maxLength: got 3, want 2', '''XAB'' does not match pattern ''^[A-Z]{2}$''']) FROM o WHERE more
-  UNION ALL SELECT o_orderkey, '/properties/division_ids', 'minItems: got 1, want 2' FROM o WHERE i = 1
-  UNION ALL SELECT o_orderkey, '/properties/division_ids', 'items at 0 and 1 are equal' FROM o WHERE i = 2
-  UNION ALL SELECT o_orderkey, '/properties/division_ids', 'maxItems: got 3, want 2' FROM o WHERE i = 3
-  UNION ALL SELECT o_orderkey, '/properties/division_ids/1', ''' b'' does not match pattern ''^(\\\\S.*)?\\\\S$''' FROM o WHERE i = 4
-  UNION ALL SELECT o_orderkey, '/properties/class', 'value must be one of ''land'', ''maritime''' FROM o WHERE river)
+o AS (SELECT c_custkey, c_custkey % 4 AS s, c_custkey % 3 AS t, c_custkey % 5 AS i, c_custkey % 7 = 6 AND c_custkey % 3 <> 1 AS more, c_custkey % 13 = 0 AS river, c_custkey % 11 = 0 AS says FROM customer),
+boundary_errors AS (SELECT c_custkey, '/properties' AS path, 'oneOf failed, subschemas 0, 1 matched' AS message FROM o WHERE s = 1
+  UNION ALL SELECT c_custkey, '/properties', 'oneOf failed, none matched' FROM o WHERE s = 2
+  UNION ALL SELECT c_custkey, '/properties/' || c, 'value must be true' FROM o, (SELECT unnest(['is_land', 'is_territorial']) AS c) WHERE s = 2
+  UNION ALL SELECT c_custkey, '/properties', 'not failed' FROM o WHERE t = 0 AND more
+  UNION ALL SELECT c_custkey, '/properties', 'missing property ''country''' FROM o WHERE t = 2 AND NOT more
+  UNION ALL SELECT c_custkey, '/properties/country', unnest(['maxLength: got 3, want 2', '''XAB'' does not match pattern ''^[A-Z]{2}$''']) FROM o WHERE more
+  UNION ALL SELECT c_custkey, '/properties/division_ids', 'minItems: got 1, want 2' FROM o WHERE i = 1
+  UNION ALL SELECT c_custkey, '/properties/division_ids', 'items at 0 and 1 are equal' FROM o WHERE i = 2
+  UNION ALL SELECT c_custkey, '/properties/division_ids', 'maxItems: got 3, want 2' FROM o WHERE i = 3
+  UNION ALL SELECT c_custkey, '/properties/division_ids/1', ''' b'' does not match pattern ''^(\\\\S.*)?\\\\S$''' FROM o WHERE i = 4
+  UNION ALL SELECT c_custkey, '/properties/class', 'value must be one of ''land'', ''maritime''' FROM o WHERE river)
 """
 ORACLE_SQL = {
     "v01_place_errors": f"WITH {_PLACE_ERRORS} SELECT * FROM place_errors",
     "v20_boundary_errors": f"WITH {_BOUNDARY_ERRORS} SELECT * FROM boundary_errors",
-    "v29_expected_errors": f"""WITH {_BOUNDARY_ERRORS} SELECT o.o_orderkey, count(e.message) > 0 AS fails, 2 - count(DISTINCT CASE WHEN e.message IN ('missing property ''country''', 'not failed') THEN e.message END) AS n_missed
-        FROM o LEFT JOIN boundary_errors e ON e.o_orderkey = o.o_orderkey WHERE says GROUP BY 1""",
+    "v29_expected_errors": f"""WITH {_BOUNDARY_ERRORS} SELECT o.c_custkey, count(e.message) > 0 AS fails, 2 - count(DISTINCT CASE WHEN e.message IN ('missing property ''country''', 'not failed') THEN e.message END) AS n_missed
+        FROM o LEFT JOIN boundary_errors e ON e.c_custkey = o.c_custkey WHERE says GROUP BY 1""",
     "j14_dispatch": f"""WITH {_PLACE_ERRORS}, {_BOUNDARY_ERRORS} SELECT 'p' || p.c_custkey AS k, CASE WHEN p.c_custkey % 9 = 8 THEN 1 ELSE count(e.message) END AS n_errors, p.c_custkey % 9 = 8 OR g IN (5, 6) AS none_matched FROM p LEFT JOIN place_errors e ON e.c_custkey = p.c_custkey GROUP BY p.c_custkey, g
-        UNION ALL SELECT 'b' || o.o_orderkey, count(e.message), s = 2 FROM o LEFT JOIN boundary_errors e ON e.o_orderkey = o.o_orderkey GROUP BY o.o_orderkey, s""",
+        UNION ALL SELECT 'b' || o.c_custkey, count(e.message), s = 2 FROM o LEFT JOIN boundary_errors e ON e.c_custkey = o.c_custkey GROUP BY o.c_custkey, s""",
 }
