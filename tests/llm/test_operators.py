@@ -79,6 +79,13 @@ def test_suffix_tree_frequent_grams(docs_of, frequent):
     assert sorted(map(tuple, suffix_tree.removed_words(docs_of(ROWS)).collect()), key=repr) == brute_words(ROWS)
 
 
+def test_repeats_over_more_partitions(docs_of, monkeypatch):
+    """Partitions follow the bytes of the corpus; how many there are changes no row."""
+    monkeypatch.setattr(repeats, "PART_BYTES", 4096)
+    assert sorted(map(tuple, suffix_array.removed_bytes(docs_of(ROWS)).collect()), key=repr) == brute_bytes(ROWS)
+    assert sorted(map(tuple, suffix_tree.removed_words(docs_of(ROWS)).collect()), key=repr) == brute_words(ROWS)
+
+
 def test_bucket_numbers_group_equal_windows():
     rng = np.random.default_rng(1)
     texts = [bytes(rng.integers(97, 99, 90).tolist()) for _ in range(20)]

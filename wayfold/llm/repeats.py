@@ -11,6 +11,9 @@ position, the job works from anchors, as both methods refine small groups of suf
    equal, and the least origin of each name decides which windows are repeats.
 4. The repeats return to their documents as ranges.
 
+What is dealt goes to one partition for each PART_BYTES of text (no fewer than the session's shuffle partitions), so
+that a task gathers the same amount at any size of the corpus.
+
 Grams that a large share of documents hold (found on a sample of documents, which changes how work is dealt and never
 what is found) would make a hot group; their contexts are sent by whole windows instead, a longer key that splits
 them, again once a task. The table of such grams has at most (anchors a document) / HOT_SHARE entries.
@@ -28,9 +31,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_type, checkpointed, out, slabs, with_row_key
+from .common import arrow_type, checkpointed, out, partitions_for, slabs, with_row_key
 
 SLAB_BYTES = 24 << 20  # of text; packed text counts double
+PART_BYTES = 32 << 20  # of text behind a partition that one task gathers
 CHUNK_CONTEXTS = 20_000
 SAMPLE_ONE_IN = 64
 HOT_SHARE, HOT_LEAST = 0.005, 8
@@ -158,9 +162,8 @@ def member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
-def repeated_anchors(docs: DataFrame, a: Alphabet, hot) -> DataFrame:
+def repeated_anchors(docs: DataFrame, a: Alphabet, hot, parts: int) -> DataFrame:
     """_r and positions (array) of anchors, not frequent ones, that occur at least twice in the corpus."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = pa.schema([("part", pa.int32()), ("rows", pa.binary())])
 
     def pack(batches):
@@ -233,7 +236,7 @@ CONTEXT = "key long, doc_id long, _r long, at long, symbols int, context binary"
 PACKED = "part int, rows binary"
 
 
-def contexts(joined: DataFrame, a: Alphabet, hot) -> DataFrame:
+def contexts(joined: DataFrame, a: Alphabet, hot, parts: int) -> DataFrame:
     """Contexts of the repeated anchors of joined (doc_id, _r, z, at), in packed rows (part, rows of CONTEXT).
 
     A row with a null context is settled: its range (at, symbols) is wholly repeated, because an earlier document of
@@ -241,7 +244,6 @@ def contexts(joined: DataFrame, a: Alphabet, hot) -> DataFrame:
     """
     schema, packed = arrow_type(CONTEXT), arrow_type(PACKED)
     reach = a.window - a.gram
-    parts = int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def dealt(rows: list):
         key, *rest = zip(*rows, strict=True)
@@ -287,7 +289,7 @@ def contexts(joined: DataFrame, a: Alphabet, hot) -> DataFrame:
     return joined.select("doc_id", "_r", "z", "at").mapInArrow(task, PACKED)
 
 
-def repeats(dealt: DataFrame, a: Alphabet) -> DataFrame:
+def repeats(dealt: DataFrame, a: Alphabet, parts: int) -> DataFrame:
     """_r, start, stop: ranges of symbols covered by windows that also start earlier."""
     schema = arrow_type("_r long, start int, stop int")
 
@@ -356,7 +358,6 @@ def repeats(dealt: DataFrame, a: Alphabet) -> DataFrame:
             yield from settle(rows.take(pa.array(order[at:stop])))
             at = stop
 
-    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartitionById(parts, "part").mapInArrow(task, "_r long, start int, stop int")
 
 
@@ -380,8 +381,9 @@ def covered(docs: DataFrame, a: Alphabet) -> DataFrame:
     packed = zipped(rows)
     live = packed.join(copies, "_r", "left_anti").select("doc_id", "_r", "z")
     hot = docs.sparkSession.sparkContext.broadcast(frequent_grams(rows, a))
-    joined = live.join(repeated_anchors(live, a, hot), "_r", "left")
-    found = repeats(contexts(joined, a, hot), a).groupBy("_r").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    parts = partitions_for(docs, docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, PART_BYTES)
+    joined = live.join(repeated_anchors(live, a, hot, parts), "_r", "left")
+    found = repeats(contexts(joined, a, hot, parts), a, parts).groupBy("_r").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     whole = F.array(F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("stop"))).alias("ranges")
     return live.join(found, "_r", "left").select("doc_id", "z", "ranges").unionAll(packed.join(copies, "_r", "left_semi").select("doc_id", "z", whole))
 
