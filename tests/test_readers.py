@@ -113,3 +113,42 @@ def test_vehicle_and_sequences(spark):
     routes = spark.createDataFrame(steps, "route_id int, step int, connector_id int, segment_id int, heading string")
     bans = spark.createDataFrame([(1, 10, [(100, 11), (101, 12)], "backward"), (2, 9, [(99, 10), (100, 11)], "backward")], "restriction_id int, segment_id int, sequence array<struct<connector_id:int,segment_id:int>>, final_heading string")
     assert [r.route_id for r in rules.prohibited(routes, bans).collect()] == [1]
+
+
+def test_published_layout(spark, tmp_path):
+    rows = spark.createDataFrame([("a", [(1.5, 2.5)], "t1"), ("b", [(0.0, 0.0), (0.0, 1.0)], "t2"), ("c", None, "t2"), ("d", [], "t2")], f"id string, geometry {lines.COORDINATES}, type string")
+    readers.write_table(rows.withColumn("theme", F.lit("x")), str(tmp_path / "out"))
+    raw = spark.read.parquet(str(tmp_path / "out"))
+    assert {"bbox", "version", "sources", "theme", "type"} <= set(raw.columns) and dict(raw.dtypes)["geometry"] == "binary"
+    assert raw.where("bbox is null").count() == 2
+    got = {r["id"]: r["geometry"] and [tuple(p) for p in r["geometry"]] for r in readers.read_table(spark, str(tmp_path / "out")).collect()}
+    assert got == {**WANT, "c": None, "d": None}
+    assert shapes(readers.read_table(spark, str(tmp_path / "out"), (1.0, 2.0, 3.0, 3.0))) == {"a": WANT["a"]}
+
+
+def test_wkb_forms(spark):
+    import struct
+
+    big = struct.pack(">BIdd", 0, 1, 3.0, 4.0)
+    forms = [big, big[:-1], struct.pack("<BI", 1, 3), b"", None, struct.pack("<BIIdddd", 1, 2, 2, 1.0, 2.0, 3.0, 4.0)]
+    got = [r[0] and [tuple(p) for p in r[0]] for r in spark.createDataFrame([(f,) for f in forms], "w binary").select(lines.from_wkb(F.col("w"))).collect()]
+    assert got == [[(3.0, 4.0)], None, None, None, None, [(1.0, 2.0), (3.0, 4.0)]]
+
+
+def test_instance_files(spark, tmp_path):
+    import json
+
+    pytest.importorskip("yaml")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "b.json").write_text('{"id": 1}')
+    (tmp_path / "sub" / "a.yaml").write_text("id: x\nwhen: 2024-01-02T03:04:05Z\nlist: [1, 2.5, null]\n")
+    (tmp_path / "bad.yml").write_text("a: [1\n")
+    (tmp_path / "bad.json").write_text("{")
+    (tmp_path / "notes.txt").write_text("no")
+    got = [(r["path"].rsplit("/", 1)[1], r["document"] and json.loads(r["document"])) for r in readers.instances(spark, str(tmp_path)).collect()]
+    assert got == [("b.json", {"id": 1}), ("bad.json", None), ("bad.yml", None), ("a.yaml", {"id": "x", "when": "2024-01-02T03:04:05Z", "list": [1, 2.5, None]})]
+
+
+def test_frame(spark, tmp_path):
+    (tmp_path / "x.geojson").write_text(POINT)
+    assert [(r["id"], r["crs"]) for r in readers.frame(spark, str(tmp_path / "x.geojson")).collect()] == [("a", "EPSG:4326")]

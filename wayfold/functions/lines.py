@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import struct
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType
 
 from .geo import EARTH_RADIUS
 
@@ -160,3 +165,40 @@ def from_geojson(geometry: Column) -> Column:
 def to_geojson(line: Column) -> Column:
     """A GeoJSON LineString text."""
     return F.to_json(F.struct(F.lit("LineString").alias("type"), F.transform(line, lambda p: F.array(p["x"], p["y"])).alias("coordinates")))
+
+
+@F.pandas_udf(BinaryType())
+def _wkb(xs: pd.Series, ys: pd.Series) -> pd.Series:
+    def one(x, y):
+        if x is None or not len(x):
+            return None
+        head = struct.pack("<BI", 1, 1) if len(x) == 1 else struct.pack("<BII", 1, 2, len(x))
+        return head + np.column_stack([x, y]).astype("<f8").tobytes()
+
+    return pd.Series([one(x, y) for x, y in zip(xs, ys, strict=True)], dtype=object)
+
+
+@F.pandas_udf(ArrayType(ArrayType(DoubleType())))
+def _from_wkb(raws: pd.Series) -> pd.Series:
+    def one(raw):
+        if raw is None or len(raw) < 5 or raw[0] > 1:
+            return None
+        end = "<" if raw[0] else ">"
+        kind = struct.unpack_from(end + "I", raw, 1)[0]
+        head = {1: 5, 2: 9}.get(kind)
+        if head is None or len(raw) < head:
+            return None
+        n = 1 if kind == 1 else struct.unpack_from(end + "I", raw, 5)[0]
+        return np.frombuffer(raw, end + "f8", 2 * n, head).reshape(n, 2).astype(float).tolist() if len(raw) == head + 16 * n else None
+
+    return pd.Series([one(r) for r in raws], dtype=object)
+
+
+def to_wkb(line: Column) -> Column:
+    """Well-known binary (little-endian) of a point or line; null for null or empty geometries. Spark has no function for it."""
+    return _wkb(F.transform(line, lambda p: p["x"]), F.transform(line, lambda p: p["y"]))
+
+
+def from_wkb(raw: Column) -> Column:
+    """Coordinates of a Point or LineString in well-known binary, either byte order; null for other types and for cut bytes."""
+    return F.transform(_from_wkb(raw), lambda c: F.struct(c[0].alias("x"), c[1].alias("y")))

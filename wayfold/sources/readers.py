@@ -7,10 +7,14 @@ null members and the line in `bad`).
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ..functions.lines import from_geojson, from_wkt
+from ..functions.lines import bbox, from_geojson, from_wkb, from_wkt, to_wkb
 
 
 def features_of(rows: DataFrame, text: str, keep_bad: bool = False) -> DataFrame:
@@ -123,9 +127,69 @@ def write_geojson_lines(feats: DataFrame, path: str) -> None:
     feats.select(line.alias("value")).write.text(path)
 
 
+SOURCES = "array<struct<property:string,dataset:string,record_id:string,update_time:string,confidence:double,between:array<double>>>"
+
+
 def write_table(feats: DataFrame, path: str) -> None:
-    """The published layout: Parquet in folders by theme and type."""
-    feats.write.partitionBy("theme", "type").parquet(path)
+    """The published layout: Parquet in folders by theme and type, geometry as well-known binary with its box.
+
+    Features without a version or sources get version 1 and no sources. Points and lines only; the file's own metadata
+    about geometry columns is not written.
+    """
+    box = bbox(F.col("geometry"))
+    box = F.struct(*(box[side].cast("float").alias(side) for side in ("xmin", "xmax", "ymin", "ymax")))
+    more = {"version": F.lit(1), "sources": F.array().cast(SOURCES)}
+    shaped = feats.withColumn("bbox", F.when(F.size("geometry") > 0, box)).withColumn("geometry", to_wkb(F.col("geometry")))
+    shaped.withColumns({name: value for name, value in more.items() if name not in feats.columns}).write.partitionBy("theme", "type").parquet(path)
+
+
+def read_table(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Features of the published layout with decoded geometry; box (xmin, ymin, xmax, ymax) keeps what meets it.
+
+    The box is compared with the column bbox, so that the scan skips row groups and no geometry outside it is decoded.
+    """
+    rows = spark.read.parquet(path)
+    if box is not None:
+        xmin, ymin, xmax, ymax = box
+        rows = rows.where((F.col("bbox.xmin") <= xmax) & (F.col("bbox.xmax") >= xmin) & (F.col("bbox.ymin") <= ymax) & (F.col("bbox.ymax") >= ymin))
+    return rows.withColumn("geometry", from_wkb(F.col("geometry")))
+
+
+def frame(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """GeoJSON features with the coordinate system that the format fixes."""
+    return (geojson_lines if lines else geojson_document)(spark, path).withColumn("crs", F.lit("EPSG:4326"))
+
+
+@F.pandas_udf(StringType())
+def json_of_yaml(texts: pd.Series) -> pd.Series:
+    """JSON text of YAML text, with dates left as text; null for text that is not YAML."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("reading YAML needs the package yaml") from e
+
+    class Plain(yaml.SafeLoader):
+        yaml_implicit_resolvers = {c: [r for r in rs if not r[0].endswith(":timestamp")] for c, rs in yaml.SafeLoader.yaml_implicit_resolvers.items()}
+
+    def one(text):
+        try:
+            return None if text is None else json.dumps(yaml.load(text, Plain))
+        except (yaml.YAMLError, TypeError, ValueError):
+            return None
+
+    return texts.map(one)
+
+
+def instances(spark: SparkSession, path: str) -> DataFrame:
+    """path and document (JSON text) of every .json, .yaml and .yml file below a folder, sorted by path.
+
+    A file that does not parse has a null document. Files are read and parsed in tasks, one row each.
+    """
+    kind = F.lower(F.substring_index(F.col("path"), ".", -1))
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = files.where(kind.isin("json", "yaml", "yml"))
+    plain = files.where(kind == "json").select("path", F.to_json(F.try_parse_json("value")).alias("document"))
+    return plain.unionAll(files.where(kind != "json").select("path", json_of_yaml("value").alias("document"))).orderBy("path")
 
 
 def write_tsv(rows: DataFrame, path: str) -> None:
