@@ -1,0 +1,83 @@
+"""Ranked lexical search against brute force."""
+
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tests.oracle import DATA, rows_of, sql_rows
+from wayfold.llm import lexical
+from wayfold.llm.queries import ORACLE_SQL, QUERIES
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def terms(text):
+    return TERM.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def brute(docs, items):
+    counts = [(d, Counter(t), len(t)) for d, text in docs for t in [terms(text)] if t]
+    n_docs, n_terms = len(counts), sum(n for *_, n in counts)
+    df = Counter(t for _, c, _ in counts for t in c)
+    weight = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * k + 1))) for t, k in df.items()}
+    found = []
+    for name, text in items:
+        wanted = set(terms(text))
+        scores = [(-sum(weight[t] * (10**9 * c[t] // (1000 * c[t] + 8 * (10 + 90 * n * n_docs // n_terms))) for t in wanted if t in c), d is None, d) for d, c, n in counts]
+        found += [(name, r, d, -s) for r, (s, _, d) in enumerate(sorted(x for x in scores if x[0] < 0)[:10], 1)]
+    return sorted(found, key=repr)
+
+
+def corpus():
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(120)] + ["É", "naïve", "Ünder", "x_y", "A1"]
+    text = lambda n: " ".join(rng.choices(words, [1 / (i + 1) for i in range(len(words))], k=n))
+    docs = [(i, text(rng.choice([1, 5, 30, 200]))) for i in range(500)]
+    docs += [(i, docs[7][1]) for i in range(600, 700)] + [(7, docs[8][1]), (7, docs[8][1])]  # copies, repeated ids
+    docs += [(None, docs[7][1]), (801, None), (802, ""), (803, "... \t"), (804, text(60_000)), (805, "W1-w2,É"), (806, "É é"), (807, "\x7fw3\x00w4")]
+    items = [(i, text(rng.choice([1, 4, 25]))) for i in range(30)] + [(3, text(9)), (None, "w1 w5"), (41, None), (42, "nowhere"), (43, docs[7][1]), (44, "É")]
+    return docs, items
+
+
+@pytest.mark.parametrize("size", [(200_000, 16_384, 64), (20, 60, 4)])
+def test_ranked_lexical(spark, size, monkeypatch):
+    monkeypatch.setattr(lexical, "LEAF", size[2])
+    monkeypatch.setattr(lexical, "BLOCK", size[1])
+    docs, items = corpus()
+    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as n", "2 as lead", "3 as item")
+    found = lexical.rank(frame, spark.createDataFrame(items, "item_id long, text string"), part_words=size[0], block=size[1])
+    assert found.columns == ["item_id", "rank", "doc_id", "score"]
+    assert sorted(map(tuple, found.collect()), key=repr) == brute(docs, items)
+
+
+def test_ranked_lexical_of_nothing(spark):
+    none, one = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    no_items, items = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([(1, "a"), (2, None)], "item_id long, text string")
+    assert lexical.rank(none, items).collect() == lexical.rank(one, no_items).collect() == lexical.rank(none, no_items).collect() == []
+    assert [tuple(r)[:3] for r in lexical.rank(one, items).collect()] == [(1, 1, 1)]
+
+
+def test_bounds_hold_for_every_row_below_a_node():
+    rng = np.random.default_rng(1)
+    n, most = 700, 300
+    rows = [np.sort(rng.choice(most, rng.integers(1, 40), replace=False)) for _ in range(n)]
+    starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    values, weight = rng.integers(1, 10**6, starts[-1]), rng.integers(0, 9000, most)
+    t = lexical.Tree(np.arange(n), starts, np.concatenate(rows), values, weight)
+    assert sorted(t.order.tolist()) == list(range(n)) and any(t.children)
+    dense = np.zeros((n, len(t.vocabulary)))
+    for i in range(n):
+        dense[i] = t._row(i)
+    for (low, high), radius, start, end in zip(t.spans, t.radii, t.center_starts, [*t.center_starts[1:], len(t.center_cols)], strict=True):
+        mean = np.zeros(len(t.vocabulary))
+        mean[t.center_cols[start:end]] = t.center_values[start:end]
+        assert (np.sqrt(((dense[t.order[low:high]] - mean) ** 2).sum(1)) <= radius * (1 + 1e-12)).all()
+
+
+def test_query_matches_sql(spark):
+    d = f"{DATA}/sf0.001"
+    assert rows_of(QUERIES["op12_ranked_lexical"](spark, d)) == sql_rows(ORACLE_SQL["op12_ranked_lexical"], d)

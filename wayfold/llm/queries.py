@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, hard_negatives, packing, quality, secret_scan, simhash, suffix_array, suffix_tree, token_counts, topk, toxicity
+from . import decontamination, hard_negatives, lexical, packing, quality, secret_scan, simhash, suffix_array, suffix_tree, token_counts, topk, toxicity
 from .common import table
 
 
@@ -49,6 +49,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_ranked_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
 
@@ -59,11 +63,21 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_token_counts, op4_decontamination, op5_packing, op6_suffix_array, op7_top_k, op8_simhash, op9_toxicity, op10_quality, op13_hard_negatives, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_token_counts, op4_decontamination, op5_packing, op6_suffix_array, op7_top_k, op8_simhash, op9_toxicity, op10_quality, op12_ranked_lexical, op13_hard_negatives, pipeline)}
 
 #: DuckDB SQL for the queries that SQL can express; the others are tested against brute force in tests/llm.
 _FINE = "vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 ORACLE_SQL = {
+    "op12_ranked_lexical": rf"""
+        WITH d AS (SELECT doc_id, {_TERMS} AS t FROM documents), i AS (SELECT item_id, list_distinct({_TERMS}) AS t FROM benchmark),
+             c AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d WHERE len(t) > 0),
+             tf AS (SELECT doc_id, len(t) AS n, u.term, count(*) AS tf FROM d, unnest(t) AS u(term) GROUP BY ALL),
+             w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, c GROUP BY term, n_docs),
+             s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+                   FROM (SELECT item_id, unnest(t) AS term FROM i) JOIN tf USING (term) JOIN w USING (term), c GROUP BY item_id, doc_id)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
+    """,
     "op13_hard_negatives": f"""
         WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE label IS NOT NULL AND {_FINE}),
              s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
