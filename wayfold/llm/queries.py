@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, hard_negatives, lexical, packing, quality, secret_scan, simhash, suffix_array, suffix_tree, token_counts, topk, toxicity
+from . import decontamination, graph_dedup, hard_negatives, lexical, packing, quality, secret_scan, simhash, suffix_array, suffix_tree, token_counts, topk, toxicity
 from .common import table
 
 
@@ -49,6 +49,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_dedup.linked(table(spark, sf_dir, "embeddings"))
+
+
 def op12_ranked_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -63,12 +67,19 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_token_counts, op4_decontamination, op5_packing, op6_suffix_array, op7_top_k, op8_simhash, op9_toxicity, op10_quality, op12_ranked_lexical, op13_hard_negatives, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_token_counts, op4_decontamination, op5_packing, op6_suffix_array, op7_top_k, op8_simhash, op9_toxicity, op10_quality, op11_graph_dedup, op12_ranked_lexical, op13_hard_negatives, pipeline)}
 
 #: DuckDB SQL for the queries that SQL can express; the others are tested against brute force in tests/llm.
 _FINE = "vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 _TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 ORACLE_SQL = {
+    "op11_graph_dedup": f"""
+        WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, sqrt(list_inner_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE))) AS n FROM embeddings WHERE {_FINE}),
+             e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0 AND list_inner_product(a.v, b.v) / (a.n * b.n) >= 0.95),
+             r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings WHERE vec_id IS NOT NULL UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+             least AS (SELECT a, min(b) AS c FROM r GROUP BY a), links AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, coalesce(vec_id = c, false) AS kept FROM embeddings LEFT JOIN least ON least.a = vec_id LEFT JOIN links ON links.a = vec_id
+    """,
     "op12_ranked_lexical": rf"""
         WITH d AS (SELECT doc_id, {_TERMS} AS t FROM documents), i AS (SELECT item_id, list_distinct({_TERMS}) AS t FROM benchmark),
              c AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d WHERE len(t) > 0),
