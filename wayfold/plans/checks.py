@@ -68,7 +68,7 @@ def _places(spark: SparkSession, d: str) -> DataFrame:
 
 def v01_place_errors(spark, d):
     found = validation.checked(_places(spark, d), "c_custkey", "doc", PLACE)
-    return found.select("c_custkey", F.explode("errors").alias("e")).select("c_custkey", "e.path", "e.schema", "e.message")
+    return validation.each_error(found, "c_custkey").select("c_custkey", "e.path", "e.schema", "e.message")
 
 
 def _boundaries(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +85,7 @@ def _boundaries(spark: SparkSession, d: str) -> DataFrame:
 
 def v20_boundary_errors(spark, d):
     found = validation.checked(_boundaries(spark, d), "c_custkey", "doc", BOUNDARY)
-    return found.select("c_custkey", F.explode("errors").alias("e")).select("c_custkey", "e.path", "e.message")
+    return validation.each_error(found, "c_custkey").select("c_custkey", "e.path", "e.message")
 
 
 def v29_expected_errors(spark, d):
@@ -105,7 +105,56 @@ def j14_dispatch(spark, d):
     return found.select("k", F.size("errors").cast("long").alias("n_errors"), F.exists("errors", lambda e: e["message"] == "oneOf failed, none matched").alias("none_matched"))
 
 
-QUERIES = {f.__name__: f for f in (v01_place_errors, v20_boundary_errors, v29_expected_errors, j14_dispatch)}
+_AREA, _LINE, _POINT = '{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}', '{"type":"LineString","coordinates":[[0,0],[1,1]]}', '{"type":"Point","coordinates":[1,2]}'
+#: Theme, type, geometry and properties of a document made of a customer with balance x, whole balance i and key k; when a value breaks a rule (DuckDB).
+TYPES = [
+    ("addresses", "address", _POINT, '"number":"{i}","country":"XA","address_levels":[{"value":"A"},{}]', "false"),
+    ("base", "bathymetry", _AREA, '"depth":{i}', "i < 0"),
+    ("base", "infrastructure", _POINT, '"subtype":"tower","class":"bridge","height":{x}', "x <= 0"),
+    ("base", "land", _POINT, '"subtype":"land","class":"hill","elevation":{i}0', "i * 10 > 9000"),
+    ("base", "land_cover", _AREA, '"subtype":"crop","cartography":{"min_zoom":{i}}', "i NOT BETWEEN 0 AND 23"),
+    ("base", "land_use", _LINE, '"subtype":"park","class":"park","elevation":{i}', "i > 9000"),
+    ("base", "water", _AREA, '"subtype":"lake","class":"pond","is_salt":true,"wikidata":"Q{k}"', "false"),
+    ("buildings", "building", _AREA, '"height":{x},"names":{"primary":"N{k}","common":{"en":"a"}}', "x <= 0"),
+    ("buildings", "building_part", _AREA, '"building_id":"{k}","num_floors":{i}', "i <= 0"),
+    ("divisions", "division_boundary", _LINE, '"subtype":"region","class":"land","is_land":true,"is_territorial":{b},"division_ids":["a","b"],"country":"XA"', "i % 2 = 0"),
+    ("divisions", "division", _POINT, '"names":{"primary":"N"},"subtype":"locality","country":"XA","hierarchies":[[{"division_id":"a","name":"A","subtype":"country"}]],"parent_division_id":"a","population":{i}', "i < 0"),
+    ("divisions", "division_area", _AREA, '"names":{"primary":"N"},"subtype":"region","class":"land","country":"XA","division_id":"d","is_land":{b},"is_territorial":false', "i % 2 <> 0"),
+    ("places", "place", _POINT, '"categories":{"primary":"cafe"},"confidence":{x}e-4', "x < 0"),
+    ("transportation", "connector", _POINT, '"ext_x":{x}', "false"),
+    ("transportation", "segment", _LINE, '"subtype":"road","class":"primary","connectors":[{"connector_id":"a","at":0},{"connector_id":"b","at":1}],"speed_limits":[{"max_speed":{"value":{i},"unit":"mph"}}]', "i NOT BETWEEN 1 AND 350"),
+]
+
+
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    """c_custkey, doc: customers as features of all types; a quarter each lacks its version, has an unknown property, or an unknown type."""
+    k, x = F.col("c_custkey"), F.col("c_acctbal").cast("decimal(15,2)")
+    i = F.floor(x).cast("long")
+    heads = [f'{{"type":"Feature","id":"f","geometry":{shape},"properties":{{"theme":"{theme}",{more},"type":"{type_}' for theme, type_, shape, more, _ in TYPES]
+    doc = _chosen(k % len(TYPES), *heads)
+    for name, value in {"{i}": i.cast("string"), "{x}": x.cast("string"), "{k}": k.cast("string"), "{b}": F.when(i % 2 == 0, "true").otherwise("false")}.items():
+        doc = F.replace(doc, F.lit(name), value)
+    tail = _chosen(F.floor(k / len(TYPES)) % 4, '","version":1', '"', '","version":1,"zzz":1', 's","version":1')
+    rows = table(spark, d, "customer").select("c_custkey", "c_acctbal").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    return rows.select("c_custkey", F.concat(doc, tail, F.lit("}}")).alias("doc"))
+
+
+def j14_feature_types(spark, d):
+    """Documents of all published feature types against the whole catalog in one plan."""
+    found = validation.checked(_features(spark, d), "c_custkey", "doc", validation.feature_catalog(spark))
+    e = F.col("errors")
+
+    def some(test):
+        return F.exists(e, test)
+
+    known = ("missing property 'version'", "false schema", "oneOf failed, none matched")
+    return found.select(
+        "c_custkey", some(lambda x: x["message"] == known[0]).alias("no_version"), some(lambda x: x["path"] == "/properties/zzz").alias("unknown_name"),
+        F.size(F.filter(e, lambda x: (x["path"] == "") & (x["message"] == known[1]))).cast("long").alias("n_other_types"), some(lambda x: ~x["message"].isin(*known)).alias("bad_value"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (v01_place_errors, v20_boundary_errors, v29_expected_errors, j14_dispatch, j14_feature_types)}
 
 _P = "S#/properties/properties"
 _PLACE_ERRORS = f"""
@@ -142,7 +191,11 @@ boundary_errors AS (SELECT c_custkey, '/properties' AS path, 'oneOf failed, subs
   UNION ALL SELECT c_custkey, '/properties/division_ids/1', ''' b'' does not match pattern ''^(\\\\S.*)?\\\\S$''' FROM o WHERE i = 4
   UNION ALL SELECT c_custkey, '/properties/class', 'value must be one of ''land'', ''maritime''' FROM o WHERE river)
 """
+_BAD = " ".join(f"WHEN {n} THEN {bad}" for n, (*_, bad) in enumerate(TYPES))
 ORACLE_SQL = {
+    "j14_feature_types": f"""WITH c AS (SELECT c_custkey, c_acctbal::DECIMAL(15,2) AS x, floor(c_acctbal::DECIMAL(15,2))::BIGINT AS i, (c_custkey // {len(TYPES)}) % 4 AS fault FROM customer),
+        b AS (SELECT c_custkey, fault, fault <> 3 AND CASE c_custkey % {len(TYPES)} {_BAD} END AS bad FROM c)
+        SELECT c_custkey, fault = 1 AS no_version, fault = 2 AS unknown_name, CASE WHEN fault = 3 THEN {len(TYPES)} WHEN fault > 0 OR bad THEN {len(TYPES) - 1} ELSE 0 END::BIGINT AS n_other_types, bad AS bad_value FROM b""",
     "v01_place_errors": f"WITH {_PLACE_ERRORS} SELECT * FROM place_errors",
     "v20_boundary_errors": f"WITH {_BOUNDARY_ERRORS} SELECT * FROM boundary_errors",
     "v29_expected_errors": f"""WITH {_BOUNDARY_ERRORS} SELECT o.c_custkey, count(e.message) > 0 AS fails, 2 - count(DISTINCT CASE WHEN e.message IN ('missing property ''country''', 'not failed') THEN e.message END) AS n_missed
