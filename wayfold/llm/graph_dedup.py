@@ -33,7 +33,7 @@ from .common import arrow_type, checkpointed, looked_up, out
 from .links import components
 
 LEAST = 0.95
-REGION, CLUSTERS, SAMPLE, LEVELS = 4096, 256, 4096, 4
+REGION, CLUSTERS, SAMPLE, LEVELS = 2048, 256, 4096, 4
 #: Rows of a shard that one task assigns, and searches that one task makes.
 PIECE, SEARCHES = 16_384, 8192
 NEAREST, PRUNED, FAR, REVERSE, ALPHA = 48, 16, 4, 8, 1.2
@@ -133,7 +133,7 @@ def shards(nodes: DataFrame, dim: int, probes: int, region: int) -> DataFrame:
         return pa.Table.from_batches(made, schema)
 
     text = ", ".join(["shard string", "node long", "n long", "v array<double>", "role int"])
-    rows, done = nodes.select(F.lit("0").alias("shard"), "node", "n", "v", F.lit(OWN | NODE | QUERY).alias("role")), []
+    rows, done = nodes.select("shard", "node", "n", "v", F.lit(OWN | NODE | QUERY).alias("role")), []
     for level in range(LEVELS):
         size = checkpointed(rows.where(F.col("role").bitwiseAND(OWN) > 0).groupBy("shard").agg(F.count("*").alias("size")).where((F.col("size") > region) & ~F.endswith("shard", F.lit(CLOSED))))
         if size.isEmpty():
@@ -356,10 +356,10 @@ def linked(vectors: DataFrame, probes: int = PROBES, beam: int = BEAM, region: i
     """vec_id, n_links, component_id and kept of every row."""
     rows = checkpointed(keyed(vectors))
     classes = rows.where("key is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"), F.first("v").alias("v"))
-    nodes = checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
+    nodes = checkpointed(classes.withColumns({"node": F.monotonically_increasing_id(), "shard": F.lit("0")}))
     dim = nodes.agg(F.max(F.size("v"))).first()[0] or 1
     for _ in range(TRIES):
-        members = shards(nodes.select("node", "n", "v"), dim, probes, region)
+        members = shards(nodes.select("shard", "node", "n", "v"), dim, probes, region)
         found = checkpointed(searched(members, built(members, dim), dim, beam))
         links = checkpointed(found.groupBy("node").agg(F.sum("n").alias("n")))
         if recall(nodes, links, dim) >= target:
