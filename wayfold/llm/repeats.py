@@ -290,8 +290,8 @@ def contexts(joined: DataFrame, a: Alphabet, hot, parts: int) -> DataFrame:
 
 
 def repeats(dealt: DataFrame, a: Alphabet, parts: int) -> DataFrame:
-    """_r, start, stop: ranges of symbols covered by windows that also start earlier."""
-    schema = arrow_type("_r long, start int, stop int")
+    """doc_id, _r, start, stop: ranges of symbols covered by windows that also start earlier."""
+    schema = arrow_type("doc_id long, _r long, start int, stop int")
 
     def settle(rows: pa.Table):
         """One chunk: whole groups of contexts with the same key."""
@@ -309,7 +309,7 @@ def repeats(dealt: DataFrame, a: Alphabet, parts: int) -> DataFrame:
         alone = n_classes[group_no] == 1
         easy = alone[cls]
         late = easy & (origin > first[cls])
-        yield out(schema, key_row[late], at[late].astype(np.int32), (at + size)[late].astype(np.int32))
+        yield out(schema, doc[late], key_row[late], at[late].astype(np.int32), (at + size)[late].astype(np.int32))
         hard = np.flatnonzero(~alone)
         if not len(hard):
             return
@@ -333,7 +333,7 @@ def repeats(dealt: DataFrame, a: Alphabet, parts: int) -> DataFrame:
         if len(row):  # neighbouring windows of a row become one range
             cut = np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)])
             last = np.concatenate([np.flatnonzero(cut)[1:] - 1, [len(row) - 1]])
-            yield out(schema, key_row[row[cut]], start[cut].astype(np.int32), (start[last] + a.window).astype(np.int32))
+            yield out(schema, doc[row[cut]], key_row[row[cut]], start[cut].astype(np.int32), (start[last] + a.window).astype(np.int32))
 
     def task(batches):
         held = []
@@ -343,7 +343,7 @@ def repeats(dealt: DataFrame, a: Alphabet, parts: int) -> DataFrame:
                 done = b.filter(b.column("context").is_null())
                 if done.num_rows:
                     at = done.column("at").to_numpy()
-                    yield out(schema, done.column("_r").combine_chunks(), at.astype(np.int32), (at + done.column("symbols").to_numpy()).astype(np.int32))
+                    yield out(schema, done.column("doc_id").combine_chunks(), done.column("_r").combine_chunks(), at.astype(np.int32), (at + done.column("symbols").to_numpy()).astype(np.int32))
                 held.append(b.filter(b.column("context").is_valid()))
         if not held:
             return
@@ -358,34 +358,36 @@ def repeats(dealt: DataFrame, a: Alphabet, parts: int) -> DataFrame:
             yield from settle(rows.take(pa.array(order[at:stop])))
             at = stop
 
-    return dealt.repartitionById(parts, "part").mapInArrow(task, "_r long, start int, stop int")
+    return dealt.repartitionById(parts, "part").mapInArrow(task, "doc_id long, _r long, start int, stop int")
 
 
 def whole_copies(rows: DataFrame) -> DataFrame:
-    """_r of rows whose whole text also is in a row of a smaller id: all their windows start earlier there."""
+    """_r and copied (ids) of rows whose whole text also is in a row of a smaller id: all their windows start earlier there."""
     ids = rows.where("doc_id is not null").select("_r", "doc_id", F.unhex(F.sha2("text", 256)).alias("sha"))
     first = ids.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     # A key of its own on this side gives both sides an exchange, so that adaptive execution can split a frequent text.
     first = first.select(F.concat("sha", F.unhex(F.lit("00"))).alias("key"), "first")
-    return checkpointed(ids.withColumn("key", F.concat("sha", F.unhex(F.lit("00")))).join(first, "key").where("doc_id > first").select("_r").distinct())
+    return checkpointed(ids.withColumn("key", F.concat("sha", F.unhex(F.lit("00")))).join(first, "key").where("doc_id > first").groupBy("_r").agg(F.collect_set("doc_id").alias("copied")))  # one id, but for a chance collision
 
 
 def covered(docs: DataFrame, a: Alphabet) -> DataFrame:
     """doc_id, z (see texts_of) and ranges (array of start, stop; null if none) for every row of docs, whose null texts are empty.
 
     Whole copies leave at the start with the range (-1, -1): their windows are never the earliest. The joins on _r share
-    one exchange of the other documents.
+    one exchange of the other documents; what they bring is taken for rows of the same id only, as _r is a hash (more
+    candidates from another row would change nothing).
     """
     rows = with_row_key(docs).select(F.col("doc_id").cast("long"), F.col("_k").alias("_r"), "text")
-    copies = whole_copies(rows)
-    packed = zipped(rows)
-    live = packed.join(copies, "_r", "left_anti").select("doc_id", "_r", "z")
+    marked = zipped(rows).join(whole_copies(rows), "_r", "left")
+    copy = F.coalesce(F.array_contains("copied", F.col("doc_id")), F.lit(False))
+    live = marked.where(~copy).select("doc_id", "_r", "z")
     hot = docs.sparkSession.sparkContext.broadcast(frequent_grams(rows, a))
     parts = partitions_for(docs, docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, PART_BYTES)
     joined = live.join(repeated_anchors(live, a, hot, parts), "_r", "left")
-    found = repeats(contexts(joined, a, hot, parts), a, parts).groupBy("_r").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    found = repeats(contexts(joined, a, hot, parts), a, parts).groupBy("_r").agg(F.collect_list(F.struct("doc_id", "start", "stop")).alias("ranges"))
     whole = F.array(F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("stop"))).alias("ranges")
-    return live.join(found, "_r", "left").select("doc_id", "z", "ranges").unionAll(packed.join(copies, "_r", "left_semi").select("doc_id", "z", whole))
+    mine = F.transform(F.filter("ranges", lambda x: x["doc_id"] == F.col("doc_id")), lambda x: F.struct(x["start"], x["stop"])).alias("ranges")
+    return live.join(found, "_r", "left").select("doc_id", "z", mine).unionAll(marked.where(copy).select("doc_id", "z", whole))
 
 
 def mask(n: int, ranges, a: Alphabet) -> np.ndarray:
