@@ -49,6 +49,17 @@ def with_row_key(docs: DataFrame, *also: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *also).withColumn("_k", F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-(2**62))), "text"))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as make it differ from all columns of df (which Spark compares in lower case)."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        found.append(n)
+    return found
+
+
 class Cache(dict):
     """A dict that fills itself by a function and starts anew when it holds too many entries."""
 

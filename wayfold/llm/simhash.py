@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_type, checkpointed, looked_up, out, partitions_for
+from .common import arrow_type, checkpointed, free, looked_up, out, partitions_for
 from .links import components
 
 SHINGLE = 4
@@ -161,8 +161,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_k"))
     prints = checkpointed(fingerprints(docs).groupBy("fp").agg(first.alias("x")))
-    chosen = rooted(prints).groupBy("root").agg(F.min("x").alias("x")).select(F.coalesce("x.doc_id", F.lit(-(2**62))).alias("__wf_id"), F.col("x._k").alias("__wf_k"))
-    keyed = docs.withColumns({"__wf_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**62))), "__wf_k": F.xxhash64("text")})
-    kept = keyed.join(chosen, ["__wf_id", "__wf_k"], "left_semi")
-    same = Window.partitionBy("__wf_id", "__wf_k").orderBy("__wf_id")  # on the join's own partitioning: no further shuffle
-    return kept.withColumn("__wf_n", F.row_number().over(same)).where("__wf_n = 1").drop("__wf_n", "__wf_id", "__wf_k")
+    id_, key, n = free(docs, "__wf_id", "__wf_k", "__wf_n")
+    chosen = rooted(prints).groupBy("root").agg(F.min("x").alias("x")).select(F.coalesce("x.doc_id", F.lit(-(2**62))).alias(id_), F.col("x._k").alias(key))
+    keyed = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**62))), key: F.xxhash64("text")})
+    kept = keyed.join(chosen, [id_, key], "left_semi").select(*docs.columns, id_, key)
+    same = Window.partitionBy(id_, key).orderBy(id_)  # on the join's own partitioning: no further shuffle
+    return kept.withColumn(n, F.row_number().over(same)).where(F.col(n) == 1).drop(n, id_, key)

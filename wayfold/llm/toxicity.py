@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ordinal
-from .common import Cache
+from .common import Cache, free
 
 MOST_LABELLED = 2000
 MARKER_ODDS = 8.0
@@ -79,5 +79,6 @@ def rate(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFram
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without the rows rated toxic; columns as they were."""
-    rated = score(docs, train(docs, labels), "__wf_toxicity")
-    return rated.where(F.col("__wf_toxicity.tails")[0] <= threshold).drop("__wf_toxicity")
+    (name,) = free(docs, "__wf_toxicity")
+    rated = score(docs, train(docs, labels), name)
+    return rated.where(F.col(name)["tails"][0] <= threshold).drop(name)
