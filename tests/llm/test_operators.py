@@ -291,7 +291,7 @@ def test_pipeline_stages(spark):
 
 def test_item_with_many_copies_keeps_its_seeds(spark, docs_of):
     item = " ".join(f"leak{i}" for i in range(25))
-    rows = [(i, f"before{i} {item} after{i}") for i in range(3 * decontamination.RARE_DOCS)]
+    rows = [(i, f"before{i} {item} after{i}") for i in range(60)]
     found = decontamination.contaminated(docs_of(rows), spark.createDataFrame([(0, item)], "item_id long, text string"))
     assert sorted(r.doc_id for r in found.collect()) == [i for i, _ in rows]
 
@@ -317,9 +317,9 @@ def all_pairs(rows, items, least=decontamination.LEAST_SCORE):
         for i, u in items:
             item = decontamination.word_ids([u])[0]
             if i is not None and len(item) > 1:
-                score = decontamination.align(ids, item)[0] / len(item)
-                if score >= (least if len(item) >= decontamination.SHORT_WORDS else 1.0):
-                    found.append((d, i, score))
+                value = decontamination.align(ids, item)[0]
+                if value / len(item) >= least and value > 1:
+                    found.append((d, i, value / len(item)))
     return sorted(found, key=repr)
 
 
@@ -351,6 +351,47 @@ def test_decontamination_equals_all_pairs(spark, docs_of):
     assert sorted(got, key=repr) == want and len(want) > 90
 
 
+def test_short_items_are_aligned_like_all_others(spark, docs_of):
+    items = [(0, "alpha beta gamma delta"), (1, "one two"), (2, "red green blue"), (3, "lonely")]
+    rows = [(0, "x alpha beta zeta delta y"), (1, "one and two"), (2, "one"), (3, "red blue"), (4, "green x y blue"), (5, "gamma delta"), (6, "lonely"), (7, "beta x x delta"), (8, "delta gamma beta alpha")]
+    rows += [(100 + i, "the one thing of alpha") for i in range(50)]
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(docs_of(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(d, i): s for d, i, s in all_pairs(rows, items)}
+    assert got == {(0, 0): 0.625, (1, 1): 0.75, (3, 2): 0.5, (5, 0): 0.5}
+    rng = np.random.default_rng(4)
+    items = [(i, " ".join(f"w{rng.integers(12)}" for _ in range(2 + i % 4))) for i in range(40)]
+    rows = [(d, " ".join(f"w{rng.integers(12 + d)}" for _ in range(12))) for d in range(80)]
+    got = [(r.doc_id, r.item_id, r.score) for r in decontamination.contaminated(docs_of(rows), spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert sorted(got, key=repr) == all_pairs(rows, items) and len(got) > 50
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rows = [(i, f"some text number {i} with words that differ {i * 7}", i) for i in range(6)] + [(9, "some text number 5 with words that differ 35", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __wf_id long").selectExpr("*", "__wf_id as __WF_K", "'n' as __wf_n", "1 as __wf_n_", "2.5 as __wf_toxicity")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(6)], "doc_id long, quality int, toxic int")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} <= {tuple(r) for r in docs.collect()} and 9 not in {r.doc_id for r in kept.collect()}
+    left = toxicity.drop_toxic(docs, labels, threshold=1.0)
+    assert left.columns == docs.columns and sorted(map(tuple, left.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_repeats_of_the_given_documents(spark):
+    """All of sf0.001 by one dictionary of first holders."""
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    rows = sorted((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect())
+    for query, width, split in ((suffix_array.removed_bytes, 50, lambda t: t.encode()), (suffix_tree.removed_words, 20, lambda t: tuple(t.encode().split()))):
+        first, want = {}, {}
+        for d, t in rows:
+            x, gone = split(t), set()
+            for at in range(len(x) - width + 1):
+                origin = first.setdefault(hash(x[at : at + width]), (d, at))
+                if origin[0] < d or width == 20 and origin < (d, at):
+                    gone.update(range(at, at + width))
+            kept = [x[i : i + 1] for i in range(len(x)) if i not in gone]
+            want[d] = (len(gone), hashlib.sha256(b"".join(kept) if width == 50 else b" ".join(w for k in kept for w in k)).hexdigest())
+        assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in query(docs).collect()} == want
+
+
 def test_decontamination_recall_on_the_given_tables(spark):
     d = f"{DATA}/sf0.001"
     docs, benchmark = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet").where("item_id < 60")

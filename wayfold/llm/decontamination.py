@@ -11,7 +11,11 @@ that hold fewer are left out at once.
 Hits on nearby diagonals name one passage, which is aligned with the whole item by Smith-Waterman over words, in a window
 that holds every alignment through these hits that can reach the least score. Windows with too few of the item's words
 for that score are left out first, which loses nothing. The score is the alignment's value over the item's length: 1 for
-a copy. Items of 2 to SHORT_WORDS - 1 words are found as whole copies only, as a few common words would reach any lower score.
+a copy. An alignment counts only if it is worth more than one matching word, whatever the item's length.
+
+Items of fewer than SHORT_WORDS words have too few pairs for that bound, so their seeds are single words: an alignment that
+reaches the least score matches at least that share of the item's words, and two at least, so every such document holds one of
+the rarest words that are left when one less is taken away.
 
 The test set is dealt by a hash into parts of about PART_WORDS words. One part at a time is on the driver and in a
 broadcast; with several parts, each one's rows are written before the next is read. A part takes two passes over the
@@ -42,8 +46,6 @@ SHORT_WORDS = 5
 SEED_HITS = 3
 PART_WORDS = 1_000_000
 CHUNK_CHARS = 2 << 20
-#: A number of documents that tests exceed with copies; no limit of this module depends on it.
-RARE_DOCS = 20
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 LEAST_SCORE = 0.5
 PUNCTUATION = b".,;:!?\"'()[]{}|*#$%&<>-_=+/\\"
@@ -88,12 +90,17 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
 
 
 def pairs(ids: np.ndarray, gap: int = 1) -> np.ndarray:
-    """A 64-bit hash of each word with the one `gap` places later."""
+    """A 64-bit hash of each word with the one `gap` places later; of the word alone for gap 0."""
     with np.errstate(over="ignore"):
-        h = (ids[:-gap] * _BASE + ids[gap:]) * _BASE
+        h = (ids[: len(ids) - gap] * _BASE + ids[gap:] if gap else ids) * _BASE
     return h ^ (h >> np.uint64(31))
 
 
+def gaps_of(items: list[Item]) -> tuple[int, ...]:
+    """The gaps at which texts are looked up: none for words alone, one or two for pairs."""
+    return (0,) * any(not x.gap for x in items) + (1, 2) * any(x.gap for x in items)
+
+
 class Lookup:
     """Sorted distinct hashes with a bitmap that turns most lookups away."""
 
@@ -120,11 +127,19 @@ class Item:
     least: float
 
     def __post_init__(self):
-        self.most_broken = math.floor(4 / 3 * (MATCH - self.least) * len(self.ids) + 1e-9)
+        n = len(self.ids)
+        #: 1 if seeds are pairs of words, 0 if they are words.
+        self.gap = int(n >= SHORT_WORDS)
+        #: Words that every alignment with the least score matches.
+        self.matched = max(2, math.ceil(self.least * n - 1e-9))
+        self.most_broken = math.floor(4 / 3 * (MATCH - self.least) * n + 1e-9) if self.gap else n - self.matched
         #: Seeds of the item that every passage with the least score holds.
-        self.sure = max(1, min(SEED_HITS, len(self.ids) - 1 - self.most_broken))
+        self.sure = max(1, min(SEED_HITS, n - 1 - self.most_broken)) if self.gap else 1
         self.words = Counter(self.ids.tolist())
 
+    def seeds(self) -> np.ndarray:
+        return pairs(self.ids, self.gap)
+
 
 @dataclass
 class Seeds:
@@ -134,17 +149,18 @@ class Seeds:
     words: dict[bytes, int]
     lookup: Lookup
     holders: list[list[tuple[int, int]]]
+    gaps: tuple[int, ...] = (1, 2)
 
     @staticmethod
     def of(items: list[Item], words: dict[bytes, int], counts: dict[int, int]) -> Seeds:
         """The rarest pairs of each item by counts (by hash), as many as the least score asks for; ties to the first."""
         chosen: dict[int, list[tuple[int, int]]] = {}
         for i, item in enumerate(items):
-            h = pairs(item.ids).tolist()
+            h = item.seeds().tolist()
             for at in sorted(range(len(h)), key=lambda k: (counts.get(h[k], 0), k))[: item.most_broken + item.sure]:
                 chosen.setdefault(h[at], []).append((i, at))
         lookup = Lookup(np.array(list(chosen), np.uint64))
-        return Seeds(items, words, lookup, [chosen[k] for k in lookup.keys.tolist()])
+        return Seeds(items, words, lookup, [chosen[k] for k in lookup.keys.tolist()], gaps_of(items))
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[float, int, int]:
@@ -200,15 +216,15 @@ def best_passage(ids: np.ndarray, item: Item, hits: list[tuple[int, int]]) -> tu
             low = max(0, first - pad)
             window = ids[low : g[-1][0] + n + pad]
             there = Counter(window.tolist())
-            if sum(min(k, there[w]) for w, k in item.words.items()) < item.least * n:
+            if sum(min(k, there[w]) for w, k in item.words.items()) < item.matched:
                 continue
             value, s, e = align(window, item.ids)
             start, end = low + s, low + e
         if best is None or value > best:
             best, reach = value, (start, end)
-    if best is None or best < item.least * MATCH * n:
+    if best is None or best < item.least * MATCH * n or best <= MATCH:
         return None
-    return best / (MATCH * n), *reach, len({p for _, p in hits if reach[0] <= p < reach[1] - 1})
+    return best / (MATCH * n), *reach, len({p for _, p in hits if reach[0] <= p < reach[1] - item.gap})
 
 
 def scan(texts: list[str | None], seeds: Seeds) -> Iterator[tuple[int, int, float, int, int, int]]:
@@ -216,7 +232,7 @@ def scan(texts: list[str | None], seeds: Seeds) -> Iterator[tuple[int, int, floa
     for first, some in chunks(texts):
         ids, text = word_ids(some, seeds.words)
         place, row = [], []
-        for gap in (1, 2):
+        for gap in seeds.gaps:
             at, r = seeds.lookup.rows(pairs(ids, gap))
             inside = text[at] == text[at + gap]
             place.append(at[inside])
@@ -239,8 +255,8 @@ def scan(texts: list[str | None], seeds: Seeds) -> Iterator[tuple[int, int, floa
                     yield first + t, i, *best
 
 
-def document_counts(docs: DataFrame, words: dict[bytes, int], keys: np.ndarray) -> dict[int, int]:
-    """How many rows of docs hold each of the word pairs with these hashes; pairs that none holds are left out."""
+def document_counts(docs: DataFrame, words: dict[bytes, int], keys: np.ndarray, gaps: tuple[int, ...] = (1,)) -> dict[int, int]:
+    """How many rows of docs hold each of the word pairs (gap 1) or words (gap 0) with these hashes; those that none holds are left out."""
     shared = docs.sparkSession.sparkContext.broadcast((words, Lookup(keys)))
     schema = arrow_type("key long, n long")
 
@@ -250,10 +266,11 @@ def document_counts(docs: DataFrame, words: dict[bytes, int], keys: np.ndarray)
         for b in batches:
             for _, some in chunks(b.column(0).to_pylist()):
                 ids, text = word_ids(some, known)
-                at, row = lookup.rows(pairs(ids))
-                inside = text[at] == text[at + 1]
-                held = np.unique(text[at[inside]] * len(total) + row[inside])
-                total += np.bincount(held % max(1, len(total)), minlength=len(total))
+                for gap in gaps:
+                    at, row = lookup.rows(pairs(ids, gap))
+                    inside = text[at] == text[at + gap]
+                    held = np.unique(text[at[inside]] * len(total) + row[inside])
+                    total += np.bincount(held % max(1, len(total)), minlength=len(total))
         some = np.flatnonzero(total)
         yield out(schema, lookup.keys[some].view(np.int64), total[some])
 
@@ -273,9 +290,9 @@ def parts_of(docs: DataFrame, benchmark: DataFrame, least: float) -> Iterator[Se
             ids = word_ids([r.text])[0]
             if len(ids) > 1:
                 known |= {w: word_id(w) for w in split(r.text)}
-                items.append(Item(r.item_id, ids, least if len(ids) >= SHORT_WORDS else MATCH))
+                items.append(Item(r.item_id, ids, least))
         if items:
-            yield Seeds.of(items, known, document_counts(docs, known, np.concatenate([pairs(x.ids) for x in items])))
+            yield Seeds.of(items, known, document_counts(docs, known, np.concatenate([x.seeds() for x in items]), tuple(g for g in gaps_of(items) if g < 2)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
