@@ -89,3 +89,25 @@ def test_freed_sets_change_no_result(monkeypatch):
     whole = follow(points, o)
     monkeypatch.setattr(matcher, "SETS_KEPT", 1)
     assert follow(points, o) == whole and any(x[4] for x in whole)
+
+
+def spur():
+    """Three segments in a row (0-1-2-3) and a fourth from the second connector to the side."""
+    at = {0: (0.0, 0.0), 1: (1000.0, 0.0), 2: (2000.0, 0.0), 3: (3000.0, 0.0), 4: (1000.0, 1000.0)}
+    return {i: (p, (at[p[0]], at[p[1]])) for i, p in enumerate([(0, 1), (1, 2), (2, 3), (1, 4)])}
+
+
+def test_no_way_back_over_passed_segments():
+    roads = spur()
+    own = {0: (500.0, 0.0), 1: (1500.0, 0.0), 2: (2500.0, 0.0), 3: (1000.0, 500.0)}
+    along = [(own[s], None, [road(roads, s, own[s])]) for s in (0, 1, 2)]
+    side = (own[3], None, [road(roads, 3, own[3])])
+    o = Options(most_deviation=1e6, gap_metres=1e9)
+    # No route leads to the spur but over the second segment again: the point is ignored with the one before it.
+    assert [x[1] for x in follow([*along, side], o)] == [0, 1, None, None]
+    got = follow([*along, side], Options(most_deviation=1e6, gap_metres=1e9, allow_loops=True))
+    assert [x[1] for x in got] == [0, 1, 2, 3] and got[3][4] == 3  # the second segment and two connectors again
+    # A segment that a route only passed is blocked as well: 0 to 2 passes 1, so that the spur cannot be reached.
+    assert [x[1] for x in follow([along[0], along[2], side, along[1]], o)] == [0, None, None, 1]
+    # The same points in an order that needs no way back.
+    assert [x[1] for x in follow([along[0], side], o)] == [0, 3]

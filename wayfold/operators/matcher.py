@@ -4,6 +4,9 @@ Spark finds each point's candidate segments by an equi-join on grid cells and de
 trace is followed point by point from its first to its last, since revisit penalties depend on the whole path so far and
 a later point can revise any earlier one. So a whole trace is one task's work and memory.
 
+Routes run over the trace's candidate segments. Without loops (the default) they take no segment that the sequence has
+matched or passed before; with loops, each segment and connector passed again is a revisit and costs its penalty.
+
 Defined cases: a point without a candidate, or that no route reaches, is ignored together with the retained point
 before it; the sequence goes on from the one before that, or ends there if the time or distance from the ignored one is
 too large, and the next sequence starts at the next point. Ties go to the smaller segment id. Points without coordinates take part as points without candidates.
@@ -63,6 +66,7 @@ class State:
     segments: frozenset | None = frozenset()
     vias: frozenset | None = frozenset()
     via: tuple[int, ...] = ()
+    passed: tuple[int, ...] = ()
 
 
 @dataclass
@@ -82,45 +86,46 @@ def metres(a: tuple, b: tuple) -> float:
     return 2 * EARTH_RADIUS * math.asin(math.sqrt(h))
 
 
-def network(roads: list[Road]) -> dict[int, list[tuple[int, float]]]:
-    """Connector to its neighbours and the metres between them, over the given candidates only."""
+def network(roads: list[Road]) -> dict[int, list[tuple[int, float, int]]]:
+    """Connector to its neighbours, the metres between them and the segment, over the given candidates only."""
     links: dict = {}
     for r in {r.segment: r for r in roads}.values():
         length = metres(*r.ends)
         for a, b in (r.nodes, r.nodes[::-1]):
-            links.setdefault(a, []).append((b, length))
+            links.setdefault(a, []).append((b, length, r.segment))
     return links
 
 
-def reach(start: Road, links: dict, most: float) -> dict[int, tuple[float, int | None]]:
-    """Connector to (metres from the start's place, connector before), for all within `most` metres."""
+def reach(start: Road, links: dict, most: float, blocked: frozenset = frozenset()) -> dict[int, tuple[float, int, int]]:
+    """Connector to (metres from the start's place, connector before, segment between), for all within `most` metres over segments that are not blocked."""
     done: dict = {}
-    queue = [(metres(start.place, end), node, -1) for node, end in zip(start.nodes, start.ends, strict=True)]
+    queue = [(metres(start.place, end), node, -1, -1) for node, end in zip(start.nodes, start.ends, strict=True)]
     heapq.heapify(queue)
     while queue:
-        d, node, before = heapq.heappop(queue)
+        d, node, before, by = heapq.heappop(queue)
         if node in done or d > most:
             continue
-        done[node] = (d, before)
-        for other, length in links.get(node, ()):
-            if other not in done:
-                heapq.heappush(queue, (d + length, other, node))
+        done[node] = (d, before, by)
+        for other, length, segment in links.get(node, ()):
+            if other not in done and segment not in blocked:
+                heapq.heappush(queue, (d + length, other, node, segment))
     return done
 
 
-def route(start: Road, end: Road, reached: dict) -> tuple[float, tuple[int, ...]]:
-    """Metres and connectors passed between two places; infinite if the end is out of reach."""
+def route(start: Road, end: Road, reached: dict) -> tuple[float, tuple[int, ...], tuple[int, ...]]:
+    """Metres, connectors and segments passed between two places; infinite if the end is out of reach."""
     if start.segment == end.segment:
-        return metres(start.place, end.place), ()
+        return metres(start.place, end.place), (), ()
     ways = [(reached[n][0] + metres(p, end.place), n) for n, p in zip(end.nodes, end.ends, strict=True) if n in reached]
     if not ways:
-        return math.inf, ()
+        return math.inf, (), ()
     length, node = min(ways)
-    via = []
+    via, passed = [], []
     while node != -1:
         via.append(node)
-        node = reached[node][1]
-    return length, tuple(reversed(via))
+        _, node, by = reached[node]
+        passed += [by] * (by != -1)
+    return length, tuple(reversed(via)), tuple(reversed(passed))
 
 
 def emission(distance: float, o: Options) -> float:
@@ -138,7 +143,7 @@ def restored(state: State) -> State:
         while s is not None:
             way.append(s)
             s = s.before
-        state.segments, state.vias = frozenset(s.road.segment for s in way), frozenset(v for s in way for v in s.via)
+        state.segments, state.vias = frozenset(x for s in way for x in (s.road.segment, *s.passed)), frozenset(v for s in way for v in s.via)
     return state
 
 
@@ -146,18 +151,22 @@ def next_states(prev: Layer, roads: list[Road], trace_m: float, links: dict, o:
     """The best state of each candidate that some route from prev reaches."""
     found: dict[int, State] = {}
     for s in map(restored, prev.states):
-        reached = reach(s.road, links, trace_m + o.most_deviation)
+        # Without loops a route takes no segment that was matched or passed before.
+        reached = reach(s.road, links, trace_m + o.most_deviation, frozenset() if o.allow_loops else s.segments)
         for k, r in enumerate(roads):
-            length, via = route(s.road, r, reached)
+            stays = r.segment == s.road.segment
+            if not o.allow_loops and r.segment in s.segments and not stays:
+                continue
+            length, via, passed = route(s.road, r, reached)
             gap = abs(trace_m - length)
-            again = r.segment in s.segments and r.segment != s.road.segment
-            if gap > o.most_deviation or (again and not o.allow_loops):
+            if gap > o.most_deviation:
                 continue
-            seen = sum(v in s.vias for v in via)
+            steps = () if stays else tuple(x for x, before in zip((*passed, r.segment), (s.road.segment, *passed), strict=True) if x != before)
+            again, seen = sum(x in s.segments for x in steps), sum(v in s.vias for v in via)
             score = s.score + emission(r.distance, o) - math.log(o.beta) - gap / o.beta - seen * o.via_penalty - again * o.segment_penalty
             if k not in found or score > found[k].score:
-                segments = s.segments if r.segment in s.segments else s.segments | {r.segment}
-                found[k] = State(r, score, s, length, int(again) + seen, segments, s.vias.union(via) if via else s.vias, via)
+                segments = s.segments.union(steps) if steps else s.segments
+                found[k] = State(r, score, s, length, again + seen, segments, s.vias.union(via) if via else s.vias, via, passed)
     return [found[k] for k in sorted(found)]
 
 
