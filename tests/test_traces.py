@@ -18,6 +18,45 @@ def test_thinned_equals_loop(spark):
     assert got == sorted(want) and 20 < len(want) < 300
 
 
+def test_thinned_traces_that_stay_or_go_back(spark):
+    """A trace that stays in one place for 200 points, one that comes back, one point alone."""
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    rows = [(0, i, start + timedelta(seconds=i), 10.0 * (i % 3), 0.0) for i in range(200)] + [(0, 200, start + timedelta(seconds=300), 5000.0, 0.0)]
+    rows += [(1, i, start + timedelta(seconds=i), 1000.0 * (i % 2), 0.0) for i in range(9)] + [(2, 5, start, 0.0, 0.0)]
+    got = sorted((r.trace_id, r.idx) for r in traces.thinned(spark.createDataFrame(rows, "trace_id long, idx long, ts timestamp, x double, y double")).collect())
+    assert got == [(0, 0), (0, 200)] + [(1, i) for i in range(9)] + [(2, 5)]
+    assert traces.thinned(spark.createDataFrame([], "trace_id long, idx long, ts timestamp, x double, y double")).collect() == []
+
+
+def test_quantiles_by_selection(spark):
+    import numpy as np
+
+    values = [3.0] * 500 + [float(i * 7919 % 1000) for i in range(777)] + [None] * 5
+    frame = spark.createDataFrame([(i, v, {"a": 1}) for i, v in enumerate(values)], "k int, v double, m map<string,int>")
+    shares = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
+    assert np.allclose(results.quantiles(frame, "v", shares), np.quantile([v for v in values if v is not None], shares))
+    assert results.quantiles(frame.where("v is null"), "v", [0.5]) == [None] and results.quantiles(frame.where("k = 3"), "v", [0.5]) == [3.0]
+
+
+def test_routes_over_connectors(spark):
+    """A row of segments (0-1-2-3-4) with a spur: the way between candidates three segments apart, and none beyond the bound."""
+    ends = {i: (i, i + 1, 1000.0 * i, 0.0, 1000.0 * (i + 1), 0.0) for i in range(4)} | {9: (1, 8, 1000.0, 0.0, 1000.0, 1000.0)}
+    at = {0: (500.0, 0.0), 1: (1500.0, 0.0), 2: (2500.0, 0.0), 3: (3500.0, 0.0), 9: (1000.0, 700.0)}
+    near = [(1, idx, seg, *at[seg], *at[seg], *ends[seg]) for idx, segs in ((0, (0, 9)), (1, (3, 1)), (2, (2,))) for seg in segs]
+    frame = spark.createDataFrame(near, "trace_id long, idx long, segment_id long, x double, y double, sx double, sy double, from_node long, to_node long, x1 double, y1 double, x2 double, y2 double")
+    got = {(r.idx, r.from_segment, r.to_segment): r.route_m for r in results.routes(frame, Options(most_deviation=1000.0)).collect()}
+
+    def way(*places):
+        return round(sum(metres(a, b) for a, b in zip(places, places[1:])), 2)
+
+    line = [(1000.0 * i, 0.0) for i in range(5)]
+    want = {(1, 0, 3): way(at[0], at[3]), (1, 0, 1): way(at[0], at[1]), (1, 9, 3): way(at[9], line[1], at[3]), (1, 9, 1): way(at[9], line[1], at[1]), (2, 3, 2): way(at[3], at[2]), (2, 1, 2): way(at[1], at[2])}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 0.02 for k in want)
+    assert (1, 9, 3) not in {(r.idx, r.from_segment, r.to_segment) for r in results.routes(frame, Options(most_deviation=20.0)).collect()}
+
+
 def test_writers_of_results(spark, tmp_path):
     results.write_options(spark, Options(sigma=5.0), str(tmp_path / "o"))
     assert '"sigma": 5.0' in spark.read.text(str(tmp_path / "o")).first().value

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import fraction_along, haversine, metres, wkt_point
+from ..sources.storage import checkpointed
 from .matcher import Options
 
 
@@ -45,15 +46,83 @@ def transitions(near: DataFrame, options: Options | None = None) -> DataFrame:
     return best.where(gap <= o.most_deviation).select("trace_id", "idx", "from_segment", "to_segment", F.round("route", 2).alias("route_m"), (F.lit(-math.log(o.beta)) - gap / o.beta).alias("log_prob"))
 
 
+def routes(near: DataFrame, options: Options | None = None) -> DataFrame:
+    """transitions() over any number of connectors: the shortest way between predictions of neighbouring points over their trace's candidate segments.
+
+    Labels (metres from a prediction to a connector) are relaxed in rounds: those that a round improved meet the links of
+    their trace, and the least of each connector is kept, by partial minima before the shuffle. No label exceeds
+    the trace's step and the largest deviation, so rounds end after as many links as fit in that. Ways back over
+    segments matched before are not blocked here, as a table of transitions knows no sequence; the matcher blocks them.
+    """
+    o = options or Options()
+    key = ["trace_id", "idx", "from_segment"]
+    ends = F.array(*(F.struct(F.col(n).alias("node"), F.col(x).alias("nx"), F.col(y).alias("ny")) for n, x, y in (("from_node", "x1", "y1"), ("to_node", "x2", "y2"))))
+    now = near.select("trace_id", "idx", F.col("segment_id").alias("to_segment"), "x", "y", F.col("sx").alias("bx"), F.col("sy").alias("by"), ends.alias("ends"))
+    place = now.select("trace_id", "idx", F.col("x").alias("qx"), F.col("y").alias("qy")).distinct()
+    before = near.select("trace_id", (F.col("idx") + 1).alias("idx"), F.col("segment_id").alias("from_segment"), "x", "y", F.col("sx").alias("ax"), F.col("sy").alias("ay"), ends.alias("ends"))
+    before = before.join(place, ["trace_id", "idx"]).withColumn("step", metres(F.col("x"), F.col("y"), F.col("qx"), F.col("qy")))
+    before = checkpointed(before.select(*key, "step", "ax", "ay", "ends"))
+    segs = near.select("trace_id", "segment_id", "from_node", "to_node", "x1", "y1", "x2", "y2").distinct()
+    length = metres(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    ways = F.array(*(F.struct(F.col(a).alias("node"), F.col(b).alias("other"), length.alias("length")) for a, b in (("from_node", "to_node"), ("to_node", "from_node"))))
+    links = checkpointed(segs.select("trace_id", F.explode(ways).alias("w")).select("trace_id", "w.*").groupBy("trace_id", "node", "other").agg(F.min("length").alias("length")))
+    most = F.col("step") + o.most_deviation
+    first = before.select(*key, "step", "ax", "ay", F.explode("ends").alias("e")).select(*key, "step", "e.node", metres(F.col("ax"), F.col("ay"), F.col("e.nx"), F.col("e.ny")).alias("m"))
+    labels = checkpointed(first.where(F.col("m") <= most).groupBy(*key, "step", "node").agg(F.min("m").alias("m")))
+    front = labels
+    while not front.isEmpty():
+        tried = front.join(links, ["trace_id", "node"]).select(*key, "step", F.col("other").alias("node"), (F.col("m") + F.col("length")).alias("m")).where(F.col("m") <= most)
+        new = tried.groupBy(*key, "step", "node").agg(F.min("m").alias("m"))
+        known = labels.select(*key, "node", F.col("m").alias("known"))
+        front = checkpointed(new.join(known, [*key, "node"], "left").where(F.col("known").isNull() | (F.col("m") < F.col("known") - 1e-9)).drop("known"))
+        labels = checkpointed(labels.unionByName(front).groupBy(*key, "step", "node").agg(F.min("m").alias("m")))
+    into = now.select("trace_id", "idx", "to_segment", "bx", "by", F.explode("ends").alias("e")).select("trace_id", "idx", "to_segment", "e.node", metres(F.col("e.nx"), F.col("e.ny"), F.col("bx"), F.col("by")).alias("rest"))
+    over = labels.join(into, ["trace_id", "idx", "node"]).where("from_segment <> to_segment").select(*key, "to_segment", "step", (F.col("m") + F.col("rest")).alias("route"))
+    straight = metres(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    same = before.join(now.select("trace_id", "idx", "to_segment", F.col("to_segment").alias("from_segment"), "bx", "by"), key).select(*key, "to_segment", "step", straight.alias("route"))
+    gap = F.abs(F.col("step") - F.col("route"))
+    best = over.unionByName(same).groupBy(*key, "to_segment", "step").agg(F.min("route").alias("route")).where(gap <= o.most_deviation)
+    return best.select(*key, "to_segment", F.round("route", 2).alias("route_m"), (F.lit(-math.log(o.beta)) - gap / o.beta).alias("log_prob"))
+
+
 def grouped_candidates(pairs: DataFrame) -> DataFrame:
     """trace_id, n, candidates (sorted array of segment ids) of (trace_id, segment_id); a trace whose only row has null has none."""
     return pairs.groupBy("trace_id").agg(F.count("segment_id").alias("n"), F.array_sort(F.collect_list("segment_id")).alias("candidates"))
 
 
+def quantiles(values: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Exact quantiles by linear interpolation between neighbouring ranks; Nones without values.
+
+    Values are range-partitioned (ties are spread by a hash of the row), the partitions' sizes tell which of them holds a rank, and the
+    rank is looked up there: no task sees more than its partition.
+    """
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = values.where(F.col(column).isNotNull()).select(F.col(column).alias("value"), F.xxhash64(*(c for c, kind in values.dtypes if "map<" not in kind and "variant" not in kind)).alias("tie"))
+    dealt = checkpointed(held.repartitionByRange(parts, "value", "tie").withColumn("part", F.spark_partition_id()))
+    sizes = dict(dealt.groupBy("part").count().collect())  # one number a partition
+    n = sum(sizes.values())
+    if not n:
+        return [None] * len(shares)
+    wanted, starts, at = {}, {}, 0
+    for part in sorted(sizes):
+        starts[part], at = at, at + sizes[part]
+    for rank in {r for q in shares for r in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))}:
+        part = max(p for p in starts if starts[p] <= rank)
+        wanted[rank] = (part, rank - starts[part] + 1)
+    some = dealt.where(F.col("part").isin(*{p for p, _ in wanted.values()})).withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("value", "tie")))
+    test = F.lit(False)
+    for p, r in wanted.values():
+        test = test | ((F.col("part") == p) & (F.col("rank") == r))
+    got = {(r["part"], r["rank"]): r["value"] for r in some.where(test).collect()}  # two values a share
+    low_high = [(got[wanted[math.floor(q * (n - 1))]], got[wanted[math.ceil(q * (n - 1))]], q * (n - 1) % 1) for q in shares]
+    return [float(low) + (float(high) - float(low)) * part for low, high, part in low_high]
+
+
 def described(values: DataFrame, column: str) -> DataFrame:
     """One row: count, mean, standard deviation, least, quartiles and largest value."""
-    c = F.col(column)
-    return values.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev(c).alias("std"), F.min(c).alias("least"), *(F.percentile(c, F.lit(q)).alias(f"q{int(100 * q)}") for q in (0.25, 0.5, 0.75)), F.max(c).alias("most"))
+    c, shares = F.col(column), (0.25, 0.5, 0.75)
+    quarters = zip(shares, quantiles(values, column, list(shares)), strict=True)
+    return values.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev(c).alias("std"), F.min(c).alias("least"), *(F.lit(x).cast("double").alias(f"q{int(100 * q)}") for q, x in quarters), F.max(c).alias("most"))
 
 
 def with_predictions(points: DataFrame, matched: DataFrame) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_RADIUS, metres
-from ..sources.adapters import ORIGIN_LAT
+from ..functions.geo import metres
+from ..sources.storage import checkpointed
 
 
 def steps(points: DataFrame) -> DataFrame:
@@ -21,36 +19,55 @@ def steps(points: DataFrame) -> DataFrame:
     return met.withColumns({"raw_m": raw, "step_m": F.round(raw, 2), "step_s": F.round(seconds, 3)}).drop("_x", "_y", "_ts")
 
 
+def successors(points: DataFrame, least_m: float, least_s: float, ahead: int = 16) -> DataFrame:
+    """trace_id, n, next: for each of a trace's points (trace_id, n from 1, x, y, ts) the first later one that lies far enough off in metres and seconds; points without one are left out.
+
+    The next `ahead` points are looked at first, in one window; points that find none there look at four times as many
+    in each further round, by a join. Work beyond the window grows with how long traces stay in one place.
+    """
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = checkpointed(points.select("trace_id", "n", "x", "y", us.alias("us")))
+
+    def far(x, y, t):
+        late = F.coalesce((t - F.col("us")) / 1e6 >= least_s, F.lit(True))
+        return late & (metres(F.col("x"), F.col("y"), x, y) >= least_m)
+
+    w = Window.partitionBy("trace_id").orderBy("n")
+    coming = F.collect_list(F.struct("n", "x", "y", "us")).over(w.rowsBetween(1, ahead))
+    first = F.filter(coming, lambda p: far(p["x"], p["y"], p["us"]))
+    looked = checkpointed(rows.withColumns({"next": F.try_element_at(first, F.lit(1))["n"], "last": F.count("*").over(Window.partitionBy("trace_id"))}))
+    found, low = looked.where("next is not null").select("trace_id", "n", "next"), ahead
+    left = looked.where(F.col("next").isNull() & (F.col("n") + low < F.col("last"))).drop("next")
+    later = rows.select("trace_id", F.col("n").alias("next"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("us").alias("bt"))
+    while not left.isEmpty():
+        high = 4 * low
+        tried = left.withColumn("next", F.explode(F.sequence(F.col("n") + low + 1, F.least(F.col("n") + high, F.col("last")))))
+        met = tried.join(later, ["trace_id", "next"]).where(far(F.col("bx"), F.col("by"), F.col("bt")))
+        new = checkpointed(met.groupBy("trace_id", "n").agg(F.min("next").alias("next")))
+        found = found.unionAll(new)
+        left = checkpointed(left.join(new, ["trace_id", "n"], "left_anti").where(F.col("n") + high < F.col("last")))
+        low = high
+    return found
+
+
 def thinned(points: DataFrame, least_m: float = 50.0, least_s: float = 1.0) -> DataFrame:
     """points without those that lie less than least_m metres or least_s seconds after the last one kept; a trace's first point stays.
 
-    Whether a point stays depends on the decision before it, so a trace's points are gone through in order, in one task
-    and one pass; a point without coordinates is dropped, one without a time is judged by metres only.
+    The point kept after another depends on that one only: the kept points are the orbit of a trace's first point under
+    successors(). Maps of 1, 2, 4 ... steps are made by joins of each with itself, and the orbit doubles with each, so rounds grow with
+    the logarithm of the longest orbit and no trace is gone through in order. A point without coordinates is dropped,
+    one without a time is judged by metres only; of points that share an index the order is by place.
     """
-    schema = points.schema
-
-    def task(rows):
-        rows = rows.sort_values("idx", kind="stable")
-        kept, last = [], None
-        for i, (x, y, t) in enumerate(zip(rows["x"], rows["y"], rows["ts"], strict=True)):
-            if x != x or y != y:
-                continue
-            if last is not None:
-                late = t is None or last[2] is None or t != t or last[2] != last[2] or (t - last[2]).total_seconds() >= least_s
-                if not late or flat_metres(last[0], last[1], x, y) < least_m:
-                    continue
-            kept.append(i)
-            last = (x, y, t)
-        return rows.iloc[kept]
-
-    return points.groupBy("trace_id").applyInPandas(task, schema)
-
-
-def flat_metres(x1: float, y1: float, x2: float, y2: float) -> float:
-    """Great-circle metres between two places in micro-degrees."""
-    a, b = math.radians(ORIGIN_LAT + y1 / 1e6), math.radians(ORIGIN_LAT + y2 / 1e6)
-    h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians((x2 - x1) / 1e6) / 2) ** 2
-    return 2 * EARTH_RADIUS * math.asin(math.sqrt(h))
+    order = Window.partitionBy("trace_id").orderBy("idx", "ts", "x", "y")
+    numbered = checkpointed(points.where("x is not null and y is not null").withColumn("n", F.row_number().over(order).cast("long")))
+    jump, jumps = checkpointed(successors(numbered, least_m, least_s)), []
+    while not jump.isEmpty():
+        jumps.append(jump)
+        jump = checkpointed(jump.join(jump.select("trace_id", F.col("n").alias("next"), F.col("next").alias("then")), ["trace_id", "next"]).select("trace_id", "n", F.col("then").alias("next")))
+    kept = numbered.where("n = 1").select("trace_id", "n")
+    for jump in reversed(jumps):
+        kept = kept.unionAll(kept.join(jump, ["trace_id", "n"]).select("trace_id", F.col("next").alias("n")))
+    return numbered.join(kept, ["trace_id", "n"]).select(*points.columns)
 
 
 def parts(points: DataFrame, gap_m: float = 100.0, gap_s: float | None = None) -> DataFrame:

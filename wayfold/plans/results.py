@@ -11,6 +11,7 @@ from ..functions import geo
 from ..operators import matcher, results, spatial, traces
 from ..sources import adapters, readers
 from ..sources.adapters import table
+from ..sources.storage import checkpointed
 from .queries import _MATCHED, _POINTS, _SEG, _STEPS, _metres, _points, _raw, _segments
 
 MOST = 30.0
@@ -20,13 +21,23 @@ def _near(spark: SparkSession, d: str) -> DataFrame:
     return spatial.near(_points(spark, d), _segments(spark, d), MOST)
 
 
+def _once(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Points and their candidates, each computed once for all uses in a query."""
+    points = checkpointed(_points(spark, d))
+    return points, checkpointed(spatial.near(points, _segments(spark, d), MOST))
+
+
 def _best(spark: SparkSession, d: str) -> DataFrame:
-    return results.ranked(_near(spark, d)).where("rank = 1")
+    return _first(_near(spark, d))
+
+
+def _first(near: DataFrame) -> DataFrame:
+    return results.ranked(near).where("rank = 1")
 
 
-def _labels(spark: SparkSession, d: str) -> DataFrame:
+def _labels(points: DataFrame) -> DataFrame:
     """Labels from the table: segments by the point's number; traces divisible by 5 have none, others stop at point 40, and some name no segment."""
-    p = _points(spark, d).where("trace_id % 5 <> 0 and idx <> 40")
+    p = points.where("trace_id % 5 <> 0 and idx <> 40")
     return p.select("trace_id", "idx", F.when(F.col("idx") % 9 == 4, -1).otherwise(F.col("trace_id") + F.floor(F.col("idx") / 4)).cast("long").alias("label_id"))
 
 
@@ -36,7 +47,12 @@ def o01_predictions(spark, d):
 
 def j05_transitions(spark, d):
     o = matcher.Options(beta=20.0)
-    return results.transitions(_near(spark, d), o).withColumn("log_prob", F.round("log_prob", 4))
+    return results.transitions(_once(spark, d)[1], o).withColumn("log_prob", F.round("log_prob", 4))
+
+
+def j05_routes(spark, d):
+    """Transitions over any number of connectors of the trace's candidate segments."""
+    return results.routes(_once(spark, d)[1], matcher.Options(beta=20.0)).withColumn("log_prob", F.round("log_prob", 4))
 
 
 def j02_buffer_join(spark, d):
@@ -55,7 +71,8 @@ def a05_step_statistics(spark, d):
 
 def k01_documents(spark, d):
     """Result documents, read again: how many points they list, the ids, and the prediction of the fourth point."""
-    docs = results.documents(_points(spark, d), _best(spark, d), diagnostic=True, every=results.ranked(_near(spark, d)))
+    points, near = _once(spark, d)
+    docs = results.documents(points, _first(near), diagnostic=True, every=results.ranked(near))
     got = lambda path: F.get_json_object("json", path)
     return docs.select("trace_id", got("$.id").alias("id"), got("$.point_count").cast("long").alias("point_count"), F.json_array_length(got("$.points")).cast("long").alias("n_listed"), got("$.points_with_matches").cast("long").alias("points_with_matches"), got("$.target_ids").alias("target_ids"), got("$.points[3].snap_prediction.id").alias("fourth_id"), got("$.points[3].original_point").alias("fourth_point"), F.json_array_length(got("$.points[3].predictions")).cast("long").alias("fourth_predictions"))
 
@@ -72,12 +89,17 @@ def k04_metric_rows(spark, d):
     return results.metric_rows(_points(spark, d), _best(spark, d), spatial.candidate_counts(_points(spark, d), _segments(spark, d)))
 
 
+def _compared(spark: SparkSession, d: str) -> DataFrame:
+    points, near = _once(spark, d)
+    return results.compared(points, _first(near), _labels(points), _segments(spark, d))
+
+
 def k06_compared(spark, d):
-    return results.compared(_points(spark, d), _best(spark, d), _labels(spark, d), _segments(spark, d))
+    return _compared(spark, d)
 
 
 def a03_error_rates(spark, d):
-    return results.error_rates(results.compared(_points(spark, d), _best(spark, d), _labels(spark, d), _segments(spark, d)))
+    return results.error_rates(_compared(spark, d))
 
 
 def k09_report(spark, d):
@@ -92,7 +114,7 @@ def w07_match_metrics(spark, d):
 
 
 def d13_thinned(spark, d):
-    """Points kept at least 50 m and 1 s from the last kept one; no SQL: each decision depends on the one before (tests hold it against a loop)."""
+    """Points kept at least 50 m and 1 s from the last kept one."""
     return traces.thinned(_points(spark, d)).select("trace_id", "idx")
 
 
@@ -138,7 +160,7 @@ def d15_connector_places(spark, d):
     return spatial.placed_connectors(c, s).select("segment_id", "connector_id", "on_line", F.round("px", 4).alias("px"), F.round("py", 4).alias("py"))
 
 
-QUERIES = {f.__name__: f for f in (o01_predictions, j05_transitions, j02_buffer_join, a04_candidate_lists, a05_step_statistics, k01_documents, k02_judgments, k03_snapped_points, k04_metric_rows, k06_compared, a03_error_rates, k09_report, w07_match_metrics, d13_thinned, p11_features, p01_filter, u04_last_wins, f04_nearest_points, d15_connector_places)}
+QUERIES = {f.__name__: f for f in (o01_predictions, j05_transitions, j05_routes, j02_buffer_join, a04_candidate_lists, a05_step_statistics, k01_documents, k02_judgments, k03_snapped_points, k04_metric_rows, k06_compared, a03_error_rates, k09_report, w07_match_metrics, d13_thinned, p11_features, p01_filter, u04_last_wins, f04_nearest_points, d15_connector_places)}
 
 _LOG0 = repr(-math.log(math.sqrt(2 * math.pi) * 4.1)) + "::DOUBLE"
 _NEAR = f"""
@@ -206,6 +228,17 @@ def _sql() -> dict[str, str]:
               CASE WHEN a.to_node IN (b.from_node, b.to_node) THEN {_raw('a.sx', 'a.sy', 'a.x2', 'a.y2')} + {_raw('a.x2', 'a.y2', 'b.sx', 'b.sy')} END) END AS route
             FROM near a JOIN near b ON a.trace_id = b.trace_id AND a.idx + 1 = b.idx)
             SELECT trace_id, idx, from_segment, to_segment, round(route, 2) AS route_m, round(-ln(20.0::DOUBLE) - abs(step - route) / 20, 4) AS log_prob FROM pairs WHERE abs(step - route) <= 300""",
+        "j05_routes": f"""WITH RECURSIVE {_SEG}, {_POINTS}, {_NEAR}, ends AS (SELECT trace_id, idx, segment_id, x, y, sx, sy, unnest([from_node, to_node]) AS node, unnest([x1, x2]) AS nx, unnest([y1, y2]) AS ny FROM near),
+            link AS (SELECT DISTINCT trace_id, unnest([from_node, to_node]) AS node, unnest([to_node, from_node]) AS other, {_raw('x1', 'y1', 'x2', 'y2')} AS length FROM near),
+            prev AS (SELECT a.trace_id, a.idx + 1 AS idx, a.segment_id AS from_segment, a.node, {_raw('a.sx', 'a.sy', 'a.nx', 'a.ny')} AS m, {_raw('a.x', 'a.y', 'p.x', 'p.y')} AS step FROM ends a JOIN pts p ON p.trace_id = a.trace_id AND p.idx = a.idx + 1),
+            way AS (SELECT * FROM prev WHERE m <= step + 300 UNION ALL SELECT w.trace_id, w.idx, w.from_segment, l.other, w.m + l.length, w.step FROM way w JOIN link l ON l.trace_id = w.trace_id AND l.node = w.node WHERE w.m + l.length <= w.step + 300),
+            r AS (SELECT w.trace_id, w.idx, w.from_segment, e.segment_id AS to_segment, step, w.m + {_raw('e.nx', 'e.ny', 'e.sx', 'e.sy')} AS route FROM (SELECT trace_id, idx, from_segment, node, step, min(m) AS m FROM way GROUP BY ALL) w JOIN ends e ON e.trace_id = w.trace_id AND e.idx = w.idx AND e.node = w.node AND e.segment_id <> w.from_segment
+                  UNION ALL SELECT b.trace_id, b.idx, b.segment_id, b.segment_id, {_raw('a.x', 'a.y', 'b.x', 'b.y')}, {_raw('a.sx', 'a.sy', 'b.sx', 'b.sy')} FROM near a JOIN near b ON a.trace_id = b.trace_id AND a.idx + 1 = b.idx AND a.segment_id = b.segment_id),
+            s AS (SELECT trace_id, idx, from_segment, to_segment, step, min(route) AS route FROM r GROUP BY ALL)
+            SELECT trace_id, idx, from_segment, to_segment, round(route, 2) AS route_m, round(-ln(20.0::DOUBLE) - abs(step - route) / 20, 4) AS log_prob FROM s WHERE abs(step - route) <= 300""",
+        "d13_thinned": f"""WITH RECURSIVE {_SEG}, {_POINTS}, kept AS (SELECT trace_id, min(idx) AS idx FROM pts GROUP BY 1
+            UNION ALL SELECT k.trace_id, min(b.idx) FROM kept k JOIN pts a ON a.trace_id = k.trace_id AND a.idx = k.idx JOIN pts b ON b.trace_id = k.trace_id AND b.idx > k.idx AND {_raw('a.x', 'a.y', 'b.x', 'b.y')} >= 50 AND (epoch_us(b.ts) - epoch_us(a.ts)) / 1e6 >= 1 GROUP BY k.trace_id)
+            SELECT trace_id, idx FROM kept""",
         "j02_buffer_join": f"WITH {_SEG}, {_POINTS}, {_BUFFER} SELECT trace_id, segment_id FROM buffered",
         "a04_candidate_lists": f"WITH {_SEG}, {_POINTS}, {_BUFFER} SELECT trace_id, count(segment_id) AS n, coalesce(string_agg(CAST(segment_id AS VARCHAR), ',' ORDER BY segment_id), '') AS candidates FROM buffered GROUP BY 1",
         "a05_step_statistics": f"WITH {_SEG}, {_POINTS}, {_STEPS} SELECT count(step_m) AS n, round(avg(step_m), 4) AS mean, round(stddev_samp(step_m), 4) AS std, round(min(step_m), 4) AS least, round(quantile_cont(step_m, 0.25), 4) AS q25, round(quantile_cont(step_m, 0.5), 4) AS q50, round(quantile_cont(step_m, 0.75), 4) AS q75, round(max(step_m), 4) AS most FROM steps",
