@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +154,39 @@ def test_instance_files(spark, tmp_path):
 def test_frame(spark, tmp_path):
     (tmp_path / "x.geojson").write_text(POINT)
     assert [(r["id"], r["crs"]) for r in readers.frame(spark, str(tmp_path / "x.geojson")).collect()] == [("a", "EPSG:4326")]
+
+
+SHAPES = {
+    "Point": [1.5, -2], "MultiPoint": [[0, 0], [1, 1]], "LineString": [[0, 0], [1, 2]], "MultiLineString": [[[0, 0], [1, 1]], [[2, 2], [3, 3]]],
+    "Polygon": [[[0, 0], [4, 0], [4, 4], [0, 0]], [[1, 1], [2, 1], [2, 2], [1, 1]]], "MultiPolygon": [[[[0, 0], [4, 0], [4, 4], [0, 0]]], [[[5, 5], [6, 5], [6, 6], [5, 5]], [[5, 5], [5.5, 5], [5.5, 5.5], [5, 5]]]],
+}
+WKT = {
+    "Point": "POINT (1.5 -2)", "MultiPoint": "MULTIPOINT ((0 0), (1 1))", "LineString": "linestring(0 0,1 2)", "MultiLineString": "MULTILINESTRING ((0 0, 1 1), (2 2, 3 3))",
+    "Polygon": "POLYGON ((0 0, 4 0, 4 4, 0 0), (1 1, 2 1, 2 2, 1 1))", "MultiPolygon": "MULTIPOLYGON (((0 0, 4 0, 4 4, 0 0)), ((5 5, 6 5, 6 6, 5 5), (5 5, 5.5 5, 5.5 5.5, 5 5)))",
+}
+
+
+def coordinates(kind, parts):
+    nested = [[[[p.x, p.y] for p in ring] for ring in part] for part in parts]
+    first = {"Point": nested[0][0][0], "LineString": nested[0][0], "Polygon": nested[0], "MultiPoint": [p[0][0] for p in nested], "MultiLineString": [p[0] for p in nested]}
+    return first.get(kind, nested)
+
+
+def test_all_geometry_types_are_read_and_written(spark, tmp_path):
+    lines = [json.dumps({"type": "Feature", "id": k, "geometry": {"type": k, "coordinates": c}, "properties": {"a": "x"}}) for k, c in SHAPES.items()]
+    lines += ['{"type":"Feature","id":"c","geometry":{"type":"GeometryCollection","geometries":[]},"properties":{}}', '{"type":"Feature","id":"n","geometry":null,"properties":{}}', '{"type":"Feature","id":"b","geometry":{"type":"Polygon","coordinates":[[[1,null]]]},"properties":{}}']
+    (tmp_path / "a.geojson").write_text("\n".join(lines))
+    got = {r.id: r for r in readers.geojson_lines(spark, str(tmp_path / "a.geojson")).collect()}
+    assert {k: coordinates(k, r.parts) for k, r in got.items()} == SHAPES and all(r.kind == k and (r.geometry is not None) == (k in ("Point", "LineString")) for k, r in got.items())
+    readers.write_geojson_lines(readers.geojson_lines(spark, str(tmp_path / "a.geojson")), str(tmp_path / "out"))
+    again = {r.id: coordinates(r.kind, r.parts) for r in readers.geojson_lines(spark, str(tmp_path / "out")).collect()}
+    assert again == SHAPES
+    assert readers.geojson_lines(spark, str(tmp_path / "a.geojson"), keep_bad=True).where("bad is not null").count() == 3
+
+
+def test_all_well_known_texts_are_read(spark, tmp_path):
+    more = {"z": ("Point", "POINT Z (1 2 3)", [1, 2]), "m": ("MultiPoint", "MULTIPOINT (0 0, 1 1)", [[0, 0], [1, 1]]), "one": ("MultiPoint", "MULTIPOINT ((7 8))", [[7, 8]]), "e": ("LineString", "LINESTRING (1e1 .5, -2. 3)", [[10, 0.5], [-2, 3]])}
+    rows = [(k, t) for k, t in WKT.items()] + [(k, t) for k, (_, t, _) in more.items()] + [("bad", "POLYGON ((0 0, 1"), ("none", "POINT EMPTY"), ("text", "hello")]
+    (tmp_path / "a.csv").write_text("id;wkt\n" + "\n".join(f"{k};{t}" for k, t in rows))
+    got = {r.id: (r.kind, coordinates(r.kind, r.parts)) for r in readers.csv(spark, str(tmp_path / "a.csv"), ";").collect()}
+    assert got == {k: (k, c) for k, c in SHAPES.items()} | {k: (kind, c) for k, (kind, _, c) in more.items()}

@@ -125,10 +125,28 @@ def wkt_line(line: Column) -> Column:
     return F.concat(F.lit("LINESTRING ("), F.array_join(F.transform(line, lambda p: F.format_string("%.6f %.6f", p["x"], p["y"])), ", "), F.lit(")"))
 
 
+_NUMBER = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
+#: Names of geometry types as GeoJSON spells them, by their upper-case form in WKT.
+GEOMETRY_TYPES = ("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon")
+
+
+def geojson_of_wkt(text: Column) -> Column:
+    """GeoJSON geometry text of well-known text of any type but collections, its third and fourth coordinates left out; null for other text and for empty geometries."""
+    kind = F.upper(F.regexp_extract(text, r"(?i)^\s*([a-z]+)\s*(?:Z|M|ZM)?\s*\(", 1))
+    name = F.element_at(F.create_map(*(F.lit(x) for n in GEOMETRY_TYPES for x in (n.upper(), n))), kind)
+    pairs = F.regexp_replace(F.regexp_extract(text, r"^[^(]*(\(.*\))\s*\z", 1), rf"({_NUMBER})\s+({_NUMBER})(?:\s+{_NUMBER}){{0,2}}", "[$1,$2]")
+    bare = F.regexp_replace(pairs, r"\(\s*(\[[^\[\]]*\])\s*\)", "$1")  # a multi-point may put each point in brackets of its own
+    listed = F.translate(F.when(kind.isin("POINT", "MULTIPOINT"), bare).otherwise(pairs), "()", "[]")
+    listed = F.when((kind == "MULTIPOINT") & ~F.startswith(listed, F.lit("[[")), F.concat(F.lit("["), listed, F.lit("]"))).otherwise(listed)
+    for spelled, plain in ((r"([\[,])\s*\+", "$1"), (r"([\[,]-?)\.", "$10."), (r"([0-9])\.(?=[,\]eE])", "$1")):  # numbers as JSON spells them
+        listed = F.regexp_replace(listed, spelled, plain)
+    valid = F.try_parse_json(listed).isNotNull()
+    return F.when(name.isNotNull() & valid, F.concat(F.lit('{"type":"'), name, F.lit('","coordinates":'), listed, F.lit("}")))
+
+
 def from_wkt(text: Column) -> Column:
     """Coordinates of a POINT or LINESTRING text in order; null for other text."""
-    number = r"[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?"
-    pairs = F.regexp_extract_all(text, F.lit(rf"({number})\s+({number})"), F.lit(0))
+    pairs = F.regexp_extract_all(text, F.lit(rf"({_NUMBER})\s+({_NUMBER})"), F.lit(0))
     points = F.transform(pairs, lambda p: F.struct(F.split(p, r"\s+")[0].try_cast("double").alias("x"), F.split(p, r"\s+")[1].try_cast("double").alias("y")))
     return F.when(text.rlike(r"(?i)^\s*(POINT|LINESTRING)\b[^()]*\([^()]+\)\s*\z"), points)
 
@@ -162,6 +180,29 @@ def from_geojson(geometry: Column) -> Column:
     return F.when(kind == "LineString", line).when(kind == "Point", F.array(pair(F.from_json(raw, "array<double>"))))
 
 
+def kind_of_geojson(geometry: Column) -> Column:
+    """The type of a geometry whose coordinates can be read, else null."""
+    kind = F.get_json_object(geometry, "$.type")
+    parts = parts_from_geojson(geometry)
+    whole = ~F.exists(F.flatten(F.flatten(parts)), lambda p: p["x"].isNull() | p["y"].isNull())
+    return F.when((F.size(parts) > 0) & whole, kind)
+
+
+def geojson_of_parts(kind: Column, parts: Column) -> Column:
+    """GeoJSON geometry text of a type and parts_from_geojson()'s arrays."""
+    pair = lambda p: F.array(p["x"], p["y"])
+    nested = F.transform(parts, lambda part: F.transform(part, lambda ring: F.transform(ring, pair)))
+    coordinates = (
+        F.when(kind == "Point", F.to_json(F.get(F.get(F.get(nested, F.lit(0)), F.lit(0)), F.lit(0))))
+        .when(kind == "LineString", F.to_json(F.get(F.get(nested, F.lit(0)), F.lit(0))))
+        .when(kind.isin("MultiPoint"), F.to_json(F.transform(nested, lambda part: F.get(F.get(part, F.lit(0)), F.lit(0)))))
+        .when(kind == "Polygon", F.to_json(F.get(nested, F.lit(0))))
+        .when(kind == "MultiLineString", F.to_json(F.transform(nested, lambda part: F.get(part, F.lit(0)))))
+        .otherwise(F.to_json(nested))
+    )
+    return F.concat(F.lit('{"type":"'), kind, F.lit('","coordinates":'), coordinates, F.lit("}"))
+
+
 def to_geojson(line: Column) -> Column:
     """A GeoJSON LineString text."""
     return F.to_json(F.struct(F.lit("LineString").alias("type"), F.transform(line, lambda p: F.array(p["x"], p["y"])).alias("coordinates")))

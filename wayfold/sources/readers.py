@@ -1,8 +1,9 @@
 """Readers and writers of map features: GeoJSON documents and lines, CSV, labels, partitioned Parquet.
 
-Features have id, geometry (array of struct(x, y)), properties (map of strings). All reading is done by Spark, so any
-store works; rows without a usable geometry are left out, as are lines that are not JSON (keep_bad keeps them, with
-null members and the line in `bad`).
+Features have id, geometry (array of struct(x, y) of a point or a line; null for other types), properties (map of strings), kind
+(the geometry's type) and parts (any geometry as an array of parts, each an array of rings or of one line or point). All
+reading is done by Spark, so any store works; rows without a usable geometry are left out, as are lines that are not JSON and
+geometry collections (keep_bad keeps them, with null members and the line in `bad`).
 """
 
 from __future__ import annotations
@@ -14,18 +15,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.lines import bbox, from_geojson, from_wkb, from_wkt, to_wkb
+from ..functions.lines import bbox, from_geojson, from_wkb, geojson_of_parts, geojson_of_wkt, kind_of_geojson, parts_from_geojson, to_wkb
 
 
 def features_of(rows: DataFrame, text: str, keep_bad: bool = False) -> DataFrame:
     """id, geometry, properties of a column with one GeoJSON feature a row."""
     t = F.rtrim(F.regexp_replace(F.col(text), r",\s*\z", ""))
     got = lambda path: F.get_json_object(t, path)
+    shape = got("$.geometry")
     parsed = rows.select(
-        F.coalesce(got("$.id"), got("$.properties.id")).alias("id"), from_geojson(got("$.geometry")).alias("geometry"),
-        F.from_json(got("$.properties"), "map<string,string>").alias("properties"), F.when(got("$.geometry").isNull(), F.col(text)).alias("bad"),
+        F.coalesce(got("$.id"), got("$.properties.id")).alias("id"), from_geojson(shape).alias("geometry"), F.from_json(got("$.properties"), "map<string,string>").alias("properties"),
+        kind_of_geojson(shape).alias("kind"), F.when(kind_of_geojson(shape).isNotNull(), parts_from_geojson(shape)).alias("parts"), F.when(kind_of_geojson(shape).isNull(), F.col(text)).alias("bad"),
     )
-    return parsed if keep_bad else parsed.where("geometry is not null").drop("bad")
+    return parsed if keep_bad else parsed.where("kind is not null").drop("bad")
 
 
 def geojson_lines(spark: SparkSession, path: str, keep_bad: bool = False) -> DataFrame:
@@ -48,17 +50,17 @@ def csv(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
     shape, key = named("geometry", "wkt"), named("id")
     lon, lat = (next((c for c in rows.columns if c.lower() in names), None) for names in (("lon", "longitude"), ("lat", "latitude")))
     if shape is not None:
-        geometry = from_wkt(F.col(f"`{shape}`"))
+        text = geojson_of_wkt(F.col(f"`{shape}`"))
     elif lon is not None and lat is not None:
         x, y = F.col(f"`{lon}`").try_cast("double"), F.col(f"`{lat}`").try_cast("double")
-        geometry = F.when(x.isNotNull() & y.isNotNull(), F.array(F.struct(x.alias("x"), y.alias("y"))))
+        text = F.when(x.isNotNull() & y.isNotNull(), F.concat(F.lit('{"type":"Point","coordinates":'), F.to_json(F.array(x, y)), F.lit("}")))
     else:
         raise ValueError(f"{path} has neither a geometry column nor lon and lat")
     rest = [c for c in rows.columns if c not in (key, shape)]
     pairs = [v for c in rest for v in (F.lit(c), F.col(f"`{c}`"))]
     properties = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")
     ident = F.col(f"`{key}`") if key is not None else F.lit(None).cast("string")
-    return rows.select(ident.alias("id"), geometry.alias("geometry"), properties.alias("properties")).where("geometry is not null")
+    return rows.select(ident.alias("id"), from_geojson(text).alias("geometry"), properties.alias("properties"), kind_of_geojson(text).alias("kind"), parts_from_geojson(text).alias("parts")).where("kind is not null")
 
 
 def features(spark: SparkSession, path: str, lines: bool = False, delimiter: str = ",", wanted: dict[str, str] | None = None, most: int = 0) -> DataFrame:
@@ -119,11 +121,13 @@ def having(feats: DataFrame, wanted: dict[str, str] | None) -> DataFrame:
 
 
 def write_geojson_lines(feats: DataFrame, path: str) -> None:
-    """One feature a line, null members kept."""
-    shape = F.struct(F.when(F.size("geometry") == 1, "Point").otherwise("LineString").alias("type"), F.transform("geometry", lambda p: F.array(p["x"], p["y"])).alias("coordinates"))
-    point = F.struct(F.lit("Point").alias("type"), F.array(F.get("geometry", F.lit(0))["x"], F.get("geometry", F.lit(0))["y"]).alias("coordinates"))
-    geometry = F.when(F.size("geometry") == 1, F.to_json(point)).otherwise(F.to_json(shape))
-    line = F.concat(F.lit('{"type":"Feature","id":'), F.coalesce(F.to_json(F.struct(F.col("id").alias("v")), {"ignoreNullFields": "false"}).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("id").alias("v")), {"ignoreNullFields": "false"})) - 6), F.lit("null")), F.lit(',"geometry":'), geometry, F.lit(',"properties":'), F.coalesce(F.to_json("properties"), F.lit("null")), F.lit("}"))
+    """One feature a line, null members kept; features with kind and parts are written by them, others as points and lines."""
+    kind = F.when(F.size("geometry") == 1, "Point").otherwise("LineString")
+    parts = F.when(F.col("geometry").isNotNull(), F.array(F.array("geometry")))
+    if {"kind", "parts"} <= set(feats.columns):
+        kind, parts = F.coalesce("kind", kind), F.coalesce("parts", parts)
+    member = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}), r'(?s)^\{"v":(.*)\}\z', 1)
+    line = F.concat(F.lit('{"type":"Feature","id":'), member(F.col("id")), F.lit(',"geometry":'), F.coalesce(geojson_of_parts(kind, parts), F.lit("null")), F.lit(',"properties":'), F.coalesce(F.to_json("properties"), F.lit("null")), F.lit("}"))
     feats.select(line.alias("value")).write.text(path)
 
 
