@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lines, scopes
 from ..functions.geo import lat, lon
-from ..operators import features, matcher, spatial
+from ..operators import features, matcher, polygons, spatial
 from ..sources import adapters, readers
 from ..sources.adapters import table
 from .sql import METRES_RAW, SEGMENTS
@@ -132,13 +132,43 @@ def d11_building_parts(spark, d):
     return features.parts_of_buildings(buildings, parts, members, 1000)
 
 
+def d11_polygon_parts(spark, d):
+    """Parts of the table as L-shaped buildings with a hole, suppliers as parts of many sizes; every seventh is named by a relation, some relations have two outlines."""
+    k, s = F.col("p_partkey"), F.col("s_suppkey")
+    place = lambda n: ((n % 100) * 1000.0, F.floor(n / 100) * 1000.0)
+    ring = lambda o, *at: F.array(*(F.struct((o[0] + a).alias("x"), (o[1] + b).alias("y")) for a, b in (*at, at[0])))
+    corner = place(k)
+    shape = F.array(ring(corner, (0, 0), (800, 0), (800, 400), (400, 400), (400, 800), (0, 800)), ring(corner, (100, 100), (100, 200), (200, 200), (200, 100)))
+    buildings = table(spark, d, "part").select(k.alias("id"), shape.alias("rings"))
+    low, x, y, w, h = place(s * 2), s % 7 * 100, s % 5 * 100, 100 + s % 6 * 100, 100 + s % 4 * 200
+    box = F.array(ring(low, (x, y), (x + w, y), (x + w, y + h), (x, y + h)))
+    whole = F.array(ring(low, (0, 0), (800, 0), (800, 400), (400, 400), (400, 800), (0, 800)), ring(low, (200, 100), (200, 200), (100, 200), (100, 100)))
+    parts = table(spark, d, "supplier").select(s.alias("id"), F.when(s % 11 == 0, whole).otherwise(box).alias("rings"))
+    named = table(spark, d, "supplier").where("s_suppkey % 7 = 0")
+    outlines = named.select(s.alias("relation_id"), F.explode(F.when(s % 3 == 0, F.array(s * 2 + 1, s * 2 + 2)).otherwise(F.array(s * 2 + 1))).alias("member_id"), F.lit("outline").alias("role"))
+    members = outlines.unionAll(named.select(s.alias("relation_id"), s.alias("member_id"), F.lit("part").alias("role")))
+    return polygons.parts_of_buildings(buildings, parts, members, 1000.0)
+
+
+def u02_scan_cells(spark, d):
+    """Cells of 100 of triangles with a hole, by scan lines."""
+    k = F.col("p_partkey")
+    x, y, w = (k % 50) * 3700.0, F.floor(k / 50) * 4100.0, 1000.0 + (k % 7) * 300.0
+    point = lambda a, b: F.struct((x + a).alias("x"), (y + b).alias("y"))
+    outer = F.array(point(F.lit(0.0), F.lit(0.0)), point(w, F.lit(0.0)), point(F.lit(0.0), w), point(F.lit(0.0), F.lit(0.0)))
+    hole = F.array(*(point(F.lit(a), F.lit(b)) for a, b in ((100.0, 100.0), (100.0, 300.0), (300.0, 300.0), (300.0, 100.0), (100.0, 100.0))))
+    shapes = table(spark, d, "part").select("p_partkey", F.array(outer, hole).alias("rings")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    cells = polygons.covered_cells(shapes, "p_partkey", "rings", 100.0)
+    return cells.groupBy("p_partkey").agg(F.count("*").alias("n_cells"), F.sum("cx").cast("long").alias("sum_x"), F.sum("cy").cast("long").alias("sum_y"))
+
+
 def w04_match(spark, d):
     """No SQL: the best path depends on what it has passed; tests/test_matcher.py compares it with brute force."""
     part = table(spark, d, "part")
     return matcher.match(adapters.trace_points(table(spark, d, "events"), part), adapters.segments(part))
 
 
-QUERIES = {f.__name__: f for f in (w04_match, f02_line_length, f34_bbox, f35_point_at, d07_loops, s05_wkt_decode, s06_geojson_decode, a07_cell_index, f09_ring, v10_column_errors, u06_perspectives, f29_name_variant, f30_names, f31_units, r06_travel_modes, r10_open_at, r14_turns, d10_sources, d11_building_parts)}
+QUERIES = {f.__name__: f for f in (d11_polygon_parts, u02_scan_cells, w04_match, f02_line_length, f34_bbox, f35_point_at, d07_loops, s05_wkt_decode, s06_geojson_decode, a07_cell_index, f09_ring, v10_column_errors, u06_perspectives, f29_name_variant, f30_names, f31_units, r06_travel_modes, r10_open_at, r14_turns, d10_sources, d11_building_parts)}
 
 _L1, _L2 = METRES_RAW("x1", "y1", "x2", "y1"), METRES_RAW("x2", "y1", "x2", "y2 + 500")
 _L3 = METRES_RAW("x2", "y2 + 500", "x1", "y1")
@@ -176,6 +206,17 @@ ORACLE_SQL = {
         WHEN 2 THEN (day IN (0, 2) AND m >= 540 AND m < 600) OR day = 6 WHEN 3 THEN m >= 1320 OR m < 360 END AS is_open FROM t""",
     "r14_turns": f"WITH {SEGMENTS}, con AS (SELECT segment_id, from_node AS connector_id FROM seg UNION ALL SELECT segment_id, to_node FROM seg) SELECT a.segment_id, count(*) AS n_turns FROM con a JOIN con b USING (connector_id) WHERE a.segment_id <> b.segment_id AND (a.segment_id + b.segment_id) % 5 <> 0 GROUP BY 1",
     "d10_sources": "SELECT l_orderkey AS feature_id, coalesce(min(CASE WHEN l_linenumber = 2 THEN 'set' || l_suppkey END), min(CASE WHEN l_linenumber = 1 THEN 'set' || l_suppkey END)) AS dataset FROM lineitem GROUP BY 1",
+    "u02_scan_cells": """WITH t AS (SELECT p_partkey, (p_partkey % 50) * 37 AS x, (p_partkey // 50) * 41 AS y, 10 + (p_partkey % 7) * 3 AS w FROM part),
+        c AS (SELECT p_partkey, x + i AS cx, y + j AS cy, i, j, w FROM t, range(-1, 31) a(i), range(-1, 31) b(j))
+        SELECT p_partkey, count(*) AS n_cells, sum(cx)::BIGINT AS sum_x, sum(cy)::BIGINT AS sum_y FROM c
+        WHERE i >= 0 AND j >= 0 AND i + j <= w AND (i = 0 OR j = 0 OR i + j + 1 >= w OR NOT (i IN (1, 2) AND j IN (1, 2))) GROUP BY 1""",
+    "d11_polygon_parts": """WITH b AS (SELECT p_partkey AS id FROM part),
+        p AS (SELECT s_suppkey AS id, s_suppkey * 2 AS home, s_suppkey % 7 * 100 AS x, s_suppkey % 5 * 100 AS y, 100 + s_suppkey % 6 * 100 AS w, 100 + s_suppkey % 4 * 200 AS h, s_suppkey % 11 = 0 AS whole FROM supplier),
+        q AS (SELECT p.id AS part_id, b.id AS building_id, whole FROM p JOIN b ON b.id = home WHERE whole OR (x + w <= 800 AND y + h <= 800 AND (x + w <= 400 OR y + h <= 400) AND NOT (x < 200 AND x + w > 100 AND y < 200 AND y + h > 100))),
+        r AS (SELECT p.id AS part_id, b.id AS building_id FROM p JOIN b ON b.id = p.id * 2 + 1 WHERE p.id % 7 = 0 AND p.id % 3 <> 0),
+        e AS (SELECT r.part_id, r.building_id, FALSE AS same, TRUE AS explicit FROM r
+              UNION ALL SELECT part_id, building_id, whole, building_id IN (SELECT building_id FROM r) FROM q WHERE part_id NOT IN (SELECT part_id FROM r))
+        SELECT part_id, building_id, explicit FROM e QUALIFY NOT (count(*) OVER (PARTITION BY building_id) = 1 AND same)""",
     "d11_building_parts": """WITH b AS (SELECT p_partkey AS id, (p_partkey % 100) * 1000 AS x1, (p_partkey // 100) * 1000 AS y1 FROM part),
         p AS (SELECT s_suppkey AS id, (s_suppkey * 2 % 100) * 1000 + CASE WHEN s_suppkey % 4 = 3 THEN 0 ELSE s_suppkey % 3 * 300 END AS x1, (s_suppkey * 2 // 100) * 1000 AS y1, CASE WHEN s_suppkey % 4 = 3 THEN 800 ELSE 300 END AS w, CASE WHEN s_suppkey % 4 = 3 THEN 800 ELSE 500 END AS h FROM supplier),
         e AS (SELECT p.id AS part_id, b.id AS building_id, p.x1 = b.x1 AND p.y1 = b.y1 AND w = 800 AS same, TRUE AS explicit FROM p JOIN b ON b.id = p.id * 2 + 1 WHERE p.id % 5 = 0
