@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import lines, scopes
+from ..functions import hours, lines, scopes
 from ..functions.geo import lat, lon
 from ..operators import features, matcher, polygons, spatial
 from ..sources import adapters, readers
@@ -162,13 +162,29 @@ def u02_scan_cells(spark, d):
     return cells.groupBy("p_partkey").agg(F.count("*").alias("n_cells"), F.sum("cx").cast("long").alias("sum_x"), F.sum("cy").cast("long").alias("sum_y"))
 
 
+#: Opening hours, and the same as a test of a time ts (DuckDB).
+HOURS = [
+    ("Mo-Fr 08:00-12:00,13:00-17:30; Sa 09:00-12:00", "(isodow(ts) <= 5 AND (m >= 480 AND m < 720 OR m >= 780 AND m < 1050)) OR (isodow(ts) = 6 AND m >= 540 AND m < 720)"),
+    ("24/7; Jan 10-20 off", "NOT (month(ts) = 1 AND day(ts) BETWEEN 10 AND 20)"), ("Fr-Sa 22:00-03:00", "(isodow(ts) IN (5, 6) AND m >= 1320) OR (isodow(ts) IN (6, 7) AND m < 180)"), ("week 01-53/2 10:00-18:00", "weekofyear(ts) % 2 = 1 AND m >= 600 AND m < 1080"),
+    ("Nov-Mar Mo-Su,Sa 10:00-16:00; Apr-Oct 09:00+", "CASE WHEN month(ts) IN (11, 12, 1, 2, 3) THEN m >= 600 AND m < 960 ELSE m >= 540 END"), ("Mo[1],Mo[-1] 08:00-20:00 open", "isodow(ts) = 1 AND (day(ts) <= 7 OR month(ts + INTERVAL 7 DAY) <> month(ts)) AND m >= 480 AND m < 1200"),
+    ("08:00-18:00; We off, We 10:00-11:00", "m >= CASE WHEN isodow(ts) = 3 THEN 600 ELSE 480 END AND m < CASE WHEN isodow(ts) = 3 THEN 660 ELSE 1080 END"), ("Sa 08:00-10:00 || 12:00-13:00", "CASE WHEN isodow(ts) = 6 THEN m >= 480 AND m < 600 ELSE m >= 720 AND m < 780 END"), ("sunrise-sunset", "NULL"), ("08:00-20:00; 12:00-13:00 off", "m >= 480 AND m < 1200 AND NOT (m >= 720 AND m < 780)"),
+]
+
+
+def r10_opening_hours(spark, d):
+    """Events and whether the opening hours that their number names hold at their time."""
+    k = F.col("event_id") % len(HOURS)
+    rows = table(spark, d, "events").select("event_id", "ts", F.get(F.array(*(F.lit(t) for t, _ in HOURS)), k.cast("int")).alias("hours"))
+    return hours.with_open(rows, "hours", F.col("ts").cast("timestamp")).select("event_id", "is_open")
+
+
 def w04_match(spark, d):
     """No SQL: the best path depends on what it has passed; tests/test_matcher.py compares it with brute force."""
     part = table(spark, d, "part")
     return matcher.match(adapters.trace_points(table(spark, d, "events"), part), adapters.segments(part))
 
 
-QUERIES = {f.__name__: f for f in (d11_polygon_parts, u02_scan_cells, w04_match, f02_line_length, f34_bbox, f35_point_at, d07_loops, s05_wkt_decode, s06_geojson_decode, a07_cell_index, f09_ring, v10_column_errors, u06_perspectives, f29_name_variant, f30_names, f31_units, r06_travel_modes, r10_open_at, r14_turns, d10_sources, d11_building_parts)}
+QUERIES = {f.__name__: f for f in (r10_opening_hours, d11_polygon_parts, u02_scan_cells, w04_match, f02_line_length, f34_bbox, f35_point_at, d07_loops, s05_wkt_decode, s06_geojson_decode, a07_cell_index, f09_ring, v10_column_errors, u06_perspectives, f29_name_variant, f30_names, f31_units, r06_travel_modes, r10_open_at, r14_turns, d10_sources, d11_building_parts)}
 
 _L1, _L2 = METRES_RAW("x1", "y1", "x2", "y1"), METRES_RAW("x2", "y1", "x2", "y2 + 500")
 _L3 = METRES_RAW("x2", "y2 + 500", "x1", "y1")
@@ -217,6 +233,7 @@ ORACLE_SQL = {
         e AS (SELECT r.part_id, r.building_id, FALSE AS same, TRUE AS explicit FROM r
               UNION ALL SELECT part_id, building_id, whole, building_id IN (SELECT building_id FROM r) FROM q WHERE part_id NOT IN (SELECT part_id FROM r))
         SELECT part_id, building_id, explicit FROM e QUALIFY NOT (count(*) OVER (PARTITION BY building_id) = 1 AND same)""",
+    "r10_opening_hours": f"WITH e AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, hour(CAST(ts AS TIMESTAMP)) * 60 + minute(CAST(ts AS TIMESTAMP)) AS m FROM events) SELECT event_id, CASE event_id % {len(HOURS)} {' '.join(f'WHEN {n} THEN {test}' for n, (_, test) in enumerate(HOURS))} END AS is_open FROM e",
     "d11_building_parts": """WITH b AS (SELECT p_partkey AS id, (p_partkey % 100) * 1000 AS x1, (p_partkey // 100) * 1000 AS y1 FROM part),
         p AS (SELECT s_suppkey AS id, (s_suppkey * 2 % 100) * 1000 + CASE WHEN s_suppkey % 4 = 3 THEN 0 ELSE s_suppkey % 3 * 300 END AS x1, (s_suppkey * 2 // 100) * 1000 AS y1, CASE WHEN s_suppkey % 4 = 3 THEN 800 ELSE 300 END AS w, CASE WHEN s_suppkey % 4 = 3 THEN 800 ELSE 500 END AS h FROM supplier),
         e AS (SELECT p.id AS part_id, b.id AS building_id, p.x1 = b.x1 AND p.y1 = b.y1 AND w = 800 AS same, TRUE AS explicit FROM p JOIN b ON b.id = p.id * 2 + 1 WHERE p.id % 5 = 0
