@@ -72,3 +72,15 @@ def test_scan_lines_equal_a_test_of_every_cell(spark):
     got = {(r.k, r.cx, r.cy) for r in polygons.covered_cells(frame, "k", "rings", 0.7).collect()}
     want = frame.select("k", F.explode(lines.polygon_cells(F.col("rings"), F.lit(0.7))).alias("c")).select("k", "c.*")
     assert got == {(r.k, r.cx, r.cy) for r in want.collect()} and len(got) > 100
+
+
+def test_references_of_documents(spark):
+    from wayfold.operators import references
+
+    rows = [
+        ("s1", "segment", '{"connectors":[{"connector_id":"c1","at":0},{"connector_id":"c9"}],"sources":[{"property":""},{"property":"/properties/connectors/0"},{"property":"/properties/level"},{"property":"/geometry"}]}'),
+        ("c1", "connector", "{}"), ("d1", "division", '{"parent_division_id":null,"hierarchies":[[{"division_id":"d1"}],[{"division_id":"d1"},{"division_id":"d2"}]]}'), ("x", "place", None), ("y", "division", "no json"), ("b", "division_boundary", '{"division_ids":["d1","c1"]}'),
+    ]
+    frame = spark.createDataFrame(rows, "id string, type string, properties string")
+    assert {tuple(r) for r in references.unresolved(frame).collect()} == {("segment", "s1", "connectors[].connector_id", "connector", "c9"), ("division", "d1", "hierarchies[][].division_id", "division", "d2"), ("division_boundary", "b", "division_ids[]", "division", "c1")}
+    assert {tuple(r) for r in references.sources_without_property(frame).collect()} == {("s1", "/properties/level"), ("s1", "/geometry")}

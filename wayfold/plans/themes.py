@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lines, tags
-from ..operators import rules, spatial, themes, validation
+from ..operators import references, rules, spatial, themes, validation
 from ..sources import adapters
 from ..sources.adapters import table
 from .queries import _RULES, _SEG, _rules, _segments
@@ -129,7 +129,20 @@ def j15_unresolved(spark, d):
     return themes.unresolved(c, "connector_id", c.select("connector_id").distinct().where("connector_id % 13 <> 0"), "connector_id").select("segment_id", "connector_id")
 
 
-QUERIES = {f.__name__: f for f in (r01_scoped_access, r14_sequences, r15_flags, d08_zoom, o07_draw_order, d09_z_order, d12_sides, d16_subtypes, f07_polygon_cells, f28_languages, f32_pointers, o06_categories, j08_sidecar, j15_unresolved)}
+def j15_references(spark, d):
+    """References of all kinds between features made of suppliers, 20 kinds a supplier; some connectors, buildings and divisions are missing."""
+    k = F.col("s_suppkey")
+    text = lambda c: c.cast("string")
+    doc = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else text(p) for p in parts))
+    segment = doc('{"connectors":[{"connector_id":"c', k, '"},{"connector_id":"c', k + 1, '"}],"destinations":[{"from_connector_id":"c', k, '","to_connector_id":"c', k + 2, '","to_segment_id":"s', k + 1, '"}],"prohibited_transitions":[{"sequence":[{"connector_id":"c', k + 1, '","segment_id":"s', k + 3, '"}]}]}')
+    division = doc('{"parent_division_id":"d', F.floor(k / 10), '","hierarchies":[[{"division_id":"d0"},{"division_id":"d', k, '"}]],"capital_division_ids":["d', k + 4, '"],"capital_of_divisions":[{"division_id":"d', k - 1, '"}]}')
+    kinds = [("segment", "s", segment, k >= 0), ("connector", "c", F.lit("{}"), k % 3 > 0), ("building", "b", F.lit("{}"), k % 5 > 0), ("building_part", "p", doc('{"building_id":"b', k, '"}'), k >= 0), ("division", "d", division, k % 7 != 3), ("division_area", "a", doc('{"division_id":"d', k, '"}'), k >= 0), ("division_boundary", "e", doc('{"division_ids":["d', k, '","d', k + 1, '"]}'), k >= 0)]
+    own = F.array(*(F.struct(F.lit(kind).alias("type"), doc(letter, k).alias("id"), properties.alias("properties"), there.alias("there")) for kind, letter, properties, there in kinds))
+    features = table(spark, d, "supplier").select(F.explode(own).alias("f")).select("f.*").where("there").drop("there")
+    return references.unresolved(features)
+
+
+QUERIES = {f.__name__: f for f in (j15_references, r01_scoped_access, r14_sequences, r15_flags, d08_zoom, o07_draw_order, d09_z_order, d12_sides, d16_subtypes, f07_polygon_cells, f28_languages, f32_pointers, o06_categories, j08_sidecar, j15_unresolved)}
 
 _CON = "con AS (SELECT segment_id, from_node AS connector_id FROM seg UNION ALL SELECT segment_id, to_node FROM seg)"
 _DRAWN = "drawn AS (SELECT p_partkey AS feature_id, p_brand, CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 5 - 1 END AS level, CASE WHEN p_partkey % 4 > 0 THEN p_partkey % 7 END AS sort_key, CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 24 END AS min_zoom, CASE WHEN p_partkey % 5 > 1 THEN 10 + p_partkey % 14 END AS max_zoom FROM part)"
@@ -159,5 +172,12 @@ ORACLE_SQL = {
     "o06_categories": """WITH c AS (SELECT lower(p_brand) AS root, CASE WHEN p_partkey % 10 < 8 THEN rpad(replace(p_name, ' ', '_'), 45, '.') || lower(p_brand) || ' > ' || lower(p_type) || ' > ' || replace(p_name, ' ', '_') END AS entry FROM part WHERE p_partkey % 10 < 9)
         SELECT root, count(entry) AS n, coalesce(string_agg(DISTINCT entry, '; ' ORDER BY entry), '') AS listing FROM c GROUP BY 1""",
     "j08_sidecar": f"WITH {_SEG} SELECT segment_id AS id, subtype, s_name AS label FROM seg JOIN supplier ON s_suppkey * 3 = segment_id",
+    "j15_references": """WITH k AS (SELECT s_suppkey AS k FROM supplier), f AS (SELECT 'segment' AS type, 's' || k AS id FROM k UNION ALL SELECT 'connector', 'c' || k FROM k WHERE k % 3 > 0 UNION ALL SELECT 'building', 'b' || k FROM k WHERE k % 5 > 0 UNION ALL SELECT 'division', 'd' || k FROM k WHERE k % 7 <> 3),
+        r AS (SELECT 'segment' AS from_type, 's' || k AS from_id, unnest(['connectors[].connector_id', 'connectors[].connector_id', 'destinations[].from_connector_id', 'destinations[].to_connector_id', 'destinations[].to_segment_id', 'prohibited_transitions[].sequence[].connector_id', 'prohibited_transitions[].sequence[].segment_id']) AS role,
+                unnest(['connector', 'connector', 'connector', 'connector', 'segment', 'connector', 'segment']) AS to_type, unnest(['c' || k, 'c' || (k + 1), 'c' || k, 'c' || (k + 2), 's' || (k + 1), 'c' || (k + 1), 's' || (k + 3)]) AS to_id FROM k
+              UNION ALL SELECT 'building_part', 'p' || k, 'building_id', 'building', 'b' || k FROM k UNION ALL SELECT 'division_area', 'a' || k, 'division_id', 'division', 'd' || k FROM k
+              UNION ALL SELECT 'division_boundary', 'e' || k, 'division_ids[]', 'division', unnest(['d' || k, 'd' || (k + 1)]) FROM k
+              UNION ALL SELECT 'division', 'd' || k, unnest(['parent_division_id', 'hierarchies[][].division_id', 'hierarchies[][].division_id', 'capital_division_ids[]', 'capital_of_divisions[].division_id']), 'division', unnest(['d' || (k // 10), 'd0', 'd' || k, 'd' || (k + 4), 'd' || (k - 1)]) FROM k WHERE k % 7 <> 3)
+        SELECT DISTINCT * FROM r WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.type = r.to_type AND f.id = r.to_id)""",
     "j15_unresolved": f"WITH {_SEG}, {_CON} SELECT segment_id, connector_id FROM con WHERE connector_id % 13 = 0",
 }
