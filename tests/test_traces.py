@@ -62,3 +62,29 @@ def test_writers_of_results(spark, tmp_path):
     assert '"sigma": 5.0' in spark.read.text(str(tmp_path / "o")).first().value
     results.write_json_lines(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "j"))
     assert spark.read.text(str(tmp_path / "j")).first().value == '{"a":1,"b":null}'
+
+
+def test_grid_coordinates_of_known_places(spark):
+    """Published values of the grid: the pole, 45 degrees on the central meridian, the edge of a zone on the equator."""
+    from pyspark.sql import functions as F
+
+    from wayfold.functions.geo import transverse_mercator
+
+    known = [(-81.0, 0.0, 500000.0, 0.0), (-81.0, 45.0, 500000.0, 4982950.400), (-84.0, 0.0, 166021.443, 0.0), (-78.0, 0.0, 833978.557, 0.0), (-81.0, 89.9999999999, 500000.0, 9997964.943)]
+    rows = spark.createDataFrame(known, "lon double, lat double, e double, n double")
+    e, n = transverse_mercator(F.col("lon"), F.col("lat"))
+    for r in rows.select("e", "n", e.alias("x"), n.alias("y")).collect():
+        assert abs(r.x - r.e) < 1e-3 and abs(r.y - r.n) < 1e-3, r
+
+
+def test_flat_caps(spark):
+    """A trace along a road: a road ahead of its end is outside the buffer, one beside it inside, and the corner is round."""
+    from wayfold.operators import spatial
+
+    points = spark.createDataFrame([(1, i, float(x), float(y)) for i, (x, y) in enumerate([(0, 0), (1000, 0), (1000, 1000)])] + [(2, 0, 5000.0, 5000.0)], "trace_id long, idx long, x double, y double")
+    roads = {1: (-150, -500, -150, 500), 2: (500, 150, 600, 150), 3: (500, 400, 600, 400), 4: (1120, -120, 1300, -300), 5: (1100, -100, 1300, -300), 6: (1000, 1100, 2000, 1100), 7: (300, -900, 300, 900), 8: (900, 500, 901, 501)}
+    segs = spark.createDataFrame([(i, *map(float, c)) for i, c in roads.items()], "segment_id long, x1 double, y1 double, x2 double, y2 double")
+    flat = {(r.trace_id, r.segment_id) for r in spatial.within_flat_buffer(points, segs, 17.0).collect()}
+    round_ = {(r.trace_id, r.segment_id) for r in spatial.within_buffer(points, segs, 17.0).collect()}
+    assert flat == {(1, 2), (1, 5), (1, 7), (1, 8), (2, None)}
+    assert round_ - flat == {(1, 1), (1, 6)}

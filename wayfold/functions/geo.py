@@ -85,3 +85,43 @@ def nearest_between(a: tuple, b: tuple) -> Column:
     own = [F.struct(projected(*a[i : i + 2], *b)["d2"].alias("d2"), (a[i] * 1.0).alias("x"), (a[i + 1] * 1.0).alias("y")) for i in (0, 2)]
     ranked = F.array(*(F.struct(c["d2"].alias("d2"), F.lit(k).alias("k"), c["x"].alias("x"), c["y"].alias("y")) for k, c in enumerate([*own, *from_b])))
     return F.array_min(ranked)
+
+
+# The WGS 84 ellipsoid, and scale and false easting of the UTM grid.
+_AXIS, _FLATTENING, _SCALE, _EASTING = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0
+
+
+def transverse_mercator(lon_: Column, lat_: Column, meridian: float = -81.0) -> tuple[Column, Column]:
+    """Easting and northing in metres on a northern UTM grid of a central meridian (by default zone 17, EPSG:32617) of degrees.
+
+    Krueger's series to the fourth order of the third flattening: below a millimetre within ten degrees of the meridian.
+    """
+    n, e = _FLATTENING / (2 - _FLATTENING), math.sqrt(2 * _FLATTENING - _FLATTENING**2)
+    radius = _AXIS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    series = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280]
+    sine, off = F.sin(F.radians(lat_)), F.radians(lon_ - meridian)
+    t = F.sinh(F.atanh(sine) - F.lit(e) * F.atanh(F.lit(e) * sine))
+    north, east = F.atan2(t, F.cos(off)), F.asinh(F.sin(off) / F.sqrt(t * t + F.cos(off) * F.cos(off)))
+    x, y = east, north
+    for k, a in enumerate(series, 1):
+        x = x + F.lit(a) * F.cos(2 * k * north) * F.sinh(2 * k * east)
+        y = y + F.lit(a) * F.sin(2 * k * north) * F.cosh(2 * k * east)
+    return _EASTING + _SCALE * radius * x, _SCALE * radius * y
+
+
+def meets_box(a: tuple, b: tuple, half: float) -> Column:
+    """Whether edge b (x1, y1, x2, y2) meets the rectangle that reaches `half` to either side of edge a and ends where a ends; false for an a without length."""
+    dx, dy = a[2] - a[0], a[3] - a[1]
+    length = F.nullif(F.sqrt(dx * dx + dy * dy), F.lit(0.0))
+    along = [((b[i] - a[0]) * dx + (b[i + 1] - a[1]) * dy) / length for i in (0, 2)]
+    beside = [((b[i + 1] - a[1]) * dx - (b[i] - a[0]) * dy) / length for i in (0, 2)]
+
+    def share(p: Column, q: Column, low, high) -> tuple[Column, Column]:
+        """From where to where on the way from p to q the value lies between low and high."""
+        step = q - p
+        first, last = (low - p) / F.nullif(step, F.lit(0.0)), (high - p) / F.nullif(step, F.lit(0.0))
+        inside = (p >= low) & (p <= high)
+        return F.coalesce(F.least(first, last), F.when(inside, 0.0).otherwise(2.0)), F.coalesce(F.greatest(first, last), F.when(inside, 1.0).otherwise(-1.0))
+
+    (u0, u1), (v0, v1) = share(*along, F.lit(0.0), length), share(*beside, F.lit(-half), F.lit(half))
+    return F.coalesce(F.greatest(u0, v0, F.lit(0.0)) <= F.least(u1, v1, F.lit(1.0)), F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import edge_gap, fraction_along, haversine, local, metres, planar_square, projected, reach
+from ..functions.geo import edge_gap, fraction_along, haversine, lat, local, lon, meets_box, metres, planar_square, projected, reach, transverse_mercator
 
 #: Edge of a grid cell in micro-degrees.
 CELL = 2000
@@ -53,6 +53,31 @@ def within_buffer(points: DataFrame, segs: DataFrame, metres_: float = 20.0) ->
     return points.select("trace_id").distinct().join(close.select("trace_id", "segment_id").distinct(), "trace_id", "left")
 
 
+def within_flat_buffer(points: DataFrame, segs: DataFrame, metres_: float = 20.0, meridian: float = -81.0) -> DataFrame:
+    """within_buffer() on the UTM grid and with flat caps: the buffer ends where a trace ends, and is round where its edges join.
+
+    Traces and segments are projected once, before they meet by grid cell.
+    """
+
+    def projected_(rows: DataFrame, *pairs: tuple[str, str, str, str]) -> DataFrame:
+        made = {}
+        for x, y, east, north in pairs:
+            made[east], made[north] = transverse_mercator(lon(F.col(x)), lat(F.col(y)), meridian)
+        return rows.withColumns(made)
+
+    w = Window.partitionBy("trace_id").orderBy("idx")
+    placed = projected_(points.select("trace_id", "idx", "x", "y"), ("x", "y", "e", "n"))
+    steps = placed.select("trace_id", F.lag("x").over(w).alias("ax"), F.lag("y").over(w).alias("ay"), F.lag("e").over(w).alias("ae"), F.lag("n").over(w).alias("an"), F.lag("x", 2).over(w).isNotNull().alias("joined"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("e").alias("be"), F.col("n").alias("bn")).where("ax is not null")
+    east, north = reach(metres_, F.col("ay"), F.col("by"))
+    span = lambda a, b, by: F.sequence(F.floor((F.least(a, b) - by) / CELL), F.floor((F.greatest(a, b) + by) / CELL))
+    spread = steps.withColumn("cx", F.explode(span(F.col("ax"), F.col("bx"), east))).withColumn("cy", F.explode(span(F.col("ay"), F.col("by"), north)))
+    roads = projected_(segs, ("x1", "y1", "e1", "n1"), ("x2", "y2", "e2", "n2"))
+    met = spread.join(cells_of_segments(roads, 0.0), ["cx", "cy"])
+    edge, road = tuple(F.col(c) for c in ("ae", "an", "be", "bn")), tuple(F.col(c) for c in ("e1", "n1", "e2", "n2"))
+    close = met.where(meets_box(edge, road, metres_) | (F.col("joined") & (projected(*edge[:2], *road)["d2"] <= metres_ * metres_)))
+    return points.select("trace_id").distinct().join(close.select("trace_id", "segment_id").distinct(), "trace_id", "left")
+
+
 def nearest_segment(points: DataFrame, segs: DataFrame, most_metres: float = MOST_METRES) -> DataFrame:
     """trace_id, idx, segment_id, at, distance: the nearest segment within most_metres; ties to the smaller id.
 

@@ -59,6 +59,11 @@ def j02_buffer_join(spark, d):
     return spatial.within_buffer(_points(spark, d), _segments(spark, d), 20.0)
 
 
+def j02_flat_buffer(spark, d):
+    """Segments in the flat-capped buffers of the traces' first 30 points on the UTM grid: most traces end on the way."""
+    return spatial.within_flat_buffer(_points(spark, d).where("idx < 6 + trace_id % 25"), _segments(spark, d), 20.0)
+
+
 def a04_candidate_lists(spark, d):
     c = results.grouped_candidates(spatial.within_buffer(_points(spark, d), _segments(spark, d), 20.0))
     return c.select("trace_id", "n", F.array_join(F.col("candidates").cast("array<string>"), ",").alias("candidates"))
@@ -160,7 +165,7 @@ def d15_connector_places(spark, d):
     return spatial.placed_connectors(c, s).select("segment_id", "connector_id", "on_line", F.round("px", 4).alias("px"), F.round("py", 4).alias("py"))
 
 
-QUERIES = {f.__name__: f for f in (o01_predictions, j05_transitions, j05_routes, j02_buffer_join, a04_candidate_lists, a05_step_statistics, k01_documents, k02_judgments, k03_snapped_points, k04_metric_rows, k06_compared, a03_error_rates, k09_report, w07_match_metrics, d13_thinned, p11_features, p01_filter, u04_last_wins, f04_nearest_points, d15_connector_places)}
+QUERIES = {f.__name__: f for f in (o01_predictions, j05_transitions, j05_routes, j02_buffer_join, j02_flat_buffer, a04_candidate_lists, a05_step_statistics, k01_documents, k02_judgments, k03_snapped_points, k04_metric_rows, k06_compared, a03_error_rates, k09_report, w07_match_metrics, d13_thinned, p11_features, p01_filter, u04_last_wins, f04_nearest_points, d15_connector_places)}
 
 _LOG0 = repr(-math.log(math.sqrt(2 * math.pi) * 4.1)) + "::DOUBLE"
 _NEAR = f"""
@@ -216,6 +221,33 @@ metric_rows AS (SELECT m.*, coalesce(target_candidates_count, 0) AS target_candi
 """
 
 
+def _grid(table: str) -> str:
+    """CTEs utm0, utm1 and utm: easting e and northing n of the places (x, y) of a table, by the ellipsoid's series."""
+    f = 1 / 298.257223563
+    n, ecc = f / (2 - f), math.sqrt(2 * f - f * f)
+    scale = repr(0.9996 * 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)) + "::DOUBLE"
+    a = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280]
+    term = lambda p, q: " + ".join(f"{c!r}::DOUBLE * {p}({2 * k} * xi) * {q}({2 * k} * eta)" for k, c in enumerate(a, 1))
+    return f"""utm0 AS (SELECT x, y, sin(radians(32.80::DOUBLE + y / 1e6)) AS s, radians(-83.70::DOUBLE + x / 1e6 + 81) AS o FROM {table}), utm1 AS (SELECT x, y, o, sinh(atanh(s) - {ecc!r}::DOUBLE * atanh({ecc!r}::DOUBLE * s)) AS t FROM utm0),
+        utm2 AS (SELECT x, y, atan2(t, cos(o)) AS xi, asinh(sin(o) / sqrt(t * t + cos(o) * cos(o))) AS eta FROM utm1), utm AS (SELECT x, y, 500000 + {scale} * (eta + {term('cos', 'sinh')}) AS e, {scale} * (xi + {term('sin', 'cosh')}) AS n FROM utm2)"""
+
+
+def _clip(p: str, q: str, low: str, high: str, side: int) -> str:
+    """From (0) or to (1) where on the way from p to q a value lies between low and high."""
+    one, other = f"(({low}) - {p}) / nullif({q} - {p}, 0)", f"(({high}) - {p}) / nullif({q} - {p}, 0)"
+    return f"coalesce({'greatest' if side else 'least'}({one}, {other}), CASE WHEN {p} BETWEEN {low} AND {high} THEN {side} ELSE {-1 if side else 2} END)"
+
+
+_FLAT = f"""short AS (SELECT * FROM pts WHERE idx < 6 + trace_id % 25), places AS (SELECT x, y FROM short UNION SELECT x1, y1 FROM seg UNION SELECT x2, y2 FROM seg), {_grid('places')},
+    walk AS (SELECT trace_id, lag(s.x) OVER w AS ax, lag(s.y) OVER w AS ay, lag(e) OVER w AS ae, lag(n) OVER w AS an, lag(e, 2) OVER w IS NOT NULL AS joined, s.x AS bx, s.y AS "by", e AS be, n AS bn FROM short s JOIN utm u ON u.x = s.x AND u.y = s.y WINDOW w AS (PARTITION BY trace_id ORDER BY idx)),
+    road AS (SELECT segment_id, x1, y1, x2, y2, u.e AS e1, u.n AS n1, v.e AS e2, v.n AS n2 FROM seg JOIN utm u ON u.x = x1 AND u.y = y1 JOIN utm v ON v.x = x2 AND v.y = y2),
+    met AS (SELECT *, sqrt(pow(be - ae, 2) + pow(bn - an, 2)) AS len FROM walk JOIN road ON least(ax, bx) - 300 <= x2 AND x1 <= greatest(ax, bx) + 300 AND least(ay, "by") - 300 <= y2 AND y1 <= greatest(ay, "by") + 300 WHERE ax IS NOT NULL),
+    turned AS (SELECT *, ((e1 - ae) * (be - ae) + (n1 - an) * (bn - an)) / nullif(len, 0) AS u1, ((e2 - ae) * (be - ae) + (n2 - an) * (bn - an)) / nullif(len, 0) AS u2, ((n1 - an) * (be - ae) - (e1 - ae) * (bn - an)) / nullif(len, 0) AS v1, ((n2 - an) * (be - ae) - (e2 - ae) * (bn - an)) / nullif(len, 0) AS v2,
+        greatest(0, least(1, ((ae - e1) * (e2 - e1) + (an - n1) * (n2 - n1)) / (pow(e2 - e1, 2) + pow(n2 - n1, 2)))) AS t FROM met),
+    hit AS (SELECT DISTINCT trace_id, segment_id FROM turned WHERE (len > 0 AND greatest({_clip('u1', 'u2', '0', 'len', 0)}, {_clip('v1', 'v2', '-20', '20', 0)}, 0) <= least({_clip('u1', 'u2', '0', 'len', 1)}, {_clip('v1', 'v2', '-20', '20', 1)}, 1))
+        OR (joined AND pow(e1 + t * (e2 - e1) - ae, 2) + pow(n1 + t * (n2 - n1) - an, 2) <= 400))"""
+
+
 def _sql() -> dict[str, str]:
     from .queries import _EAST, _NORTH
 
@@ -240,6 +272,7 @@ def _sql() -> dict[str, str]:
             UNION ALL SELECT k.trace_id, min(b.idx) FROM kept k JOIN pts a ON a.trace_id = k.trace_id AND a.idx = k.idx JOIN pts b ON b.trace_id = k.trace_id AND b.idx > k.idx AND {_raw('a.x', 'a.y', 'b.x', 'b.y')} >= 50 AND (epoch_us(b.ts) - epoch_us(a.ts)) / 1e6 >= 1 GROUP BY k.trace_id)
             SELECT trace_id, idx FROM kept""",
         "j02_buffer_join": f"WITH {_SEG}, {_POINTS}, {_BUFFER} SELECT trace_id, segment_id FROM buffered",
+        "j02_flat_buffer": f"WITH {_SEG}, {_POINTS}, {_FLAT} SELECT t.trace_id, segment_id FROM (SELECT DISTINCT trace_id FROM short) t LEFT JOIN hit USING (trace_id)",
         "a04_candidate_lists": f"WITH {_SEG}, {_POINTS}, {_BUFFER} SELECT trace_id, count(segment_id) AS n, coalesce(string_agg(CAST(segment_id AS VARCHAR), ',' ORDER BY segment_id), '') AS candidates FROM buffered GROUP BY 1",
         "a05_step_statistics": f"WITH {_SEG}, {_POINTS}, {_STEPS} SELECT count(step_m) AS n, round(avg(step_m), 4) AS mean, round(stddev_samp(step_m), 4) AS std, round(min(step_m), 4) AS least, round(quantile_cont(step_m, 0.25), 4) AS q25, round(quantile_cont(step_m, 0.5), 4) AS q50, round(quantile_cont(step_m, 0.75), 4) AS q75, round(max(step_m), 4) AS most FROM steps",
         "k01_documents": f"""{_BASE}, n AS (SELECT trace_id, idx, count(*) AS k FROM ranked GROUP BY 1, 2)
