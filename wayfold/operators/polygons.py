@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lines import bbox, line_cells
+from ..sources.storage import checkpointed
 
 #: Of a unit square of the edge's length: how far off a place may lie and still be on an edge.
 TOLERANCE = 1e-9
@@ -73,37 +74,44 @@ def inner_place(ring: Column) -> Column:
     return F.struct(((F.get(xs, F.lit(0)) + F.get(xs, F.lit(1))) / 2).alias("x"), y.alias("y"))
 
 
-def contains(outer: Column, inner: Column) -> Column:
-    """Whether every place of the polygon inner is one of outer; common edges and corners are allowed.
+def hole_places(rings: Column) -> Column:
+    """A place strictly inside each hole."""
+    return F.transform(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), inner_place)
 
-    All stretches of inner's edges between their meetings with outer's must lie in outer, and no hole of outer in inner.
-    """
-    of, own = edges(outer), edges(inner)
+
+def covers(of: Column, own: Column, holes: Column) -> Column:
+    """contains() of polygons given by their edges, and the outer one's hole_places()."""
 
     def stretches(e):
         met = F.flatten(F.transform(of, lambda f: meetings(e, f)))
         at = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.filter(met, lambda t: (t > 0) & (t < 1)))))
-        middles = F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), lambda a, b: (a + b) / 2)
+        middles = F.flatten(F.transform(F.array(at), lambda s: F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1), lambda a, b: (a + b) / 2)))
         return F.forall(middles, lambda t: inside_or_on(e["ax"] + t * (e["bx"] - e["ax"]), e["ay"] + t * (e["by"] - e["ay"]), of))
 
-    holes = F.transform(F.slice(outer, 2, F.greatest(F.size(outer) - 1, F.lit(0))), inner_place)
     return F.forall(own, stretches) & ~F.exists(holes, lambda h: inside_or_on(h["x"], h["y"], own))
 
 
+def contains(outer: Column, inner: Column) -> Column:
+    """Whether every place of the polygon inner is one of outer; common edges and corners are allowed.
+
+    All stretches of inner's edges between their meetings with outer's must lie in outer, and no hole of outer in inner.
+    """
+    return covers(edges(outer), edges(inner), hole_places(outer))
+
+
 def contained(parts: DataFrame, buildings: DataFrame, cell: float) -> DataFrame:
     """part_id, building_id, same: pairs whose building contains the part whole; same if both cover the same places.
 
     parts and buildings: id, rings. A part meets buildings in the grid cell of its box's lower corner; boxes are compared before shapes.
     """
-    box = lambda rows, p: rows.select(F.col("id").alias(f"{p}_id"), F.col("rings").alias(f"{p}_rings"), bbox(F.get("rings", F.lit(0))).alias(p))
-    p, b = box(parts, "part"), box(buildings, "building")
+    read = lambda rows, p: rows.select(F.col("id").alias(f"{p}_id"), edges(F.col("rings")).alias(f"{p}_edges"), hole_places(F.col("rings")).alias(f"{p}_holes"), area(F.col("rings")).alias(f"{p}_area"), bbox(F.get("rings", F.lit(0))).alias(p))
+    p, b = read(parts, "part").drop("part_holes"), read(buildings, "building")
     at = lambda c: F.floor(F.col(c) / cell)
     spread = b.withColumn("cx", F.explode(F.sequence(at("building.xmin"), at("building.xmax")))).withColumn("cy", F.explode(F.sequence(at("building.ymin"), at("building.ymax"))))
     met = p.withColumns({"cx": at("part.xmin"), "cy": at("part.ymin")}).join(spread, ["cx", "cy"])
     boxed = met.where("building.xmin <= part.xmin and part.xmax <= building.xmax and building.ymin <= part.ymin and part.ymax <= building.ymax")
-    whole = boxed.where(contains(F.col("building_rings"), F.col("part_rings")))
-    gap, size = F.abs(area(F.col("building_rings")) - area(F.col("part_rings"))), area(F.col("building_rings"))
-    return whole.select("part_id", "building_id", (gap <= TOLERANCE * size).alias("same"))
+    whole = boxed.where(covers(F.col("building_edges"), F.col("part_edges"), F.col("building_holes")))
+    return whole.select("part_id", "building_id", (F.abs(F.col("building_area") - F.col("part_area")) <= TOLERANCE * F.col("building_area")).alias("same"))
 
 
 def parts_of_buildings(buildings: DataFrame, parts: DataFrame, members: DataFrame, cell: float) -> DataFrame:
@@ -118,7 +126,7 @@ def parts_of_buildings(buildings: DataFrame, parts: DataFrame, members: DataFram
     good = roles.where("outlines = 1 and n > 0").join(buildings.select(F.col("id").alias("building_id")), "building_id", "left_semi").select("relation_id", "building_id")
     named = members.where("role = 'part'").join(good, "relation_id").groupBy(F.col("member_id").alias("part_id")).agg(F.min("building_id").alias("building_id"))
     named = named.join(parts.select(F.col("id").alias("part_id")), "part_id", "left_semi")
-    pairs = contained(parts, buildings, cell)
+    pairs = checkpointed(contained(parts, buildings, cell))
     taken = good.select("building_id", F.lit(True).alias("taken")).distinct()
     told = named.join(pairs, ["part_id", "building_id"], "left").select("part_id", "building_id", F.coalesce("same", F.lit(False)).alias("same"), F.lit(True).alias("explicit"))
     rest = pairs.join(named.select("part_id"), "part_id", "left_anti").join(taken, "building_id", "left")
