@@ -278,7 +278,9 @@ def ranked_part(docs: DataFrame, items: Items, k: int, block: int) -> DataFrame:
     best = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     floors = np.zeros(len(items.names), np.int64)
     if n_docs > block:
-        first = searched(dealt.where(F.pmod(F.xxhash64("doc_id"), F.lit(FIRST_ONE_IN)) == 0), spark.sparkContext.broadcast((items, weight, floors.tolist())), k)
+        # As many documents a task as in the second pass, so that no more rows come back than from so many blocks.
+        some = dealt.where(F.pmod(F.xxhash64("doc_id"), F.lit(FIRST_ONE_IN)) == 0).coalesce(max(1, n_docs // (FIRST_ONE_IN * block)))
+        first = searched(some, spark.sparkContext.broadcast((items, weight, floors.tolist())), k)
         tenth = first.withColumn("rank", best).where(F.col("rank") == k).select("item", "score").toArrow()  # one number an item
         floors[tenth.column(0).to_numpy()] = tenth.column(1).to_numpy()
     every = searched(dealt, spark.sparkContext.broadcast((items, weight, floors.tolist())), k).withColumn("rank", best).where(F.col("rank") <= k)
