@@ -64,7 +64,7 @@ def test_parts_of_relations_come_first(spark):
     assert got == {(10, 2, True), (11, 2, True), (15, 4, False)}
 
 
-def test_scan_lines_equal_a_test_of_every_cell(spark):
+def test_tables_of_cells_equal_arrays_of_cells(spark):
     from wayfold.functions import lines
 
     shapes = [(0, L), (1, HOLED), (2, [ring((0.3, 0.2), (9.7, 3.1), (2.2, 8.8))]), (3, [ring((-3.5, -2.5), (4, -1), (0.5, 0.5), (-1, 6))])]
@@ -84,3 +84,19 @@ def test_references_of_documents(spark):
     frame = spark.createDataFrame(rows, "id string, type string, properties string")
     assert {tuple(r) for r in references.unresolved(frame).collect()} == {("segment", "s1", "connectors[].connector_id", "connector", "c9"), ("division", "d1", "hierarchies[][].division_id", "division", "d2"), ("division_boundary", "b", "division_ids[]", "division", "c1")}
     assert {tuple(r) for r in references.sources_without_property(frame).collect()} == {("s1", "/properties/level"), ("s1", "/geometry")}
+
+
+def test_cells_equal_a_test_of_every_centre(spark):
+    """Centres inside by parity over all rings, and the cells that the outer ring crosses."""
+    from wayfold.functions import lines
+
+    shapes = [(0, L), (1, HOLED), (2, [ring((0.3, 0.2), (9.7, 3.1), (2.2, 8.8))]), (3, [ring((-3.5, -2.5), (4, -1), (0.5, 0.5), (-1, 6))])]
+    frame = spark.createDataFrame(shapes, f"k int, rings {RINGS}")
+    got = {(r.k, r.cx, r.cy) for r in frame.select("k", F.explode(lines.polygon_cells(F.col("rings"), F.lit(0.7))).alias("c")).select("k", "c.*").collect()}
+    border = {(r.k, r.cx, r.cy) for r in frame.select("k", F.explode(lines.line_cells(F.col("rings")[0], F.lit(0.7))).alias("c")).select("k", "c.*").collect()}
+
+    def within(x, y, shape):
+        return sum((a[1] > y) != (b[1] > y) and x < a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) for r in shape for a, b in zip(r, r[1:])) % 2 == 1
+
+    inside = {(k, i, j) for k, shape in shapes for i in range(-10, 20) for j in range(-10, 20) if within((i + 0.5) * 0.7, (j + 0.5) * 0.7, shape)}
+    assert got == inside | border

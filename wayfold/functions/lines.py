@@ -94,18 +94,38 @@ def line_cells(line: Column, cell: Column) -> Column:
     return F.array_distinct(F.flatten(F.zip_with(F.slice(line, 1, n - 1), F.slice(line, 2, n - 1), crossed)))
 
 
+def edges(rings: Column) -> Column:
+    """struct(ax, ay, bx, by) of all edges of an array of rings."""
+
+    def of(ring):
+        n = F.greatest(F.size(ring) - 1, F.lit(0))
+        return F.zip_with(F.slice(ring, 1, n), F.slice(ring, 2, n), lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
+
+    return F.flatten(F.transform(rings, of))
+
+
+def crossings(of: Column, y: Column) -> Column:
+    """Sorted places where a level line crosses edges; every other stretch between them lies inside their polygon."""
+    crossed = F.filter(of, lambda e: (e["ay"] > y) != (e["by"] > y))
+    return F.array_sort(F.transform(crossed, lambda e: e["ax"] + (y - e["ay"]) * (e["bx"] - e["ax"]) / (e["by"] - e["ay"])))
+
+
 def polygon_cells(rings: Column, cell: Column) -> Column:
-    """struct(cx, cy) of the cells whose centre lies inside a polygon (an array of closed rings, the first one outside) and of those that its outer ring crosses."""
-    outer = F.get(rings, F.lit(0))
+    """struct(cx, cy) of the cells whose centre lies inside a polygon (an array of closed rings, the first one outside) and of those that its outer ring crosses.
+
+    By scan lines: work grows with the rows' edges and with the result. See polygons.covered_cells() for a table of cells.
+    """
+    outer, of = F.get(rings, F.lit(0)), edges(rings)
     box = bbox(outer)
-    span = lambda low, high: F.sequence(F.floor(box[low] / cell), F.floor(box[high] / cell))
 
-    def inside(c):
-        x, y = (c["cx"] + 0.5) * cell, (c["cy"] + 0.5) * cell
-        return in_ring(x, y, outer) & ~F.exists(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), lambda hole: in_ring(x, y, hole))
+    def row(cy):
+        xs = crossings(of, (cy + 0.5) * cell)
+        first = F.transform(xs, lambda x: F.ceil(x / cell - 0.5))
+        spans = F.filter(F.transform(first, lambda low, i: F.struct(low.alias("low"), (F.get(first, i + 1) - 1).alias("high"), i.alias("i"))), lambda s: (s["i"] % 2 == 0) & (s["low"] <= s["high"]))
+        return F.flatten(F.transform(spans, lambda s: F.transform(F.sequence(s["low"], s["high"]), lambda cx: F.struct(cx.alias("cx"), cy.alias("cy")))))
 
-    every = F.flatten(F.transform(span("xmin", "xmax"), lambda cx: F.transform(span("ymin", "ymax"), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
-    return F.array_union(F.filter(every, inside), line_cells(outer, cell))
+    inside = F.flatten(F.transform(F.sequence(F.floor(box["ymin"] / cell), F.floor(box["ymax"] / cell)), row))
+    return F.array_union(inside, line_cells(outer, cell))
 
 
 def multi_cells(parts: Column, cells_of) -> Column:

@@ -9,23 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lines import bbox, line_cells
+from ..functions.lines import bbox, crossings, edges, line_cells
 from ..sources.storage import checkpointed
 
 #: Of a unit square of the edge's length: how far off a place may lie and still be on an edge.
 TOLERANCE = 1e-9
 
 
-def edges(rings: Column) -> Column:
-    """struct(ax, ay, bx, by) of all rings' edges."""
-
-    def of(ring):
-        n = F.size(ring)
-        return F.zip_with(F.slice(ring, 1, F.greatest(n - 1, F.lit(0))), F.slice(ring, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
-
-    return F.flatten(F.transform(rings, of))
-
-
 def area(rings: Column) -> Column:
     """Area without holes, whatever the rings' directions."""
 
@@ -69,8 +59,7 @@ def inner_place(ring: Column) -> Column:
     of = edges(F.array(ring))
     heights = F.array_sort(F.array_distinct(F.transform(ring, lambda p: p["y"])))
     y = (F.get(heights, F.lit(0)) + F.get(heights, F.lit(1))) / 2
-    crossed = F.filter(of, lambda e: (e["ay"] > y) != (e["by"] > y))
-    xs = F.array_sort(F.transform(crossed, lambda e: e["ax"] + (y - e["ay"]) * (e["bx"] - e["ax"]) / (e["by"] - e["ay"])))
+    xs = crossings(of, y)
     return F.struct(((F.get(xs, F.lit(0)) + F.get(xs, F.lit(1))) / 2).alias("x"), y.alias("y"))
 
 
@@ -146,9 +135,7 @@ def covered_cells(shapes: DataFrame, key: str, rings: str, cell: float) -> DataF
     box = bbox(F.get(rings, F.lit(0)))
     rows = shapes.select(key, edges(F.col(rings)).alias("e"), F.explode(F.sequence(F.floor(box["ymin"] / cell), F.floor(box["ymax"] / cell))).alias("cy"))
     y = (F.col("cy") + 0.5) * cell
-    crossed = F.filter("e", lambda e: (e["ay"] > y) != (e["by"] > y))
-    xs = F.array_sort(F.transform(crossed, lambda e: e["ax"] + (y - e["ay"]) * (e["bx"] - e["ax"]) / (e["by"] - e["ay"])))
-    rows = rows.select(key, "cy", xs.alias("xs")).where("size(xs) > 1")
+    rows = rows.select(key, "cy", crossings(F.col("e"), y).alias("xs")).where("size(xs) > 1")
     first = lambda i: F.ceil(F.get("xs", i) / cell - 0.5)
     spans = F.transform(F.sequence(F.lit(0), (F.size("xs") - 2).cast("int"), F.lit(2)), lambda i: F.struct(first(i).alias("low"), (first(i + 1) - 1).alias("high")))
     spans = rows.select(key, "cy", F.explode(spans).alias("s")).where("s.low <= s.high")

@@ -97,8 +97,11 @@ def f07_polygon_cells(spark, d):
         return F.array(F.array(point(F.lit(0.0), F.lit(0.0)), point(w, F.lit(0.0)), point(w, h), point(F.lit(0.0), h), point(F.lit(0.0), F.lit(0.0))))
 
     cell = F.lit(1000.0)
-    both = lines.multi_cells(F.array(rectangle(F.lit(0.0)), rectangle((k % 3) * 700.0)), lambda part: lines.polygon_cells(part, cell))
-    return table(spark, d, "part").select("p_partkey", F.size(lines.polygon_cells(rectangle(F.lit(0.0)), cell)).cast("long").alias("n_cells"), F.size(both).cast("long").alias("n_both"))
+    rows = table(spark, d, "part").select("p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    rows = rows.select("p_partkey", F.array(rectangle(F.lit(0.0)), rectangle((k % 3) * 700.0)).alias("parts"))
+    cells = lines.polygon_cells(F.get("parts", F.lit(0)), cell)
+    both = lines.multi_cells(F.col("parts"), lambda part: lines.polygon_cells(part, cell))
+    return rows.select("p_partkey", F.size(cells).cast("long").alias("n_cells"), F.size(both).cast("long").alias("n_both"))
 
 
 def f28_languages(spark, d):
