@@ -123,5 +123,6 @@ def meets_box(a: tuple, b: tuple, half: float) -> Column:
         inside = (p >= low) & (p <= high)
         return F.coalesce(F.least(first, last), F.when(inside, 0.0).otherwise(2.0)), F.coalesce(F.greatest(first, last), F.when(inside, 1.0).otherwise(-1.0))
 
-    (u0, u1), (v0, v1) = share(*along, F.lit(0.0), length), share(*beside, F.lit(-half), F.lit(half))
+    # A micrometre of slack, so that places on the rectangle's sides count whatever the last digits.
+    (u0, u1), (v0, v1) = share(*along, F.lit(-1e-6), length + 1e-6), share(*beside, F.lit(-half - 1e-6), F.lit(half + 1e-6))
     return F.coalesce(F.greatest(u0, v0, F.lit(0.0)) <= F.least(u1, v1, F.lit(1.0)), F.lit(False))

@@ -244,7 +244,7 @@ _FLAT = f"""short AS (SELECT * FROM pts WHERE idx < 6 + trace_id % 25), places A
     met AS (SELECT *, sqrt(pow(be - ae, 2) + pow(bn - an, 2)) AS len FROM walk JOIN road ON least(ax, bx) - 300 <= x2 AND x1 <= greatest(ax, bx) + 300 AND least(ay, "by") - 300 <= y2 AND y1 <= greatest(ay, "by") + 300 WHERE ax IS NOT NULL),
     turned AS (SELECT *, ((e1 - ae) * (be - ae) + (n1 - an) * (bn - an)) / nullif(len, 0) AS u1, ((e2 - ae) * (be - ae) + (n2 - an) * (bn - an)) / nullif(len, 0) AS u2, ((n1 - an) * (be - ae) - (e1 - ae) * (bn - an)) / nullif(len, 0) AS v1, ((n2 - an) * (be - ae) - (e2 - ae) * (bn - an)) / nullif(len, 0) AS v2,
         greatest(0, least(1, ((ae - e1) * (e2 - e1) + (an - n1) * (n2 - n1)) / (pow(e2 - e1, 2) + pow(n2 - n1, 2)))) AS t FROM met),
-    hit AS (SELECT DISTINCT trace_id, segment_id FROM turned WHERE (len > 0 AND greatest({_clip('u1', 'u2', '0', 'len', 0)}, {_clip('v1', 'v2', '-20', '20', 0)}, 0) <= least({_clip('u1', 'u2', '0', 'len', 1)}, {_clip('v1', 'v2', '-20', '20', 1)}, 1))
+    hit AS (SELECT DISTINCT trace_id, segment_id FROM turned WHERE (len > 0 AND greatest({_clip('u1', 'u2', '-1e-6', 'len + 1e-6', 0)}, {_clip('v1', 'v2', '-20.000001', '20.000001', 0)}, 0) <= least({_clip('u1', 'u2', '-1e-6', 'len + 1e-6', 1)}, {_clip('v1', 'v2', '-20.000001', '20.000001', 1)}, 1))
         OR (joined AND pow(e1 + t * (e2 - e1) - ae, 2) + pow(n1 + t * (n2 - n1) - an, 2) <= 400))"""
 
 
