@@ -106,12 +106,12 @@ def j14_dispatch(spark, d):
 
 
 _AREA, _LINE, _POINT = '{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}', '{"type":"LineString","coordinates":[[0,0],[1,1]]}', '{"type":"Point","coordinates":[1,2]}'
-#: Theme, type, geometry and properties of a document made of a customer with balance x, whole balance i and key k; when a value breaks a rule (DuckDB).
+#: Theme, type, geometry and properties of a document made of a customer with balance x, whole balance i, ten times that t, and key k; when a value breaks a rule (DuckDB).
 TYPES = [
     ("addresses", "address", _POINT, '"number":"{i}","country":"XA","address_levels":[{"value":"A"},{}]', "false"),
     ("base", "bathymetry", _AREA, '"depth":{i}', "i < 0"),
     ("base", "infrastructure", _POINT, '"subtype":"tower","class":"bridge","height":{x}', "x <= 0"),
-    ("base", "land", _POINT, '"subtype":"land","class":"hill","elevation":{i}0', "i * 10 > 9000"),
+    ("base", "land", _POINT, '"subtype":"land","class":"hill","elevation":{t}', "i * 10 > 9000"),
     ("base", "land_cover", _AREA, '"subtype":"crop","cartography":{"min_zoom":{i}}', "i NOT BETWEEN 0 AND 23"),
     ("base", "land_use", _LINE, '"subtype":"park","class":"park","elevation":{i}', "i > 9000"),
     ("base", "water", _AREA, '"subtype":"lake","class":"pond","is_salt":true,"wikidata":"Q{k}"', "false"),
@@ -132,7 +132,7 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
     i = F.floor(x).cast("long")
     heads = [f'{{"type":"Feature","id":"f","geometry":{shape},"properties":{{"theme":"{theme}",{more},"type":"{type_}' for theme, type_, shape, more, _ in TYPES]
     doc = _chosen(k % len(TYPES), *heads)
-    for name, value in {"{i}": i.cast("string"), "{x}": x.cast("string"), "{k}": k.cast("string"), "{b}": F.when(i % 2 == 0, "true").otherwise("false")}.items():
+    for name, value in {"{i}": i.cast("string"), "{t}": (i * 10).cast("string"), "{x}": x.cast("string"), "{k}": k.cast("string"), "{b}": F.when(i % 2 == 0, "true").otherwise("false")}.items():
         doc = F.replace(doc, F.lit(name), value)
     tail = _chosen(F.floor(k / len(TYPES)) % 4, '","version":1', '"', '","version":1,"zzz":1', 's","version":1')
     rows = table(spark, d, "customer").select("c_custkey", "c_acctbal").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
