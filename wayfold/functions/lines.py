@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType
 
+from .columns import let
 from .geo import EARTH_RADIUS
 
 COORDINATES = "array<struct<x:double,y:double>>"
@@ -51,19 +52,23 @@ def repeats_a_point(line: Column) -> Column:
 
 def point_at(line: Column, share: Column) -> Column:
     """struct(x, y) at a share (0 to 1) of the line's length; straight in degrees within an edge; null for empty lines."""
-    lengths = edge_lengths(line)
-    total = F.aggregate(lengths, F.lit(0.0), lambda a, x: a + x)
     start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("before"), F.lit(None).cast("int").alias("edge"), F.lit(0.0).alias("along"))
 
-    def step(state, length):
-        here = state["edge"].isNull() & (state["before"] + length >= share * total)
-        return F.struct((state["i"] + 1).alias("i"), (state["before"] + length).alias("before"), F.when(here, state["i"]).otherwise(state["edge"]).alias("edge"), F.when(here, F.coalesce((share * total - state["before"]) / F.nullif(length, F.lit(0.0)), F.lit(0.0))).otherwise(state["along"]).alias("along"))
+    def found(lengths, wanted):
+        def step(state, length):
+            here = state["edge"].isNull() & (state["before"] + length >= wanted)
+            return F.struct((state["i"] + 1).alias("i"), (state["before"] + length).alias("before"), F.when(here, state["i"]).otherwise(state["edge"]).alias("edge"), F.when(here, F.coalesce((wanted - state["before"]) / F.nullif(length, F.lit(0.0)), F.lit(0.0))).otherwise(state["along"]).alias("along"))
 
-    found = F.aggregate(lengths, start, step)
-    edge = F.coalesce(found["edge"], F.greatest(F.size(line) - 2, F.lit(0)))
-    along = F.when(found["edge"].isNull(), 1.0).otherwise(found["along"])
-    a, b = F.get(line, edge), F.coalesce(F.get(line, edge + 1), F.get(line, edge))
-    return F.when(F.size(line) > 0, F.struct((a["x"] + along * (b["x"] - a["x"])).alias("x"), (a["y"] + along * (b["y"] - a["y"])).alias("y")))
+        return F.aggregate(lengths, start, step)
+
+    def place(state):
+        edge = F.coalesce(state["edge"], F.greatest(F.size(line) - 2, F.lit(0)))
+        ends = F.struct(F.get(line, edge).alias("a"), F.coalesce(F.get(line, edge + 1), F.get(line, edge)).alias("b"), F.when(state["edge"].isNull(), 1.0).otherwise(state["along"]).alias("along"))
+        return let(ends, lambda e: F.struct(*((e["a"][c] + e["along"] * (e["b"][c] - e["a"][c])).alias(c) for c in ("x", "y"))))
+
+    # Each value is bound once: a plain reference would repeat all that it is made of, for every edge.
+    measured = let(edge_lengths(line), lambda lengths: let(share * F.aggregate(lengths, F.lit(0.0), lambda a, x: a + x), lambda wanted: found(lengths, wanted)))
+    return F.when(F.size(line) > 0, let(measured, place))
 
 
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
@@ -176,19 +181,22 @@ POLYGONS = f"array<array<{COORDINATES}>>"
 
 def parts_from_geojson(geometry: Column) -> Column:
     """Any GeoJSON geometry text as polygons or lines: an array of parts, each an array of rings or of one line or point."""
-    kind = F.get_json_object(geometry, "$.type")
-    raw = F.get_json_object(geometry, "$.coordinates")
     pair = lambda c: F.struct(F.get(c, F.lit(0)).alias("x"), F.get(c, F.lit(1)).alias("y"))
-    read = lambda depth: F.from_json(raw, "array<" * depth + "double" + ">" * depth)
     line = lambda c: F.transform(c, pair)
-    return (
-        F.when(kind == "Point", F.array(F.array(F.array(pair(read(1))))))
-        .when(kind == "MultiPoint", F.transform(read(2), lambda c: F.array(F.array(pair(c)))))
-        .when(kind == "LineString", F.array(F.array(line(read(2)))))
-        .when(kind == "MultiLineString", F.transform(read(3), lambda c: F.array(line(c))))
-        .when(kind == "Polygon", F.array(F.transform(read(3), line)))
-        .when(kind == "MultiPolygon", F.transform(read(4), lambda c: F.transform(c, line)))
-    )
+
+    def parts(g):
+        kind = g["kind"]
+        read = lambda depth: F.from_json(g["raw"], "array<" * depth + "double" + ">" * depth)
+        return (
+            F.when(kind == "Point", let(read(1), lambda c: F.array(F.array(F.array(pair(c))))))
+            .when(kind == "MultiPoint", F.transform(read(2), lambda c: F.array(F.array(pair(c)))))
+            .when(kind == "LineString", F.array(F.array(line(read(2)))))
+            .when(kind == "MultiLineString", F.transform(read(3), lambda c: F.array(line(c))))
+            .when(kind == "Polygon", F.array(F.transform(read(3), line)))
+            .when(kind == "MultiPolygon", F.transform(read(4), lambda c: F.transform(c, line)))
+        )
+
+    return let(F.struct(F.get_json_object(geometry, "$.type").alias("kind"), F.get_json_object(geometry, "$.coordinates").alias("raw")), parts)
 
 
 def from_geojson(geometry: Column) -> Column:
@@ -202,10 +210,12 @@ def from_geojson(geometry: Column) -> Column:
 
 def kind_of_geojson(geometry: Column) -> Column:
     """The type of a geometry whose coordinates can be read, else null."""
-    kind = F.get_json_object(geometry, "$.type")
-    parts = parts_from_geojson(geometry)
-    whole = ~F.exists(F.flatten(F.flatten(parts)), lambda p: p["x"].isNull() | p["y"].isNull())
-    return F.when((F.size(parts) > 0) & whole, kind)
+    return let(parts_from_geojson(geometry), lambda parts: F.when(can_be_read(parts), F.get_json_object(geometry, "$.type")))
+
+
+def can_be_read(parts: Column) -> Column:
+    """Whether parts_from_geojson() found coordinates, all of them whole."""
+    return (F.size(parts) > 0) & ~F.exists(F.flatten(F.flatten(parts)), lambda p: p["x"].isNull() | p["y"].isNull())
 
 
 def geojson_of_parts(kind: Column, parts: Column) -> Column:

@@ -15,18 +15,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.lines import bbox, from_geojson, from_wkb, geojson_of_parts, geojson_of_wkt, kind_of_geojson, parts_from_geojson, to_wkb
+from ..functions.columns import bound
+from ..functions.lines import bbox, can_be_read, from_geojson, from_wkb, geojson_of_parts, geojson_of_wkt, kind_of_geojson, parts_from_geojson, to_wkb
 
 
 def features_of(rows: DataFrame, text: str, keep_bad: bool = False) -> DataFrame:
     """id, geometry, properties of a column with one GeoJSON feature a row."""
-    t = F.rtrim(F.regexp_replace(F.col(text), r",\s*\z", ""))
-    got = lambda path: F.get_json_object(t, path)
-    shape = got("$.geometry")
-    parsed = rows.select(
-        F.coalesce(got("$.id"), got("$.properties.id")).alias("id"), from_geojson(shape).alias("geometry"), F.from_json(got("$.properties"), "map<string,string>").alias("properties"),
-        kind_of_geojson(shape).alias("kind"), F.when(kind_of_geojson(shape).isNotNull(), parts_from_geojson(shape)).alias("parts"), F.when(kind_of_geojson(shape).isNull(), F.col(text)).alias("bad"),
-    )
+    got = lambda path: F.get_json_object("text", path)
+    lines = bound(rows.select(F.col(text).alias("line")), text=F.rtrim(F.regexp_replace("line", r",\s*\z", "")))
+    read = bound(lines, id=F.coalesce(got("$.id"), got("$.properties.id")), shape=got("$.geometry"), properties=F.from_json(got("$.properties"), "map<string,string>"))
+    known = bound(read, parts=parts_from_geojson(F.col("shape")))
+    known = bound(known, kind=F.when(can_be_read(F.col("parts")), F.get_json_object("shape", "$.type")))
+    lost = F.col("kind").isNull()
+    parsed = known.select("id", from_geojson(F.col("shape")).alias("geometry"), "properties", "kind", F.when(~lost, F.col("parts")).alias("parts"), F.when(lost, F.col("line")).alias("bad"))
     return parsed if keep_bad else parsed.where("kind is not null").drop("bad")
 
 
