@@ -21,9 +21,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_RADIUS, haversine
+from ..functions.geo import EARTH_RADIUS
 from ..sources.adapters import ORIGIN_LAT, ORIGIN_LON
-from .spatial import snapped
+from .spatial import near
 
 RESULT = "trace_id long, idx long, sequence int, segment_id long, distance double, route_m double, revisits int"
 #: Last layers whose states keep their sets; those of earlier ones are freed, and made again from the way back if needed.
@@ -81,7 +81,8 @@ class Layer:
 
 def metres(a: tuple, b: tuple) -> float:
     """Great-circle metres between two places in micro-degrees."""
-    (p, q), (r, s) = ((math.radians(ORIGIN_LON + x / 1e6), math.radians(ORIGIN_LAT + y / 1e6)) for x, y in (a, b))
+    p, r = math.radians(ORIGIN_LON + a[0] / 1e6), math.radians(ORIGIN_LON + b[0] / 1e6)
+    q, s = math.radians(ORIGIN_LAT + a[1] / 1e6), math.radians(ORIGIN_LAT + b[1] / 1e6)
     h = math.sin((s - q) / 2) ** 2 + math.cos(q) * math.cos(s) * math.sin((r - p) / 2) ** 2
     return 2 * EARTH_RADIUS * math.asin(math.sqrt(h))
 
@@ -96,9 +97,10 @@ def network(roads: list[Road]) -> dict[int, list[tuple[int, float, int]]]:
     return links
 
 
-def reach(start: Road, links: dict, most: float, blocked: frozenset = frozenset()) -> dict[int, tuple[float, int, int]]:
-    """Connector to (metres from the start's place, connector before, segment between), for all within `most` metres over segments that are not blocked."""
+def reach(start: Road, links: dict, most: float, blocked: frozenset = frozenset(), wanted: set | None = None) -> dict[int, tuple[float, int, int]]:
+    """Connector to (metres from the start's place, connector before, segment between), for all within `most` metres over segments that are not blocked; the search ends once all wanted connectors are reached."""
     done: dict = {}
+    left = set(wanted or ())
     queue = [(metres(start.place, end), node, -1, -1) for node, end in zip(start.nodes, start.ends, strict=True)]
     heapq.heapify(queue)
     while queue:
@@ -106,6 +108,9 @@ def reach(start: Road, links: dict, most: float, blocked: frozenset = frozenset(
         if node in done or d > most:
             continue
         done[node] = (d, before, by)
+        left.discard(node)
+        if wanted is not None and not left:
+            break
         for other, length, segment in links.get(node, ()):
             if other not in done and segment not in blocked:
                 heapq.heappush(queue, (d + length, other, node, segment))
@@ -151,12 +156,14 @@ def next_states(prev: Layer, roads: list[Road], trace_m: float, links: dict, o:
     """The best state of each candidate that some route from prev reaches."""
     found: dict[int, State] = {}
     for s in map(restored, prev.states):
-        # Without loops a route takes no segment that was matched or passed before.
-        reached = reach(s.road, links, trace_m + o.most_deviation, frozenset() if o.allow_loops else s.segments)
+        reached = None
         for k, r in enumerate(roads):
             stays = r.segment == s.road.segment
             if not o.allow_loops and r.segment in s.segments and not stays:
                 continue
+            if reached is None and not stays:
+                # Without loops a route takes no segment that was matched or passed before. Only ways to another segment need the search.
+                reached = reach(s.road, links, trace_m + o.most_deviation, frozenset() if o.allow_loops else s.segments, {n for x in roads for n in x.nodes})
             length, via, passed = route(s.road, r, reached)
             gap = abs(trace_m - length)
             if gap > o.most_deviation:
@@ -219,25 +226,29 @@ def match(points: DataFrame, segs: DataFrame, options: Options | None = None) ->
     points: trace_id, idx, ts, x, y; segs: segment_id, x1, y1, x2, y2, from_node, to_node.
     """
     o = options or Options()
-    near = snapped(points.select("trace_id", "idx", "x", "y"), segs, o.most_metres).withColumn("distance", haversine(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"))).where(F.col("distance") <= o.most_metres)
+    close = near(points.select("trace_id", "idx", "x", "y"), segs, o.most_metres)
     road = F.struct("segment_id", "from_node", "to_node", "x1", "y1", "x2", "y2", "sx", "sy", "distance")
-    roads = near.groupBy("trace_id", "idx").agg(F.collect_list(road).alias("roads"))
+    roads = close.groupBy("trace_id", "idx").agg(F.collect_list(road).alias("roads"))
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     every = points.select("trace_id", "idx", "x", "y", seconds.alias("seconds")).join(roads, ["trace_id", "idx"], "left")
 
     def task(rows):
-        import pandas as pd
+        import pyarrow as pa
 
-        rows = rows.sort_values("idx", kind="stable")
+        columns = {c: rows.column(c).to_pylist() for c in rows.column_names}
+        order = sorted(range(rows.num_rows), key=columns["idx"].__getitem__)
         points_, known = [], {}
-        for x, y, t, found in zip(rows["x"], rows["y"], rows["seconds"], rows["roads"], strict=True):
+        for i in order:
             cands = []
-            for r in found if found is not None else ():
+            for r in columns["roads"][i] or ():
                 # One copy of a segment's connectors and ends for all its points.
                 shape = (r["from_node"], r["to_node"]), ((r["x1"], r["y1"]), (r["x2"], r["y2"]))
                 cands.append(Road(r["segment_id"], *known.setdefault((r["segment_id"], *shape), shape), (r["sx"], r["sy"]), r["distance"]))
-            points_.append(((x, y), None if pd.isna(t) else float(t), cands))
-        done = pd.DataFrame(follow(points_, o), columns=["sequence", "segment_id", "distance", "route_m", "revisits"], dtype=object)
-        return pd.concat([rows[["trace_id", "idx"]].reset_index(drop=True), done], axis=1).astype({"sequence": "Int32", "segment_id": "Int64", "distance": "Float64", "route_m": "Float64", "revisits": "Int32"})
-
-    return every.groupBy("trace_id").applyInPandas(task, RESULT)
+            place = tuple(math.nan if columns[c][i] is None else columns[c][i] for c in ("x", "y"))
+            points_.append((place, columns["seconds"][i], cands))
+        done = zip(*follow(points_, o), strict=True)
+        kinds = {"sequence": pa.int32(), "segment_id": pa.int64(), "distance": pa.float64(), "route_m": pa.float64(), "revisits": pa.int32()}
+        found = {name: pa.array(values, kind) for (name, kind), values in zip(kinds.items(), done, strict=True)}
+        return pa.table({"trace_id": rows.column("trace_id"), "idx": pa.array([columns["idx"][i] for i in order], pa.int64()), **found})
+
+    return every.groupBy("trace_id").applyInArrow(task, RESULT)
