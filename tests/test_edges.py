@@ -45,3 +45,8 @@ def test_rows_are_dealt_by_number(spark):
     assert tasks_for(spark.range(10)) == wanted
     for rows in (queries._segments(spark, D), queries._rules(spark, D), queries._facts(spark, D)):
         assert rows.rdd.getNumPartitions() == wanted
+
+
+def test_rows_of_cells_are_crossed_once(spark):
+    """The filter on a row's crossings does not compute them again."""
+    assert plan_of(properties.u02_scan_cells(spark, D)).count("array_sort(") == 1

@@ -80,23 +80,31 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
 
 def line_cells(line: Column, cell: Column) -> Column:
     """struct(cx, cy) of the square cells that a line's edges cross, corner touches included."""
+    return F.array_distinct(edge_cells(line, cell))
+
+
+def edge_cells(line: Column, cell: Column) -> Column:
+    """line_cells() of each edge in turn: cells that several edges cross are repeated."""
     n = F.size(line)
     at = lambda v: F.floor(v / cell)
 
     def crossed(a, b):
-        low, high = F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])
-        slope = (b["y"] - a["y"]) / F.nullif(b["x"] - a["x"], F.lit(0.0))
+        edge = F.struct(F.least(a["x"], b["x"]).alias("low"), F.greatest(a["x"], b["x"]).alias("high"), ((b["y"] - a["y"]) / F.nullif(b["x"] - a["x"], F.lit(0.0))).alias("slope"))
+
+        def columns(e):
+            def column(cx):
+                # The part of the edge inside the column of cells; a vertical edge lies in it whole.
+                left, right = F.greatest(e["low"], cx * cell), F.least(e["high"], (cx + 1) * cell)
+                p = F.coalesce(a["y"] + e["slope"] * (left - a["x"]), a["y"])
+                q = F.coalesce(a["y"] + e["slope"] * (right - a["x"]), b["y"])
+                rows = let(F.struct(p.alias("p"), q.alias("q")), lambda s: F.sequence(at(F.least(s["p"], s["q"])), at(F.greatest(s["p"], s["q"]))))
+                return F.transform(rows, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
 
-        def column(cx):
-            # The part of the edge inside the column of cells; a vertical edge lies in it whole.
-            left, right = F.greatest(low, cx * cell), F.least(high, (cx + 1) * cell)
-            p = F.coalesce(a["y"] + slope * (left - a["x"]), a["y"])
-            q = F.coalesce(a["y"] + slope * (right - a["x"]), b["y"])
-            return F.transform(F.sequence(at(F.least(p, q)), at(F.greatest(p, q))), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
+            return F.flatten(F.transform(F.sequence(at(e["low"]), at(e["high"])), column))
 
-        return F.flatten(F.transform(F.sequence(at(low), at(high)), column))
+        return let(edge, columns)
 
-    return F.array_distinct(F.flatten(F.zip_with(F.slice(line, 1, n - 1), F.slice(line, 2, n - 1), crossed)))
+    return F.flatten(F.zip_with(F.slice(line, 1, n - 1), F.slice(line, 2, n - 1), crossed))
 
 
 def edges(rings: Column) -> Column:

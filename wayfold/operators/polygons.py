@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lines import bbox, crossings, edges, line_cells
+from ..functions.columns import bound
+from ..functions.lines import bbox, crossings, edge_cells, edges
 from ..sources.storage import checkpointed
 
 #: Of a unit square of the edge's length: how far off a place may lie and still be on an edge.
@@ -132,13 +133,13 @@ def covered_cells(shapes: DataFrame, key: str, rings: str, cell: float) -> DataF
     By scan lines: each row of cells is a row of the table, whose sorted crossings with the rings give the stretches inside. Work grows with
     the boundary's edges for each row and with the result, never with the box.
     """
-    box = bbox(F.get(rings, F.lit(0)))
-    rows = shapes.select(key, edges(F.col(rings)).alias("e"), F.explode(F.sequence(F.floor(box["ymin"] / cell), F.floor(box["ymax"] / cell))).alias("cy"))
+    shapes = bound(shapes.select(key, rings), box=bbox(F.get(rings, F.lit(0))), e=edges(F.col(rings)))
+    rows = shapes.select(key, "e", F.explode(F.sequence(F.floor(F.col("box.ymin") / cell), F.floor(F.col("box.ymax") / cell))).alias("cy"))
     y = (F.col("cy") + 0.5) * cell
-    rows = rows.select(key, "cy", crossings(F.col("e"), y).alias("xs")).where("size(xs) > 1")
+    rows = bound(rows, xs=crossings(F.col("e"), y)).where("size(xs) > 1").select(key, "cy", "xs")
     first = lambda i: F.ceil(F.get("xs", i) / cell - 0.5)
     spans = F.transform(F.sequence(F.lit(0), (F.size("xs") - 2).cast("int"), F.lit(2)), lambda i: F.struct(first(i).alias("low"), (first(i + 1) - 1).alias("high")))
     spans = rows.select(key, "cy", F.explode(spans).alias("s")).where("s.low <= s.high")
     inside = spans.select(key, F.explode(F.sequence(F.col("s.low"), F.col("s.high"))).alias("cx"), "cy")
-    border = shapes.select(key, F.explode(line_cells(F.get(rings, F.lit(0)), F.lit(cell))).alias("c")).select(key, "c.cx", "c.cy")
+    border = shapes.select(key, F.explode(edge_cells(F.get(rings, F.lit(0)), F.lit(cell))).alias("c")).select(key, "c.cx", "c.cy")
     return inside.unionByName(border).distinct()
