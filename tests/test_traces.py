@@ -57,6 +57,75 @@ def test_routes_over_connectors(spark):
     assert (1, 9, 3) not in {(r.idx, r.from_segment, r.to_segment) for r in results.routes(frame, Options(most_deviation=20.0)).collect()}
 
 
+NEAR = "trace_id long, idx long, segment_id long, x double, y double, sx double, sy double, from_node long, to_node long, x1 double, y1 double, x2 double, y2 double"
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def made_up_near(moved):
+    """Two traces over a made-up grid of 5 x 5 connectors; moved: the second trace's segments name a connector in several places."""
+    import random
+
+    dice, rows = random.Random(5), []
+    for trace in (1, 2):
+        place = {n: (1000.0 * (n % 5), 1000.0 * (n // 5)) for n in range(25)}
+        segs = {s: ends for s, ends in enumerate([(n, n + 1) for n in range(25) if n % 5 < 4] + [(n, n + 5) for n in range(20)]) if dice.random() < 0.8}
+        edges = {s: [place[n] for n in ends] for s, ends in segs.items()}
+        if moved and trace == 2:
+            edges = {s: [(x + 700 * (s % 3), y) for x, y in e] for s, e in edges.items()}
+        for idx in (0, 1, 2, 4, 5):
+            for s in dice.sample(sorted(segs), 6):
+                t = dice.random()
+                (x1, y1), (x2, y2) = edges[s]
+                rows.append((trace, idx, s, 900.0 * idx, 2000.0, x1 + t * (x2 - x1), y1 + t * (y2 - y1), *segs[s], x1, y1, x2, y2))
+    return rows
+
+
+def test_transitions_need_no_join(spark):
+    """One window over the trace finds the next point's candidates; a gap in the numbers parts a trace."""
+    rows = made_up_near(False)
+    got = results.transitions(spark.createDataFrame(rows, NEAR), Options(most_deviation=1000.0))
+    assert "Join" not in plan_of(got)
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[1] + 1 == b[1]:
+                step = metres(a[3:5], b[3:5])
+                over = [metres(a[5:7], e) + metres(e, b[5:7]) for n, e in ((a[7], a[9:11]), (a[8], a[11:13])) if n in b[7:9]]
+                way = [metres(a[5:7], b[5:7])] if a[2] == b[2] else over
+                if way and abs(step - min(way)) <= 1000:
+                    want[a[0], b[1], a[2], b[2]] = round(min(way), 2)
+    got = {tuple(r)[:4]: r.route_m for r in got.collect()}
+    assert got.keys() == want.keys() and len(want) > 20 and {k[1] for k in want} == {1, 2, 5} and all(abs(got[k] - want[k]) < 0.02 for k in want)
+
+
+def test_routes_equal_a_search_of_every_pair(spark):
+    """Labels that lead away from the next point are dropped, in a trace whose connectors have several places none."""
+    for moved in (False, True):
+        rows = made_up_near(moved)
+        got = results.routes(spark.createDataFrame(rows, NEAR), Options(most_deviation=400.0))
+        assert plan_of(got).count("Join") == 1  # pairs on one segment or with a shared connector take no part in it
+        want = {}
+        for a in rows:
+            least, front = {}, [(metres(a[5:7], e), n) for n, e in ((a[7], a[9:11]), (a[8], a[11:13]))]
+            while front:
+                m, n = front.pop()
+                if m < least.get(n, 1e9) - 1e-9:
+                    least[n] = m
+                    front += [(m + metres(r[9:11], r[11:13]), q) for r in rows if r[0] == a[0] for p, q in (r[7:9], r[8:6:-1]) if p == n]
+            for b in rows:
+                if a[0] == b[0] and a[1] + 1 == b[1]:
+                    step = metres(a[3:5], b[3:5])
+                    over = [least[n] + metres(e, b[5:7]) for n, e in ((b[7], b[9:11]), (b[8], b[11:13])) if n in least]
+                    way = [metres(a[5:7], b[5:7])] if a[2] == b[2] else over
+                    if way and abs(step - min(way)) <= 400:
+                        want[a[0], b[1], a[2], b[2]] = round(min(way), 2)
+        got = {tuple(r)[:4]: r.route_m for r in got.collect()}
+        assert got.keys() == want.keys() and len(want) > 40 and all(abs(got[k] - want[k]) < 0.02 for k in want)
+
+
 def test_writers_of_results(spark, tmp_path):
     results.write_options(spark, Options(sigma=5.0), str(tmp_path / "o"))
     assert '"sigma": 5.0' in spark.read.text(str(tmp_path / "o")).first().value

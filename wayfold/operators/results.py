@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import bound
 from ..functions.geo import fraction_along, haversine, metres, wkt_point
 from ..sources.storage import checkpointed
 from .matcher import Options
@@ -24,65 +25,104 @@ def ranked(near: DataFrame, sigma: float = Options.sigma) -> DataFrame:
     return near.withColumn("log_prob", log_prob).withColumn("rank", F.row_number().over(order))
 
 
+#: What a transition needs of a candidate, besides its segment's ends.
+_SNAPPED = ("segment_id", "x", "y", "sx", "sy", "from_node", "to_node")
+
+
+def _with_next(near: DataFrame, *more: str) -> DataFrame:
+    """near() with ahead: the candidates (and the columns more of each) of the point whose index is one higher, by one window over the trace instead of joins of near() with itself."""
+    w = Window.partitionBy("trace_id").orderBy("idx").rangeBetween(1, 1)
+    rows = near.where("trace_id is not null and idx is not null").select("trace_id", "idx", *_SNAPPED, *more, "x1", "y1", "x2", "y2")
+    return rows.withColumn("ahead", F.collect_list(F.struct(*_SNAPPED, F.struct("x", "y").alias("place"), *more)).over(w))
+
+
+def _direct(rows: DataFrame) -> DataFrame:
+    """Of _with_next(): rows with b, each later candidate on the same segment or on one that shares a connector."""
+    met = rows.withColumn("b", F.explode("ahead")).drop("ahead")
+    shared = F.col("from_node").isin(F.col("b.from_node"), F.col("b.to_node")) | F.col("to_node").isin(F.col("b.from_node"), F.col("b.to_node"))
+    return met.where((F.col("segment_id") == F.col("b.segment_id")) | ((F.col("segment_id") != F.col("b.segment_id")) & shared))
+
+
+def _straight() -> Column:
+    return F.when(F.col("segment_id") == F.col("b.segment_id"), metres(F.col("sx"), F.col("sy"), F.col("b.sx"), F.col("b.sy")))
+
+
+def _ways(met: DataFrame, *over: Column) -> DataFrame:
+    """Of _direct() with step and straight: trace_id, idx (the later point's), from_segment, to_segment, step, route; over: the ways over shared connectors, null where none is shared."""
+    route = F.when(F.col("segment_id") == F.col("b.segment_id"), F.col("straight")).otherwise(F.least(*over))
+    return met.select("trace_id", (F.col("idx") + 1).alias("idx"), F.col("segment_id").alias("from_segment"), F.col("b.segment_id").alias("to_segment"), "step", route.alias("route"))
+
+
+def _likely(ways: DataFrame, o: Options) -> DataFrame:
+    """The shortest route of each pair, where it differs from the trace's step by no more than the options allow."""
+    gap = F.abs(F.col("step") - F.col("route"))
+    best = ways.groupBy("trace_id", "idx", "from_segment", "to_segment", "step").agg(F.min("route").alias("route")).where(gap <= o.most_deviation)
+    return best.select("trace_id", "idx", "from_segment", "to_segment", F.round("route", 2).alias("route_m"), (F.lit(-math.log(o.beta)) - gap / o.beta).alias("log_prob"))
+
+
 def transitions(near: DataFrame, options: Options | None = None) -> DataFrame:
     """trace_id, idx, from_segment, to_segment, route_m, log_prob: pairs of predictions of neighbouring points on one segment or on two that share a connector.
 
     The route is the straight way on one segment, else the way over the connector; the shortest of several. Pairs whose
     route differs from the trace's step by more than the options allow are left out. near: with x, y, sx, sy and the
-    segment's ends and nodes.
+    segment's ends and nodes; it is read once.
     """
-    o = options or Options()
-    ends = F.array(*(F.struct(F.col(n).alias("node"), F.col(x).alias("nx"), F.col(y).alias("ny")) for n, x, y in (("from_node", "x1", "y1"), ("to_node", "x2", "y2"))))
-    before = near.select("trace_id", (F.col("idx") + 1).alias("idx"), F.col("segment_id").alias("from_segment"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("sx").alias("ax"), F.col("sy").alias("ay"), ends.alias("before"))
-    now = near.select("trace_id", "idx", F.col("segment_id").alias("to_segment"), "x", "y", F.col("sx").alias("bx"), F.col("sy").alias("by"), ends.alias("now"))
-    step = metres(F.col("px"), F.col("py"), F.col("x"), F.col("y"))
-    c = {k: F.col(k) for k in ("ax", "ay", "bx", "by", "nx", "ny")}
-    same = before.join(now.withColumn("from_segment", F.col("to_segment")), ["trace_id", "idx", "from_segment"]).select("trace_id", "idx", "from_segment", "to_segment", step.alias("step"), metres(c["ax"], c["ay"], c["bx"], c["by"]).alias("route"))
-    out = before.select("*", F.explode("before").alias("e")).select("*", "e.node", "e.nx", "e.ny").drop("e", "before")
-    into = now.select("*", F.explode("now").alias("e")).select("*", "e.node").drop("e", "now")
-    over = out.join(into, ["trace_id", "idx", "node"]).where("from_segment <> to_segment").select("trace_id", "idx", "from_segment", "to_segment", step.alias("step"), (metres(c["ax"], c["ay"], c["nx"], c["ny"]) + metres(c["nx"], c["ny"], c["bx"], c["by"])).alias("route"))
-    gap = F.abs(F.col("step") - F.col("route"))
-    best = same.unionAll(over).groupBy("trace_id", "idx", "from_segment", "to_segment", "step").agg(F.min("route").alias("route"))
-    return best.where(gap <= o.most_deviation).select("trace_id", "idx", "from_segment", "to_segment", F.round("route", 2).alias("route_m"), (F.lit(-math.log(o.beta)) - gap / o.beta).alias("log_prob"))
+    met = bound(_direct(_with_next(near)), step=metres(F.col("x"), F.col("y"), F.col("b.x"), F.col("b.y")))
+    met = bound(met, straight=_straight())
+    for node, x, y in (("from_node", "x1", "y1"), ("to_node", "x2", "y2")):
+        leg = lambda c, d: F.when(F.col(node).isin(F.col("b.from_node"), F.col("b.to_node")), metres(F.col(x), F.col(y), F.col(c), F.col(d)))  # noqa: B023, E731
+        met = bound(bound(met, **{f"out_{node}": leg("sx", "sy")}), **{f"in_{node}": leg("b.sx", "b.sy")})
+    return _likely(_ways(met, *(F.col(f"out_{n}") + F.col(f"in_{n}") for n in ("from_node", "to_node"))), options or Options())
 
 
 def routes(near: DataFrame, options: Options | None = None) -> DataFrame:
     """transitions() over any number of connectors: the shortest way between predictions of neighbouring points over their trace's candidate segments.
 
-    Labels (metres from a prediction to a connector) are relaxed in rounds: those that a round improved meet the links of
-    their trace, and the least of each connector is kept, by partial minima before the shuffle. No label exceeds
-    the trace's step and the largest deviation, so rounds end after as many links as fit in that. Ways back over
+    Pairs on one segment or with a shared connector need no search. For the others labels (metres from a prediction to a connector) are
+    relaxed in rounds: those that a round improved meet the links of their trace, and the least of each connector is kept, by partial minima before
+    the shuffle. No label exceeds the trace's step and the largest deviation, so rounds end after as many links as fit in that; and a label is dropped
+    if the straight way on to the next point's predictions would exceed it, as no way is shorter than the straight one. That holds where a connector is one
+    place: in traces whose segments give one connector several places all labels within the bound are followed. The labels of a
+    prediction's own two connectors are columns of every label and are not stored. Ways back over
     segments matched before are not blocked here, as a table of transitions knows no sequence; the matcher blocks them.
     """
     o = options or Options()
     key = ["trace_id", "idx", "from_segment"]
-    ends = F.array(*(F.struct(F.col(n).alias("node"), F.col(x).alias("nx"), F.col(y).alias("ny")) for n, x, y in (("from_node", "x1", "y1"), ("to_node", "x2", "y2"))))
-    now = near.select("trace_id", "idx", F.col("segment_id").alias("to_segment"), "x", "y", F.col("sx").alias("bx"), F.col("sy").alias("by"), ends.alias("ends"))
-    place = now.select("trace_id", "idx", F.col("x").alias("qx"), F.col("y").alias("qy")).distinct()
-    before = near.select("trace_id", (F.col("idx") + 1).alias("idx"), F.col("segment_id").alias("from_segment"), "x", "y", F.col("sx").alias("ax"), F.col("sy").alias("ay"), ends.alias("ends"))
-    before = before.join(place, ["trace_id", "idx"]).withColumn("step", metres(F.col("x"), F.col("y"), F.col("qx"), F.col("qy")))
-    before = checkpointed(before.select(*key, "step", "ax", "ay", "ends"))
-    segs = near.select("trace_id", "segment_id", "from_node", "to_node", "x1", "y1", "x2", "y2").distinct()
+    near = bound(near, m1=metres(F.col("sx"), F.col("sy"), F.col("x1"), F.col("y1")))
+    near = bound(near, m2=metres(F.col("sx"), F.col("sy"), F.col("x2"), F.col("y2")))
+    near = bound(near, off=metres(F.col("x"), F.col("y"), F.col("sx"), F.col("sy")))
+    rows = checkpointed(_with_next(near, "m1", "m2", "off"))
     length = metres(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    ways = F.array(*(F.struct(F.col(a).alias("node"), F.col(b).alias("other"), length.alias("length")) for a, b in (("from_node", "to_node"), ("to_node", "from_node"))))
-    links = checkpointed(segs.select("trace_id", F.explode(ways).alias("w")).select("trace_id", "w.*").groupBy("trace_id", "node", "other").agg(F.min("length").alias("length")))
-    most = F.col("step") + o.most_deviation
-    first = before.select(*key, "step", "ax", "ay", F.explode("ends").alias("e")).select(*key, "step", "e.node", metres(F.col("ax"), F.col("ay"), F.col("e.nx"), F.col("e.ny")).alias("m"))
-    labels = checkpointed(first.where(F.col("m") <= most).groupBy(*key, "step", "node").agg(F.min("m").alias("m")))
-    front = labels
-    while not front.isEmpty():
-        tried = front.join(links, ["trace_id", "node"]).select(*key, "step", F.col("other").alias("node"), (F.col("m") + F.col("length")).alias("m")).where(F.col("m") <= most)
-        new = tried.groupBy(*key, "step", "node").agg(F.min("m").alias("m"))
-        known = labels.select(*key, "node", F.col("m").alias("known"))
-        front = checkpointed(new.join(known, [*key, "node"], "left").where(F.col("known").isNull() | (F.col("m") < F.col("known") - 1e-9)).drop("known"))
-        labels = checkpointed(labels.unionByName(front).groupBy(*key, "step", "node").agg(F.min("m").alias("m")))
-    into = now.select("trace_id", "idx", "to_segment", "bx", "by", F.explode("ends").alias("e")).select("trace_id", "idx", "to_segment", "e.node", metres(F.col("e.nx"), F.col("e.ny"), F.col("bx"), F.col("by")).alias("rest"))
-    over = labels.join(into, ["trace_id", "idx", "node"]).where("from_segment <> to_segment").select(*key, "to_segment", "step", (F.col("m") + F.col("rest")).alias("route"))
-    straight = metres(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    same = before.join(now.select("trace_id", "idx", "to_segment", F.col("to_segment").alias("from_segment"), "bx", "by"), key).select(*key, "to_segment", "step", straight.alias("route"))
-    gap = F.abs(F.col("step") - F.col("route"))
-    best = over.unionByName(same).groupBy(*key, "to_segment", "step").agg(F.min("route").alias("route")).where(gap <= o.most_deviation)
-    return best.select(*key, "to_segment", F.round("route", 2).alias("route_m"), (F.lit(-math.log(o.beta)) - gap / o.beta).alias("log_prob"))
+    ways = F.array(*(F.struct(F.col(a).alias("node"), F.col(b).alias("other"), length.alias("length"), F.col(x).alias("ox"), F.col(y).alias("oy")) for a, b, x, y in (("from_node", "to_node", "x2", "y2"), ("to_node", "from_node", "x1", "y1"))))
+    segs = rows.select("trace_id", "segment_id", "from_node", "to_node", "x1", "y1", "x2", "y2").distinct()
+    ends = [f(c).alias(f"{name}_{c}") for name, f in (("low", F.min), ("high", F.max)) for c in ("ox", "oy")]
+    links = checkpointed(segs.select("trace_id", F.explode(ways).alias("w")).select("trace_id", "w.*").groupBy("trace_id", "node", "other").agg(F.min("length").alias("length"), *ends))
+    moved = links.groupBy("trace_id", "other").agg(*(F.min(f"low_{c}").alias(f"low_{c}") for c in ("ox", "oy")), *(F.max(f"high_{c}").alias(f"high_{c}") for c in ("ox", "oy"))).where("low_ox <> high_ox or low_oy <> high_oy")
+    loose = checkpointed(moved.select("trace_id").distinct())
+
+    places = F.col("ahead.place")
+    stepped = bound(rows.withColumn("q", F.explode(F.array_distinct(places))), step=metres(F.col("x"), F.col("y"), F.col("q.x"), F.col("q.y")))
+    direct = _ways(bound(_direct(stepped), straight=_straight()), *(F.when(F.col(n) == F.col(f"b.{k}"), F.col(m) + F.col(f"b.{r}")) for n, m in (("from_node", "m1"), ("to_node", "m2")) for k, r in (("from_node", "m1"), ("to_node", "m2"))))
+    # How far the next predictions lie from q; of several places with one index, from each other. Half a metre of slack is more than rounding makes of distances.
+    off = F.array_max("ahead.off") + F.when(F.size(F.array_distinct(places)) > 1, F.lit(math.inf)).otherwise(0.0)
+    sources = stepped.select("trace_id", (F.col("idx") + 1).alias("idx"), F.col("segment_id").alias("from_segment"), "step", F.col("q.x").alias("qx"), F.col("q.y").alias("qy"), (F.col("step") + o.most_deviation + off + 0.5).alias("budget"), F.col("from_node").alias("n1"), "m1", F.col("to_node").alias("n2"), "m2", "x1", "y1", "x2", "y2")
+    if not loose.isEmpty():
+        sources = sources.join(loose.withColumn("loose", F.lit(True)), "trace_id", "left").withColumn("budget", F.when(F.col("loose"), F.lit(math.inf)).otherwise(F.col("budget"))).drop("loose")
+    held = [*key, "step", "qx", "qy", "budget", "n1", "m1", "n2", "m2"]
+    within = (F.col("m") <= F.col("step") + o.most_deviation) & (F.col("m") + metres(F.col("ox"), F.col("oy"), F.col("qx"), F.col("qy")) <= F.col("budget"))
+    better = [F.coalesce((F.col("node") != F.col(n)) | (F.col("m") < F.col(m) - 1e-9), F.lit(True)) for n, m in (("n1", "m1"), ("n2", "m2"))]
+    two = F.inline(F.array(*(F.struct(F.col(n).alias("node"), F.col(m).alias("m"), F.col(x).alias("ox"), F.col(y).alias("oy")) for n, m, x, y in (("n1", "m1", "x1", "y1"), ("n2", "m2", "x2", "y2")))))
+    front, labels = sources.select(*held, two).where(within).select(*held, "node", "m"), None
+    while labels is None or not front.isEmpty():
+        tried = front.join(links, ["trace_id", "node"]).select(*held, F.col("other").alias("node"), (F.col("m") + F.col("length")).alias("m"), F.col("low_ox").alias("ox"), F.col("low_oy").alias("oy")).where(within & better[0] & better[1])
+        met = tried.select(*held, "node", "m", F.lit(None).cast("double").alias("known"))
+        met = met if labels is None else met.unionByName(labels.select(*held, "node", "m", F.col("m").alias("known")))
+        labels = checkpointed(met.groupBy(*held, "node").agg(F.min("m").alias("m"), F.min("known").alias("known")))
+        front = labels.where("known is null or m < known - 1e-9").drop("known")
+    into = F.inline(F.array(*(F.struct(F.col(n).alias("node"), F.col(m).alias("rest")) for n, m in (("from_node", "m1"), ("to_node", "m2")))))
+    arriving = rows.select("trace_id", "idx", F.col("segment_id").alias("to_segment"), into)
+    over = labels.join(arriving, ["trace_id", "idx", "node"]).where("from_segment <> to_segment").select(*key, "to_segment", "step", (F.col("m") + F.col("rest")).alias("route"))
+    return _likely(direct.unionByName(over), o)
 
 
 def grouped_candidates(pairs: DataFrame) -> DataFrame:
