@@ -126,6 +126,36 @@ def test_routes_equal_a_search_of_every_pair(spark):
         assert got.keys() == want.keys() and len(want) > 40 and all(abs(got[k] - want[k]) < 0.02 for k in want)
 
 
+def test_compared_points_are_read_once_beside_their_labels(spark):
+    """Points with their nearest segment by one outer join, and no test of which traces have labels: the same rows as by joins."""
+    from wayfold.operators import spatial
+
+    points = spark.createDataFrame([(t, i, 100.0 * i + 7 * t, 150.0 * (i % 3 == 2) + 900.0 * (i == 5)) for t in range(4) for i in range(8)] + [(5, 0, None, 1.0)], "trace_id long, idx long, x double, y double")
+    segs = spark.createDataFrame([(s, 200.0 * s, 0.0, 200.0 * s + 200, 0.0) for s in range(4)] + [(9, 0.0, 0.0, 200.0, 0.0)], "segment_id long, x1 double, y1 double, x2 double, y2 double")
+    labels = points.where("trace_id % 2 = 0 and idx <> 6").selectExpr("trace_id", "idx", "cast(idx div 2 as long) label_id")
+    near = spatial.near(points, segs, 30.0)
+    predicted = spatial.nearest_or_none(points, segs, 30.0)
+    got = results.against_labels(predicted, labels, segs)
+    assert sorted(map(str, got.collect())) == sorted(map(str, results.compared(points, results.ranked(near).where("rank = 1"), labels, segs).collect()))
+    assert plan_of(got).count("Join") == 3 and "LeftSemi" not in plan_of(got)
+    assert predicted.count() == 33 and predicted.where("segment_id is null").count() == 5 and predicted.where("segment_id = 9").count() == 0
+
+
+def test_documents_of_candidates_need_no_join(spark):
+    """The same documents as from points and predictions; points of which all candidates lie too far have none."""
+    from pyspark.sql import functions as F
+
+    from wayfold.operators import spatial
+
+    points = spark.createDataFrame([(t, i, 100.0 * i, 150.0 * (i % 3 == 2) + 900.0 * (i == 5)) for t in range(3) for i in range(7)] + [(4, 0, None, 1.0)], "trace_id long, idx long, x double, y double").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    segs = spark.createDataFrame([(s, 200.0 * s, 0.0, 200.0 * s + 200, 0.0) for s in range(4)] + [(9, 0.0, 0.0, 200.0, 0.0)], "segment_id long, x1 double, y1 double, x2 double, y2 double")
+    ranked = results.ranked(spatial.near(points, segs, 30.0))
+    got = results.documents_of(spatial.near_or_none(points, segs, 30.0), True)
+    want = results.documents(points, ranked.where("rank = 1"), True, ranked)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 4
+    assert plan_of(got).count("Join") == 1
+
+
 def test_writers_of_results(spark, tmp_path):
     results.write_options(spark, Options(sigma=5.0), str(tmp_path / "o"))
     assert '"sigma": 5.0' in spark.read.text(str(tmp_path / "o")).first().value

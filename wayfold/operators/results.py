@@ -18,11 +18,14 @@ from ..sources.storage import checkpointed
 from .matcher import Options
 
 
+def _log_prob(sigma: float) -> Column:
+    return F.lit(-math.log(math.sqrt(2 * math.pi) * sigma)) - 0.5 * (F.col("distance") / sigma) * (F.col("distance") / sigma)
+
+
 def ranked(near: DataFrame, sigma: float = Options.sigma) -> DataFrame:
     """near() with log_prob (Gaussian emission) and rank: a point's predictions, the likeliest first, ties to the smaller segment."""
-    log_prob = F.lit(-math.log(math.sqrt(2 * math.pi) * sigma)) - 0.5 * (F.col("distance") / sigma) * (F.col("distance") / sigma)
     order = Window.partitionBy("trace_id", "idx").orderBy(F.desc("log_prob"), "segment_id")
-    return near.withColumn("log_prob", log_prob).withColumn("rank", F.row_number().over(order))
+    return near.withColumn("log_prob", _log_prob(sigma)).withColumn("rank", F.row_number().over(order))
 
 
 #: What a transition needs of a candidate, besides its segment's ends.
@@ -172,17 +175,36 @@ def with_predictions(points: DataFrame, matched: DataFrame) -> DataFrame:
 
 def documents(points: DataFrame, matched: DataFrame, diagnostic: bool = False, every: DataFrame | None = None) -> DataFrame:
     """trace_id and json: one result document a trace, nulls kept; diagnostic adds point indexes, every (ranked()) all predictions."""
+    rows = with_predictions(points, matched)
+    if every is not None:
+        rows = rows.join(every.groupBy("trace_id", "idx").agg(_listed().alias("p")), ["trace_id", "idx"], "left")
+    return _documents(rows, diagnostic)
+
+
+def documents_of(near: DataFrame, diagnostic: bool = False, sigma: float = Options.sigma) -> DataFrame:
+    """documents() with all predictions of spatial.near_or_none(): its rows are gathered by point, then by trace, and joined with nothing."""
+    log_prob = F.when(F.col("segment_id").isNotNull(), _log_prob(sigma))
+    points = near.withColumn("log_prob", log_prob).groupBy("trace_id", "idx", "ts", "x", "y").agg(_listed("sx", "sy").alias("p"))
+    first = F.try_element_at("p", F.lit(1))
+    return _documents(points.select("*", *(first[c].alias(c) for c in ("segment_id", "distance", "sx", "sy"))), diagnostic)
+
+
+def _listed(*more: str) -> Column:
+    """A point's predictions, the likeliest first, ties to the smaller segment; rows without a segment are none."""
+    one = F.struct((-F.col("log_prob")).alias("order"), "segment_id", "distance", "log_prob", *more)
+    return F.array_sort(F.collect_list(F.when(F.col("segment_id").isNotNull(), one)))
+
+
+def _documents(rows: DataFrame, diagnostic: bool) -> DataFrame:
+    """documents() of points with their best prediction and, in p if there is one, all of them."""
     place = lambda x, y: wkt_point(F.col(x), F.col(y))
     best = F.when(F.col("segment_id").isNotNull(), F.struct(F.col("segment_id").cast("string").alias("id"), place("sx", "sy").alias("snapped_point"), F.col("distance").alias("distance_to_snapped_road")))
     fields = [place("x", "y").alias("original_point"), F.col("ts").cast("string").alias("time"), best.alias("snap_prediction")] + ([F.col("idx").alias("point_index")] if diagnostic else [])
-    rows = with_predictions(points, matched)
-    if every is not None:
-        one = F.struct("rank", F.col("segment_id").cast("string").alias("id"), F.col("distance").alias("distance_to_snapped_road"), F.col("log_prob").alias("best_log_prob"))
-        rows = rows.join(every.groupBy("trace_id", "idx").agg(F.array_sort(F.collect_list(one)).alias("p")), ["trace_id", "idx"], "left")
-        listed = F.coalesce("p", F.array().cast(rows.schema["p"].dataType))
-        fields.append(F.transform(listed, lambda x: x.dropFields("rank")).alias("predictions"))
+    if "p" in rows.columns:
+        one = lambda c: F.struct(c["segment_id"].cast("string").alias("id"), c["distance"].alias("distance_to_snapped_road"), c["log_prob"].alias("best_log_prob"))
+        fields.append(F.transform(F.coalesce("p", F.array().cast(rows.schema["p"].dataType)), one).alias("predictions"))
     whole = rows.groupBy("trace_id").agg(F.count("*").alias("point_count"), F.count("segment_id").alias("points_with_matches"), F.array_sort(F.collect_set("segment_id")).alias("target_ids"), F.array_sort(F.collect_list(F.struct("idx", F.struct(*fields).alias("point")))).alias("points"))
-    doc = F.struct(F.col("trace_id").cast("string").alias("id"), "point_count", "points_with_matches", "target_ids", F.transform("points", lambda p: p["point"]).alias("points"))
+    doc = F.struct(F.col("trace_id").cast("string").alias("id"), "point_count", "points_with_matches", "target_ids", F.col("points.point").alias("points"))
     return whole.select("trace_id", F.to_json(doc, {"ignoreNullFields": "false"}).alias("json"))
 
 
@@ -215,14 +237,20 @@ def compared(points: DataFrame, matched: DataFrame, labels: DataFrame, segs: Dat
 
     labels: trace_id, idx, label_id. A label whose segment is not in segs has no snapped place.
     """
-    rows = with_predictions(points, matched).join(labels.select("trace_id").distinct(), "trace_id", "left_semi").join(labels, ["trace_id", "idx"], "left")
+    return against_labels(with_predictions(points, matched), labels, segs)
+
+
+def against_labels(predicted: DataFrame, labels: DataFrame, segs: DataFrame) -> DataFrame:
+    """compared() of with_predictions() or nearest_or_none(). A trace without labels ends before its first point, so it needs no test of its own."""
+    rows = predicted.join(labels, ["trace_id", "idx"], "left")
     w = Window.partitionBy("trace_id").orderBy("idx")
     missing = F.sum(F.col("label_id").isNull().cast("int")).over(w)
-    rows = rows.withColumns({"missing": missing, "step": F.coalesce(haversine(F.lag("x").over(w), F.lag("y").over(w), F.col("x"), F.col("y")), F.lit(0.0))}).where("missing = 0")
+    rows = rows.withColumns({"missing": missing, "px": F.lag("x").over(w), "py": F.lag("y").over(w)}).where("missing = 0")
+    rows = bound(rows, step=F.coalesce(haversine(F.col("px"), F.col("py"), F.col("x"), F.col("y")), F.lit(0.0)))
     ends = segs.select(F.col("segment_id").alias("label_id"), "x1", "y1", "x2", "y2")
     rows = rows.join(ends, "label_id", "left")
-    t = fraction_along(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    place = F.when(F.col("x1").isNotNull(), wkt_point(F.col("x1") + t * (F.col("x2") - F.col("x1")), F.col("y1") + t * (F.col("y2") - F.col("y1"))))
+    rows = bound(rows, t=fraction_along(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
+    place = F.when(F.col("x1").isNotNull(), wkt_point(F.col("x1") + F.col("t") * (F.col("x2") - F.col("x1")), F.col("y1") + F.col("t") * (F.col("y2") - F.col("y1"))))
     return rows.select(
         "trace_id", F.col("idx").alias("point_index"), F.col("label_id").cast("string").alias("label_feature_id"), text(F.col("segment_id")).alias("prediction_feature_id"), text(place).alias("label_snapped_wkt"),
         text(wkt_point(F.col("sx"), F.col("sy"))).alias("prediction_snapped_wkt"), F.col("step").alias("distance_to_prev_point"), F.col("segment_id").eqNullSafe(F.col("label_id")).alias("is_correct"),
