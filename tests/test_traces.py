@@ -30,6 +30,29 @@ def test_thinned_traces_that_stay_or_go_back(spark):
     assert traces.thinned(spark.createDataFrame([], "trace_id long, idx long, ts timestamp, x double, y double")).collect() == []
 
 
+def test_thinned_by_blocks(spark):
+    """Traces of many blocks, of one, and a step over several blocks; a trace within one block needs no round of joins."""
+    import random
+    from datetime import datetime, timedelta
+
+    dice, start, rows = random.Random(3), datetime(2024, 1, 1), []
+    for t, n in enumerate((1, 4, 5, 70, 300)):
+        x = 0.0
+        for i in range(n):
+            x += dice.choice((0.0, 100.0, 300.0, 600.0)) if not 100 < i < 130 else 0.0
+            rows.append((t, i, start + timedelta(seconds=0.3 * i), x, 10.0 * dice.random()))
+    frame = spark.createDataFrame(rows, "trace_id long, idx long, ts timestamp, x double, y double")
+    want, last = [], None
+    for t, i, ts, x, y in rows:
+        if last is None or last[0] != t or (metres(last[2:], (x, y)) >= 50 and (ts - last[1]).total_seconds() >= 1):
+            want.append((t, i))
+            last = (t, ts, x, y)
+    for block in (1, 4, 128):
+        got = traces.thinned(frame, block=block)
+        assert got.columns == frame.columns and sorted((r.trace_id, r.idx) for r in got.collect()) == sorted(want)
+    assert "Join" not in plan_of(traces.thinned(frame.where("trace_id < 3")))
+
+
 def test_quantiles_by_selection(spark):
     import numpy as np
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import bound
 from ..functions.geo import metres
 from ..sources.storage import checkpointed
 
@@ -19,55 +20,80 @@ def steps(points: DataFrame) -> DataFrame:
     return met.withColumns({"raw_m": raw, "step_m": F.round(raw, 2), "step_s": F.round(seconds, 3)}).drop("_x", "_y", "_ts")
 
 
-def successors(points: DataFrame, least_m: float, least_s: float, ahead: int = 16) -> DataFrame:
-    """trace_id, n, next: for each of a trace's points (trace_id, n from 1, x, y, ts) the first later one that lies far enough off in metres and seconds; points without one are left out.
+def successors(points: DataFrame, least_m: float, least_s: float, ahead: int = 4) -> DataFrame:
+    """points (trace_id, n from 1, x, y, ts) with next: n of the first later point of the trace that lies far enough off in metres and seconds, null without one.
 
-    The next `ahead` points are looked at first, in one window; points that find none there look at four times as many
+    The next `ahead` points are looked at first, one after the other, in one window; points that find none there look at four times as many
     in each further round, by a join. Work beyond the window grows with how long traces stay in one place.
     """
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = checkpointed(points.select("trace_id", "n", "x", "y", us.alias("us")))
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
 
     def far(x, y, t):
-        late = F.coalesce((t - F.col("us")) / 1e6 >= least_s, F.lit(True))
-        return late & (metres(F.col("x"), F.col("y"), x, y) >= least_m)
+        late = F.coalesce((us(t) - us("ts")) / 1e6 >= least_s, F.lit(True))
+        return late & (metres(F.col("x"), F.col("y"), F.col(x), F.col(y)) >= least_m)
 
     w = Window.partitionBy("trace_id").orderBy("n")
-    coming = F.collect_list(F.struct("n", "x", "y", "us")).over(w.rowsBetween(1, ahead))
-    first = F.filter(coming, lambda p: far(p["x"], p["y"], p["us"]))
-    looked = checkpointed(rows.withColumns({"next": F.try_element_at(first, F.lit(1))["n"], "last": F.count("*").over(Window.partitionBy("trace_id"))}))
-    found, low = looked.where("next is not null").select("trace_id", "n", "next"), ahead
-    left = looked.where(F.col("next").isNull() & (F.col("n") + low < F.col("last"))).drop("next")
-    later = rows.select("trace_id", F.col("n").alias("next"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("us").alias("bt"))
+    looked = points.withColumns({f"_{c}{k}": F.lead(c, k).over(w) for k in range(1, ahead + 1) for c in ("x", "y", "ts")} | {"_last": F.count("*").over(Window.partitionBy("trace_id")), "next": F.lit(None).cast("long")})
+    for k in range(1, ahead + 1):
+        found = F.when(F.col("n") + k <= F.col("_last"), F.when(far(f"_x{k}", f"_y{k}", f"_ts{k}"), F.col("n") + k))
+        looked = bound(looked.withColumnRenamed("next", "_before"), next=F.coalesce("_before", found)).drop("_before")
+    looked = checkpointed(looked.select(*points.columns, "next", "_last"))
+    low, more = ahead, None
+    left = looked.where(F.col("next").isNull() & (F.col("n") + low < F.col("_last"))).drop("next")
+    later = points.select("trace_id", F.col("n").alias("next"), F.col("x").alias("_bx"), F.col("y").alias("_by"), F.col("ts").alias("_bt"))
     while not left.isEmpty():
         high = 4 * low
-        tried = left.withColumn("next", F.explode(F.sequence(F.col("n") + low + 1, F.least(F.col("n") + high, F.col("last")))))
-        met = tried.join(later, ["trace_id", "next"]).where(far(F.col("bx"), F.col("by"), F.col("bt")))
-        new = checkpointed(met.groupBy("trace_id", "n").agg(F.min("next").alias("next")))
-        found = found.unionAll(new)
-        left = checkpointed(left.join(new, ["trace_id", "n"], "left_anti").where(F.col("n") + high < F.col("last")))
+        tried = left.withColumn("next", F.explode(F.sequence(F.col("n") + low + 1, F.least(F.col("n") + high, F.col("_last")))))
+        met = tried.join(later, ["trace_id", "next"]).where(far("_bx", "_by", "_bt"))
+        new = checkpointed(met.groupBy("trace_id", "n").agg(F.min("next").alias("_found")))
+        more = new if more is None else more.unionAll(new)
+        left = checkpointed(left.join(new, ["trace_id", "n"], "left_anti").where(F.col("n") + high < F.col("_last")))
         low = high
-    return found
+    if more is not None:
+        looked = looked.join(more, ["trace_id", "n"], "left").withColumn("next", F.coalesce("next", "_found"))
+    return looked.select(*points.columns, "next")
 
 
-def thinned(points: DataFrame, least_m: float = 50.0, least_s: float = 1.0) -> DataFrame:
+#: Points of a block of thinned(): the most that one row holds.
+BLOCK = 128
+
+
+def thinned(points: DataFrame, least_m: float = 50.0, least_s: float = 1.0, block: int = BLOCK) -> DataFrame:
     """points without those that lie less than least_m metres or least_s seconds after the last one kept; a trace's first point stays.
 
     The point kept after another depends on that one only: the kept points are the orbit of a trace's first point under
-    successors(). Maps of 1, 2, 4 ... steps are made by joins of each with itself, and the orbit doubles with each, so rounds grow with
-    the logarithm of the longest orbit and no trace is gone through in order. A point without coordinates is dropped,
+    successors(). Traces are cut into blocks of `block` points. Within a block the orbit is followed from the block's entry; entries are the orbit of
+    the first point under the map from each point to where its orbit leaves the block. Maps of 1, 2, 4 ... such ways are made by joins of each with
+    itself, and the entries double with each, so rounds grow with the logarithm of a trace's blocks, traces of one block need
+    none, and no row holds more than a block. A point without coordinates is dropped,
     one without a time is judged by metres only; of points that share an index the order is by place.
     """
     order = Window.partitionBy("trace_id").orderBy("idx", "ts", "x", "y")
-    numbered = checkpointed(points.where("x is not null and y is not null").withColumn("n", F.row_number().over(order).cast("long")))
-    jump, jumps = checkpointed(successors(numbered, least_m, least_s)), []
+    numbered = points.where("trace_id is not null and x is not null and y is not null").withColumn("n", F.row_number().over(order).cast("long"))
+    at = (F.col("n") - 1 - F.pmod(F.col("n") - 1, F.lit(block))).alias("start")  # points before the block
+    blocks = checkpointed(successors(numbered, least_m, least_s).groupBy("trace_id", at).agg(F.array_sort(F.collect_list(F.struct("n", "next", F.struct(*points.columns).alias("point")))).alias("held")))
+
+    # From the last point back: where each one's orbit leaves the block. Those after it are in the list already, at their distance from it.
+    ways = F.col("held.next")
+    end = F.col("start") + F.size("held")
+    leave = lambda out, p: F.concat(F.array(F.when(p["next"] > end, p["next"]).otherwise(F.get(out, (p["next"] - p["n"] - 1).cast("int")))), out)
+    exits = F.aggregate(F.reverse("held"), F.array().cast("array<bigint>"), leave)
+    jump, jumps = checkpointed(blocks.where(F.array_max(ways) > end).select("trace_id", "start", F.posexplode(exits).alias("pos", "next")).where("next is not null").select("trace_id", (F.col("start") + F.col("pos") + 1).alias("n"), "next")), []
     while not jump.isEmpty():
         jumps.append(jump)
         jump = checkpointed(jump.join(jump.select("trace_id", F.col("n").alias("next"), F.col("next").alias("then")), ["trace_id", "next"]).select("trace_id", "n", F.col("then").alias("next")))
-    kept = numbered.where("n = 1").select("trace_id", "n")
-    for jump in reversed(jumps):
-        kept = kept.unionAll(kept.join(jump, ["trace_id", "n"]).select("trace_id", F.col("next").alias("n")))
-    return numbered.join(kept, ["trace_id", "n"]).select(*points.columns)
+    entered = blocks.where("start = 0").withColumn("entry", F.lit(1).cast("long"))
+    if jumps:
+        entry = entered.select("trace_id", F.col("entry").alias("n"))
+        for jump in reversed(jumps):
+            entry = entry.unionAll(entry.join(jump, ["trace_id", "n"]).select("trace_id", F.col("next").alias("n")))
+        later = entry.where(F.col("n") > block).select("trace_id", at, F.col("n").alias("entry"))
+        entered = entered.unionByName(blocks.join(later, ["trace_id", "start"]))
+    # Forward from the entry: the next point to keep, and the places of those kept.
+    go = lambda a, p: F.when(p["n"] == a["now"], F.struct(p["next"].alias("now"), F.concat(a["kept"], F.array(p["n"])).alias("kept"))).otherwise(a)
+    kept = F.aggregate("held", F.struct(F.col("entry").alias("now"), F.array().cast("array<bigint>").alias("kept")), go)["kept"]
+    chosen = entered.select("start", "held", F.explode(kept).alias("n"))
+    return chosen.select(F.get("held", (F.col("n") - F.col("start") - 1).cast("int"))["point"].alias("p")).select("p.*")
 
 
 def parts(points: DataFrame, gap_m: float = 100.0, gap_s: float | None = None) -> DataFrame:
